@@ -32,7 +32,8 @@ PIECE = 64
 CACHE = 200_000
 #: Restored words whose evidence is added up.
 TOP_WORDS = 3
-#: Features that the classifier keeps, and rows that fit its two calibration parameters.
+INPUTS = ("top", "total", "size")
+#: Features that the classifier keeps, and rows that fit its four calibration parameters.
 MODEL_FEATURES, CALIBRATION_ROWS = 65_536, 20_000
 CAUTION = 3.0
 
@@ -192,8 +193,9 @@ def evidence_model(labelled: DataFrame, lm: list) -> dict[int, float]:
 
 
 def evidence(docs: DataFrame, lm: list, weights: dict[int, float]) -> DataFrame:
-    """``docs(doc_id, text)`` to ``(doc_id, evidence double)``: the sum over the
-    TOP_WORDS restored words that weigh most, each by its heaviest feature."""
+    """``docs(doc_id, text)`` to ``(doc_id, top, total, size)`` doubles: the weight of
+    the restored word that weighs most (by its heaviest feature), the sum over the
+    TOP_WORDS heaviest, and the logarithm of one more than the distinct words."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast((lm, weights))
 
@@ -201,36 +203,37 @@ def evidence(docs: DataFrame, lm: list, weights: dict[int, float]) -> DataFrame:
         lm, weights = model.value
         words, known = Words(lm), {}
         for batch in batches:
-            sums = []
+            rows = []
             for text in batch.column("text").to_pylist():
                 if len(known) > CACHE:
                     known.clear()
                 best = []
-                for word in words.of(text):
+                for word in (found := words.of(text)):
                     w = known.get(word)
                     if w is None:
                         w = known[word] = max(weights.get(feature_id(f), 0.0) for f in features(word))
                     if w:
                         best.append(w)
-                sums.append(math.fsum(sorted(best)[-TOP_WORDS:]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sums, pa.float64())], ["doc_id", "evidence"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, "doc_id long, evidence double")
-
-
-def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope (never below 0.1) and offset of a lightly penalised logistic fit."""
-    slope, offset = 0.5, -3.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(slope * x + offset, -30, 30)))
-        v = p * (1 - p)
-        h = np.array([[(v * x * x).sum() + 1.0, (v * x).sum()], [(v * x).sum(), v.sum() + 0.1]])
-        g = np.array([((p - y) * x).sum() + 1.0 * (slope - 0.5), (p - y).sum() + 0.1 * (offset + 3.0)])
-        step = np.linalg.solve(h, g)
-        slope, offset = max(0.1, slope - step[0]), offset - step[1]
+                best.sort()
+                rows.append((max(best, default=0.0), math.fsum(best[-TOP_WORDS:]), math.log1p(len(found))))
+            columns = zip(*rows, strict=True) if rows else [()] * 3
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.float64()) for c in columns)], ["doc_id", *INPUTS])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, "doc_id long, top double, total double, size double")
+
+
+def calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Coefficients of INPUTS and the offset of a lightly penalised logistic fit."""
+    x = np.column_stack([x, np.ones(len(x))])
+    start = np.array([0.5, 0.2, 0.0, -3.0])
+    penalty, at = np.array([0.1, 0.1, 0.1, 0.01]), start.copy()
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ at, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (p - y) + penalty * (at - start))
+        at = at - np.clip(step, -2, 2)
         if abs(step).max() < 1e-9:
             break
-    return float(slope), float(offset)
+    return at
 
 
 def held_out() -> F.Column:
@@ -243,18 +246,19 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Learns from the labels of rows that are not held out; a doc_id labelled twice is
     toxic if any label says so, null labels are left out. Scores see the text only.
-    Null and empty texts have no evidence and get the lowest score; without both
-    kinds of labels every score is that of no evidence. A null doc_id isn't held out."""
+    Null and empty texts have no evidence; without both kinds of labels no text has
+    any. A null doc_id isn't held out."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     marks = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
     marks = marks.where(~held_out())
     lm = letter_model(docs)
     weights = evidence_model(docs.join(marks, "doc_id").select("text", F.col("toxic").cast("int")), lm)
     scored = materialize(evidence(docs, lm, weights))
-    sample = scored.join(marks, "doc_id").select("evidence", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "evidence").limit(CALIBRATION_ROWS).collect()
-    x, y = (np.array([row[i] for row in sample], float) for i in (0, 1))
-    slope, offset = calibrate(x, y)
-    score = 1 / (1 + F.exp(-(F.col("evidence") * slope + offset)))
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), *map(F.col, INPUTS)]
+    sample = scored.join(marks, "doc_id").orderBy(*order).limit(CALIBRATION_ROWS).select(*INPUTS, "toxic").collect()
+    rows = np.array(sample, float).reshape(-1, len(INPUTS) + 1)
+    *slopes, offset = map(float, calibrate(rows[:, :-1], rows[:, -1]))
+    score = 1 / (1 + F.exp(-sum((F.col(c) * k for c, k in zip(INPUTS, slopes, strict=True)), F.lit(offset))))
     return scored.select("doc_id", held_out().alias("held_out"), score.alias("score")).withColumn(
         "predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0)
     )
