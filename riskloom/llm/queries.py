@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op10_decontaminate
+from .linededup import op8_line_dedup
 from .packing import op7_packing
 from .simhash import op5_simhash
 from .toxicity import op9_toxicity
@@ -14,6 +15,7 @@ from .toxicity import op9_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
     "op7_packing": op7_packing,
+    "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_decontaminate": op10_decontaminate,
 }
