@@ -10,10 +10,12 @@ from .decontaminate import op10_decontaminate
 from .linededup import op8_line_dedup
 from .packing import op7_packing
 from .simhash import op5_simhash
+from .substrings import op6_substrings
 from .toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
+    "op6_substrings": op6_substrings,
     "op7_packing": op7_packing,
     "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,
