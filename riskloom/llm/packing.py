@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
@@ -18,7 +20,7 @@ from .common import table
 CAPACITY, END = 4096, 2
 TOKENIZER = "word_bpe_49k.json"
 #: Tails that wait for a partner before windows are filled, and distinct words remembered.
-WAITING, CACHE = 2048, 400_000
+WAITING, CACHE = 512, 500_000
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -28,42 +30,53 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+#: Latin-1 letters with punctuation behind: two tokens' worth that never join.
+_ended = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~]+)")
+
+
 class Encoder:
-    """Token ids of texts. The tokenizer drops white space and never joins across
-    it, so each distinct word is encoded once and remembered."""
+    """Token ids of texts, as little-endian 32-bit bytes.
+
+    The tokenizer drops white space, never joins across it, and ignores case, so
+    each distinct word is encoded once and remembered: CACHE of the newest, and
+    those before them for as long."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark fills the cores
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, missing: set[str]) -> None:
+        """Puts the ids of ``missing`` into ``known``: from before, or from parts
+        (a word and what punctuation follows it, in small letters), or encoded."""
         if len(self.known) > CACHE:
-            self.known.clear()
-        words = list(words)
-        for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(found.ids, "<u4").tobytes()
-
-    def ids(self, text: str | None) -> np.ndarray:
+            self.known, self.older = {}, self.known
+        known, older, parts, new = self.known, self.older, {}, set()
+        for word in missing:
+            if (old := older.get(word)) is not None:
+                known[word] = old
+                continue
+            pieces = match.groups() if (match := _ended.fullmatch(word)) else (word,)
+            parts[word] = [x.lower() if x.isascii() and "<" not in x else x for x in pieces]
+            new.update(parts[word])
+        for word in (x for x in list(new) if x in older):
+            known.setdefault(word, older[word])
+        new = [x for x in new if x not in known]
+        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            known[word] = array("I", found.ids).tobytes()
+        for word, pieces in parts.items():
+            known[word] = b"".join([known[x] for x in pieces])
+
+    def ids(self, text: str | None) -> list[bytes]:
+        """The ids of each word of ``text``."""
         words = (text or "").replace("\n", " ").split(" ")
-        known = self.known
-        missing = {w for w in set(words) if w not in known}
-        if missing:
-            # a full stop or comma after an ASCII letter is a token of its own
-            ended = {w for w in missing if len(w) > 1 and w[-1] in ".," and w[-2].isascii() and w[-2].isalpha()}
-            bare = {x for w in ended if (x := w[:-1]) not in known} | (missing - ended) | {".", ","}
-            self._learn(bare)
-            known = self.known
-            for w in ended:
-                base = known.get(w[:-1])
-                if base is None:
-                    self._learn({w[:-1]})
-                    base = known[w[:-1]]
-                known[w] = base + known[w[-1]]
-            if any(w not in known for w in words):  # forgotten meanwhile
-                self._learn({w for w in words if w not in known})
-        return np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
+        found = list(map(self.known.get, words))
+        if None in found:
+            self._learn({w for w, x in zip(words, found, strict=True) if x is None})
+            known, older = self.known, self.older
+            found = [known.get(w) or older.get(w, b"") if x is None else x for w, x in zip(words, found, strict=True)]
+        return found
 
 
 @lru_cache(2)
@@ -76,10 +89,12 @@ def fill(capacity: int, counts: dict[int, int]) -> dict[int, int]:
     """How many pieces of each length fill ``capacity`` best without passing it.
 
     Minimum bin slack as a bounded subset sum: bit t of ``reach`` says that some
-    multiset adds up to t. Lengths enter longest first, until the window closes
-    exactly; the snapshots before each length give the counts on the way back."""
+    multiset adds up to t. Lengths enter in strides from long to short, until the
+    window closes exactly; the snapshots before each length give the counts on the
+    way back."""
     everything, reach, layers = (1 << (capacity + 1)) - 1, 1, []
-    for length in sorted((x for x in counts if 0 < x <= capacity), reverse=True):
+    lengths = sorted((x for x in counts if 0 < x <= capacity), reverse=True)
+    for length in (x for i in range(16) for x in lengths[i::16]):
         layers.append((length, reach))
         left, step = min(counts[length], capacity // length), 1
         while left:
@@ -185,7 +200,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, packer = encoder_of(path), Packer(capacity)
-        first = TaskContext.get().partitionId() << 32
+        first, last = TaskContext.get().partitionId() << 32, end.to_bytes(4, "little")
         names = [x.split()[0] for x in SCHEMA.split(", ")]
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -196,7 +211,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
         for batch in batches:
             out, held = [], 0
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = np.append(encoder.ids(text.as_py()), np.uint32(end)).astype("<u4")
+                ids = np.frombuffer(b"".join([*encoder.ids(text.as_py()), last]), "<u4")
                 for row in packer.add((doc_id, len(ids)), ids):
                     out.append(row)
                     held += len(row[3])
@@ -205,8 +220,8 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
                     out, held = [], 0
             if out:
                 yield batch_of(out)
-        if last := list(packer.end()):
-            yield batch_of(last)
+        if out := list(packer.end()):
+            yield batch_of(out)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
 
