@@ -11,9 +11,11 @@ from .linededup import op8_line_dedup
 from .packing import op7_packing
 from .simhash import op5_simhash
 from .substrings import op6_substrings
+from .topk import OP1_SQL, op1_topk
 from .toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_topk": op1_topk,
     "op5_simhash": op5_simhash,
     "op6_substrings": op6_substrings,
     "op7_packing": op7_packing,
@@ -22,4 +24,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_topk": OP1_SQL,
+}
