@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import OP4_SQL, op4_chat
 from .decontaminate import op10_decontaminate
 from .linededup import op8_line_dedup
 from .packing import op7_packing
@@ -13,9 +14,14 @@ from .simhash import op5_simhash
 from .substrings import op6_substrings
 from .topk import OP1_SQL, op1_topk
 from .toxicity import op9_toxicity
+from .urlfilter import op3_urlfilter
+from .warc import OP2_SQL, op2_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
+    "op2_warc": op2_warc,
+    "op3_urlfilter": op3_urlfilter,
+    "op4_chat": op4_chat,
     "op5_simhash": op5_simhash,
     "op6_substrings": op6_substrings,
     "op7_packing": op7_packing,
@@ -26,4 +32,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_topk": OP1_SQL,
+    "op2_warc": OP2_SQL,
+    "op4_chat": OP4_SQL,
 }
