@@ -7,10 +7,11 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,12 +30,13 @@ OTHER, EDGE, SIZE = len(LETTERS) + 1, 0, len(LETTERS) + 2
 READ_LEET, DROP_SIGN, DROP_REPEAT, DROP_LEET = 1.0, 0.5, 0.7, 3.0
 #: A token longer than this is decoded in pieces of this size.
 PIECE = 64
-CACHE = 200_000
+CACHE = 300_000
 #: Restored words whose evidence is added up.
 TOP_WORDS = 3
 INPUTS = ("top", "total", "size")
-#: Features that the classifier keeps, and rows that fit its four calibration parameters.
-MODEL_FEATURES, CALIBRATION_ROWS = 65_536, 20_000
+#: Labelled rows that the classifier is fitted on (those least by a hash of their id;
+#: all, if there are fewer), and features that it keeps.
+TRAINING_ROWS, MODEL_FEATURES = 20_000, 65_536
 CAUTION = 3.0
 
 _trim = re.compile(r"^[^\w@$!|+€£]+|(?:([^\w\s])\1{2,}|[^\w\s@$|+€£])+$|^(?:([^\w\s])\2{2,})+")
@@ -123,103 +125,86 @@ def letter_model(docs: DataFrame) -> list:
     return (-np.log(smooth)).tolist()
 
 
-def features(word: str) -> set[str]:
+def features(word: str) -> list[str]:
     """The word and its beginnings of 4 to 6 letters."""
-    return {f"{word}$", *(f"^{word[:n]}" for n in (4, 5, 6) if len(word) > n)}
-
-
-class Words:
-    """The restored words of texts; remembers what it has decoded."""
-
-    def __init__(self, lm: list) -> None:
-        self.lm, self.known = lm, {}
-
-    def of(self, text: str | None) -> set[str]:
-        lower, known, found = (text or "").lower(), self.known, set()
-        if len(known) > CACHE:
-            known.clear()
-        for token in set(lower.split()):
-            word = known.get(token)
-            if word is None:
-                word = core(token)
-                word = known[token] = restore(word, self.lm) if suspicious(word) else word
-            found.add(word)
-        for run in _spaced.findall(lower):
-            found.add(restore(run.replace(" ", ""), self.lm))
-        found.discard("")
-        return found
+    return [f"{word}$", *(f"^{word[:n]}" for n in (4, 5, 6) if len(word) > n)]
+
 
+class Tokens:
+    """What is known of each token of the texts, found once by ``about(word)`` from
+    its restored word; keeps CACHE of the newest, and those before them as long."""
 
-def feature_id(feature: str) -> int:
-    return int(np.uint64(xxhash.xxh64_intdigest(feature)).view(np.int64))
+    def __init__(self, lm: list, about) -> None:
+        self.lm, self.about, self.known, self.older = lm, about, {}, {}
 
+    def _learn(self, token: str):
+        if len(self.known) > CACHE:
+            self.known, self.older = {}, self.known
+        found = self.older.get(token)
+        if found is None:
+            word = core(token)
+            found = self.about(restore(word, self.lm) if suspicious(word) else word)
+        self.known[token] = found
+        return found
 
-def evidence_model(labelled: DataFrame, lm: list) -> dict[int, float]:
-    """Weights of the features that speak for toxicity, from ``labelled(text, toxic)``.
+    def of(self, text: str | None) -> list:
+        """One entry for each distinct token, and for each word spelt out letter by
+        letter with spaces between."""
+        lower = (text or "").lower()
+        tokens = list(set(lower.split()))
+        found = list(map(self.known.get, tokens))
+        if None in found:
+            found = [self._learn(t) if x is None else x for t, x in zip(tokens, found, strict=True)]
+        if sum(len(t) == 1 for t in tokens) > 1:
+            found += [self.about(restore(run.replace(" ", ""), self.lm)) for run in _spaced.findall(lower)]
+        return found
+
+
+def evidence_model(docs: DataFrame, lm: list, marks: dict[int, int]) -> dict[str, float]:
+    """Weights of the features that speak for toxicity, from the ``docs(doc_id,
+    text)`` that ``marks`` labels.
 
     A weight is the log ratio of the shares of toxic and other texts that have the
     feature, less CAUTION standard errors; positive ones only, the MODEL_FEATURES
-    largest of them. Counts cover every labelled row and are added up on Spark."""
-
-    model = labelled.sparkSession.sparkContext.broadcast(lm)
+    largest of them."""
+    model = docs.sparkSession.sparkContext.broadcast((lm, marks))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, ids = Words(model.value), {}
+        lm, marks = model.value
+        tokens = Tokens(lm, features)
         for batch in batches:
-            sums: dict[int, list[int]] = {0: [0, 0]}
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = set()
-                for word in words.of(text):
-                    if (known := ids.get(word)) is None:
-                        if len(ids) > CACHE:
-                            ids.clear()
-                        known = ids[word] = [feature_id(f) for f in features(word)]
-                    found.update(known)
-                for f in (0, *found):
-                    sums.setdefault(f, [0, 0])[toxic] += 1
+            sums: dict[str, list[int]] = {"": [0, 0]}
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if (toxic := marks.get(doc_id)) is not None:
+                    for f in {"", *(f for some in tokens.of(text.as_py()) for f in some)}:
+                        sums.setdefault(f, [0, 0])[toxic] += 1
             n = np.array(list(sums.values()))
-            yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int64()), pa.array(n[:, 0]), pa.array(n[:, 1])], ["f", "n0", "n1"])
+            yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.string()), pa.array(n[:, 0]), pa.array(n[:, 1])], ["f", "n0", "n1"])
 
-    counted = labelled.mapInArrow(count, "f long, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    counted = materialize(counted.where("n1 >= 3 or f = 0"))
-    total = counted.where("f = 0").first()
+    counted = docs.mapInArrow(count, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counted = materialize(counted.where("n1 >= 3 or f = ''"))
+    total = counted.where("f = ''").first()
     if total is None or not total["n0"] or not total["n1"]:
         return {}
     weight = F.expr(
         f"ln((n1 + 0.5D) / {total['n1'] + 1.0}D) - ln((n0 + 0.5D) / {total['n0'] + 1.0}D) - {CAUTION}D * sqrt(1D / (n1 + 0.5D) + 1D / (n0 + 0.5D))"
     )
-    best = counted.where("f <> 0").select("f", weight.alias("w")).where("w > 0").orderBy(F.desc("w"), "f").limit(MODEL_FEATURES)
+    best = counted.where("f not in ('', '$')").select("f", weight.alias("w")).where("w > 0").orderBy(F.desc("w"), "f").limit(MODEL_FEATURES)
     return {row["f"]: row["w"] for row in best.collect()}
 
 
-def evidence(docs: DataFrame, lm: list, weights: dict[int, float]) -> DataFrame:
-    """``docs(doc_id, text)`` to ``(doc_id, top, total, size)`` doubles: the weight of
-    the restored word that weighs most (by its heaviest feature), the sum over the
-    TOP_WORDS heaviest, and the logarithm of one more than the distinct words."""
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast((lm, weights))
+class Scorer:
+    """(top, total, size) of texts: the weight of the restored word that weighs most
+    (by its heaviest feature), the sum over the TOP_WORDS heaviest, and the logarithm
+    of one more than the distinct tokens."""
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lm, weights = model.value
-        words, known = Words(lm), {}
-        for batch in batches:
-            rows = []
-            for text in batch.column("text").to_pylist():
-                if len(known) > CACHE:
-                    known.clear()
-                best = []
-                for word in (found := words.of(text)):
-                    w = known.get(word)
-                    if w is None:
-                        w = known[word] = max(weights.get(feature_id(f), 0.0) for f in features(word))
-                    if w:
-                        best.append(w)
-                best.sort()
-                rows.append((max(best, default=0.0), math.fsum(best[-TOP_WORDS:]), math.log1p(len(found))))
-            columns = zip(*rows, strict=True) if rows else [()] * 3
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.float64()) for c in columns)], ["doc_id", *INPUTS])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, "doc_id long, top double, total double, size double")
+    def __init__(self, lm: list, weights: dict[str, float]) -> None:
+        self.tokens = Tokens(lm, lambda word: (w, word) if (w := max(weights.get(f, 0.0) for f in features(word))) else ())
+
+    def of(self, text: str | None) -> tuple[float, float, float]:
+        found = self.tokens.of(text)
+        best = sorted(w for w, _ in {x for x in found if x})
+        return max(best, default=0.0), math.fsum(best[-TOP_WORDS:]), math.log1p(len(found))
 
 
 def calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -241,26 +226,69 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(doc_id, held_out, score, predicted)`` for every row of ``docs``.
+@dataclass
+class Model:
+    """A fitted classifier: fixed-size letter statistics, at most MODEL_FEATURES
+    weights, and the coefficients of INPUTS with their offset."""
+
+    lm: list
+    weights: dict[str, float]
+    coefficients: list[float]
+
 
-    Learns from the labels of rows that are not held out; a doc_id labelled twice is
-    toxic if any label says so, null labels are left out. Scores see the text only.
-    Null and empty texts have no evidence; without both kinds of labels no text has
-    any. A null doc_id isn't held out."""
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Learns from the labels of at most TRAINING_ROWS rows of ``docs`` that are not
+    held out. A doc_id labelled twice is toxic if any label says so; null labels are
+    left out. The letter statistics cover all of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     marks = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
-    marks = marks.where(~held_out())
+    sample = marks.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAINING_ROWS).collect()
+    marks = {row["doc_id"]: row["toxic"] for row in sample}
     lm = letter_model(docs)
-    weights = evidence_model(docs.join(marks, "doc_id").select("text", F.col("toxic").cast("int")), lm)
-    scored = materialize(evidence(docs, lm, weights))
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), *map(F.col, INPUTS)]
-    sample = scored.join(marks, "doc_id").orderBy(*order).limit(CALIBRATION_ROWS).select(*INPUTS, "toxic").collect()
+    weights = evidence_model(docs, lm, marks)
+    model = docs.sparkSession.sparkContext.broadcast((lm, weights, marks))
+
+    def inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lm, weights, marks = model.value
+        scorer = Scorer(lm, weights)
+        for batch in batches:
+            texts = zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True)
+            rows = [(*scorer.of(text.as_py()), float(marks[i])) for i, text in texts if i in marks]
+            columns = zip(*rows, strict=True) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in columns], [*INPUTS, "toxic"])
+
+    # repeated rows could pass the bound, so it is stated again
+    sample = docs.mapInArrow(inputs, "top double, total double, size double, toxic double").orderBy(*INPUTS, "toxic").limit(2 * TRAINING_ROWS).collect()
     rows = np.array(sample, float).reshape(-1, len(INPUTS) + 1)
-    *slopes, offset = map(float, calibrate(rows[:, :-1], rows[:, -1]))
-    score = 1 / (1 + F.exp(-sum((F.col(c) * k for c, k in zip(INPUTS, slopes, strict=True)), F.lit(offset))))
-    return scored.select("doc_id", held_out().alias("held_out"), score.alias("score")).withColumn(
-        "predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0)
+    return Model(lm, weights, calibrate(rows[:, :-1], rows[:, -1]).tolist())
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with a last column: the toxicity of ``text``, 0 to 1, named
+    ``toxicity`` (an existing one of that name is replaced)."""
+    known = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def toxicity(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = Scorer(known.value.lm, known.value.weights)
+        *slopes, offset = known.value.coefficients
+        for texts in batches:
+            x = np.array([scorer.of(t) for t in texts], float).reshape(-1, len(INPUTS))
+            yield pd.Series(1 / (1 + np.exp(-np.clip(x @ np.array(slopes) + offset, -700, 700))))
+
+    return docs.withColumn("toxicity", toxicity(F.col("text").cast("string")))
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(doc_id, held_out, score, predicted)`` for every row of ``docs``.
+
+    Scores see the text only. Null and empty texts have no evidence; without both
+    kinds of labels no text has any. A null doc_id isn't held out; repeated rows are
+    scored each."""
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    scored = score(docs, fit(docs, labels))
+    return scored.select(
+        "doc_id", held_out().alias("held_out"), F.col("toxicity").alias("score"), F.when(F.col("toxicity") >= 0.5, 1).otherwise(0).alias("predicted")
     )
 
 
