@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,6 +107,22 @@ def overlaps(texts: list[bytes], index: Index) -> Iterator[tuple[int, int, int,
             yield t, i, int(low + begin + shift - bounds[t]), int(low + begin - index.bounds[i]), n, matched
 
 
+def indexes(benchmark: DataFrame) -> Iterator[Index]:
+    """The benchmark in blocks of at most BLOCK_WORDS words, one at a time. Items with
+    a null id or text are left out."""
+    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator()
+    block, held = [], 0
+    for row in rows:
+        if row["text"] is not None and row["item_id"] is not None:
+            block.append((row["item_id"], row["text"].encode()))
+            held += len(block[-1][1]) // 2 + 1  # at most so many words
+        if held >= BLOCK_WORDS:
+            yield Index(block)
+            block, held = [], 0
+    if block:
+        yield Index(block)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Overlaps of ``docs(doc_id, text)`` with ``benchmark(item_id, text)``: for each
     row and item the longest, as (doc_id, item_id, doc_word, item_word, words,
@@ -115,41 +132,44 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     replacements: at least MIN_WORDS equal words (all of an item that has fewer) and
     MIN_SHARE of the stretch. Null texts are empty and overlap nothing; an item
     without words overlaps nothing; repeated rows are reported each. The benchmark
-    goes out in blocks of at most BLOCK_WORDS words, each against all documents."""
-    spark = docs.sparkSession
+    goes out in blocks of bounded size, each against all documents."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator()
-    items = ((r["item_id"], t.encode()) for r in rows if (t := r["text"]) is not None and r["item_id"] is not None)
-
-    def block() -> list[tuple[int, bytes]]:
-        out, held = [], 0
-        for item in items:
-            out.append(item)
-            held += len(item[1]) // 2 + 1  # at most so many words
-            if held >= BLOCK_WORDS:
-                break
-        return out
-
-    found = None
-    while held := block():
-        index = spark.sparkContext.broadcast(Index(held))
-
-        def scan(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+    found = docs.sparkSession.createDataFrame([], SCHEMA)
+    for index in indexes(benchmark):
+        known = docs.sparkSession.sparkContext.broadcast(index)
+
+        def scan(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids, texts, out = batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), []
                 for b, e in blocks(texts):
                     best: dict = {}
-                    for t, i, *rest in overlaps(texts[b:e], index.value):
-                        rest = (ids[b + t], int(index.value.ids[i]), *rest)
+                    for t, i, *rest in overlaps(texts[b:e], known.value):
+                        rest = (ids[b + t], int(known.value.ids[i]), *rest)
                         if (t, i) not in best or best[t, i][-1] < rest[-1]:
                             best[t, i] = rest
                     out += best.values()
                 columns = list(zip(*out, strict=True)) or [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [x.split()[0] for x in SCHEMA.split(", ")])
 
-        part = docs.mapInArrow(scan, SCHEMA)
-        found = part if found is None else found.union(part)
-    return spark.createDataFrame([], SCHEMA) if found is None else found
+        found = found.union(docs.mapInArrow(scan, SCHEMA))
+    return found
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``text`` overlaps with no item, all columns kept."""
+    for index in indexes(benchmark):
+        known = docs.sparkSession.sparkContext.broadcast(index)
+
+        @F.pandas_udf("boolean")
+        def clean(texts: pd.Series, known=known) -> pd.Series:
+            texts, out = [(t or "").encode() for t in texts], np.ones(len(texts), bool)
+            for b, e in blocks(texts):
+                for t, *_ in overlaps(texts[b:e], known.value):
+                    out[b + t] = False
+            return pd.Series(out)
+
+        docs = docs.where(clean(F.col("text").cast("string")))
+    return docs
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,5 +128,64 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3) -> DataF
     )
 
 
+def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+    """``docs(doc_id, text)`` to ``(doc_id, shingles)``: the sorted distinct 32-bit hashes
+    of the ``width``-word shingles of each text (of all its words, if it has fewer)."""
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = []
+            for text in as_bytes(batch.column("text")):
+                words = text.lower().split()
+                some = zip(*(words[i:] for i in range(min(width, len(words)))), strict=False) if words else ()
+                sets.append(np.unique(np.fromiter(map(xxhash.xxh32_intdigest, map(b" ".join, some)), "<u4")).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(collect, "doc_id long, shingles binary")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs(a, b)`` of doc_ids whose sets have at least that Jaccard similarity."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = np.zeros(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)):
+                x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                good[i] = shared >= similarity * (len(x) + len(y) - shared)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in ("a", "b")], ["a", "b"])
+
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(judge, "a long, b long")
+
+
+def verified_duplicates(docs: DataFrame, distance: int = 7, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``(doc_id, component_id)`` for every row with a doc_id: the groups that links of
+    verified similarity make, named by their least doc_id.
+
+    Candidates are texts whose SimHash differs by at most ``distance`` bits; a link
+    joins two whose sets of ``width``-word shingles have at least ``similarity``. The
+    candidate graph is verified along the spanning forests of the index, one for each
+    key, not pair by pair. Equal texts are one node; rows that share a doc_id share
+    its fate, and a null text is empty."""
+    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
+    marked = docs.select("doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.reverse("text")).alias("h2"))
+    hashes = marked.select("doc_id", "h1", "h2")
+    node = materialize(hashes.groupBy("h1", "h2").agg(F.min("doc_id").alias("node")))
+    each = materialize(hashes.join(node, ["h1", "h2"]).select("doc_id", "node"))
+    own = each.where("doc_id = node").select("doc_id").distinct()
+    fp = materialize(fingerprints(docs.join(own, "doc_id", "left_semi")).dropDuplicates(["doc_id"]))
+    least = fp.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    same = fp.join(least, "fp").where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
+    far = links(least.select("fp"), distance)
+    ends = far.join(least.toDF("a", "x"), "a").join(least.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    pairs = materialize(same.union(ends).distinct())
+    asked = pairs.select("a").union(pairs.select("b")).distinct().toDF("doc_id")
+    sets = materialize(shingle_sets(docs.join(asked, "doc_id", "left_semi"), width).dropDuplicates(["doc_id"]))
+    found = components(similar(pairs, sets, similarity)).toDF("node", "root")
+    return each.distinct().join(found, "node", "left").select("doc_id", F.coalesce("root", "node").alias("component_id"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
