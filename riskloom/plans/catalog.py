@@ -2,5 +2,20 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..operators import ingest, performance, portfolio, simulate, stats, stress
+from .engine import Plan
+from .views import VIEWS, view
+
+PLANS: dict[str, Plan] = performance.PLANS | stats.PLANS | ingest.PLANS | stress.PLANS | portfolio.PLANS | simulate.PLANS
+
+
+def _query(plan: Plan) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: plan.run(spark, **{k: view(spark, sf_dir, v) for k, v in plan.inputs.items()})
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(plan) for name, plan in PLANS.items()}
+ORACLE_SQL: dict[str, str] = {name: plan.oracle(VIEWS) for name, plan in PLANS.items()}
