@@ -85,7 +85,7 @@ SELECT series_id, trade_idx, CASE WHEN trade_idx >= 19 AND abs(rho) >= CAST(0.35
     "drawdown_periods": Plan(f"WITH {EQUITY}{PERIODS_CTE} SELECT series_id, start_t, end_t, round(depth, 8) AS depth, end_t - start_t AS duration, recovered FROM periods"),
     "time_under_water": Plan(f"WITH {EQUITY}{PERIODS_CTE} SELECT series_id, max(end_t - start_t) AS max_duration, round(coalesce(avg(CASE WHEN recovered = 1 THEN CAST(end_t - start_t AS DOUBLE) END), 0), 6) AS avg_duration, max(CASE WHEN recovered = 0 THEN end_t - start_t ELSE 0 END) AS current_duration, round(CAST(sum(end_t - start_t) AS DOUBLE) / greatest(1, max(last_t)), 8) AS share_under FROM periods GROUP BY series_id"),
     "worst_window": Plan("WITH w AS (SELECT series_id, trade_idx, sum(pnl) OVER (PARTITION BY series_id ORDER BY trade_idx ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS s FROM $trades), r AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY round(s, 6), trade_idx) AS n FROM w WHERE trade_idx >= 9) SELECT series_id, trade_idx - 9 AS start_idx, round(s, 4) AS pnl FROM r WHERE n = 1"),
-    "garch_variance": Plan("""WITH m AS (SELECT series_id, avg(pnl) AS mu, var_samp(pnl) AS v FROM $trades WHERE trade_idx < 60 GROUP BY series_id),
-e AS (SELECT t.series_id, trade_idx, pnl - mu AS e, v FROM $trades t JOIN m ON t.series_id = m.series_id WHERE trade_idx < 60)
-SELECT series_id, trade_idx, round(power(CAST(0.9 AS DOUBLE), trade_idx) * v + power(CAST(0.9 AS DOUBLE), trade_idx - 1) * coalesce(sum(power(CAST(0.9 AS DOUBLE), -trade_idx) * (CAST(0.02 AS DOUBLE) * v + CAST(0.08 AS DOUBLE) * e * e)) OVER (PARTITION BY series_id ORDER BY trade_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 4) AS variance FROM e"""),
+    "garch_variance": Plan("""WITH m AS (SELECT series_id, avg(pnl) AS mu, var_samp(pnl) AS v FROM $trades GROUP BY series_id),
+e AS (SELECT t.series_id, trade_idx, pnl - mu AS e, v FROM $trades t JOIN m ON t.series_id = m.series_id)
+SELECT series_id, trade_idx, round(power(CAST(0.9 AS DOUBLE), trade_idx) * v + power(CAST(0.9 AS DOUBLE), trade_idx - 1) * coalesce(sum(power(CAST(0.9 AS DOUBLE), -trade_idx) * (CAST(0.02 AS DOUBLE) * v + CAST(0.08 AS DOUBLE) * e * e)) OVER (PARTITION BY series_id ORDER BY trade_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 4) AS variance FROM e""", {"trades": "pool"}),
 }
