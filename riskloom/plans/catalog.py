@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import ingest, performance, portfolio, simulate, stats, stress
+from ..operators import ingest, models, performance, portfolio, simulate, stats, stress
 from .engine import Plan
 from .views import VIEWS, view
 
@@ -17,5 +17,17 @@ def _query(plan: Plan) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: plan.run(spark, **{k: view(spark, sf_dir, v) for k, v in plan.inputs.items()})
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(plan) for name, plan in PLANS.items()}
+def _model(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: models.simulate_history(view(spark, sf_dir, "pool"), name, simulate.Config())
+
+
+#: Queries without SQL: numpy kernels with a generator for each path, and fits.
+KERNELS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    **{f"kernel_{name}": _model(name) for name in ("bootstrap", "permutation", "blocks", "regimes", "parametric", "garch")},
+    "kernel_portfolio_copula": lambda spark, sf_dir: models.simulate_portfolio(view(spark, sf_dir, "trades"), simulate.Config(paths=2000)),
+    "kernel_portfolio_student_copula": lambda spark, sf_dir: models.simulate_portfolio(view(spark, sf_dir, "trades"), simulate.Config(paths=500), 5.0),
+    "fit_garch": lambda spark, sf_dir: models.garch_models(view(spark, sf_dir, "trades")),
+    "position_sizing": lambda spark, sf_dir: models.position_size(view(spark, sf_dir, "pool"), simulate.Config(paths=2500)),
+}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(plan) for name, plan in PLANS.items()} | KERNELS
 ORACLE_SQL: dict[str, str] = {name: plan.oracle(VIEWS) for name, plan in PLANS.items()}
