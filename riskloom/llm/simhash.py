@@ -87,11 +87,11 @@ def links(distinct: DataFrame, distance: int = 3) -> DataFrame:
     cuts = [round(i * 64 / count) for i in range(count + 1)]
     keys = []
     for s, (low, high) in enumerate(zip(cuts, cuts[1:], strict=False)):
-        part = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << (high - low)) - 1))
         for i in range(high - low):
-            rest = part.bitwiseAND(F.lit(((1 << (high - low)) - 1) & ~(1 << i)))
-            keys.append(F.xxhash64(F.lit(s * 64 + i), rest) if high - low > 50 else rest + F.lit((s * 64 + i) << 51))
-    # count >= 2 segments keep every key within 51 + 9 bits; one segment (distance < 2) is hashed
+            mask = ((1 << (high - low)) - 1) & ~(1 << i)
+            rest = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
+            # a lone segment leaves no room beside it for the wildcard's place: those keys are hashed
+            keys.append(F.xxhash64(F.lit(i), rest) if count == 1 else rest + F.lit((s * 64 + i) << 51))
     variants = distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
