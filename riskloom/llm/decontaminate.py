@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -155,19 +156,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found
 
 
+def _clean(known: Broadcast):
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        texts, out = [(t or "").encode() for t in texts], np.ones(len(texts), bool)
+        for b, e in blocks(texts):
+            for t, *_ in overlaps(texts[b:e], known.value):
+                out[b + t] = False
+        return pd.Series(out)
+
+    return clean
+
+
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose ``text`` overlaps with no item, all columns kept."""
     for index in indexes(benchmark):
-        known = docs.sparkSession.sparkContext.broadcast(index)
-
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series, known=known) -> pd.Series:
-            texts, out = [(t or "").encode() for t in texts], np.ones(len(texts), bool)
-            for b, e in blocks(texts):
-                for t, *_ in overlaps(texts[b:e], known.value):
-                    out[b + t] = False
-            return pd.Series(out)
-
+        clean = _clean(docs.sparkSession.sparkContext.broadcast(index))
         docs = docs.where(clean(F.col("text").cast("string")))
     return docs
 
