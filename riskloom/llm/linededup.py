@@ -6,7 +6,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ NUMERATOR, DENOMINATOR = 4, 5
 COUNTERS, CHUNKS = 1 << 18, 16
 #: Pairs compared in one step, and partners that a line names at first for each word.
 PAIRS_AT_ONCE, PARTNERS = 1 << 20, 4
+#: Words that lines which look further are sent out with; more are joined instead.
+OPEN_WORDS = 1_000_000
 POSTING = "word long, line_set long, doc_id long, line long, size int, at int, bits0 long, bits1 long"
 EVENT = "line_set long, doc_id long, line long, partner long, partner_doc long, partner_line long, more boolean"
 
@@ -87,7 +91,10 @@ def prefix(size: np.ndarray) -> np.ndarray:
     return size - -(-NUMERATOR * size // DENOMINATOR) + 1
 
 
-def _postings(counts: np.ndarray):
+def _postings(counts: Broadcast, only: Broadcast | None = None):
+    """Rows for the rarest words of each line set of a batch, at its first place; of
+    the words in ``only``, if it is given."""
+
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in POSTING.split(", ")]
         for batch in batches:
@@ -108,16 +115,33 @@ def _postings(counts: np.ndarray):
                 for k in range(2):
                     mine = (m & np.uint64(1)) == k
                     one = np.where(mine, np.uint64(1) << ((m >> np.uint64(8)) & np.uint64(63)), np.uint64(0))
-                    if len(begin):
-                        bits[:, k] = np.bitwise_or.reduceat(one, begin)
+                    if len(begin):  # parities: sets differ by at least as many words as these by bits
+                        bits[:, k] = np.bitwise_xor.reduceat(one, begin)
                 pick = first[owner]
                 columns = [words[begin[pick] + at].view(np.int64), sets[pick], doc_id[pick], line[pick], size[owner].astype(np.int32), at.astype(np.int32), *(bits[pick, k].view(np.int64) for k in range(2))]
+                if only is not None and len(pick):
+                    found = np.minimum(np.searchsorted(only.value, columns[0]), len(only.value) - 1)
+                    use = only.value[found] == columns[0]
+                    columns, pick = [c[use] for c in columns], pick[use]
                 if len(pick):
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
     return post
 
 
+def _rarest_words(sets: DataFrame, counts: Broadcast) -> DataFrame:
+    """The words that the lines of ``sets(words)`` stand under in the index."""
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words in batch.column(0):
+                words = words.values.to_numpy().view(np.uint64)
+                order = np.lexsort((words, counts.value[words & np.uint64(COUNTERS - 1)]))
+                yield pa.RecordBatch.from_arrays([pa.array(words[order[: prefix(np.array(len(words)))]].view(np.int64))], ["word"])
+
+    return sets.select("words").mapInArrow(rarest, "word long").distinct()
+
+
 def _closest(y: np.ndarray, x: np.ndarray, far: np.ndarray, more: np.ndarray, keep: int) -> tuple[np.ndarray, ...]:
     """The ``keep`` nearest x of each y; ``more`` where there were others."""
     order = np.lexsort((x, far, y))
@@ -200,39 +224,55 @@ def _sets_of(places: DataFrame, docs: DataFrame) -> DataFrame:
     return docs.join(wanted, "doc_id").select("text", "wanted").mapInArrow(read, "line_set long, words array<long>")
 
 
+def _judged(events: DataFrame, by_id: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of each line set that ``events`` name partners for: whether one is alike, and
+    whether it had more than were named. With the word sets that decided it."""
+    pairs = events.where("line_set <> partner").groupBy("line_set", "partner").agg(
+        F.min(F.struct("doc_id", "line")).alias("here"), F.min(F.struct("partner_doc", "partner_line")).alias("there"), F.max("more").alias("more")
+    )
+    sides = pairs.select("line_set", "here.doc_id", "here.line").union(pairs.select("partner", "there.partner_doc", "there.partner_line"))
+    sets = materialize(_sets_of(sides.distinct(), by_id).dropDuplicates(["line_set"]))
+    joined = pairs.join(sets, "line_set").join(sets.toDF("partner", "other"), "partner")
+    shared = F.size(F.array_intersect("words", "other"))
+    alike = DENOMINATOR * shared >= NUMERATOR * (F.size("words") + F.size("other") - shared)
+    return materialize(joined.groupBy("line_set").agg(F.max(alike).alias("alike"), F.max("more").alias("more"))), sets
+
+
 def kept_lines(docs: DataFrame) -> DataFrame:
     """``(doc_id, line)`` of the lines of ``docs`` that have words and match no
-    earlier line (by doc_id, then position)."""
+    earlier line (by doc_id, then position).
+
+    Each line set is held against its PARTNERS nearest candidates under each word
+    first. Sets that had more, none of the first alike, look further: only the index
+    entries of their own words are made again for them."""
     counts = docs.sparkSession.sparkContext.broadcast(rarity(docs))
-    by_id = docs.repartition("doc_id")
-    keep, matched, open_sets = PARTNERS, None, None
-    while True:
-        postings = docs.mapInArrow(_postings(counts), POSTING)
-        met = postings.repartition("word").sortWithinPartitions("word").mapInArrow(_meet(keep), EVENT)
-        if open_sets is not None:
-            met = met.join(open_sets, "line_set", "left_semi")
-        events = materialize(met)
-        pairs = events.where("line_set <> partner").groupBy("line_set", "partner").agg(F.min(F.struct("doc_id", "line")).alias("here"), F.min(F.struct("partner_doc", "partner_line")).alias("there"), F.max("more").alias("more"))
-        sides = pairs.select("line_set", "here.doc_id", "here.line").union(pairs.select("partner", "there.partner_doc", "there.partner_line"))
-        sets = materialize(_sets_of(sides.distinct(), by_id).dropDuplicates(["line_set"]))
-        joined = pairs.join(sets, "line_set").join(sets.toDF("partner", "other"), "partner")
-        shared = F.size(F.array_intersect("words", "other"))
-        alike = DENOMINATOR * shared >= NUMERATOR * (F.size("words") + F.size("other") - shared)
-        judged = materialize(joined.groupBy("line_set").agg(F.max(alike).alias("alike"), F.max("more").alias("more")))
-        now = judged.where("alike").select("line_set")
-        matched = now if matched is None else matched.union(now)
-        if open_sets is None:
-            places = events.where("line_set = partner").groupBy("line_set").agg(F.min(F.struct("doc_id", "line")).alias("first"))
-        open_sets = judged.where("not alike and more").select("line_set")
-        if open_sets.isEmpty():
-            break
-        keep *= 64  # lines whose nearest partners all failed and that have others look further
+    by_id, keep = docs.repartition("doc_id"), PARTNERS
+
+    def met(postings: DataFrame) -> DataFrame:
+        return postings.repartition("word").sortWithinPartitions("word").mapInArrow(_meet(keep), EVENT)
+
+    events = materialize(met(docs.mapInArrow(_postings(counts), POSTING)))
+    places = events.where("line_set = partner").groupBy("line_set").agg(F.min(F.struct("doc_id", "line")).alias("first"))
+    judged, sets = _judged(events, by_id)
+    matched = judged.where("alike").select("line_set")
+    while not (still := judged.where("not alike and more").select("line_set")).isEmpty():
+        keep *= 64
+        words = materialize(_rarest_words(sets.join(still, "line_set", "left_semi"), counts))
+        if words.count() <= OPEN_WORDS:
+            only = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([row[0] for row in words.collect()], np.int64)))
+            postings = docs.mapInArrow(_postings(counts, only), POSTING)
+        else:
+            postings = docs.mapInArrow(_postings(counts), POSTING).join(words, "word", "left_semi")
+        events = met(postings).where("line_set <> partner").join(still, "line_set", "left_semi")
+        judged, sets = _judged(materialize(events), by_id)
+        matched = matched.union(judged.where("alike").select("line_set"))
     return places.join(matched.distinct(), "line_set", "left_anti").select("first.doc_id", "first.line")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """``docs(doc_id, text)`` without the lines that match an earlier one: doc_id,
-    text (what is left), n_lines, n_removed; every row stays.
+    text (what is left), n_lines, n_removed, and the columns to ``carry`` as a struct
+    ``carried`` (so no name can clash); every row stays.
 
     Two lines match if the Jaccard similarity of their word sets is at least
     NUMERATOR / DENOMINATOR, judged on the input, whether or not the earlier line
@@ -240,24 +280,24 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     nothing and stay. A null text stays null and has no lines. Rows that share a
     doc_id count as one place: the same line number in them is not a repeat.
     Rows with a null doc_id are kept as they are and matched with nothing."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    known = docs.where("doc_id is not null and text is not null")
+    extra = [F.struct(*carry).alias("carried")] if carry else []
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *extra)
+    known = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     kept = kept_lines(known).groupBy("doc_id").agg(F.collect_list("line").alias("kept"))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out, n, removed = [], [], []
-            for doc_id, text, kept in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("kept").to_pylist(), strict=True):
-                lines = [] if text is None else text.split("\n")
-                stay = set(kept or ())
-                left = [x for i, x in enumerate(lines) if i in stay or doc_id is None or not x.encode().split()]
-                out.append(None if text is None else "\n".join(left))
-                n.append(len(lines))
-                removed.append(len(lines) - len(left))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64())], ["doc_id", "text", "n_lines", "n_removed"])
+    @F.pandas_udf("text string, n_lines long, n_removed long")
+    def cut(whole: pd.Series, text: pd.Series, kept: pd.Series) -> pd.DataFrame:
+        rows = []
+        for whole, text, kept in zip(whole, text, kept, strict=True):
+            lines = [] if text is None else text.split("\n")
+            stay = set(kept if kept is not None else ())
+            left = [x for i, x in enumerate(lines) if i in stay or whole or not x.encode().split()]
+            rows.append((None if text is None else "\n".join(left), len(lines), len(lines) - len(left)))
+        return pd.DataFrame(rows, columns=["text", "n_lines", "n_removed"])
 
     joined = docs.repartition("doc_id").join(kept, "doc_id", "left")
-    return joined.select("doc_id", "text", "kept").mapInArrow(cut, "doc_id long, text string, n_lines long, n_removed long")
+    out = joined.withColumn("cut", cut(F.isnull("doc_id"), "text", "kept"))
+    return out.select("doc_id", "cut.*", *(["carried"] if carry else []))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
