@@ -20,7 +20,8 @@ NUMERATOR, DENOMINATOR = 4, 5
 COUNTERS, CHUNKS = 1 << 18, 16
 #: Pairs compared in one step, and partners that a line names at first for each word.
 PAIRS_AT_ONCE, PARTNERS = 1 << 20, 4
-#: Words that lines which look further are sent out with; more are joined instead.
+#: Lines that look further, and words they stand under, that are sent out; more are
+#: joined instead.
 OPEN_WORDS = 1_000_000
 POSTING = "word long, line_set long, doc_id long, line long, size int, at int, bits0 long, bits1 long"
 EVENT = "line_set long, doc_id long, line long, partner long, partner_doc long, partner_line long, more boolean"
@@ -153,9 +154,10 @@ def _closest(y: np.ndarray, x: np.ndarray, far: np.ndarray, more: np.ndarray, ke
     return y[kept], x[kept], far[kept], over[kept]
 
 
-def _meet(keep: int):
+def _meet(keep: int, still: Broadcast | None = None):
     """For the postings of each word: the places of line sets (at their rarest word),
-    and for each set the nearest earlier ones that the filters leave."""
+    and for each set the nearest earlier ones that the filters leave. With ``still``
+    only for the sets in it, without places."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in EVENT.split(", ")]
@@ -176,6 +178,7 @@ def _meet(keep: int):
             count = np.arange(len(sets)) - low
             total = np.concatenate(([0], np.cumsum(count)))
             best = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool)]
+            asks = np.ones(len(sets), bool) if still is None else still.value[np.minimum(np.searchsorted(still.value, sets), len(still.value) - 1)] == sets
             i = 0
             while i < len(sets):
                 j = max(i + 1, int(np.searchsorted(total, total[i] + PAIRS_AT_ONCE, "right")) - 1)
@@ -193,11 +196,14 @@ def _meet(keep: int):
                     ok = (possible >= needed) & (far <= size[p] + size[q] - 2 * needed)
                     p, q, far = p[ok], q[ok], far[ok]
                     later = place[p] > place[q]
-                    found.append([np.where(later, p, q), np.where(later, q, p), far, np.zeros(len(p), bool)])
+                    y, x = np.where(later, p, q), np.where(later, q, p)
+                    use = asks[y]
+                    found.append([y[use], x[use], far[use], np.zeros(int(use.sum()), bool)])
                 best = list(_closest(*(np.concatenate(c) for c in zip(*found, strict=True)), keep))
                 i = j
             y, x, _, more = best
-            y, x, more = (np.concatenate(c) for c in ((np.flatnonzero(at == 0), y), (np.flatnonzero(at == 0), x), (np.zeros((at == 0).sum(), bool), more)))
+            first = np.flatnonzero(at == 0) if still is None else np.zeros(0, np.int64)
+            y, x, more = (np.concatenate(c) for c in ((first, y), (first, x), (np.zeros(len(first), bool), more)))
             columns = [sets[y], doc[y], line[y], sets[x], doc[x], line[x], more]
             if len(y):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
@@ -208,18 +214,23 @@ def _meet(keep: int):
 def _sets_of(places: DataFrame, docs: DataFrame) -> DataFrame:
     """``places(line_set, doc_id, line)`` to ``(line_set, words)``, read from the texts."""
     wanted = places.groupBy("doc_id").agg(F.collect_set(F.struct("line", "line_set")).alias("wanted"))
+    nothing = np.zeros(COUNTERS, np.uint8)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets, words = [], []
+            asked, lines = [], []
             for text, wanted in zip(as_bytes(batch.column("text")), batch.column("wanted").to_pylist(), strict=True):
-                lines, ask = text.split(b"\n"), {w["line"]: w["line_set"] for w in wanted}
-                for line in (x for x in ask if x < len(lines)):
-                    found = np.unique(line_words([lines[line]])[0])
-                    if set_ids(found, np.zeros(1, np.int64), np.array([len(found)]))[0] == ask[line]:
-                        sets.append(ask[line])
-                        words.append(found.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.int64()), pa.array(words, pa.list_(pa.int64()))], ["line_set", "words"])
+                own = text.split(b"\n")
+                for w in wanted:
+                    if w["line"] < len(own):
+                        asked.append(w["line_set"])
+                        lines.append(own[w["line"]])
+            for b, e in blocks(lines):
+                words, line, _ = line_words(lines[b:e])
+                words, begin, end, number, sets = word_sets(words, line, nothing)
+                right = np.array(asked[b:e], np.int64)[number] == sets
+                found = pa.LargeListArray.from_arrays(np.concatenate((begin, end[-1:])), words.view(np.int64)).cast(pa.list_(pa.int64())) if len(begin) else pa.array([], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(sets), found], ["line_set", "words"]).filter(pa.array(right))
 
     return docs.join(wanted, "doc_id").select("text", "wanted").mapInArrow(read, "line_set long, words array<long>")
 
@@ -248,22 +259,24 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     counts = docs.sparkSession.sparkContext.broadcast(rarity(docs))
     by_id, keep = docs.repartition("doc_id"), PARTNERS
 
-    def met(postings: DataFrame) -> DataFrame:
-        return postings.repartition("word").sortWithinPartitions("word").mapInArrow(_meet(keep), EVENT)
+    def met(postings: DataFrame, still: Broadcast | None = None) -> DataFrame:
+        return postings.repartition("word").sortWithinPartitions("word").mapInArrow(_meet(keep, still), EVENT)
+
+    def sent(values: DataFrame) -> Broadcast:
+        return docs.sparkSession.sparkContext.broadcast(np.sort(np.array([row[0] for row in values.collect()], np.int64)))
 
     events = materialize(met(docs.mapInArrow(_postings(counts), POSTING)))
     places = events.where("line_set = partner").groupBy("line_set").agg(F.min(F.struct("doc_id", "line")).alias("first"))
     judged, sets = _judged(events, by_id)
     matched = judged.where("alike").select("line_set")
-    while not (still := judged.where("not alike and more").select("line_set")).isEmpty():
-        keep *= 64
+    while n := (still := judged.where("not alike and more").select("line_set")).count():
+        keep *= 16
         words = materialize(_rarest_words(sets.join(still, "line_set", "left_semi"), counts))
-        if words.count() <= OPEN_WORDS:
-            only = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([row[0] for row in words.collect()], np.int64)))
-            postings = docs.mapInArrow(_postings(counts, only), POSTING)
+        if max(n, words.count()) <= OPEN_WORDS:
+            events = met(docs.mapInArrow(_postings(counts, sent(words)), POSTING), sent(still))
         else:
             postings = docs.mapInArrow(_postings(counts), POSTING).join(words, "word", "left_semi")
-        events = met(postings).where("line_set <> partner").join(still, "line_set", "left_semi")
+            events = met(postings).where("line_set <> partner").join(still, "line_set", "left_semi")
         judged, sets = _judged(materialize(events), by_id)
         matched = matched.union(judged.where("alike").select("line_set"))
     return places.join(matched.distinct(), "line_set", "left_anti").select("first.doc_id", "first.line")

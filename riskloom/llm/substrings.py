@@ -20,8 +20,8 @@ from .common import BASE, BASE_INVERSE, as_bytes, blocks, materialize, mix, powe
 #: Bytes that a repeat has at least, bytes of an anchor, and anchors in a window.
 LENGTH, GRAM = 100, 32
 WINDOW = LENGTH - GRAM + 1
-#: Bytes of text in one suffix array.
-SHARD_BYTES = 1 << 21
+#: Bytes of text in one suffix array, and windows looked up in earlier shards at once.
+SHARD_BYTES, ROWS_AT_ONCE = 1 << 20, 1 << 16
 ANCHOR = "key long, around long, doc_id long, at long, known boolean"
 
 
@@ -204,10 +204,10 @@ def among(sorted_rows: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return found
 
 
-def repeats_in(texts: list[bytes], doc: np.ndarray, at: np.ndarray, earlier: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+def repeats_in(texts: list[bytes], doc: np.ndarray, at: np.ndarray, earlier: list[np.ndarray], keep: bool) -> tuple[np.ndarray, ...]:
     """Spans (doc, begin, end) of the pieces ``texts`` (from ``doc`` at ``at``) covered
     by LENGTH bytes that also start earlier in a piece, or are ``among`` the rows of
-    an earlier shard; and this shard's own rows, sorted."""
+    an earlier shard; and, to ``keep``, this shard's own rows, sorted."""
     sizes = np.array([len(x) for x in texts])
     codes = np.zeros(int(sizes.sum()) + len(texts), np.int16)
     begin = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
@@ -228,17 +228,22 @@ def repeats_in(texts: list[bytes], doc: np.ndarray, at: np.ndarray, earlier: lis
     new[1:] = group[1:] != group[:-1]
     first = np.maximum.accumulate(np.where(new, np.arange(len(group)), 0)) if len(group) else np.zeros(0, np.int64)
     repeat = (doc[owner] != doc[owner[first]]) | (start != start[first])
-    own = _rows(flat, place[new]) if len(place) else np.zeros((0, 1), np.uint64)
-    for rows in earlier:
-        found = np.zeros(len(group), bool)
-        found[new] = among(rows, own)
+    own = []
+    if earlier or keep:
+        distinct, found = place[new], np.zeros(len(group), bool)
+        seen = []
+        for i in range(0, len(distinct), ROWS_AT_ONCE):
+            rows = _rows(flat, distinct[i : i + ROWS_AT_ONCE])
+            seen.append(np.any([among(x, rows) for x in earlier], axis=0) if earlier else np.zeros(len(rows), bool))
+            own += [rows] if keep else []
+        found[new] = np.concatenate(seen) if seen else False
         repeat |= found[first]
     marked = np.zeros(len(codes) + 1, bool)
     marked[place[repeat]] = True
     low, high = spans(marked)
     piece = np.searchsorted(begin, low, "right") - 1
     shift = at[piece] - begin[piece]
-    return doc[piece], low + shift, high + shift + LENGTH - 1, own
+    return doc[piece], low + shift, high + shift + LENGTH - 1, np.concatenate(own) if own else None
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,8 +251,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for one shard is cut between documents, and each shard is looked up in those
     before it."""
 
-    def shard(rows: dict, earlier: list) -> tuple[pa.RecordBatch, np.ndarray]:
-        *columns, own = repeats_in(rows["piece"], np.array(rows["doc_id"]), np.array(rows["begin"]), earlier)
+    def shard(rows: dict, earlier: list, keep: bool = False) -> tuple[pa.RecordBatch, np.ndarray | None]:
+        *columns, own = repeats_in(rows["piece"], np.array(rows["doc_id"]), np.array(rows["begin"]), earlier, keep)
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc_id", "begin", "end"]), own
 
     def empty() -> dict:
@@ -267,9 +272,9 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     held = {k: v[own_from:] for k, v in held.items()}
                     size, own_from = sum(map(len, held["piece"])), 0
                 if size >= SHARD_BYTES:
-                    out, own = shard(held, earlier)
+                    out, own = shard(held, earlier, keep=True)
                     yield out
-                    earlier.append(own)
+                    earlier += [own] if own is not None else []
                     held, size = empty(), 0
             held["piece"].append(piece)
             held["doc_id"].append(doc)
