@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: Odd multiplier of the polynomial hash, its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
+#: Each byte with ASCII capitals made small.
+SMALL = bytes(range(256)).lower()
 #: Text bytes that one vectorised step holds; about 40 bytes of scratch each.
 BLOCK_BYTES = 1 << 20
 
@@ -86,13 +88,13 @@ def powers(base: int, n: int) -> np.ndarray:
 
 def spans(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of True."""
-    edge = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    return edge[::2], edge[1::2]
 
 
 def lowered(buf: np.ndarray) -> np.ndarray:
     """ASCII capitals made small, all other bytes kept."""
-    return np.where((buf >= 65) & (buf <= 90), buf + 32, buf).astype(np.uint8)
+    return np.frombuffer(buf.tobytes().translate(SMALL), np.uint8)
 
 
 def word_hashes(buf: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:

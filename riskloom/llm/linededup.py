@@ -35,7 +35,9 @@ def line_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     begin, end = spans(~is_space(buf))
     newline = np.flatnonzero(buf == 10)
     starts = np.cumsum([0, *(len(x) + 1 for x in texts)])
-    return word_hashes(buf, begin, end), np.searchsorted(newline, begin), np.searchsorted(newline, starts - 1, "left") + (starts > 0)
+    words_before = np.concatenate(([0], np.searchsorted(begin, newline), [len(begin)]))
+    line = np.repeat(np.arange(len(newline) + 1), np.diff(words_before))
+    return word_hashes(buf, begin, end), line, np.searchsorted(newline, starts - 1, "left") + (starts > 0)
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
@@ -92,16 +94,31 @@ def prefix(size: np.ndarray) -> np.ndarray:
     return size - -(-NUMERATOR * size // DENOMINATOR) + 1
 
 
+def _within(known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which ``values`` are among the sorted ones ``known`` (one at least)."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def _postings(counts: Broadcast, only: Broadcast | None = None):
     """Rows for the rarest words of each line set of a batch, at its first place; of
-    the words in ``only``, if it is given."""
+    the words in ``only``, if it is given, so that lines without one are left out
+    before anything is sorted."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in POSTING.split(", ")]
+        if only is not None:
+            listed = np.zeros(COUNTERS, bool)
+            listed[only.value.view(np.uint64) & np.uint64(COUNTERS - 1)] = True
         for batch in batches:
             ids, texts = batch.column("doc_id").to_numpy(zero_copy_only=False), as_bytes(batch.column("text"))
             for b, e in blocks(texts):
                 words, lines, starts = line_words(texts[b:e])
+                if only is not None:
+                    near = np.flatnonzero(listed[words & np.uint64(COUNTERS - 1)])
+                    use = np.zeros(starts[-1] + 1, bool)
+                    use[lines[near[_within(only.value, words[near].view(np.int64))]]] = True
+                    use = use[lines]
+                    words, lines = words[use], lines[use]
                 words, begin, end, number, sets = word_sets(words, lines, counts.value)
                 doc = np.searchsorted(starts, number, "right") - 1
                 line, doc_id = number - starts[doc], ids[b:e][doc].astype(np.int64)
@@ -121,8 +138,7 @@ def _postings(counts: Broadcast, only: Broadcast | None = None):
                 pick = first[owner]
                 columns = [words[begin[pick] + at].view(np.int64), sets[pick], doc_id[pick], line[pick], size[owner].astype(np.int32), at.astype(np.int32), *(bits[pick, k].view(np.int64) for k in range(2))]
                 if only is not None and len(pick):
-                    found = np.minimum(np.searchsorted(only.value, columns[0]), len(only.value) - 1)
-                    use = only.value[found] == columns[0]
+                    use = _within(only.value, columns[0])
                     columns, pick = [c[use] for c in columns], pick[use]
                 if len(pick):
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
@@ -178,7 +194,7 @@ def _meet(keep: int, still: Broadcast | None = None):
             count = np.arange(len(sets)) - low
             total = np.concatenate(([0], np.cumsum(count)))
             best = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool)]
-            asks = np.ones(len(sets), bool) if still is None else still.value[np.minimum(np.searchsorted(still.value, sets), len(still.value) - 1)] == sets
+            asks = np.ones(len(sets), bool) if still is None else _within(still.value, sets)
             i = 0
             while i < len(sets):
                 j = max(i + 1, int(np.searchsorted(total, total[i] + PAIRS_AT_ONCE, "right")) - 1)
