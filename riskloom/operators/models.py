@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .simulate import SUMMARY, Config, block_bootstrap, bootstrap, copula, garch, parametric, permutation, regime_switching, simulate
+from .simulate import DRAWS_AT_ONCE, SUMMARY, Config, Kernel, block_bootstrap, bootstrap, copula, garch, parametric, paths_of, permutation, regime_switching, simulate
 
+#: Tasks that share the paths of one series.
+PARTS = 16
 GRID_ALPHA = np.round(np.arange(0.02, 0.20, 0.02), 4)
 GRID_BETA = np.round(np.arange(0.70, 0.98, 0.03), 4)
 
@@ -57,12 +59,6 @@ def garch_models(trades: DataFrame) -> DataFrame:
     return trades.select("series_id", "trade_idx", "pnl").groupBy("series_id").applyInPandas(fit_garch, schema)
 
 
-def history(trades: DataFrame) -> pd.DataFrame:
-    """One series in order. A model's history is what a strategy has traded; it goes
-    to the driver because every path draws from all of it."""
-    return trades.orderBy("trade_idx").select("trade_idx", "pnl", "regime").toPandas()
-
-
 def transition_matrix(labels: list[str], order: list[str]) -> np.ndarray:
     at = {r: i for i, r in enumerate(order)}
     counts = np.zeros((len(order), len(order)))
@@ -72,56 +68,72 @@ def transition_matrix(labels: list[str], order: list[str]) -> np.ndarray:
     return np.where(sums > 0, counts / np.maximum(sums, 1), 1 / len(order))
 
 
-def simulate_history(trades: DataFrame, model: str, config: Config) -> DataFrame:
-    """Reduced paths of one series under ``model``: bootstrap, permutation, blocks,
-    regimes, parametric or garch."""
-    past = history(trades)
+def _kernel(past: pd.DataFrame, model: str) -> Kernel:
     pool = past["pnl"].to_numpy(float)
     if model == "regimes":
         order = list(dict.fromkeys(past["regime"]))
         pools = {r: pool[(past["regime"] == r).to_numpy()] for r in order}
-        kernel = regime_switching(pools, transition_matrix(past["regime"].tolist(), order))
-    elif model == "garch":
-        fit = fit_garch(past.assign(series_id="one")).iloc[0]
-        kernel = garch(fit.omega, fit.alpha, fit.beta, fit.mu)
-    else:
-        kernel = {"bootstrap": lambda: bootstrap(pool), "permutation": lambda: permutation(pool), "blocks": lambda: block_bootstrap(pool, 5), "parametric": lambda: parametric(pool.mean(), pool.std(), None)}[model]()
-    return simulate(trades.sparkSession, kernel, config)
+        return regime_switching(pools, transition_matrix(past["regime"].tolist(), order))
+    return {"bootstrap": lambda: bootstrap(pool), "permutation": lambda: permutation(pool), "blocks": lambda: block_bootstrap(pool, 5), "parametric": lambda: parametric(pool.mean(), pool.std(), None)}[model]()
+
+
+def simulate_history(trades: DataFrame, model: str, config: Config) -> DataFrame:
+    """Reduced paths of each series under ``model``: bootstrap, permutation, blocks,
+    regimes, parametric or garch; as long as the series, unless ``config`` names the
+    steps. Tasks hold one series and some path ids; nothing goes through the driver."""
+    rows = garch_models(trades) if model == "garch" else trades.select("series_id", "trade_idx", "pnl", "regime")
+    parts = min(PARTS, config.paths)
+
+    def run(key: tuple, past: pd.DataFrame) -> pd.DataFrame:
+        series, part = key
+        if model == "garch":
+            fit = past.iloc[0]
+            kernel, n = garch(fit.omega, fit.alpha, fit.beta, fit.mu), int(fit.n)
+        else:
+            past = past.sort_values("trade_idx")
+            kernel, n = _kernel(past, model), len(past)
+        out = pd.concat(paths_of(np.arange(part, config.paths, parts), kernel, replace(config, steps=config.steps or n)))
+        return out.assign(series_id=series)
+
+    each = trades.sparkSession.range(parts).withColumnRenamed("id", "part")
+    return rows.crossJoin(F.broadcast(each)).groupBy("series_id", "part").applyInPandas(run, f"series_id string, {SUMMARY}")
 
 
 def simulate_portfolio(trades: DataFrame, config: Config, df: float | None = None) -> DataFrame:
-    """Reduced paths of all series together, equally weighted, under a copula."""
+    """Reduced paths of all series together, equally weighted, under a copula; as long as
+    the longest series, unless ``config`` names the steps."""
     wide = trades.groupBy("trade_idx").pivot("series_id").agg(F.first("pnl")).orderBy("trade_idx").drop("trade_idx").toPandas()
     filled = wide.fillna(0.0).to_numpy(float)
     matrix = np.nan_to_num(np.corrcoef(filled.T))
     np.fill_diagonal(matrix, 1.0)
     pools = [wide[c].dropna().to_numpy(float) for c in wide]
-    return simulate(trades.sparkSession, copula(pools, matrix, np.full(len(pools), 1 / len(pools)), df), config)
+    return simulate(trades.sparkSession, copula(pools, matrix, np.full(len(pools), 1 / len(pools)), df), replace(config, steps=config.steps or len(wide)))
 
 
 def position_size(trades: DataFrame, config: Config, scales: tuple[float, ...] = (0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)) -> DataFrame:
-    """Risk of the history at each scale, all from one job: ruin below 2 %, CVaR95 at
+    """Risk of each series at each scale, all from one job: ruin below 2 %, CVaR95 at
     least -0.3 of the capital, spread below 1.5 times the mean. The largest scale that
     passes, with all below it, is the size to trade."""
-    pool = history(trades)["pnl"].to_numpy(float)
     n, floor = config.paths, config.capital * (1 - config.ruin_percent / 100)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for i in frame["id"]:
-                scale = scales[int(i)]
-                rng = np.random.Generator(np.random.Philox(key=[config.seed, 7]))
-                end, ruined = [], []
-                for at in range(0, n, 1024):
-                    paths = config.capital + np.cumsum(scale * pool[rng.integers(0, len(pool), (min(1024, n - at), config.steps))], axis=1)
-                    end.append(paths[:, -1] - config.capital)
-                    ruined.append((paths <= floor).any(1))
-                end, ruined = np.sort(np.concatenate(end)), np.concatenate(ruined)
-                tail = end[: max(1, int(n * (1 - 0.95)))].mean()
-                good = ruined.mean() < 0.02 and tail >= -0.3 * config.capital and end.std(ddof=1) < 1.5 * max(abs(end.mean()), 1)
-                yield pd.DataFrame([{"scale": scale, "ruin_percent": 100 * ruined.mean(), "cvar95": tail, "mean": end.mean(), "std": end.std(ddof=1), "passes": bool(good)}])
-
-    return trades.sparkSession.range(len(scales)).repartition(len(scales)).mapInPandas(run, "scale double, ruin_percent double, cvar95 double, mean double, std double, passes boolean")
+    def run(key: tuple, past: pd.DataFrame) -> pd.DataFrame:
+        series, scale = key
+        pool = past.sort_values("trade_idx")["pnl"].to_numpy(float)
+        steps = config.steps or len(pool)
+        size = max(1, min(1024, DRAWS_AT_ONCE // steps))
+        rng = np.random.Generator(np.random.Philox(key=[config.seed, 7]))
+        end, ruined = [], []
+        for at in range(0, n, size):
+            paths = config.capital + np.cumsum(scale * pool[rng.integers(0, len(pool), (min(size, n - at), steps))], axis=1)
+            end.append(paths[:, -1] - config.capital)
+            ruined.append((paths <= floor).any(1))
+        end, ruined = np.sort(np.concatenate(end)), np.concatenate(ruined)
+        tail = end[: max(1, int(n * (1 - 0.95)))].mean()
+        good = ruined.mean() < 0.02 and tail >= -0.3 * config.capital and end.std(ddof=1) < 1.5 * max(abs(end.mean()), 1)
+        return pd.DataFrame([{"series_id": series, "scale": scale, "ruin_percent": 100 * ruined.mean(), "cvar95": tail, "mean": end.mean(), "std": end.std(ddof=1), "passes": bool(good)}])
+
+    each = trades.sparkSession.createDataFrame([(float(x),) for x in scales], "scale double")
+    return trades.select("series_id", "trade_idx", "pnl").crossJoin(F.broadcast(each)).groupBy("series_id", "scale").applyInPandas(run, "series_id string, scale double, ruin_percent double, cvar95 double, mean double, std double, passes boolean")
 
 
 __all__ = ["SUMMARY", "garch_models", "position_size", "simulate_history", "simulate_portfolio"]

@@ -64,11 +64,13 @@ PERIODS_CTE = """, mark AS (
 )"""
 
 WINDOW, THRESHOLD = 20, 50
+#: Rows of a block of the variance recursion, and blocks back to which a weight is above 0: 0.9^7168 is 0 in a double.
+BLOCK, BLOCKS = 512, 15
 
 PLANS = {
     "historical_stats": Plan(stats()),
     "historical_stats_by_regime": Plan(stats("series_id, regime"), {"trades": "single"}),
-    "preview_stats": Plan(stats(), {"trades": "pool"}),
+    "preview_stats": Plan(stats()),
     "equity_curve": Plan(f"WITH {EQUITY} SELECT series_id, t, round(equity, 4) AS equity FROM pk"),
     "running_drawdown": Plan(f"WITH {EQUITY} SELECT series_id, t, round(peak, 4) AS peak, round(CASE WHEN peak > 0 THEN (peak - equity) / peak ELSE 0 END, 8) AS drawdown, round(least(CAST(1 AS DOUBLE), (peak - equity) / greatest(peak, CAST('1e-8' AS DOUBLE))), 8) AS capped FROM pk"),
     "equity_curve_multiplicative": Plan("WITH g AS (SELECT series_id, trade_idx, sum(ln(1 + pnl / CAST(100000 AS DOUBLE))) OVER (PARTITION BY series_id ORDER BY trade_idx ROWS UNBOUNDED PRECEDING) AS l FROM $trades) SELECT series_id, trade_idx + 1 AS t, round(CAST(10000 AS DOUBLE) * exp(l), 4) AS equity FROM g"),
@@ -85,7 +87,12 @@ SELECT series_id, trade_idx, CASE WHEN trade_idx >= 19 AND abs(rho) >= CAST(0.35
     "drawdown_periods": Plan(f"WITH {EQUITY}{PERIODS_CTE} SELECT series_id, start_t, end_t, round(depth, 8) AS depth, end_t - start_t AS duration, recovered FROM periods"),
     "time_under_water": Plan(f"WITH {EQUITY}{PERIODS_CTE} SELECT series_id, max(end_t - start_t) AS max_duration, round(coalesce(avg(CASE WHEN recovered = 1 THEN CAST(end_t - start_t AS DOUBLE) END), 0), 6) AS avg_duration, max(CASE WHEN recovered = 0 THEN end_t - start_t ELSE 0 END) AS current_duration, round(CAST(sum(end_t - start_t) AS DOUBLE) / greatest(1, max(last_t)), 8) AS share_under FROM periods GROUP BY series_id"),
     "worst_window": Plan("WITH w AS (SELECT series_id, trade_idx, sum(pnl) OVER (PARTITION BY series_id ORDER BY trade_idx ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS s FROM $trades), r AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY round(s, 6), trade_idx) AS n FROM w WHERE trade_idx >= 9) SELECT series_id, trade_idx - 9 AS start_idx, round(s, 4) AS pnl FROM r WHERE n = 1"),
-    "garch_variance": Plan("""WITH m AS (SELECT series_id, avg(pnl) AS mu, var_samp(pnl) AS v FROM $trades GROUP BY series_id),
-e AS (SELECT t.series_id, trade_idx, pnl - mu AS e, v FROM $trades t JOIN m ON t.series_id = m.series_id)
-SELECT series_id, trade_idx, round(power(CAST(0.9 AS DOUBLE), trade_idx) * v + power(CAST(0.9 AS DOUBLE), trade_idx - 1) * coalesce(sum(power(CAST(0.9 AS DOUBLE), -trade_idx) * (CAST(0.02 AS DOUBLE) * v + CAST(0.08 AS DOUBLE) * e * e)) OVER (PARTITION BY series_id ORDER BY trade_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 4) AS variance FROM e""", {"trades": "pool"}),
+    "garch_variance": Plan(f"""WITH m AS (SELECT series_id, avg(pnl) AS mu, var_samp(pnl) AS v FROM $trades GROUP BY series_id),
+e AS (SELECT t.series_id, trade_idx, trade_idx % {BLOCK} AS p, trade_idx - trade_idx % {BLOCK} AS b0, v, CAST(0.02 AS DOUBLE) * v + CAST(0.08 AS DOUBLE) * (pnl - mu) * (pnl - mu) AS c FROM $trades t JOIN m ON t.series_id = m.series_id),
+bl AS (SELECT series_id, b0, sum(power(CAST(0.9 AS DOUBLE), {BLOCK} - 1 - p) * c) AS s FROM e GROUP BY series_id, b0),
+k AS (SELECT CAST(column0 AS BIGINT) AS k FROM (VALUES {", ".join(f"({i})" for i in range(1, BLOCKS + 1))}) AS x(column0)),
+lk AS (SELECT bl.series_id, b0, b0 - {BLOCK} * k AS b1 FROM bl CROSS JOIN k),
+ca AS (SELECT lk.series_id, lk.b0, sum(power(CAST(0.9 AS DOUBLE), lk.b0 - {BLOCK} - lk.b1) * s) AS h FROM lk JOIN bl ON bl.series_id = lk.series_id AND bl.b0 = lk.b1 GROUP BY lk.series_id, lk.b0),
+w AS (SELECT series_id, trade_idx, p, b0, v, coalesce(sum(power(CAST(0.9 AS DOUBLE), -p) * c) OVER (PARTITION BY series_id, b0 ORDER BY trade_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM e)
+SELECT w.series_id, trade_idx, round(power(CAST(0.9 AS DOUBLE), trade_idx) * v + power(CAST(0.9 AS DOUBLE), p) * coalesce(h, 0) + power(CAST(0.9 AS DOUBLE), p - 1) * s, 4) AS variance FROM w LEFT JOIN ca ON ca.series_id = w.series_id AND ca.b0 = w.b0"""),
 }

@@ -14,7 +14,7 @@ from ..plans.engine import SPARK, Plan, numbers, xor
 from .performance import CAPITAL
 from .portfolio import cholesky, repaired
 
-SEED, PATHS, STEPS, RUIN_PERCENT = 42, 200, 127, 50
+SEED, PATHS, RUIN_PERCENT = 42, 200, 50
 MASK = 4294967295
 LEVEL = f"(CAST({CAPITAL} AS DOUBLE) * (1 - CAST({RUIN_PERCENT} AS DOUBLE) / 100))"
 
@@ -28,7 +28,7 @@ def uniform(d: str, source: str, k: str, keep: str) -> str:
     def product(a: str, b: str) -> str:  # its low 32 bits, without passing 63
         return f"(({a} * ({b} & 65535) + ((({a} * ({shift(b, 16)} & 65535)) & 65535) * 65536)) & {MASK})"
 
-    return f"""r0 AS (SELECT {keep}, ({SEED} + ({k}) * CAST(1831565813 AS BIGINT)) & {MASK} AS a0 FROM {source}),
+    return f"""r0 AS (SELECT {keep}, ({SEED} + (({k}) & {MASK}) * CAST(1831565813 AS BIGINT)) & {MASK} AS a0 FROM {source}),
 r1 AS (SELECT {keep}, {xor(d, "a0", shift("a0", 15))} AS x0, (a0 | 1) AS y0 FROM r0),
 r2 AS (SELECT {keep}, {product("x0", "y0")} AS h FROM r1),
 r3 AS (SELECT {keep}, h, {xor(d, "h", shift("h", 7))} AS x0, (h | 61) AS y0 FROM r2),
@@ -37,30 +37,32 @@ r5 AS (SELECT {keep}, {xor(d, "h", shift("h", 14))} / CAST(4294967296 AS DOUBLE)
 
 
 def grid(d: str) -> str:
-    return f"g AS (SELECT s.i AS sim_id, t.i AS t FROM {numbers(d, PATHS)} s CROSS JOIN {numbers(d, STEPS)} t)"
+    """CTE ``g``: for each series PATHS paths of as many steps as it has rows. ``trade_idx``
+    counts the rows of a series from 0."""
+    return f"n AS (SELECT series_id, count(*) AS n FROM $pool GROUP BY series_id), g AS (SELECT p.series_id, n, s.i AS sim_id, p.trade_idx AS t FROM {numbers(d, PATHS)} s CROSS JOIN $pool p JOIN n ON n.series_id = p.series_id)"
 
 
 def _draw(d: str, how: str) -> str:
-    """CTE ``dr``: (sim_id, t, idx), the history row that each step repeats."""
-    head = grid(d) + ", n AS (SELECT count(*) AS n FROM $pool), " + uniform(d, "g", f"sim_id * {STEPS} + t + 1", "sim_id, t")
-    if how == "bootstrap":
-        return head + ", dr AS (SELECT sim_id, t, CAST(floor(u * n) AS BIGINT) AS idx FROM r5 CROSS JOIN n)"
+    """CTE ``dr``: (series_id, sim_id, t, idx), the history row that each step repeats."""
+    head = grid(d) + ", " + uniform(d, "g", "sim_id * n + t + 1", "series_id, n, sim_id, t")
+    if how == "bootstrap":  # coalesce: a join key that cannot be null gets no filter, into which Spark would copy all of r0 to r5
+        return head + ", dr AS (SELECT series_id, sim_id, t, coalesce(CAST(floor(u * n) AS BIGINT), 0) AS idx FROM r5)"
     if how == "permutation":
-        return head + ", dr AS (SELECT sim_id, CAST(row_number() OVER (PARTITION BY sim_id ORDER BY u, t) - 1 AS BIGINT) AS t, t AS idx FROM r5 CROSS JOIN n WHERE t < n)"
+        return head + ", dr AS (SELECT series_id, sim_id, CAST(row_number() OVER (PARTITION BY series_id, sim_id ORDER BY u, t) - 1 AS BIGINT) AS t, t AS idx FROM r5)"
     # stationary blocks: the uniform starts one with probability 1/5, and its rest places it
-    return head + """, bl AS (SELECT sim_id, t, CASE WHEN t = 0 OR u < CAST('0.2' AS DOUBLE) THEN t END AS t0, CASE WHEN t = 0 THEN CAST(floor(u * n) AS BIGINT) WHEN u < CAST('0.2' AS DOUBLE) THEN CAST(floor(u * 5 * n) AS BIGINT) END AS s0, n FROM r5 CROSS JOIN n),
-bf AS (SELECT sim_id, t, n, max(t0) OVER (PARTITION BY sim_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS t0 FROM bl),
-dr AS (SELECT bf.sim_id, bf.t, (bl.s0 + bf.t - bf.t0) % bf.n AS idx FROM bf JOIN bl ON bf.sim_id = bl.sim_id AND bf.t0 = bl.t)"""
+    return head + """, bl AS (SELECT series_id, sim_id, t, CASE WHEN t = 0 OR u < CAST('0.2' AS DOUBLE) THEN t END AS t0, CASE WHEN t = 0 THEN CAST(floor(u * n) AS BIGINT) WHEN u < CAST('0.2' AS DOUBLE) THEN CAST(floor(u * 5 * n) AS BIGINT) END AS s0, n FROM r5),
+bf AS (SELECT series_id, sim_id, t, n, max(t0) OVER (PARTITION BY series_id, sim_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS t0 FROM bl),
+dr AS (SELECT bf.series_id, bf.sim_id, bf.t, (bl.s0 + bf.t - bf.t0) % bf.n AS idx FROM bf JOIN bl ON bf.series_id = bl.series_id AND bf.sim_id = bl.sim_id AND bf.t0 = bl.t)"""
 
 
 def _paths(d: str, how: str) -> str:
-    return _draw(d, how) + f""", pa AS (SELECT sim_id, t + 1 AS t, p.pnl, CAST({CAPITAL} AS DOUBLE) + sum(p.pnl) OVER (PARTITION BY sim_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS balance FROM dr JOIN $pool p ON p.trade_idx = dr.idx),
-pk AS (SELECT *, greatest(CAST({CAPITAL} AS DOUBLE), max(balance) OVER (PARTITION BY sim_id ORDER BY t ROWS UNBOUNDED PRECEDING)) AS peak, max(t) OVER (PARTITION BY sim_id) AS last_t FROM pa),
-ps AS (SELECT sim_id, max(CASE WHEN t = last_t THEN balance END) AS final_balance, greatest(CAST(0 AS DOUBLE), max(least(CAST(1 AS DOUBLE), (peak - balance) / greatest(peak, CAST('1e-8' AS DOUBLE))))) AS max_drawdown, max(CASE WHEN balance <= {LEVEL} THEN 1 ELSE 0 END) AS ruined, max(last_t) AS steps FROM pk GROUP BY sim_id)"""
+    return _draw(d, how) + f""", pa AS (SELECT dr.series_id, sim_id, t + 1 AS t, p.pnl, CAST({CAPITAL} AS DOUBLE) + sum(p.pnl) OVER (PARTITION BY dr.series_id, sim_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS balance FROM dr JOIN $pool p ON p.series_id = dr.series_id AND p.trade_idx = dr.idx),
+pk AS (SELECT *, greatest(CAST({CAPITAL} AS DOUBLE), max(balance) OVER (PARTITION BY series_id, sim_id ORDER BY t ROWS UNBOUNDED PRECEDING)) AS peak, max(t) OVER (PARTITION BY series_id, sim_id) AS last_t FROM pa),
+ps AS (SELECT series_id, sim_id, max(CASE WHEN t = last_t THEN balance END) AS final_balance, greatest(CAST(0 AS DOUBLE), max(least(CAST(1 AS DOUBLE), (peak - balance) / greatest(peak, CAST('1e-8' AS DOUBLE))))) AS max_drawdown, max(CASE WHEN balance <= {LEVEL} THEN 1 ELSE 0 END) AS ruined, max(last_t) AS steps FROM pk GROUP BY series_id, sim_id)"""
 
 
 def _summary(how: str) -> Plan:
-    return Plan(lambda d: f"WITH {_paths(d, how)} SELECT sim_id, round(final_balance, 4) AS final_balance, round(max_drawdown, 8) AS max_drawdown, ruined, round((final_balance - {CAPITAL}) / steps, 6) AS ev FROM ps", {"pool": "pool"})
+    return Plan(lambda d: f"WITH {_paths(d, how)} SELECT series_id, sim_id, round(final_balance, 4) AS final_balance, round(max_drawdown, 8) AS max_drawdown, ruined, round((final_balance - {CAPITAL}) / steps, 6) AS ev FROM ps", {"pool": "trades"})
 
 
 def at(share: str) -> str:
@@ -68,45 +70,45 @@ def at(share: str) -> str:
 
 
 LOW95, LOW99 = "(1 - CAST('0.95' AS DOUBLE))", "(1 - CAST('0.99' AS DOUBLE))"
-ORDER = f"""o AS (SELECT *, final_balance - {CAPITAL} AS pnl, row_number() OVER (ORDER BY final_balance, sim_id) - 1 AS r, row_number() OVER (ORDER BY max_drawdown, sim_id) - 1 AS rd, count(*) OVER () AS n FROM ps)"""
+ORDER = f"""o AS (SELECT *, final_balance - {CAPITAL} AS pnl, row_number() OVER (PARTITION BY series_id ORDER BY final_balance, sim_id) - 1 AS r, row_number() OVER (PARTITION BY series_id ORDER BY max_drawdown, sim_id) - 1 AS rd, count(*) OVER (PARTITION BY series_id) AS n FROM ps)"""
 #: Trailing drawdown, target and consistency of an evaluation account.
 RULES = (600, 400, 40)
 CHECKPOINTS = (100, 150, 200)
 
 
 def _metrics(d: str) -> str:
-    return f"""WITH {_paths(d, "bootstrap")}, {ORDER}, mo AS (SELECT avg(pnl) AS mu FROM o), m AS (SELECT avg(power(pnl - mu, 2)) AS m2, avg(power(pnl - mu, 3)) AS m3, avg(power(pnl - mu, 4)) AS m4 FROM o CROSS JOIN mo)
-SELECT round(max(CASE WHEN r = {at(LOW95)} THEN pnl END), 4) AS var95, round(max(CASE WHEN r = {at(LOW99)} THEN pnl END), 4) AS var99, round(avg(CASE WHEN r < greatest(1, CAST(floor(n * {LOW95}) AS BIGINT)) THEN pnl END), 4) AS cvar95,
+    return f"""WITH {_paths(d, "bootstrap")}, {ORDER}, mo AS (SELECT series_id, avg(pnl) AS mu FROM o GROUP BY series_id), m AS (SELECT o.series_id, avg(power(pnl - mu, 2)) AS m2, avg(power(pnl - mu, 3)) AS m3, avg(power(pnl - mu, 4)) AS m4 FROM o JOIN mo ON mo.series_id = o.series_id GROUP BY o.series_id)
+SELECT o.series_id, round(max(CASE WHEN r = {at(LOW95)} THEN pnl END), 4) AS var95, round(max(CASE WHEN r = {at(LOW99)} THEN pnl END), 4) AS var99, round(avg(CASE WHEN r < greatest(1, CAST(floor(n * {LOW95}) AS BIGINT)) THEN pnl END), 4) AS cvar95,
   round(max(CASE WHEN r = {at("CAST('0.5' AS DOUBLE)")} THEN final_balance END), 4) AS median_balance, round(max(CASE WHEN rd = {at("CAST('0.5' AS DOUBLE)")} THEN max_drawdown END), 8) AS median_drawdown, round(max(CASE WHEN rd = {at("CAST('0.95' AS DOUBLE)")} THEN max_drawdown END), 8) AS p95_drawdown,
   round(max(m3 / power(m2, 1.5)), 6) AS skewness, round(max(m4 / (m2 * m2) - 3), 6) AS excess_kurtosis, round(CAST(100 AS DOUBLE) * sum(CASE WHEN pnl < 0 THEN 1 ELSE 0 END) / count(*), 6) AS probability_of_loss,
   round(CAST(100 AS DOUBLE) * sum(ruined) / count(*), 6) AS ruin_percent, round(avg(final_balance), 4) AS mean_balance, round(max(CASE WHEN r = {at("CAST('0.05' AS DOUBLE)")} THEN final_balance END), 4) AS p5_balance, round(max(CASE WHEN r = {at("CAST('0.95' AS DOUBLE)")} THEN final_balance END), 4) AS p95_balance
-FROM o CROSS JOIN m"""
+FROM o JOIN m ON m.series_id = o.series_id GROUP BY o.series_id"""
 
 
 def _prop(d: str) -> str:
     dd, target, share = RULES
-    return f"""WITH {_paths(d, "bootstrap")}, ev AS (SELECT sim_id, t, CASE WHEN peak - balance >= {dd} THEN 'drawdown' WHEN balance - {CAPITAL} >= {target} THEN CASE WHEN max(pnl) OVER (PARTITION BY sim_id ORDER BY t ROWS UNBOUNDED PRECEDING) > (balance - {CAPITAL}) * {share} / CAST(100 AS DOUBLE) THEN 'consistency' ELSE 'passed' END END AS event FROM pk),
-f AS (SELECT sim_id, event, t, row_number() OVER (PARTITION BY sim_id ORDER BY t) AS k FROM ev WHERE event IS NOT NULL), r AS (SELECT ps.sim_id, coalesce(event, 'time') AS outcome, f.t AS trades FROM ps LEFT JOIN f ON f.sim_id = ps.sim_id AND k = 1)
-SELECT outcome, count(*) AS paths, round(CAST(100 AS DOUBLE) * count(*) / {PATHS}, 6) AS percent, round(avg(CAST(trades AS DOUBLE)), 6) AS mean_trades FROM r GROUP BY outcome"""
+    return f"""WITH {_paths(d, "bootstrap")}, ev AS (SELECT series_id, sim_id, t, CASE WHEN peak - balance >= {dd} THEN 'drawdown' WHEN balance - {CAPITAL} >= {target} THEN CASE WHEN max(pnl) OVER (PARTITION BY series_id, sim_id ORDER BY t ROWS UNBOUNDED PRECEDING) > (balance - {CAPITAL}) * {share} / CAST(100 AS DOUBLE) THEN 'consistency' ELSE 'passed' END END AS event FROM pk),
+f AS (SELECT series_id, sim_id, event, t, row_number() OVER (PARTITION BY series_id, sim_id ORDER BY t) AS k FROM ev WHERE event IS NOT NULL), r AS (SELECT ps.series_id, ps.sim_id, coalesce(event, 'time') AS outcome, f.t AS trades FROM ps LEFT JOIN f ON f.series_id = ps.series_id AND f.sim_id = ps.sim_id AND k = 1)
+SELECT series_id, outcome, count(*) AS paths, round(CAST(100 AS DOUBLE) * count(*) / {PATHS}, 6) AS percent, round(avg(CAST(trades AS DOUBLE)), 6) AS mean_trades FROM r GROUP BY series_id, outcome"""
 
 
 def _convergence(d: str) -> str:
     rows = ", ".join(f"({n})" for n in CHECKPOINTS)
-    return f"""WITH {_paths(d, "bootstrap")}, c AS (SELECT CAST(column0 AS BIGINT) AS n FROM (VALUES {rows}) AS v(column0)), o AS (SELECT c.n, final_balance, final_balance - {CAPITAL} AS pnl, row_number() OVER (PARTITION BY c.n ORDER BY final_balance, sim_id) - 1 AS r FROM c JOIN ps ON ps.sim_id < c.n)
-SELECT n, round(max(CASE WHEN r = {at(LOW95)} THEN pnl END), 4) AS var95, round(avg(CASE WHEN r < greatest(1, CAST(floor(n * {LOW95}) AS BIGINT)) THEN pnl END), 4) AS cvar95, round(CAST(100 AS DOUBLE) * sum(CASE WHEN final_balance <= {LEVEL} THEN 1 ELSE 0 END) / n, 6) AS ruin_percent, round(avg(final_balance), 4) AS mean_balance, round(stddev_samp(final_balance) / sqrt(CAST(n AS DOUBLE)), 4) AS se_mean FROM o GROUP BY n"""
+    return f"""WITH {_paths(d, "bootstrap")}, c AS (SELECT CAST(column0 AS BIGINT) AS n FROM (VALUES {rows}) AS v(column0)), o AS (SELECT series_id, c.n, final_balance, final_balance - {CAPITAL} AS pnl, row_number() OVER (PARTITION BY series_id, c.n ORDER BY final_balance, sim_id) - 1 AS r FROM c JOIN ps ON ps.sim_id < c.n)
+SELECT series_id, n, round(max(CASE WHEN r = {at(LOW95)} THEN pnl END), 4) AS var95, round(avg(CASE WHEN r < greatest(1, CAST(floor(n * {LOW95}) AS BIGINT)) THEN pnl END), 4) AS cvar95, round(CAST(100 AS DOUBLE) * sum(CASE WHEN final_balance <= {LEVEL} THEN 1 ELSE 0 END) / n, 6) AS ruin_percent, round(avg(final_balance), 4) AS mean_balance, round(stddev_samp(final_balance) / sqrt(CAST(n AS DOUBLE)), 4) AS se_mean FROM o GROUP BY series_id, n"""
 
 
 PLANS = {
-    "random_draws": Plan(lambda d: f"WITH k AS (SELECT i FROM {numbers(d, 2000)} x), {uniform(d, 'k', 'i + 1', 'i')}, p AS (SELECT i, u, lead(u) OVER (ORDER BY i) AS v FROM r5) SELECT i, round(u, 10) AS u, round(sqrt(-2 * ln(u)) * cos(2 * pi() * v), 8) AS normal, CAST(ceil(ln(u) / ln(1 - CAST('0.2' AS DOUBLE))) AS BIGINT) AS geometric FROM p, (SELECT count(*) AS c FROM $pool) z WHERE u > 0 AND v IS NOT NULL", {"pool": "pool"}),
+    "random_draws": Plan(lambda d: f"WITH k AS (SELECT i FROM {numbers(d, 2000)} x), {uniform(d, 'k', 'i + 1', 'i')}, p AS (SELECT i, u, lead(u) OVER (ORDER BY i) AS v FROM r5) SELECT i, round(u, 10) AS u, round(sqrt(-2 * ln(u)) * cos(2 * pi() * v), 8) AS normal, CAST(ceil(ln(u) / ln(1 - CAST('0.2' AS DOUBLE))) AS BIGINT) AS geometric FROM p, (SELECT count(*) AS c FROM $pool) z WHERE u > 0 AND v IS NOT NULL", {"pool": "trades"}),
     "bootstrap_paths": _summary("bootstrap"),
     "permutation_paths": _summary("permutation"),
     "block_bootstrap_paths": _summary("blocks"),
-    "risk_metrics": Plan(_metrics, {"pool": "pool"}),
-    "prop_evaluation": Plan(_prop, {"pool": "pool"}),
-    "convergence": Plan(_convergence, {"pool": "pool"}),
-    "spaghetti_sample": Plan(lambda d: f"WITH {_paths(d, 'bootstrap')} SELECT sim_id, t, round(balance, 4) AS balance FROM pa WHERE sim_id % {PATHS // 50} = 0", {"pool": "pool"}),
-    "csv_export_paths": Plan(lambda d: f"WITH {_paths(d, 'bootstrap')} SELECT sim_id + 1 AS simulation_path, round(final_balance, 2) AS final_balance, round(max_drawdown * 100, 4) AS max_drawdown, round(final_balance - {CAPITAL}, 2) AS terminal_pnl FROM ps", {"pool": "pool"}),
-    "metrics_validity": Plan(lambda d: f"WITH {_paths(d, 'permutation')}, f AS (SELECT max(CASE WHEN sim_id = 0 THEN final_balance END) AS first FROM ps) SELECT CASE WHEN max(abs(final_balance - first)) < CAST('1e-4' AS DOUBLE) THEN 1 ELSE 0 END AS degenerate, count(*) AS paths FROM ps CROSS JOIN f", {"pool": "pool"}),
+    "risk_metrics": Plan(_metrics, {"pool": "trades"}),
+    "prop_evaluation": Plan(_prop, {"pool": "trades"}),
+    "convergence": Plan(_convergence, {"pool": "trades"}),
+    "spaghetti_sample": Plan(lambda d: f"WITH {_paths(d, 'bootstrap')} SELECT series_id, sim_id, t, round(balance, 4) AS balance FROM pa WHERE sim_id % {PATHS // 50} = 0", {"pool": "trades"}),
+    "csv_export_paths": Plan(lambda d: f"WITH {_paths(d, 'bootstrap')} SELECT series_id, sim_id + 1 AS simulation_path, round(final_balance, 2) AS final_balance, round(max_drawdown * 100, 4) AS max_drawdown, round(final_balance - {CAPITAL}, 2) AS terminal_pnl FROM ps", {"pool": "trades"}),
+    "metrics_validity": Plan(lambda d: f"WITH {_paths(d, 'permutation')}, f AS (SELECT series_id, max(CASE WHEN sim_id = 0 THEN final_balance END) AS first FROM ps GROUP BY series_id) SELECT ps.series_id, CASE WHEN max(abs(final_balance - first)) < CAST('1e-4' AS DOUBLE) THEN 1 ELSE 0 END AS degenerate, count(*) AS paths FROM ps JOIN f ON f.series_id = ps.series_id GROUP BY ps.series_id", {"pool": "trades"}),
 }
 
 
@@ -122,7 +124,7 @@ class Session:
 @dataclass(frozen=True)
 class Config:
     paths: int = 10_000
-    steps: int = STEPS
+    steps: int | None = None  # None: as many as the history has rows
     capital: float = CAPITAL
     ruin_percent: float = RUIN_PERCENT
     seed: int = SEED
@@ -136,8 +138,11 @@ def _balances(draws: np.ndarray, config: Config) -> np.ndarray:
     multiplicative results, a floor at nothing."""
     out = np.empty((len(draws), draws.shape[1] + 1))
     out[:, 0] = config.capital
-    losses, lost = np.zeros(len(draws)), np.zeros(len(draws))
     rule = config.session
+    if not rule and not config.multiplicative:
+        out[:, 1:] = draws
+        return np.cumsum(out, axis=1)
+    losses, lost = np.zeros(len(draws)), np.zeros(len(draws))
     for t in range(draws.shape[1]):
         if rule and t % max(1, rule.trades) == 0:
             losses[:], lost[:] = 0, 0
@@ -175,25 +180,43 @@ def reduce_paths(ids: np.ndarray, balance: np.ndarray, config: Config) -> pd.Dat
     return out.assign(outcome=outcome)
 
 
+DRAWS_AT_ONCE = 1 << 20
 SUMMARY = "sim_id long, final_balance double, max_drawdown double, ruined boolean, ev double, outcome string"
 Kernel = Callable[[np.random.Generator, int], np.ndarray]
 
 
-def simulate(spark: SparkSession, kernel: Callable[[np.random.Generator, int], np.ndarray], config: Config) -> DataFrame:
+def paths_of(ids: np.ndarray, kernel: Kernel, config: Config) -> Iterator[pd.DataFrame]:
+    """Reduced paths of ``ids``, at most DRAWS_AT_ONCE draws at a time. A kernel with an
+    attribute ``block`` gives the draws of many paths side by side."""
+    size = max(1, min(2048, DRAWS_AT_ONCE // max(1, config.steps)))
+    for at in range(0, len(ids), size):
+        rngs = [np.random.Generator(np.random.Philox(key=[config.seed, int(i)])) for i in ids[at : at + size]]
+        draws = kernel.block(rngs, config.steps) if hasattr(kernel, "block") else np.stack([kernel(rng, config.steps) for rng in rngs])
+        yield reduce_paths(ids[at : at + size], _balances(draws, config), config)
+
+
+def simulate(spark: SparkSession, kernel: Kernel, config: Config) -> DataFrame:
     """``config.paths`` reduced paths. ``kernel(rng, steps)`` gives the draws of one
     path; each path has a generator of its own, so results do not depend on how ids
     are partitioned, and a lost task is done again alike."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for at in range(0, len(frame), 2048):
-                ids = frame["id"].to_numpy()[at : at + 2048]
-                draws = np.stack([kernel(np.random.Generator(np.random.Philox(key=[config.seed, int(i)])), config.steps) for i in ids])
-                yield reduce_paths(ids, _balances(draws, config), config)
+            yield from paths_of(frame["id"].to_numpy(), kernel, config)
 
     return spark.range(config.paths).mapInPandas(run, SUMMARY)
 
 
+def _single(block: Callable[[list[np.random.Generator], int], np.ndarray]) -> Kernel:
+    """A kernel for one path from one for many, which it keeps as ``block``."""
+
+    def kernel(rng: np.random.Generator, n: int) -> np.ndarray:
+        return block([rng], n)[0]
+
+    kernel.block = block
+    return kernel
+
+
 def bootstrap(pool: np.ndarray) -> Kernel:
     return lambda rng, n: pool[rng.integers(0, len(pool), n)]
 
@@ -217,16 +240,18 @@ def block_bootstrap(pool: np.ndarray, length: float) -> Kernel:
 
 def regime_switching(pools: dict[str, np.ndarray], transitions: np.ndarray) -> Kernel:
     """Markov regimes in the order of ``pools``; draws come from the regime's pool."""
-    groups, upto = list(pools.values()), np.cumsum(transitions, axis=1)
+    sizes, upto = np.array([len(p) for p in pools.values()]), np.cumsum(transitions, axis=1)
+    flat, first = np.concatenate(list(pools.values())), np.cumsum(sizes) - sizes
 
-    def kernel(rng: np.random.Generator, n: int) -> np.ndarray:
-        state, out, u, v = rng.integers(len(groups)), np.empty(n), rng.random(n), rng.random(n)
+    def block(rngs: list[np.random.Generator], n: int) -> np.ndarray:
+        state, u, v = (np.stack(x) for x in zip(*((rng.integers(len(sizes)), rng.random(n), rng.random(n)) for rng in rngs), strict=True))
+        states = np.empty(u.shape, np.int64)
         for t in range(n):
-            out[t] = groups[state][int(u[t] * len(groups[state]))]
-            state = min(int(np.searchsorted(upto[state], v[t], "right")), len(groups) - 1)
-        return out
+            states[:, t] = state
+            state = np.minimum((upto[state] <= v[:, t, None]).sum(1), len(sizes) - 1)
+        return flat[first[states] + (u * sizes[states]).astype(np.int64)]
 
-    return kernel
+    return _single(block)
 
 
 def parametric(mu: float, sigma: float, df: float | None) -> Kernel:
@@ -234,36 +259,35 @@ def parametric(mu: float, sigma: float, df: float | None) -> Kernel:
 
 
 def garch(omega: float, alpha: float, beta: float, mu: float, df: float | None = None) -> Kernel:
-    def kernel(rng: np.random.Generator, n: int) -> np.ndarray:
+    def block(rngs: list[np.random.Generator], n: int) -> np.ndarray:
         heavy = df is not None and 2 < df < 30
-        z = rng.standard_t(df, n) / np.sqrt(df / (df - 2)) if heavy else rng.standard_normal(n)
-        out, variance = np.empty(n), omega / (1 - alpha - beta)
+        z = np.stack([rng.standard_t(df, n) / np.sqrt(df / (df - 2)) if heavy else rng.standard_normal(n) for rng in rngs])
+        variance = np.full(len(rngs), omega / (1 - alpha - beta))
         for t in range(n):
-            step = np.sqrt(variance) * z[t]
-            out[t] = mu + step
+            z[:, t] = step = np.sqrt(variance) * z[:, t]
             variance = omega + alpha * step * step + beta * variance
-        return out
+        return mu + z
 
-    return kernel
+    return _single(block)
 
 
 def copula(pools: list[np.ndarray], correlation: np.ndarray, weights: np.ndarray, df: float | None = None) -> Kernel:
     """The weighted sum of strategies whose draws are tied by a Gaussian copula, or a
     Student one with one shared chi-square. Pools are sorted, so that ranks carry."""
-    from math import erf
+    from statistics import NormalDist
 
     low = cholesky(repaired(correlation))
     pools = [np.sort(p) for p in pools]
-    phi = np.vectorize(lambda x: 0.5 * (1 + erf(x / 2**0.5)))
+    # where the normal distribution function passes k / len: the rank of a draw among these is its place in the pool
+    at = {len(p): np.array([NormalDist().inv_cdf(k / len(p)) for k in range(1, len(p))]) for p in pools}
 
     def kernel(rng: np.random.Generator, n: int) -> np.ndarray:
         z = rng.standard_normal((n, len(pools))) @ low.T
         if df is None:
-            u = phi(z)
-        else:
-            # ranks of a Student draw among draws of its own law
-            t = z / np.sqrt(rng.chisquare(df, (n, 1)) / df)
-            u = np.searchsorted(np.sort(rng.standard_t(df, 4096)), t) / 4097
+            return np.stack([p[np.searchsorted(at[len(p)], z[:, i], "right")] for i, p in enumerate(pools)], 1) @ weights
+        # ranks of a Student draw among draws of its own law
+        t = z / np.sqrt(rng.chisquare(df, (n, 1)) / df)
+        u = np.searchsorted(np.sort(rng.standard_t(df, 4096)), t) / 4097
         picks = [p[np.minimum((u[:, i] * len(p)).astype(int), len(p) - 1)] for i, p in enumerate(pools)]
         return np.stack(picks, 1) @ weights
 

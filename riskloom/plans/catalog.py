@@ -18,7 +18,7 @@ def _query(plan: Plan) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def _model(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: models.simulate_history(view(spark, sf_dir, "pool"), name, simulate.Config())
+    return lambda spark, sf_dir: models.simulate_history(view(spark, sf_dir, "trades"), name, simulate.Config())
 
 
 #: Queries without SQL: numpy kernels with a generator for each path, and fits.
@@ -27,7 +27,7 @@ KERNELS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kernel_portfolio_copula": lambda spark, sf_dir: models.simulate_portfolio(view(spark, sf_dir, "trades"), simulate.Config(paths=2000)),
     "kernel_portfolio_student_copula": lambda spark, sf_dir: models.simulate_portfolio(view(spark, sf_dir, "trades"), simulate.Config(paths=500), 5.0),
     "fit_garch": lambda spark, sf_dir: models.garch_models(view(spark, sf_dir, "trades")),
-    "position_sizing": lambda spark, sf_dir: models.position_size(view(spark, sf_dir, "pool"), simulate.Config(paths=2500)),
+    "position_sizing": lambda spark, sf_dir: models.position_size(view(spark, sf_dir, "trades"), simulate.Config(paths=2500)),
 }
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(plan) for name, plan in PLANS.items()} | KERNELS
 ORACLE_SQL: dict[str, str] = {name: plan.oracle(VIEWS) for name, plan in PLANS.items()}

@@ -18,7 +18,6 @@ VIEWS = {
     "trades": _events("event_type"),
     "single": _events("'ALL'"),
     "losses": f"SELECT series_id, trade_idx, ts, -pnl AS pnl, regime, benchmark FROM ({_events(chr(39) + 'ALL' + chr(39))})",
-    "pool": f"SELECT * FROM ({_events(chr(39) + 'ALL' + chr(39))}) WHERE trade_idx < 127",
     "days": "SELECT 'ORDERS' AS series_id, o_orderkey AS trade_idx, o_orderdate AS ts, o_totalprice - CAST(250000 AS DOUBLE) AS pnl, o_orderstatus AS regime FROM orders",
     "raw": "SELECT event_id, event_type AS instrument, CASE WHEN event_id % 4 = 0 THEN concat('($', CAST(CAST(floor(value * 100) AS BIGINT) AS STRING), ')') WHEN event_id % 4 = 1 THEN concat(' $1,', CAST(CAST(floor(value) AS BIGINT) + 100 AS STRING)) WHEN event_id % 7 = 2 THEN '' WHEN event_id % 7 = 3 THEN 'n/a' ELSE CAST(CAST(floor(value * 10) AS BIGINT) AS STRING) END AS profit, CASE event_id % 5 WHEN 0 THEN 'Yes' WHEN 1 THEN 'n' WHEN 2 THEN ' TRUE ' WHEN 3 THEN '0' ELSE 'maybe' END AS in_regime FROM events",
 }

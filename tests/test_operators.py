@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from riskloom.operators import ingest, models, performance, portfolio, simulate, stats, stress
+from riskloom.plans import catalog
 from riskloom.plans.engine import Plan
 
 
@@ -122,3 +123,36 @@ def test_garch_recovers_persistence(spark):
     x = simulate.garch(1.0, 0.1, 0.8, 0.0)(rng, 2000)
     fit = models.fit_garch(__import__("pandas").DataFrame({"series_id": "A", "trade_idx": range(2000), "pnl": x})).iloc[0]
     assert fit.alpha + fit.beta < 1 and abs(fit.alpha + fit.beta - 0.9) < 0.1
+
+
+def test_paths_are_as_long_as_the_history(spark):
+    pnl = {"A": [float(i % 7 - 3) for i in range(300)], "B": [float(i % 5) for i in range(140)]}
+    df = trades(spark, pnl["A"]).union(trades(spark, pnl["B"], series="B"))
+    rows = simulate.PLANS["permutation_paths"].run(spark, pool=df).collect()
+    assert {(r["series_id"], r["final_balance"]) for r in rows} == {(s, 10000 + sum(x)) for s, x in pnl.items()}
+    last = simulate.PLANS["spaghetti_sample"].run(spark, pool=df).groupBy("series_id").agg({"t": "max"}).collect()
+    assert {tuple(r) for r in last} == {("A", 300), ("B", 140)}
+    for model in ("permutation", "regimes", "garch"):
+        rows = models.simulate_history(df, model, simulate.Config(paths=40)).collect()
+        assert sorted((r["series_id"], r["sim_id"]) for r in rows) == [(s, i) for s in "AB" for i in range(40)]
+        if model == "permutation":
+            assert {(r["series_id"], r["final_balance"]) for r in rows} == {(s, 10000 + sum(x)) for s, x in pnl.items()}
+    sizes = models.position_size(df, simulate.Config(paths=50), (0.5, 1.0)).collect()
+    assert len(sizes) == 4 and all(abs(r["mean"] - r["scale"] * 280) < 60 for r in sizes if r["series_id"] == "B")
+
+
+def test_bound_to_the_whole_table(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    count = spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    for name, column in (("preview_stats", "total_trades"), ("garch_variance", "1"), ("special_functions", "1")):
+        assert catalog.QUERIES[name](spark, sf_dir).selectExpr(f"sum({column})").first()[0] == count
+
+
+def test_garch_variance_of_a_long_series(spark):
+    pnl = np.random.default_rng(3).normal(1, 20, 9000)
+    h, expected = pnl.var(ddof=1), []
+    for x in pnl:
+        expected.append(h)
+        h = 0.02 * pnl.var(ddof=1) + 0.08 * (x - pnl.mean()) ** 2 + 0.9 * h
+    got = performance.PLANS["garch_variance"].run(spark, trades=trades(spark, pnl)).orderBy("trade_idx").toPandas()
+    assert np.allclose(got["variance"], expected, atol=1e-4)
