@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..plans.engine import Plan
+from ..plans.engine import SPARK, Plan
 
 D = lambda x: f"CAST('{x}' AS DOUBLE)"
 
@@ -64,9 +64,26 @@ lagged AS ({" UNION ALL ".join(f"SELECT series_id, CAST({k} AS BIGINT) AS k, n,
 acf AS (SELECT series_id, k, n, CASE WHEN sum(q) > 0 THEN coalesce(sum(p), 0) / sum(q) ELSE 0 END AS rho FROM lagged GROUP BY series_id, k, n)"""
 
 BREACH_WINDOW = 100
-BREACHES = f"""pr AS (SELECT a.series_id, a.trade_idx, a.pnl, b.pnl AS past, row_number() OVER (PARTITION BY a.series_id, a.trade_idx ORDER BY b.pnl, b.trade_idx) - 1 AS r
-  FROM $trades a JOIN $trades b ON a.series_id = b.series_id AND b.trade_idx >= a.trade_idx - {BREACH_WINDOW} AND b.trade_idx < a.trade_idx WHERE a.trade_idx >= {BREACH_WINDOW} AND a.trade_idx < 1000),
-br AS (SELECT series_id, trade_idx, CASE WHEN pnl < past THEN 1 ELSE 0 END AS breach FROM pr WHERE r = CAST(floor({BREACH_WINDOW} * (1 - {D("0.95")})) AS BIGINT))"""
+POSITION = f"floor({BREACH_WINDOW} * (1 - {D('0.95')}))"
+
+
+def breaches(d: str) -> str:
+    """CTEs ``pr``: each trade with the BREACH_WINDOW before it, and ``br``: whether it
+    falls below their VaR95. On Spark a frame, in the oracle a join, of the same rows."""
+    if d == SPARK:
+        return f"""pr AS (SELECT * FROM (SELECT series_id, trade_idx, pnl, collect_list(pnl) OVER (PARTITION BY series_id ORDER BY trade_idx ROWS BETWEEN {BREACH_WINDOW} PRECEDING AND 1 PRECEDING) AS past FROM $trades) x WHERE trade_idx >= {BREACH_WINDOW}),
+br AS (SELECT series_id, trade_idx, CASE WHEN pnl < sort_array(past)[CAST({POSITION} AS INT)] THEN 1 ELSE 0 END AS breach FROM pr)"""
+    return f"""pr AS (SELECT a.series_id, a.trade_idx, a.pnl, b.pnl AS past, row_number() OVER (PARTITION BY a.series_id, a.trade_idx ORDER BY b.pnl, b.trade_idx) - 1 AS r
+  FROM $trades a JOIN $trades b ON a.series_id = b.series_id AND b.trade_idx >= a.trade_idx - {BREACH_WINDOW} AND b.trade_idx < a.trade_idx WHERE a.trade_idx >= {BREACH_WINDOW}),
+br AS (SELECT series_id, trade_idx, CASE WHEN pnl < past THEN 1 ELSE 0 END AS breach FROM pr WHERE r = CAST({POSITION} AS BIGINT))"""
+
+
+def ecdf(d: str) -> str:
+    """CTE ``u``: the share of the window at or below each trade, less half a step."""
+    count, group = ("size(filter(past, v -> v <= pnl))", "") if d == SPARK else ("sum(CASE WHEN past <= pnl THEN 1 ELSE 0 END)", " GROUP BY series_id, trade_idx")
+    return f"u AS (SELECT series_id, trade_idx, greatest(CAST(0 AS DOUBLE), ({count} - {D('0.5')}) / {BREACH_WINDOW}) AS u FROM pr{group})"
+
+
 LOG = lambda n, p: f"(CASE WHEN {p} > 0 THEN {n} * ln(CASE WHEN {p} > 0 THEN {p} ELSE 1 END) ELSE 0 END)"
 
 GPD_Q = "0.9"
@@ -130,13 +147,13 @@ SELECT count(*) AS trading_days, CAST(sum(trades) AS BIGINT) AS total_trades, CA
     "autocorrelation": Plan(f"WITH {ACF} SELECT series_id, k, round(rho, 8) AS rho FROM acf"),
     "ljung_box": Plan(f"WITH {ACF}, q AS (SELECT series_id, max(n) * (max(n) + {D(2)}) * sum(rho * rho / (n - k)) AS q FROM acf GROUP BY series_id) SELECT series_id, round(q, 6) AS q, round({chi_square_upper('q', LAGS)}, 6) AS p FROM q"),
     "block_length": Plan(f"WITH {ACF} SELECT series_id, round(rho, 8) AS rho, CAST(CASE WHEN abs(rho) < {D('0.05')} THEN 1 ELSE least(ceil(power(CAST(n AS DOUBLE), {D(1)} / 3)), greatest({D(1)}, floor(n / {D(4)}))) END AS BIGINT) AS block FROM acf WHERE k = 1"),
-    "var_breaches": Plan(f"WITH {BREACHES} SELECT series_id, trade_idx, breach FROM br", {"trades": "single"}),
-    "kupiec": Plan(f"WITH {BREACHES}, a AS (SELECT series_id, CAST(count(*) AS DOUBLE) AS n, CAST(sum(breach) AS DOUBLE) AS x FROM br GROUP BY series_id) SELECT series_id, n, x, round(-2 * (x * ln(1 - {D('0.95')}) + (n - x) * ln({D('0.95')}) - {LOG('x', '(x / n)')} - {LOG('(n - x)', '(1 - x / n)')}), 6) AS lr FROM a", {"trades": "single"}),
-    "christoffersen": Plan(f"""WITH {BREACHES}, l AS (SELECT *, lag(breach) OVER (PARTITION BY series_id ORDER BY trade_idx) AS b FROM br),
+    "var_breaches": Plan(lambda d: f"WITH {breaches(d)} SELECT series_id, trade_idx, breach FROM br", {"trades": "single"}),
+    "kupiec": Plan(lambda d: f"WITH {breaches(d)}, a AS (SELECT series_id, CAST(count(*) AS DOUBLE) AS n, CAST(sum(breach) AS DOUBLE) AS x FROM br GROUP BY series_id) SELECT series_id, n, x, round(-2 * (x * ln(1 - {D('0.95')}) + (n - x) * ln({D('0.95')}) - {LOG('x', '(x / n)')} - {LOG('(n - x)', '(1 - x / n)')}), 6) AS lr FROM a", {"trades": "single"}),
+    "christoffersen": Plan(lambda d: f"""WITH {breaches(d)}, l AS (SELECT *, lag(breach) OVER (PARTITION BY series_id ORDER BY trade_idx) AS b FROM br),
 c AS (SELECT series_id, CAST(sum(CASE WHEN b = 0 AND breach = 0 THEN 1 ELSE 0 END) AS DOUBLE) AS n00, CAST(sum(CASE WHEN b = 0 AND breach = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS n01, CAST(sum(CASE WHEN b = 1 AND breach = 0 THEN 1 ELSE 0 END) AS DOUBLE) AS n10, CAST(sum(CASE WHEN b = 1 AND breach = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS n11 FROM l WHERE b IS NOT NULL GROUP BY series_id),
 p AS (SELECT *, (n01 + n11) / (n00 + n01 + n10 + n11) AS q, CASE WHEN n00 + n01 > 0 THEN n01 / (n00 + n01) ELSE 0 END AS q01, CASE WHEN n10 + n11 > 0 THEN n11 / (n10 + n11) ELSE 0 END AS q11 FROM c)
 SELECT series_id, n00, n01, n10, n11, round(CASE WHEN q = 0 OR q = 1 THEN 0 ELSE -2 * ({LOG("(n00 + n10)", "(1 - q)")} + {LOG("(n01 + n11)", "q")} - {LOG("n00", "(1 - q01)")} - {LOG("n01", "q01")} - {LOG("n10", "(1 - q11)")} - {LOG("n11", "q11")}) END, 6) AS lr FROM p""", {"trades": "single"}),
-    "pit_calibration": Plan(f"WITH {BREACHES}, u AS (SELECT series_id, trade_idx, greatest(CAST(0 AS DOUBLE), (sum(CASE WHEN past <= pnl THEN 1 ELSE 0 END) - {D('0.5')}) / {BREACH_WINDOW}) AS u FROM pr GROUP BY series_id, trade_idx) SELECT series_id, least(CAST(9 AS BIGINT), CAST(floor(u * 10) AS BIGINT)) AS bin, count(*) AS n FROM u GROUP BY 1, 2", {"trades": "single"}),
+    "pit_calibration": Plan(lambda d: f"WITH {breaches(d)}, {ecdf(d)} SELECT series_id, least(CAST(9 AS BIGINT), CAST(floor(u * 10) AS BIGINT)) AS bin, count(*) AS n FROM u GROUP BY 1, 2", {"trades": "single"}),
     "ks_two_sample": Plan(f"WITH {TWO_SAMPLES}, d AS (SELECT series_id, max(abs(CAST(i AS DOUBLE) / n - CAST(j AS DOUBLE) / m)) AS d, max(sqrt(CAST(n AS DOUBLE) * m / (n + m))) AS en FROM o GROUP BY series_id), l AS (SELECT *, (en + {D('0.12')} + {D('0.11')} / en) * d AS lam FROM d) SELECT series_id, round(d, 8) AS d, round({kolmogorov('lam')}, 6) AS p FROM l", {"trades": "single"}),
     "ad_two_sample": Plan(f"WITH {TWO_SAMPLES}, a AS (SELECT series_id, sum(power(CAST(i AS DOUBLE) * (n + m) - CAST(n AS DOUBLE) * k, 2) / (CAST(k AS DOUBLE) * (n + m - k))) / max(CAST(n AS DOUBLE) * m) AS a2 FROM o WHERE k < n + m GROUP BY series_id) SELECT series_id, round(a2, 6) AS a2, round({ad_p('a2')}, 6) AS p FROM a", {"trades": "single"}),
     "hill_index": Plan(f"WITH so AS (SELECT series_id, pnl, row_number() OVER (PARTITION BY series_id ORDER BY pnl DESC) AS r, count(*) OVER (PARTITION BY series_id) AS n FROM $trades WHERE pnl > 0), k AS (SELECT *, greatest(20, least(250, CAST(floor(n / {D(10)}) AS BIGINT))) AS k FROM so) SELECT series_id, max(k) AS k, round(1 / (avg(CASE WHEN r <= k THEN ln(pnl) END) - max(CASE WHEN r = k + 1 THEN ln(pnl) END)), 6) AS alpha FROM k WHERE n >= 20 GROUP BY series_id", {"trades": "losses"}),

@@ -156,3 +156,18 @@ def test_garch_variance_of_a_long_series(spark):
         h = 0.02 * pnl.var(ddof=1) + 0.08 * (x - pnl.mean()) ** 2 + 0.9 * h
     got = performance.PLANS["garch_variance"].run(spark, trades=trades(spark, pnl)).orderBy("trade_idx").toPandas()
     assert np.allclose(got["variance"], expected, atol=1e-4)
+
+
+def test_backtests_judge_every_trade(spark):
+    pnl = np.round(np.random.default_rng(8).normal(0, 9, 1300), 1)
+    df = trades(spark, pnl)
+    expected = [int(x < np.sort(pnl[i - 100 : i])[5]) for i, x in enumerate(pnl) if i >= 100]
+    rows = stats.PLANS["var_breaches"].run(spark, trades=df).orderBy("trade_idx").collect()
+    assert [(r["trade_idx"], r["breach"]) for r in rows] == list(enumerate(expected, 100))
+    got = one(stats.PLANS["kupiec"].run(spark, trades=df))
+    assert (got["n"], got["x"]) == (1200, sum(expected))
+    got = one(stats.PLANS["christoffersen"].run(spark, trades=df))
+    assert got["n00"] + got["n01"] + got["n10"] + got["n11"] == 1199
+    u = [max(0, ((pnl[i - 100 : i] <= pnl[i]).sum() - 0.5) / 100) for i in range(100, 1300)]
+    bins = {r["bin"]: r["n"] for r in stats.PLANS["pit_calibration"].run(spark, trades=df).collect()}
+    assert bins == {b: n for b, n in enumerate(np.bincount(np.minimum(9, np.floor(np.array(u) * 10).astype(int)), minlength=10)) if n}
