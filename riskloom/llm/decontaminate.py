@@ -19,6 +19,8 @@ MASKS = ((0, 1, 2, 4, 5), (0, 1, 2, 3, 4))
 SALTS = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F)
 #: An overlap has this many equal words (or all of a shorter item) and this share.
 MIN_WORDS, MIN_SHARE = 13, 0.8
+#: Equal words that one replaced word needs beside it.
+MISS = round(MIN_SHARE / (1 - MIN_SHARE))
 #: Benchmark words in one broadcast (17 bytes each with their index); more go in further blocks.
 BLOCK_WORDS = 1_000_000
 SCHEMA = "doc_id long, item_id long, doc_word long, item_word long, words long, matched long"
@@ -79,14 +81,31 @@ class Index:
         return np.concatenate(here), np.concatenate(there)
 
 
-def best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
-    """Begin, length and equal words of the best run of ``equal`` (a match is worth
-    1, a miss -2); the first if there are several."""
-    total = np.concatenate(([0], np.cumsum(np.where(equal, 1, -2))))
-    least = np.minimum.accumulate(total)
-    end = int(np.argmax(total - least))
-    begin = int(np.flatnonzero(total[: end + 1] == least[end])[-1])
-    return begin, end - begin, int(equal[begin:end].sum())
+def best_stretch(equal: np.ndarray, least: int = 0) -> tuple[int, int, int]:
+    """Begin, length and equal words of the stretch of ``equal`` with most equal words
+    among all that hold at least ``least`` and the share MIN_SHARE; the shortest, then
+    the first, if there are several; (0, 0, 0) if there is none.
+
+    A match is worth 1 and a miss -MIN_SHARE / (1 - MIN_SHARE), so the share holds
+    where the sum is 0 or more. For each end the stretch reaches back to the first
+    begin whose prefix sum is no higher; a stretch with most equal words begins and
+    ends with one."""
+    hits = np.flatnonzero(equal)
+    if not len(hits) or len(hits) < least:
+        return 0, 0, 0
+    total = np.concatenate(([0], np.cumsum(np.where(equal, 1, -MISS))))
+    # lowest prefix sum up to each begin: it never rises, so the first one low enough is found by halving
+    low = np.minimum.accumulate(total[hits])
+    first = np.searchsorted(-low, -total[hits + 1], "left")
+    matched = np.arange(len(hits)) - first + 1
+    most = int(matched.max())
+    if most < max(1, least):
+        return 0, 0, 0
+    ends = np.flatnonzero(matched == most)
+    length = hits[ends] + 1 - hits[first[ends]]
+    end = ends[int(np.argmin(length))]
+    begin = int(hits[first[end]])
+    return begin, int(hits[end]) + 1 - begin, most
 
 
 def overlaps(texts: list[bytes], index: Index) -> Iterator[tuple[int, int, int, int, int, int]]:
@@ -102,9 +121,9 @@ def overlaps(texts: list[bytes], index: Index) -> Iterator[tuple[int, int, int,
         high = min(index.bounds[i + 1], bounds[t + 1] - shift)
         if high <= low:
             continue
-        begin, n, matched = best_stretch(index.words[low:high] == words[low + shift : high + shift])
         whole = index.bounds[i + 1] - index.bounds[i]
-        if matched >= min(MIN_WORDS, whole) and matched >= MIN_SHARE * n:
+        begin, n, matched = best_stretch(index.words[low:high] == words[low + shift : high + shift], min(MIN_WORDS, whole))
+        if matched:
             yield t, i, int(low + begin + shift - bounds[t]), int(low + begin - index.bounds[i]), n, matched
 
 

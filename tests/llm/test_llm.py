@@ -442,6 +442,24 @@ def test_blocks_of_the_benchmark(spark, monkeypatch):
     assert got >= {(i + 1, i) for i in range(5)}
 
 
+def test_stretches_equal_brute_force():
+    rng = np.random.default_rng(11)
+    for _ in range(400):
+        equal = rng.random(rng.integers(1, 60)) < rng.choice([0.6, 0.75, 0.85])
+        every = [(int(equal[b:e].sum()), b - e, -b) for b in range(len(equal)) for e in range(b + 1, len(equal) + 1) if 5 * equal[b:e].sum() >= 4 * (e - b)]
+        most, length, begin = max((x for x in every if x[0] >= 5), default=(0, 0, 0))
+        assert decontaminate.best_stretch(equal, 5) == (-begin, -length, most)
+
+
+def test_overlaps_beside_worse_words(spark):
+    item = prose(51).split()
+    doc = ["zzz" if i in range(13, 19) or i in range(32, 38) else word for i, word in enumerate(item)]
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    rows = decontaminate.contaminated(documents(spark, [" ".join(doc)]), bench).collect()
+    assert [(r["doc_word"], r["words"], r["matched"]) for r in rows] == [(0, 32, 26)]
+    assert decontaminate.without_leaks(documents(spark, [" ".join(doc)]), bench).count() == 0
+
+
 # --- pipeline
 
 
