@@ -237,9 +237,9 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Learns from the labels of at most TRAINING_ROWS rows of ``docs`` that are not
+    """Learns from the labels of at most TRAINING_ROWS doc_ids of ``docs`` that are not
     held out. A doc_id labelled twice is toxic if any label says so; null labels are
-    left out. The letter statistics cover all of ``docs``."""
+    left out; the rows of a repeated doc_id count as one in the calibration. The letter statistics cover all of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     marks = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
     sample = marks.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAINING_ROWS).collect()
@@ -253,13 +253,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         scorer = Scorer(lm, weights)
         for batch in batches:
             texts = zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True)
-            rows = [(*scorer.of(text.as_py()), float(marks[i])) for i, text in texts if i in marks]
+            rows = [(i, *scorer.of(text.as_py())) for i, text in texts if i in marks]
             columns = zip(*rows, strict=True) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in columns], [*INPUTS, "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), *[pa.float64()] * 3), strict=True)], ["doc_id", *INPUTS])
 
-    # repeated rows could pass the bound, so it is stated again
-    sample = docs.mapInArrow(inputs, "top double, total double, size double, toxic double").orderBy(*INPUTS, "toxic").limit(2 * TRAINING_ROWS).collect()
-    rows = np.array(sample, float).reshape(-1, len(INPUTS) + 1)
+    # one row for each id, the mean of its rows: repeated rows weigh no more, and none is left out
+    each = docs.mapInArrow(inputs, "doc_id long, top double, total double, size double").groupBy("doc_id").agg(*(F.avg(c).alias(c) for c in INPUTS)).collect()
+    rows = np.array(sorted((*row[1:], marks[row[0]]) for row in each), float).reshape(-1, len(INPUTS) + 1)
     return Model(lm, weights, calibrate(rows[:, :-1], rows[:, -1]).tolist())
 
 

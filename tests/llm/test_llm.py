@@ -400,6 +400,17 @@ def test_held_out_accuracy(spark):
     assert sum(r["predicted"] == truth[r["doc_id"]] for r in out) >= 0.97 * len(out)
 
 
+def test_repeated_rows_do_not_crowd_out(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TRAINING_ROWS", 100)
+    ids = [i for i in range(1, 200) if zlib.crc32(str(i).encode()) % 5][:100]
+    texts = {i: prose(30) + (" stupid idiot" if n % 4 == 0 else "") for n, i in enumerate(ids)}
+    rows = [*texts.items(), *[(ids[1], texts[ids[1]])] * 400]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(n % 4 == 0)) for n, i in enumerate(ids)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(docs, labels).collect()}
+    assert got == {i: int(n % 4 == 0) for n, i in enumerate(ids)}
+
+
 def test_no_labels_or_documents(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r["predicted"] for r in toxicity.score_toxicity(documents(spark, CORPUS[:3]), labels).collect()} == {0}
