@@ -2,15 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-
-from ..plans.engine import Plan
-
-#: Headers that never hold a strategy's results.
-NOT_SLEEVES = frozenset(
-    "trade number,trade_number,trade,instrument,account,strategy,market pos.,qty,entry price,exit price,entry time,exit time,entry name,exit name,profit,cum. net profit,commission,mae,mfe,etd,bars,date,time".split(",")
-)
-
+from ..plans.engine import SPARK, Plan
 
 def _parsed(dialect: str) -> str:
     if dialect == "spark":
@@ -30,7 +22,21 @@ def _numeric(d: str) -> str:
     return _parsed(d) + ", f AS (SELECT pnl FROM p ORDER BY event_id LIMIT 50)"
 
 
+def _times(d: str) -> str:
+    """ISO text, milliseconds since 1970, or American dates; null for anything else."""
+    if d == SPARK:
+        american = ", ".join(f"try_to_timestamp(x, '{f}')" for f in ("M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy"))
+        value = f"CASE WHEN x RLIKE '^-?[0-9]+$$' THEN timestamp_millis(try_cast(x AS BIGINT)) WHEN x LIKE '%/%' THEN coalesce({american}) ELSE try_cast(x AS TIMESTAMP) END"
+        text = f"date_format({value}, 'yyyy-MM-dd HH:mm:ss')"
+    else:
+        american = "try_strptime(x, ['%m/%d/%Y %H:%M:%S', '%m/%d/%Y %H:%M', '%m/%d/%Y'])"
+        value = f"CASE WHEN regexp_matches(x, '^-?[0-9]+$$') THEN make_timestamp(TRY_CAST(x AS BIGINT) * 1000) WHEN x LIKE '%/%' THEN {american} ELSE TRY_CAST(rtrim(x, 'Z') AS TIMESTAMP) END"
+        text = f"strftime({value}, '%Y-%m-%d %H:%M:%S')"
+    return f"WITH c AS (SELECT event_id, trim(raw) AS x FROM $times) SELECT event_id, {text} AS ts FROM c"
+
+
 PLANS = {
+    "parse_timestamp": Plan(_times, {"times": "times"}),
     "parse_financial": Plan(lambda d: f"WITH {_parsed(d)} SELECT event_id, pnl FROM p", RAW),
     "row_filter": Plan(lambda d: f"WITH {_parsed(d)} SELECT row_number() OVER (PARTITION BY instrument ORDER BY event_id) - 1 AS trade_idx, instrument, event_id, pnl FROM p WHERE pnl IS NOT NULL".replace("row_number() OVER (PARTITION BY instrument ORDER BY event_id) - 1", "CAST(row_number() OVER (PARTITION BY instrument ORDER BY event_id) - 1 AS BIGINT)"), RAW),
     "parse_boolean": Plan(f"WITH b AS (SELECT event_id, {FLAG} AS flag FROM $raw) SELECT event_id, coalesce(flag, -1) AS flag, CASE WHEN coalesce(flag, 0) = 1 THEN 'In regime' ELSE 'Out of regime' END AS label FROM b", RAW),
@@ -42,26 +48,3 @@ PLANS = {
     "return_series": Plan("WITH t AS (SELECT series_id, trade_idx, pnl FROM $trades) SELECT series_id, trade_idx, round(1 + pnl / 100, 8) AS pct, round(1 + pnl, 6) AS mult, round(pnl, 6) AS absolute, round(pnl * 2 - CAST('2.5' AS DOUBLE), 6) AS scaled_net FROM t"),
     "slippage": Plan("WITH v AS (SELECT series_id, coalesce(stddev_samp(pnl), 0) AS vol FROM $trades GROUP BY series_id), s AS (SELECT t.series_id, trade_idx, pnl, greatest(vol, CAST('1e-12' AS DOUBLE)) AS s, vol FROM $trades t JOIN v ON t.series_id = v.series_id) SELECT series_id, trade_idx, CAST(0 AS DOUBLE) AS none, CAST('5.25' AS DOUBLE) AS fixed, round(greatest(CAST(0 AS DOUBLE), CAST('0.1' AS DOUBLE) * s * sqrt(CAST(4 AS DOUBLE)) * (abs(pnl) / (abs(pnl) + s))), 8) AS sqrt_impact, round(CASE WHEN vol > 0 THEN CAST('2.5' AS DOUBLE) * (1 + abs(pnl) / vol * CAST('0.1' AS DOUBLE)) ELSE CAST('2.5' AS DOUBLE) END, 8) AS linear_impact FROM s"),
 }
-
-
-def find_column(df: DataFrame, *candidates: str) -> str | None:
-    """The column whose trimmed name equals a candidate, whatever its case; earlier
-    candidates first."""
-    names = {c.strip().lower(): c for c in reversed(df.columns)}
-    return next((names[c.lower()] for c in candidates if c.lower() in names), None)
-
-
-def is_platform_grid(df: DataFrame) -> bool:
-    """Whether the header is that of a trading platform's export."""
-    return bool(find_column(df, "profit") and find_column(df, "instrument") and find_column(df, "trade number", "entry time"))
-
-
-def sleeves_from_columns(df: DataFrame, order: str, columns: list[str]) -> DataFrame:
-    """A wide table with a strategy in each of ``columns`` as (series_id, trade_idx,
-    pnl): rows without a value close up."""
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
-
-    long = df.unpivot([order], columns, "series_id", "pnl").where(F.col("pnl").isNotNull() & ~F.isnan(F.col("pnl").cast("double")))
-    rank = F.row_number().over(Window.partitionBy("series_id").orderBy(order)) - 1
-    return long.select("series_id", rank.cast("long").alias("trade_idx"), F.col("pnl").cast("double").alias("pnl"))

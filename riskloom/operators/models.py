@@ -6,10 +6,13 @@ from dataclasses import replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .simulate import DRAWS_AT_ONCE, SUMMARY, Config, Kernel, block_bootstrap, bootstrap, copula, garch, parametric, paths_of, permutation, regime_switching, simulate
+from ..sources.shared import shared
+from . import portfolio
+from .portfolio import cholesky, repaired
+from .simulate import DRAWS_AT_ONCE, SUMMARY, Config, Kernel, block_bootstrap, bootstrap, copula, garch, parametric, paths_of, permutation, reduce_paths, regime_switching
 
 #: Tasks that share the paths of one series.
 PARTS = 16
@@ -32,7 +35,7 @@ def fit_garch(frame: pd.DataFrame) -> pd.DataFrame:
     the best neighbour while that improves. Short series keep a plain fallback."""
     x = frame.sort_values("trade_idx")["pnl"].to_numpy(float)
     mu, v = x.mean() if len(x) else 0.0, x.var(ddof=1) if len(x) > 1 else 0.0
-    row = {"series_id": frame["series_id"].iloc[0], "n": len(x), "mu": mu, "omega": 0.1 * v, "alpha": 0.1, "beta": 0.8, "log_likelihood": np.nan}
+    row = {"series_id": frame["series_id"].iloc[0], "n": len(x), "df": fitted_df(x), "mu": mu, "omega": 0.1 * v, "alpha": 0.1, "beta": 0.8, "log_likelihood": np.nan}
     if len(x) >= 20 and v > 0:
         e2 = (x - mu) ** 2
         a, b = (g.ravel() for g in np.meshgrid(GRID_ALPHA, GRID_BETA))
@@ -55,10 +58,37 @@ def fit_garch(frame: pd.DataFrame) -> pd.DataFrame:
 
 def garch_models(trades: DataFrame) -> DataFrame:
     """A GARCH fit for each series; one group a series, so many fit at once."""
-    schema = "series_id string, n long, mu double, omega double, alpha double, beta double, log_likelihood double"
+    schema = "series_id string, n long, df double, mu double, omega double, alpha double, beta double, log_likelihood double"
     return trades.select("series_id", "trade_idx", "pnl").groupBy("series_id").applyInPandas(fit_garch, schema)
 
 
+GRID_DF = np.arange(1.0, 30.5, 0.5)
+
+
+def fitted_df(x: np.ndarray) -> float | None:
+    """Degrees of freedom of the Student law that fits ``x`` best; None if a normal law
+    fits better (by BIC), or ``x`` does not vary."""
+    from math import lgamma, log, pi
+
+    n, mu, sd = len(x), x.mean() if len(x) else 0.0, x.std() if len(x) else 0.0
+    if n < 3 or sd <= 1e-10:
+        return None
+    z2, best = ((x - mu) / sd) ** 2, (-np.inf, None)
+    normal = -0.5 * n * (log(2 * pi) + 2 * log(sd) + 1)
+    for df in GRID_DF:
+        ratio = (df - 2) / df if df > 2 else 1.0
+        head = lgamma((df + 1) / 2) - lgamma(df / 2) - 0.5 * log(df * pi) - log(sd) - 0.5 * log(ratio)
+        total = n * head - (df + 1) / 2 * np.log1p(z2 / (ratio * df)).sum()
+        best = max(best, (total, float(df)), key=lambda b: b[0])
+    return best[1] if -2 * best[0] + 3 * log(n) < -2 * normal + 2 * log(n) else None
+
+
+def _parametric(pool: np.ndarray) -> Kernel:
+    df = fitted_df(pool)
+    scale = np.sqrt((df - 2) / df) if df is not None and df > 2 else 1.0
+    return parametric(pool.mean(), pool.std() * scale, df)
+
+
 def transition_matrix(labels: list[str], order: list[str]) -> np.ndarray:
     at = {r: i for i, r in enumerate(order)}
     counts = np.zeros((len(order), len(order)))
@@ -74,7 +104,7 @@ def _kernel(past: pd.DataFrame, model: str) -> Kernel:
         order = list(dict.fromkeys(past["regime"]))
         pools = {r: pool[(past["regime"] == r).to_numpy()] for r in order}
         return regime_switching(pools, transition_matrix(past["regime"].tolist(), order))
-    return {"bootstrap": lambda: bootstrap(pool), "permutation": lambda: permutation(pool), "blocks": lambda: block_bootstrap(pool, 5), "parametric": lambda: parametric(pool.mean(), pool.std(), None)}[model]()
+    return {"bootstrap": lambda: bootstrap(pool), "permutation": lambda: permutation(pool), "blocks": lambda: block_bootstrap(pool, 5), "parametric": lambda: _parametric(pool)}[model]()
 
 
 def simulate_history(trades: DataFrame, model: str, config: Config) -> DataFrame:
@@ -88,7 +118,7 @@ def simulate_history(trades: DataFrame, model: str, config: Config) -> DataFrame
         series, part = key
         if model == "garch":
             fit = past.iloc[0]
-            kernel, n = garch(fit.omega, fit.alpha, fit.beta, fit.mu), int(fit.n)
+            kernel, n = garch(fit.omega, fit.alpha, fit.beta, fit.mu, None if pd.isna(fit.df) else float(fit.df)), int(fit.n)
         else:
             past = past.sort_values("trade_idx")
             kernel, n = _kernel(past, model), len(past)
@@ -99,41 +129,124 @@ def simulate_history(trades: DataFrame, model: str, config: Config) -> DataFrame
     return rows.crossJoin(F.broadcast(each)).groupBy("series_id", "part").applyInPandas(run, f"series_id string, {SUMMARY}")
 
 
-def simulate_portfolio(trades: DataFrame, config: Config, df: float | None = None) -> DataFrame:
-    """Reduced paths of all series together, equally weighted, under a copula; as long as
-    the longest series, unless ``config`` names the steps."""
-    wide = trades.groupBy("trade_idx").pivot("series_id").agg(F.first("pnl")).orderBy("trade_idx").drop("trade_idx").toPandas()
-    filled = wide.fillna(0.0).to_numpy(float)
-    matrix = np.nan_to_num(np.corrcoef(filled.T))
-    np.fill_diagonal(matrix, 1.0)
-    pools = [wide[c].dropna().to_numpy(float) for c in wide]
-    return simulate(trades.sparkSession, copula(pools, matrix, np.full(len(pools), 1 / len(pools)), df), replace(config, steps=config.steps or len(wide)))
-
-
-def position_size(trades: DataFrame, config: Config, scales: tuple[float, ...] = (0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)) -> DataFrame:
-    """Risk of each series at each scale, all from one job: ruin below 2 %, CVaR95 at
-    least -0.3 of the capital, spread below 1.5 times the mean. The largest scale that
-    passes, with all below it, is the size to trade."""
-    n, floor = config.paths, config.capital * (1 - config.ruin_percent / 100)
+#: Strategies of a portfolio whose correlations, one number a pair, are held on the driver.
+MOST_STRATEGIES = 512
+
+
+def _matrix(rows: list, names: list[str]) -> np.ndarray:
+    at, out = {x: i for i, x in enumerate(names)}, np.eye(len(names))
+    for r in rows:
+        out[at[r["i"]], at[r["j"]]] = out[at[r["j"]], at[r["i"]]] = r["value"]
+    return cholesky(repaired(out))
+
+
+def simulate_portfolio(trades: DataFrame, config: Config, df: float | None = None, dynamic: bool = False) -> DataFrame:
+    """Reduced paths of all series together under a copula, ``dynamic`` for one whose
+    correlations follow a Markov chain of regimes; as long as the longest series, unless
+    ``config`` names the steps.
+
+    Only the correlations reach the driver. Ranks are drawn for some paths a task and
+    joined with the trades, numbered by size within their series, so no task and not the
+    driver holds a history."""
+    spark = trades.sparkSession
+    trades = trades.select("series_id", "trade_idx", "pnl")
+    names = sorted(r[0] for r in trades.select("series_id").distinct().limit(MOST_STRATEGIES + 1).collect())
+    if not 2 <= len(names) <= MOST_STRATEGIES:
+        raise ValueError(f"a portfolio has 2 to {MOST_STRATEGIES} strategies")
+    initial = transitions = None
+    if dynamic:
+        model = portfolio.PLANS["dynamic_copula_model"].run(spark, trades=trades).collect()
+        regimes = sorted(r["regime"] for r in model if r["kind"] == "initial")
+        low = {x: _matrix([r for r in model if r["kind"] == "correlation" and r["regime"] == x], names) for x in regimes}
+        initial = np.array([next(r["value"] for r in model if r["kind"] == "initial" and r["regime"] == x) for x in regimes])
+        transitions = np.array([[next(r["value"] for r in model if r["kind"] == "transition" and (r["regime"], r["i"]) == (x, y)) for y in regimes] for x in regimes])
+    else:
+        low = {"all": _matrix([{"i": r["i"], "j": r["j"], "value": r["rho"]} for r in portfolio.PLANS["correlation_matrix"].run(spark, trades=trades).collect()], names)}
+    steps = config.steps or trades.agg(F.countDistinct("trade_idx")).first()[0]
+    kernel = copula(low, df, initial, transitions)
+
+    def ranks(frames):
+        for frame in frames:
+            for sim in frame["id"]:
+                u = kernel(np.random.Generator(np.random.Philox(key=[config.seed, int(sim)])), steps)
+                for j, name in enumerate(names):
+                    yield pd.DataFrame({"sim_id": sim, "t": np.arange(steps), "series_id": name, "u": u[:, j]})
+
+    drawn = spark.range(config.paths).mapInPandas(ranks, "sim_id long, t long, series_id string, u double")
+    own = Window.partitionBy("series_id")
+    pools = trades.select("series_id", "pnl", (F.row_number().over(own.orderBy("pnl", "trade_idx")) - 1).cast("long").alias("idx"))
+    sizes = trades.groupBy("series_id").agg(F.count("*").alias("n"))
+    placed = drawn.join(F.broadcast(sizes), "series_id").select("sim_id", "t", "series_id", F.least(F.col("n") - 1, F.floor(F.col("u") * F.col("n"))).alias("idx"))
+    steps_of = placed.join(pools, ["series_id", "idx"]).groupBy("sim_id", "t").agg(F.sum("pnl").alias("pnl"))
+
+    def reduce(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("t")
+        balance = config.capital + np.concatenate(([0.0], np.cumsum(frame["pnl"].to_numpy(float))))
+        return reduce_paths(frame["sim_id"].to_numpy()[:1], balance[None, :], config)
+
+    return steps_of.groupBy("sim_id").applyInPandas(reduce, SUMMARY)
+
+
+#: Scales to search between, and halvings of what is between them.
+LEAST_SCALE, HALVINGS = 0.05, 12
+
+
+def _probe(trades: DataFrame, scales: DataFrame, config: Config) -> DataFrame:
+    """Risk of each series at its scale, over parametric paths dealt to PARTS tasks."""
+    floor = config.capital * (1 - config.ruin_percent / 100)
+    parts = min(PARTS, config.paths)
 
     def run(key: tuple, past: pd.DataFrame) -> pd.DataFrame:
-        series, scale = key
-        pool = past.sort_values("trade_idx")["pnl"].to_numpy(float)
-        steps = config.steps or len(pool)
-        size = max(1, min(1024, DRAWS_AT_ONCE // steps))
-        rng = np.random.Generator(np.random.Philox(key=[config.seed, 7]))
-        end, ruined = [], []
-        for at in range(0, n, size):
-            paths = config.capital + np.cumsum(scale * pool[rng.integers(0, len(pool), (min(size, n - at), steps))], axis=1)
-            end.append(paths[:, -1] - config.capital)
-            ruined.append((paths <= floor).any(1))
-        end, ruined = np.sort(np.concatenate(end)), np.concatenate(ruined)
-        tail = end[: max(1, int(n * (1 - 0.95)))].mean()
-        good = ruined.mean() < 0.02 and tail >= -0.3 * config.capital and end.std(ddof=1) < 1.5 * max(abs(end.mean()), 1)
-        return pd.DataFrame([{"series_id": series, "scale": scale, "ruin_percent": 100 * ruined.mean(), "cvar95": tail, "mean": end.mean(), "std": end.std(ddof=1), "passes": bool(good)}])
-
-    each = trades.sparkSession.createDataFrame([(float(x),) for x in scales], "scale double")
-    return trades.select("series_id", "trade_idx", "pnl").crossJoin(F.broadcast(each)).groupBy("series_id", "scale").applyInPandas(run, "series_id string, scale double, ruin_percent double, cvar95 double, mean double, std double, passes boolean")
+        series, part = key
+        pool, scale = past.sort_values("trade_idx")["pnl"].to_numpy(float), float(past["scale"].iloc[0])
+        kernel, steps = _parametric(scale * pool), config.steps or len(pool)
+        ids, out = np.arange(part, config.paths, parts), []
+        size = max(1, DRAWS_AT_ONCE // max(1, steps))
+        for at in range(0, len(ids), size):
+            draws = np.stack([kernel(np.random.Generator(np.random.Philox(key=[config.seed, int(i)])), steps) for i in ids[at : at + size]])
+            balance = config.capital + np.cumsum(draws, axis=1)
+            out.append(pd.DataFrame({"pnl": balance[:, -1] - config.capital, "ruined": (balance <= floor).any(1)}))
+        return pd.concat(out).assign(series_id=series)
+
+    each = trades.sparkSession.range(parts).withColumnRenamed("id", "part")
+    ends = trades.join(scales.select("series_id", "scale"), "series_id").crossJoin(F.broadcast(each)).groupBy("series_id", "part").applyInPandas(run, "series_id string, pnl double, ruined boolean")
+    ranked = ends.withColumn("r", F.row_number().over(Window.partitionBy("series_id").orderBy("pnl")))
+    tail = max(1, int(config.paths * (1 - 0.95)))
+    risk = ranked.groupBy("series_id").agg((100 * F.avg(F.col("ruined").cast("double"))).alias("ruin_percent"), F.avg(F.when(F.col("r") <= tail, F.col("pnl"))).alias("cvar95"), F.avg("pnl").alias("mean"), F.coalesce(F.stddev_samp("pnl"), F.lit(0.0)).alias("std"))
+    good = (F.col("ruin_percent") < 2) & (F.col("cvar95") >= -0.3 * config.capital) & (F.col("std") < 1.5 * F.greatest(F.abs("mean"), F.lit(1.0)))
+    return risk.withColumn("passes", good)
+
+
+def position_size(trades: DataFrame, config: Config, halvings: int = HALVINGS) -> DataFrame:
+    """The largest scale from LEAST_SCALE to 1 at which each series keeps its guardrails
+    (ruin below 2 %, CVaR95 at least -0.3 of the capital, spread below 1.5 times the
+    mean), and its risk there: full size if that keeps them, LEAST_SCALE with ``passes``
+    false if not even that does, else found by halving.
+
+    All series are searched side by side; what is known of each stays on Spark, and only
+    whether any is still open reaches the driver."""
+    trades = trades.select("series_id", "trade_idx", "pnl")
+    risks = ("ruin_percent", "cvar95", "mean", "std", "passes")
+    ids = trades.select("series_id").distinct()
+    full = _probe(trades, ids.withColumn("scale", F.lit(1.0)), config).withColumn("scale", F.lit(1.0))
+    done, left = _split(full.select("series_id", "scale", *risks))
+    least = _probe(trades.join(left.select("series_id"), "series_id", "left_semi"), left.select("series_id").withColumn("scale", F.lit(LEAST_SCALE)), config)
+    state = shared(least.withColumn("scale", F.lit(LEAST_SCALE)).select("series_id", "scale", *risks))
+    never, state = state.where("not passes"), state.where("passes").withColumn("low", F.lit(LEAST_SCALE)).withColumn("high", F.lit(1.0))
+    state = shared(state)
+    for _ in range(halvings if not state.isEmpty() else 0):
+        middle = state.select("series_id", ((F.col("low") + F.col("high")) / 2).alias("scale"))
+        found = _probe(trades.join(middle.select("series_id"), "series_id", "left_semi"), middle, config).join(middle, "series_id")
+        found = found.select("series_id", *(F.col(c).alias(f"new_{c}") for c in ("scale", *risks)))
+        better = F.col("new_passes")
+        chosen = [F.when(better, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in ("scale", *risks)]
+        state = shared(state.join(found, "series_id").select("series_id", *chosen, F.when(better, F.col("new_scale")).otherwise(F.col("low")).alias("low"), F.when(better, F.col("high")).otherwise(F.col("new_scale")).alias("high")))
+    return done.unionByName(never).unionByName(state.select("series_id", "scale", *risks))
+
+
+def _split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    df = shared(df)
+    return df.where("passes"), df.where("not passes")
 
 
 __all__ = ["SUMMARY", "garch_models", "position_size", "simulate_history", "simulate_portfolio"]

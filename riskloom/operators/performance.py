@@ -5,6 +5,8 @@ from __future__ import annotations
 from ..plans.engine import Plan
 
 CAPITAL, PERIODS = 10000, 252
+#: What one is in a multiplicative result: a result of as much doubles the balance.
+UNIT = 100000
 
 #: Equity from the starting capital (t = 0) on, and its running peak.
 EQUITY = f"""
@@ -64,29 +66,36 @@ PERIODS_CTE = """, mark AS (
 )"""
 
 WINDOW, THRESHOLD = 20, 50
+#: Trades before the last one of the worst window.
+SPAN = 9
 #: Rows of a block of the variance recursion, and blocks back to which a weight is above 0: 0.9^7168 is 0 in a double.
 BLOCK, BLOCKS = 512, 15
 
+#: CTE ``sg``: whether the last pairs of neighbours before each trade correlate.
+AUTOCORRELATED = """sp0 AS (SELECT series_id, trade_idx, pnl AS y, lag(pnl) OVER (PARTITION BY series_id ORDER BY trade_idx) AS x FROM $trades),
+sm0 AS (SELECT series_id, trade_idx, count(x) OVER w AS n, sum(x) OVER w AS sx, sum(y) OVER w AS sy, sum(x * x) OVER w AS sxx, sum(y * y) OVER w AS syy, sum(x * y) OVER w AS sxy FROM sp0 WINDOW w AS (PARTITION BY series_id ORDER BY trade_idx ROWS BETWEEN 18 PRECEDING AND CURRENT ROW)),
+sr0 AS (SELECT series_id, trade_idx, CASE WHEN n * sxx - sx * sx > 0 AND n * syy - sy * sy > 0 THEN (n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)) ELSE 0 END AS rho FROM sm0),
+sg AS (SELECT series_id, trade_idx, CASE WHEN trade_idx >= 19 AND abs(rho) >= CAST(0.35 AS DOUBLE) THEN 'clustered' ELSE 'dispersed' END AS segment FROM sr0)"""
+
 PLANS = {
     "historical_stats": Plan(stats()),
     "historical_stats_by_regime": Plan(stats("series_id, regime"), {"trades": "single"}),
     "preview_stats": Plan(stats()),
     "equity_curve": Plan(f"WITH {EQUITY} SELECT series_id, t, round(equity, 4) AS equity FROM pk"),
     "running_drawdown": Plan(f"WITH {EQUITY} SELECT series_id, t, round(peak, 4) AS peak, round(CASE WHEN peak > 0 THEN (peak - equity) / peak ELSE 0 END, 8) AS drawdown, round(least(CAST(1 AS DOUBLE), (peak - equity) / greatest(peak, CAST('1e-8' AS DOUBLE))), 8) AS capped FROM pk"),
-    "equity_curve_multiplicative": Plan("WITH g AS (SELECT series_id, trade_idx, sum(ln(1 + pnl / CAST(100000 AS DOUBLE))) OVER (PARTITION BY series_id ORDER BY trade_idx ROWS UNBOUNDED PRECEDING) AS l FROM $trades) SELECT series_id, trade_idx + 1 AS t, round(CAST(10000 AS DOUBLE) * exp(l), 4) AS equity FROM g"),
+    "equity_curve_multiplicative": Plan(f"""WITH f AS (SELECT series_id, trade_idx, 1 + pnl / CAST({UNIT} AS DOUBLE) AS f FROM $trades),
+g AS (SELECT series_id, trade_idx, sum(CASE WHEN f <> 0 THEN ln(abs(CASE WHEN f <> 0 THEN f ELSE 1 END)) ELSE 0 END) OVER w AS l, sum(CASE WHEN f < 0 THEN 1 ELSE 0 END) OVER w AS minus, sum(CASE WHEN f = 0 THEN 1 ELSE 0 END) OVER w AS nothing FROM f WINDOW w AS (PARTITION BY series_id ORDER BY trade_idx ROWS UNBOUNDED PRECEDING))
+SELECT series_id, trade_idx + 1 AS t, round(CASE WHEN nothing > 0 THEN 0 WHEN minus % 2 = 1 THEN -{CAPITAL} * exp(l) ELSE {CAPITAL} * exp(l) END, 4) AS equity FROM g"""),
     "loss_streaks": Plan("WITH x AS (SELECT series_id, trade_idx, pnl, trade_idx - row_number() OVER (PARTITION BY series_id, CASE WHEN pnl < 0 THEN 1 ELSE 0 END ORDER BY trade_idx) AS island FROM $trades) SELECT series_id, min(trade_idx) AS first_idx, count(*) AS length, round(sum(pnl), 4) AS pnl FROM x WHERE pnl < 0 GROUP BY series_id, island"),
     "rolling_win_rate": Plan(f"WITH w AS (SELECT series_id, trade_idx, avg(CASE WHEN pnl > 0 THEN CAST(1 AS DOUBLE) ELSE 0 END) OVER (PARTITION BY series_id ORDER BY trade_idx ROWS BETWEEN {WINDOW} PRECEDING AND 1 PRECEDING) AS v FROM $trades) SELECT series_id, trade_idx, round(CASE WHEN trade_idx >= {WINDOW} THEN v ELSE 0 END, 6) AS win_rate FROM w"),
     "auto_regime": Plan(f"""WITH w AS (SELECT series_id, trade_idx, avg(CASE WHEN pnl > 0 THEN CAST(1 AS DOUBLE) ELSE 0 END) OVER (PARTITION BY series_id ORDER BY trade_idx ROWS BETWEEN {WINDOW} PRECEDING AND 1 PRECEDING) AS v FROM $trades),
 s AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY v, trade_idx) - 1 AS r, count(*) OVER (PARTITION BY series_id) AS n FROM w WHERE trade_idx >= {WINDOW}),
 c AS (SELECT series_id, v AS cutoff FROM s WHERE r = least(n - 1, CAST(floor(n * (CAST({THRESHOLD} AS DOUBLE) / 100)) AS BIGINT)))
-SELECT w.series_id, trade_idx, CASE WHEN trade_idx >= {WINDOW} AND v >= cutoff THEN 'Clustered' ELSE 'Dispersed' END AS regime FROM w JOIN c ON w.series_id = c.series_id"""),
-    "regime_segments": Plan("""WITH p AS (SELECT series_id, trade_idx, pnl AS y, lag(pnl) OVER (PARTITION BY series_id ORDER BY trade_idx) AS x FROM $trades),
-m AS (SELECT series_id, trade_idx, count(x) OVER w AS n, sum(x) OVER w AS sx, sum(y) OVER w AS sy, sum(x * x) OVER w AS sxx, sum(y * y) OVER w AS syy, sum(x * y) OVER w AS sxy FROM p WINDOW w AS (PARTITION BY series_id ORDER BY trade_idx ROWS BETWEEN 18 PRECEDING AND CURRENT ROW)),
-r AS (SELECT series_id, trade_idx, CASE WHEN n * sxx - sx * sx > 0 AND n * syy - sy * sy > 0 THEN (n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)) ELSE 0 END AS rho FROM m)
-SELECT series_id, trade_idx, CASE WHEN trade_idx >= 19 AND abs(rho) >= CAST(0.35 AS DOUBLE) THEN 'clustered' ELSE 'dispersed' END AS segment FROM r"""),
+SELECT w.series_id, trade_idx, CASE WHEN trade_idx >= {WINDOW} AND v >= coalesce(cutoff, 0) THEN 'Clustered' ELSE 'Dispersed' END AS regime FROM w LEFT JOIN c ON w.series_id = c.series_id"""),
+    "regime_segments": Plan(f"WITH {AUTOCORRELATED} SELECT series_id, trade_idx, segment FROM sg"),
     "drawdown_periods": Plan(f"WITH {EQUITY}{PERIODS_CTE} SELECT series_id, start_t, end_t, round(depth, 8) AS depth, end_t - start_t AS duration, recovered FROM periods"),
-    "time_under_water": Plan(f"WITH {EQUITY}{PERIODS_CTE} SELECT series_id, max(end_t - start_t) AS max_duration, round(coalesce(avg(CASE WHEN recovered = 1 THEN CAST(end_t - start_t AS DOUBLE) END), 0), 6) AS avg_duration, max(CASE WHEN recovered = 0 THEN end_t - start_t ELSE 0 END) AS current_duration, round(CAST(sum(end_t - start_t) AS DOUBLE) / greatest(1, max(last_t)), 8) AS share_under FROM periods GROUP BY series_id"),
-    "worst_window": Plan("WITH w AS (SELECT series_id, trade_idx, sum(pnl) OVER (PARTITION BY series_id ORDER BY trade_idx ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS s FROM $trades), r AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY round(s, 6), trade_idx) AS n FROM w WHERE trade_idx >= 9) SELECT series_id, trade_idx - 9 AS start_idx, round(s, 4) AS pnl FROM r WHERE n = 1"),
+    "time_under_water": Plan(f"WITH {EQUITY}{PERIODS_CTE}, u AS (SELECT series_id, max(end_t - start_t) AS longest, avg(CASE WHEN recovered = 1 THEN CAST(end_t - start_t AS DOUBLE) END) AS mean, max(CASE WHEN recovered = 0 THEN end_t - start_t ELSE 0 END) AS now, CAST(sum(end_t - start_t) AS DOUBLE) / greatest(1, max(last_t)) AS share FROM periods GROUP BY series_id) SELECT i.series_id, coalesce(longest, 0) AS max_duration, round(coalesce(mean, 0), 6) AS avg_duration, coalesce(now, 0) AS current_duration, round(coalesce(share, 0), 8) AS share_under FROM (SELECT DISTINCT series_id FROM $trades) i LEFT JOIN u ON u.series_id = i.series_id"),
+    "worst_window": Plan(f"WITH w AS (SELECT series_id, trade_idx, sum(pnl) OVER (PARTITION BY series_id ORDER BY trade_idx ROWS BETWEEN {SPAN} PRECEDING AND CURRENT ROW) AS s FROM $trades), r AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY round(s, 6), trade_idx) AS n FROM w WHERE trade_idx >= {SPAN}) SELECT i.series_id, trade_idx - {SPAN} AS start_idx, round(coalesce(s, 0), 4) AS pnl FROM (SELECT DISTINCT series_id FROM $trades) i LEFT JOIN r ON r.series_id = i.series_id AND r.n = 1"),
     "garch_variance": Plan(f"""WITH m AS (SELECT series_id, avg(pnl) AS mu, var_samp(pnl) AS v FROM $trades GROUP BY series_id),
 e AS (SELECT t.series_id, trade_idx, trade_idx % {BLOCK} AS p, trade_idx - trade_idx % {BLOCK} AS b0, v, CAST(0.02 AS DOUBLE) * v + CAST(0.08 AS DOUBLE) * (pnl - mu) * (pnl - mu) AS c FROM $trades t JOIN m ON t.series_id = m.series_id),
 bl AS (SELECT series_id, b0, sum(power(CAST(0.9 AS DOUBLE), {BLOCK} - 1 - p) * c) AS s FROM e GROUP BY series_id, b0),

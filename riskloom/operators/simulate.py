@@ -11,16 +11,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.engine import SPARK, Plan, numbers, xor
-from .performance import CAPITAL
-from .portfolio import cholesky, repaired
+from .performance import CAPITAL, PERIODS
 
 SEED, PATHS, RUIN_PERCENT = 42, 200, 50
 MASK = 4294967295
 LEVEL = f"(CAST({CAPITAL} AS DOUBLE) * (1 - CAST({RUIN_PERCENT} AS DOUBLE) / 100))"
 
 
-def uniform(d: str, source: str, k: str, keep: str) -> str:
-    """CTEs r0 to r5: a counter-based uniform ``u`` for draw ``k`` (from 1) of ``source``."""
+def uniform(d: str, source: str, k: str, keep: str, seed: int = SEED, tag: str = "") -> str:
+    """CTEs r0 to r5 (with ``tag`` before each): a counter-based uniform ``u`` for draw
+    ``k`` (from 1) of ``source``."""
 
     def shift(x: str, n: int) -> str:
         return f"shiftright({x}, {n})" if d == SPARK else f"({x} >> {n})"
@@ -28,12 +28,13 @@ def uniform(d: str, source: str, k: str, keep: str) -> str:
     def product(a: str, b: str) -> str:  # its low 32 bits, without passing 63
         return f"(({a} * ({b} & 65535) + ((({a} * ({shift(b, 16)} & 65535)) & 65535) * 65536)) & {MASK})"
 
-    return f"""r0 AS (SELECT {keep}, ({SEED} + (({k}) & {MASK}) * CAST(1831565813 AS BIGINT)) & {MASK} AS a0 FROM {source}),
-r1 AS (SELECT {keep}, {xor(d, "a0", shift("a0", 15))} AS x0, (a0 | 1) AS y0 FROM r0),
-r2 AS (SELECT {keep}, {product("x0", "y0")} AS h FROM r1),
-r3 AS (SELECT {keep}, h, {xor(d, "h", shift("h", 7))} AS x0, (h | 61) AS y0 FROM r2),
-r4 AS (SELECT {keep}, {xor(d, "((h + " + product("x0", "y0") + f") & {MASK})", "h")} AS h FROM r3),
-r5 AS (SELECT {keep}, {xor(d, "h", shift("h", 14))} / CAST(4294967296 AS DOUBLE) AS u FROM r4)"""
+    r = f"{tag}r"
+    return f"""{r}0 AS (SELECT {keep}, ({seed} + (({k}) & {MASK}) * CAST(1831565813 AS BIGINT)) & {MASK} AS a0 FROM {source}),
+{r}1 AS (SELECT {keep}, {xor(d, "a0", shift("a0", 15))} AS x0, (a0 | 1) AS y0 FROM {r}0),
+{r}2 AS (SELECT {keep}, {product("x0", "y0")} AS h FROM {r}1),
+{r}3 AS (SELECT {keep}, h, {xor(d, "h", shift("h", 7))} AS x0, (h | 61) AS y0 FROM {r}2),
+{r}4 AS (SELECT {keep}, {xor(d, "((h + " + product("x0", "y0") + f") & {MASK})", "h")} AS h FROM {r}3),
+{r}5 AS (SELECT {keep}, {xor(d, "h", shift("h", 14))} / CAST(4294967296 AS DOUBLE) AS u FROM {r}4)"""
 
 
 def grid(d: str) -> str:
@@ -42,7 +43,7 @@ def grid(d: str) -> str:
     return f"n AS (SELECT series_id, count(*) AS n FROM $pool GROUP BY series_id), g AS (SELECT p.series_id, n, s.i AS sim_id, p.trade_idx AS t FROM {numbers(d, PATHS)} s CROSS JOIN $pool p JOIN n ON n.series_id = p.series_id)"
 
 
-def _draw(d: str, how: str) -> str:
+def draw(d: str, how: str) -> str:
     """CTE ``dr``: (series_id, sim_id, t, idx), the history row that each step repeats."""
     head = grid(d) + ", " + uniform(d, "g", "sim_id * n + t + 1", "series_id, n, sim_id, t")
     if how == "bootstrap":  # coalesce: a join key that cannot be null gets no filter, into which Spark would copy all of r0 to r5
@@ -55,14 +56,15 @@ bf AS (SELECT series_id, sim_id, t, n, max(t0) OVER (PARTITION BY series_id, sim
 dr AS (SELECT bf.series_id, bf.sim_id, bf.t, (bl.s0 + bf.t - bf.t0) % bf.n AS idx FROM bf JOIN bl ON bf.series_id = bl.series_id AND bf.sim_id = bl.sim_id AND bf.t0 = bl.t)"""
 
 
-def _paths(d: str, how: str) -> str:
-    return _draw(d, how) + f""", pa AS (SELECT dr.series_id, sim_id, t + 1 AS t, p.pnl, CAST({CAPITAL} AS DOUBLE) + sum(p.pnl) OVER (PARTITION BY dr.series_id, sim_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS balance FROM dr JOIN $pool p ON p.series_id = dr.series_id AND p.trade_idx = dr.idx),
+def paths(d: str, how: str) -> str:
+    """CTEs ``pa``, ``pk`` and ``ps``: balances, with their peaks, and a row for each path."""
+    return draw(d, how) + f""", pa AS (SELECT dr.series_id, sim_id, t + 1 AS t, p.pnl, CAST({CAPITAL} AS DOUBLE) + sum(p.pnl) OVER (PARTITION BY dr.series_id, sim_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS balance FROM dr JOIN $pool p ON p.series_id = dr.series_id AND p.trade_idx = dr.idx),
 pk AS (SELECT *, greatest(CAST({CAPITAL} AS DOUBLE), max(balance) OVER (PARTITION BY series_id, sim_id ORDER BY t ROWS UNBOUNDED PRECEDING)) AS peak, max(t) OVER (PARTITION BY series_id, sim_id) AS last_t FROM pa),
 ps AS (SELECT series_id, sim_id, max(CASE WHEN t = last_t THEN balance END) AS final_balance, greatest(CAST(0 AS DOUBLE), max(least(CAST(1 AS DOUBLE), (peak - balance) / greatest(peak, CAST('1e-8' AS DOUBLE))))) AS max_drawdown, max(CASE WHEN balance <= {LEVEL} THEN 1 ELSE 0 END) AS ruined, max(last_t) AS steps FROM pk GROUP BY series_id, sim_id)"""
 
 
 def _summary(how: str) -> Plan:
-    return Plan(lambda d: f"WITH {_paths(d, how)} SELECT series_id, sim_id, round(final_balance, 4) AS final_balance, round(max_drawdown, 8) AS max_drawdown, ruined, round((final_balance - {CAPITAL}) / steps, 6) AS ev FROM ps", {"pool": "trades"})
+    return Plan(lambda d: f"WITH {paths(d, how)} SELECT series_id, sim_id, round(final_balance, 4) AS final_balance, round(max_drawdown, 8) AS max_drawdown, ruined, round((final_balance - {CAPITAL}) / steps, 6) AS ev FROM ps", {"pool": "trades"})
 
 
 def at(share: str) -> str:
@@ -73,29 +75,60 @@ LOW95, LOW99 = "(1 - CAST('0.95' AS DOUBLE))", "(1 - CAST('0.99' AS DOUBLE))"
 ORDER = f"""o AS (SELECT *, final_balance - {CAPITAL} AS pnl, row_number() OVER (PARTITION BY series_id ORDER BY final_balance, sim_id) - 1 AS r, row_number() OVER (PARTITION BY series_id ORDER BY max_drawdown, sim_id) - 1 AS rd, count(*) OVER (PARTITION BY series_id) AS n FROM ps)"""
 #: Trailing drawdown, target and consistency of an evaluation account.
 RULES = (600, 400, 40)
-CHECKPOINTS = (100, 150, 200)
+CHECKPOINTS = (100, 150, 200, 500, 1000, 2000, 5000, 10_000, 20_000, 50_000)
 
 
 def _metrics(d: str) -> str:
-    return f"""WITH {_paths(d, "bootstrap")}, {ORDER}, mo AS (SELECT series_id, avg(pnl) AS mu FROM o GROUP BY series_id), m AS (SELECT o.series_id, avg(power(pnl - mu, 2)) AS m2, avg(power(pnl - mu, 3)) AS m3, avg(power(pnl - mu, 4)) AS m4 FROM o JOIN mo ON mo.series_id = o.series_id GROUP BY o.series_id)
-SELECT o.series_id, round(max(CASE WHEN r = {at(LOW95)} THEN pnl END), 4) AS var95, round(max(CASE WHEN r = {at(LOW99)} THEN pnl END), 4) AS var99, round(avg(CASE WHEN r < greatest(1, CAST(floor(n * {LOW95}) AS BIGINT)) THEN pnl END), 4) AS cvar95,
-  round(max(CASE WHEN r = {at("CAST('0.5' AS DOUBLE)")} THEN final_balance END), 4) AS median_balance, round(max(CASE WHEN rd = {at("CAST('0.5' AS DOUBLE)")} THEN max_drawdown END), 8) AS median_drawdown, round(max(CASE WHEN rd = {at("CAST('0.95' AS DOUBLE)")} THEN max_drawdown END), 8) AS p95_drawdown,
-  round(max(m3 / power(m2, 1.5)), 6) AS skewness, round(max(m4 / (m2 * m2) - 3), 6) AS excess_kurtosis, round(CAST(100 AS DOUBLE) * sum(CASE WHEN pnl < 0 THEN 1 ELSE 0 END) / count(*), 6) AS probability_of_loss,
-  round(CAST(100 AS DOUBLE) * sum(ruined) / count(*), 6) AS ruin_percent, round(avg(final_balance), 4) AS mean_balance, round(max(CASE WHEN r = {at("CAST('0.05' AS DOUBLE)")} THEN final_balance END), 4) AS p5_balance, round(max(CASE WHEN r = {at("CAST('0.95' AS DOUBLE)")} THEN final_balance END), 4) AS p95_balance
-FROM o JOIN m ON m.series_id = o.series_id GROUP BY o.series_id"""
+    return f"""WITH {paths(d, "bootstrap")}, {ORDER}, mo AS (SELECT series_id, avg(pnl) AS mu FROM o GROUP BY series_id), m AS (SELECT o.series_id, avg(power(pnl - mu, 2)) AS m2, avg(power(pnl - mu, 3)) AS m3, avg(power(pnl - mu, 4)) AS m4 FROM o JOIN mo ON mo.series_id = o.series_id GROUP BY o.series_id),
+i AS (SELECT o.series_id, max(CASE WHEN r = {at(LOW95)} THEN pnl END) AS var95, max(CASE WHEN r = {at(LOW99)} THEN pnl END) AS var99, avg(CASE WHEN r < greatest(1, CAST(floor(n * {LOW95}) AS BIGINT)) THEN pnl END) AS cvar95, avg(CASE WHEN r < greatest(1, CAST(floor(n * {LOW99}) AS BIGINT)) THEN pnl END) AS cvar99,
+  max(CASE WHEN r = {at("CAST('0.5' AS DOUBLE)")} THEN final_balance END) AS median_balance, max(CASE WHEN rd = {at("CAST('0.5' AS DOUBLE)")} THEN max_drawdown END) AS median_drawdown, max(CASE WHEN rd = {at("CAST('0.95' AS DOUBLE)")} THEN max_drawdown END) AS p95_drawdown,
+  max(m3) AS m3, max(m2) AS m2, max(m4) AS m4, CAST(100 AS DOUBLE) * sum(CASE WHEN pnl < 0 THEN 1 ELSE 0 END) / count(*) AS probability_of_loss, CAST(100 AS DOUBLE) * sum(ruined) / count(*) AS ruin_percent, avg(final_balance) AS mean_balance,
+  max(CASE WHEN r = {at("CAST('0.05' AS DOUBLE)")} THEN final_balance END) AS p5_balance, max(CASE WHEN r = {at("CAST('0.95' AS DOUBLE)")} THEN final_balance END) AS p95_balance, CAST(max(steps) AS DOUBLE) AS steps FROM o JOIN m ON m.series_id = o.series_id GROUP BY o.series_id),
+y AS (SELECT *, greatest(steps / {PERIODS}, CAST(1 AS DOUBLE) / {PERIODS}) AS years, greatest(median_balance / {CAPITAL}, 0) AS growth FROM i)
+SELECT series_id, round(var95, 6) AS var95, round(var99, 6) AS var99, round(cvar95, 6) AS cvar95, round(cvar99, 6) AS cvar99, round(median_balance, 6) AS median_balance, round(median_drawdown, 8) AS median_drawdown, round(p95_drawdown, 8) AS p95_drawdown,
+  round(m3 / power(m2, 1.5), 6) AS skewness, round(m4 / (m2 * m2) - 3, 6) AS excess_kurtosis, round(probability_of_loss, 6) AS probability_of_loss, round(ruin_percent, 6) AS ruin_percent, round(mean_balance, 6) AS mean_balance, round(p5_balance, 6) AS p5_balance, round(p95_balance, 6) AS p95_balance,
+  round(years, 8) AS years, round(CASE WHEN median_drawdown > 0 THEN (power(growth, 1 / years) - 1) / median_drawdown ELSE 0 END, 6) AS calmar,
+  round((mean_balance - {CAPITAL}) / steps, 8) AS mean_ev, round((p5_balance - {CAPITAL}) / steps, 8) AS low_ev, round((p95_balance - {CAPITAL}) / steps, 8) AS high_ev FROM y"""
+
+
+def _durations(d: str) -> str:
+    """Time under water of every path, as a row for each series."""
+    return f"""WITH {paths(d, "bootstrap")}, un AS (SELECT series_id, sim_id, t, last_t, CASE WHEN balance < peak THEN 1 ELSE 0 END AS under FROM pk),
+ui AS (SELECT *, t - row_number() OVER (PARTITION BY series_id, sim_id, under ORDER BY t) AS island FROM un),
+up AS (SELECT series_id, sim_id, max(last_t) AS last_t, CASE WHEN max(t) = max(last_t) THEN max(t) ELSE max(t) + 1 END - min(t) AS duration FROM ui WHERE under = 1 GROUP BY series_id, sim_id, island),
+us AS (SELECT ps.series_id, ps.sim_id, coalesce(max(duration), 0) AS longest, coalesce(CAST(sum(duration) AS DOUBLE) / greatest(1, max(last_t)), 0) AS share FROM ps LEFT JOIN up ON up.series_id = ps.series_id AND up.sim_id = ps.sim_id GROUP BY ps.series_id, ps.sim_id),
+uo AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY longest, sim_id) - 1 AS r, count(*) OVER (PARTITION BY series_id) AS n FROM us)
+SELECT series_id, max(CASE WHEN r = {at("CAST('0.5' AS DOUBLE)")} THEN longest END) AS median_max_duration, max(CASE WHEN r = {at("CAST('0.95' AS DOUBLE)")} THEN longest END) AS p95_max_duration, round(avg(share), 8) AS mean_share_under FROM uo GROUP BY series_id"""
 
 
 def _prop(d: str) -> str:
     dd, target, share = RULES
-    return f"""WITH {_paths(d, "bootstrap")}, ev AS (SELECT series_id, sim_id, t, CASE WHEN peak - balance >= {dd} THEN 'drawdown' WHEN balance - {CAPITAL} >= {target} THEN CASE WHEN max(pnl) OVER (PARTITION BY series_id, sim_id ORDER BY t ROWS UNBOUNDED PRECEDING) > (balance - {CAPITAL}) * {share} / CAST(100 AS DOUBLE) THEN 'consistency' ELSE 'passed' END END AS event FROM pk),
+    return f"""WITH {paths(d, "bootstrap")}, ev AS (SELECT series_id, sim_id, t, CASE WHEN peak - balance >= {dd} THEN 'drawdown' WHEN balance - {CAPITAL} >= {target} THEN CASE WHEN max(pnl) OVER (PARTITION BY series_id, sim_id ORDER BY t ROWS UNBOUNDED PRECEDING) > (balance - {CAPITAL}) * {share} / CAST(100 AS DOUBLE) THEN 'consistency' ELSE 'passed' END END AS event FROM pk),
 f AS (SELECT series_id, sim_id, event, t, row_number() OVER (PARTITION BY series_id, sim_id ORDER BY t) AS k FROM ev WHERE event IS NOT NULL), r AS (SELECT ps.series_id, ps.sim_id, coalesce(event, 'time') AS outcome, f.t AS trades FROM ps LEFT JOIN f ON f.series_id = ps.series_id AND f.sim_id = ps.sim_id AND k = 1)
-SELECT series_id, outcome, count(*) AS paths, round(CAST(100 AS DOUBLE) * count(*) / {PATHS}, 6) AS percent, round(avg(CAST(trades AS DOUBLE)), 6) AS mean_trades FROM r GROUP BY series_id, outcome"""
+SELECT series_id, outcome, count(*) AS paths, round(CAST(100 AS DOUBLE) * count(*) / {PATHS}, 6) AS percent, CAST(max(CASE WHEN k = least(n - 1, CAST(floor(n * CAST('0.5' AS DOUBLE)) AS BIGINT)) THEN trades END) AS DOUBLE) AS median_trades FROM (SELECT *, row_number() OVER (PARTITION BY series_id, outcome ORDER BY trades, sim_id) - 1 AS k, count(*) OVER (PARTITION BY series_id, outcome) AS n FROM r) x GROUP BY series_id, outcome"""
 
 
-def _convergence(d: str) -> str:
-    rows = ", ".join(f"({n})" for n in CHECKPOINTS)
-    return f"""WITH {_paths(d, "bootstrap")}, c AS (SELECT CAST(column0 AS BIGINT) AS n FROM (VALUES {rows}) AS v(column0)), o AS (SELECT series_id, c.n, final_balance, final_balance - {CAPITAL} AS pnl, row_number() OVER (PARTITION BY series_id, c.n ORDER BY final_balance, sim_id) - 1 AS r FROM c JOIN ps ON ps.sim_id < c.n)
-SELECT series_id, n, round(max(CASE WHEN r = {at(LOW95)} THEN pnl END), 4) AS var95, round(avg(CASE WHEN r < greatest(1, CAST(floor(n * {LOW95}) AS BIGINT)) THEN pnl END), 4) AS cvar95, round(CAST(100 AS DOUBLE) * sum(CASE WHEN final_balance <= {LEVEL} THEN 1 ELSE 0 END) / n, 6) AS ruin_percent, round(avg(final_balance), 4) AS mean_balance, round(stddev_samp(final_balance) / sqrt(CAST(n AS DOUBLE)), 4) AS se_mean FROM o GROUP BY series_id, n"""
+def _checkpoints(d: str) -> str:
+    rows = ", ".join(f"({n})" for n in sorted({*(n for n in CHECKPOINTS if n <= PATHS), PATHS}))
+    return f"""{paths(d, "bootstrap")}, c AS (SELECT CAST(column0 AS BIGINT) AS n FROM (VALUES {rows}) AS v(column0)), o AS (SELECT series_id, c.n, final_balance, final_balance - {CAPITAL} AS pnl, row_number() OVER (PARTITION BY series_id, c.n ORDER BY final_balance, sim_id) - 1 AS r FROM c JOIN ps ON ps.sim_id < c.n),
+cv AS (SELECT series_id, n, max(CASE WHEN r = {at(LOW95)} THEN pnl END) AS var95, avg(CASE WHEN r < greatest(1, CAST(floor(n * {LOW95}) AS BIGINT)) THEN pnl END) AS cvar95, CAST(100 AS DOUBLE) * sum(CASE WHEN final_balance <= {LEVEL} THEN 1 ELSE 0 END) / n AS ruin_percent, avg(final_balance) AS mean_balance, stddev_samp(final_balance) / sqrt(CAST(n AS DOUBLE)) AS se_mean FROM o GROUP BY series_id, n)"""
+
+
+def _status(d: str) -> str:
+    """Whether the last three checkpoints agree: VaR within 2 %, ruin within half a
+    point, the mean within 1 %; two of the three are marginal."""
+    last = lambda c: f"max(CASE WHEN k = 1 THEN {c} END)"
+    stable = lambda c, share: f"(CASE WHEN max({c}) - min({c}) < {share} * CASE WHEN {last(c)} = 0 THEN 1 ELSE abs({last(c)}) END THEN 1 ELSE 0 END)"
+    return f"""WITH {_checkpoints(d)}, la AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY n DESC) AS k FROM cv),
+sc AS (SELECT series_id, count(*) AS points, {stable("var95", "CAST('0.02' AS DOUBLE)")} + (CASE WHEN max(ruin_percent) - min(ruin_percent) < CAST('0.5' AS DOUBLE) THEN 1 ELSE 0 END) + {stable("mean_balance", "CAST('0.01' AS DOUBLE)")} AS agree FROM la WHERE k <= 3 GROUP BY series_id)
+SELECT series_id, agree, CASE WHEN points < 3 OR agree < 2 THEN 'not_converged' WHEN agree = 3 THEN 'converged' ELSE 'marginal' END AS status FROM sc"""
+
+
+def _metadata(d: str) -> str:
+    """The first section of an export: a field a row."""
+    fields = {"model": "'bootstrap'", "seed": f"'{SEED}'", "n_simulations": f"'{PATHS}'", "trades": "CAST(steps AS STRING)", "terminal_pnl_metrics_valid": "CASE WHEN spread < CAST('1e-4' AS DOUBLE) THEN 'false' ELSE 'true' END"}
+    one = " UNION ALL ".join(f"SELECT series_id, '{k}' AS field, {v} AS value FROM f" for k, v in fields.items())
+    return f"WITH {paths(d, 'bootstrap')}, f AS (SELECT series_id, max(steps) AS steps, max(final_balance) - min(final_balance) AS spread FROM ps GROUP BY series_id) {one}"
 
 
 PLANS = {
@@ -105,10 +138,13 @@ PLANS = {
     "block_bootstrap_paths": _summary("blocks"),
     "risk_metrics": Plan(_metrics, {"pool": "trades"}),
     "prop_evaluation": Plan(_prop, {"pool": "trades"}),
-    "convergence": Plan(_convergence, {"pool": "trades"}),
-    "spaghetti_sample": Plan(lambda d: f"WITH {_paths(d, 'bootstrap')} SELECT series_id, sim_id, t, round(balance, 4) AS balance FROM pa WHERE sim_id % {PATHS // 50} = 0", {"pool": "trades"}),
-    "csv_export_paths": Plan(lambda d: f"WITH {_paths(d, 'bootstrap')} SELECT series_id, sim_id + 1 AS simulation_path, round(final_balance, 2) AS final_balance, round(max_drawdown * 100, 4) AS max_drawdown, round(final_balance - {CAPITAL}, 2) AS terminal_pnl FROM ps", {"pool": "trades"}),
-    "metrics_validity": Plan(lambda d: f"WITH {_paths(d, 'permutation')}, f AS (SELECT series_id, max(CASE WHEN sim_id = 0 THEN final_balance END) AS first FROM ps GROUP BY series_id) SELECT ps.series_id, CASE WHEN max(abs(final_balance - first)) < CAST('1e-4' AS DOUBLE) THEN 1 ELSE 0 END AS degenerate, count(*) AS paths FROM ps JOIN f ON f.series_id = ps.series_id GROUP BY ps.series_id", {"pool": "trades"}),
+    "convergence": Plan(lambda d: f"WITH {_checkpoints(d)} SELECT series_id, n, round(var95, 6) AS var95, round(cvar95, 6) AS cvar95, round(ruin_percent, 6) AS ruin_percent, round(mean_balance, 6) AS mean_balance, round(se_mean, 6) AS se_mean FROM cv", {"pool": "trades"}),
+    "convergence_status": Plan(_status, {"pool": "trades"}),
+    "simulated_durations": Plan(_durations, {"pool": "trades"}),
+    "csv_export_metadata": Plan(_metadata, {"pool": "trades"}),
+    "spaghetti_sample": Plan(lambda d: f"WITH {paths(d, 'bootstrap')} SELECT series_id, sim_id, t, round(balance, 4) AS balance FROM pa WHERE sim_id % {PATHS // 50} = 0", {"pool": "trades"}),
+    "csv_export_paths": Plan(lambda d: f"WITH {paths(d, 'bootstrap')} SELECT series_id, sim_id + 1 AS simulation_path, round(final_balance, 2) AS final_balance, round(max_drawdown * 100, 4) AS max_drawdown, round(final_balance - {CAPITAL}, 2) AS terminal_pnl FROM ps", {"pool": "trades"}),
+    "metrics_validity": Plan(lambda d: f"WITH {paths(d, 'permutation')}, f AS (SELECT series_id, max(CASE WHEN sim_id = 0 THEN final_balance END) AS first FROM ps GROUP BY series_id) SELECT ps.series_id, CASE WHEN max(abs(final_balance - first)) < CAST('1e-4' AS DOUBLE) THEN 1 ELSE 0 END AS degenerate, count(*) AS paths FROM ps JOIN f ON f.series_id = ps.series_id GROUP BY ps.series_id", {"pool": "trades"}),
 }
 
 
@@ -271,24 +307,35 @@ def garch(omega: float, alpha: float, beta: float, mu: float, df: float | None =
     return _single(block)
 
 
-def copula(pools: list[np.ndarray], correlation: np.ndarray, weights: np.ndarray, df: float | None = None) -> Kernel:
-    """The weighted sum of strategies whose draws are tied by a Gaussian copula, or a
-    Student one with one shared chi-square. Pools are sorted, so that ranks carry."""
-    from statistics import NormalDist
+def copula(low: dict[str, np.ndarray], df: float | None = None, initial: np.ndarray | None = None, transitions: np.ndarray | None = None) -> Kernel:
+    """Ranks from 0 to 1 of all strategies at every step, ``(steps, strategies)``, tied by
+    a Gaussian copula or, with ``df``, a Student one with a shared chi-square.
 
-    low = cholesky(repaired(correlation))
-    pools = [np.sort(p) for p in pools]
-    # where the normal distribution function passes k / len: the rank of a draw among these is its place in the pool
-    at = {len(p): np.array([NormalDist().inv_cdf(k / len(p)) for k in range(1, len(p))]) for p in pools}
+    ``low``: the Cholesky factor of each regime. With several regimes the first one is
+    drawn by ``initial`` and each next one by ``transitions``."""
+    factors = np.stack(list(low.values()))
+    upto = None if transitions is None else np.cumsum(transitions, axis=1)
 
     def kernel(rng: np.random.Generator, n: int) -> np.ndarray:
-        z = rng.standard_normal((n, len(pools))) @ low.T
-        if df is None:
-            return np.stack([p[np.searchsorted(at[len(p)], z[:, i], "right")] for i, p in enumerate(pools)], 1) @ weights
-        # ranks of a Student draw among draws of its own law
-        t = z / np.sqrt(rng.chisquare(df, (n, 1)) / df)
-        u = np.searchsorted(np.sort(rng.standard_t(df, 4096)), t) / 4097
-        picks = [p[np.minimum((u[:, i] * len(p)).astype(int), len(p) - 1)] for i, p in enumerate(pools)]
-        return np.stack(picks, 1) @ weights
+        z = rng.standard_normal((n, factors.shape[1]))
+        scale = 1.0 if df is None else np.sqrt(rng.chisquare(df, (n, 1)) / df)
+        regime = np.zeros(n, np.int64)
+        if upto is not None:
+            u = rng.random(n + 1)
+            now = min(int((np.cumsum(initial) < u[0]).sum()), len(upto) - 1)
+            for t in range(n):
+                regime[t] = now
+                now = min(int((upto[now] < u[t + 1]).sum()), len(upto) - 1)
+        x = np.einsum("tij,tj->ti", factors[regime], z) / scale
+        return normal_cdf(x if df is None else x * np.sqrt((df - 2) / df) * (1 + 1 / (4 * df)))
 
     return kernel
+
+
+def normal_cdf(x: np.ndarray) -> np.ndarray:
+    """P(Z <= x), by the same formula as the SQL form."""
+    from .stats import NORMAL
+
+    t = 1 / (1 + 0.2316419 * np.abs(x))
+    upper = np.exp(-0.5 * x * x) / np.sqrt(2 * np.pi) * t * np.polyval([float(c) for c in reversed(NORMAL)], t)
+    return np.where(x >= 0, 1 - upper, upper)

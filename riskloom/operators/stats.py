@@ -45,9 +45,12 @@ def ad_p(x: str) -> str:
 
 
 def islands(sign: str) -> str:
-    return f"coalesce((SELECT max(n) FROM (SELECT count(*) AS n FROM (SELECT d - row_number() OVER (PARTITION BY CASE WHEN pnl {sign} 0 THEN 1 ELSE 0 END ORDER BY d) AS island, pnl FROM nd) x WHERE pnl {sign} 0 GROUP BY island) y), 0)"
+    """Subquery: the longest run of days of one sign, for each series."""
+    return f"(SELECT series_id, max(n) AS n FROM (SELECT series_id, count(*) AS n FROM (SELECT series_id, d - row_number() OVER (PARTITION BY series_id, CASE WHEN pnl {sign} 0 THEN 1 ELSE 0 END ORDER BY d) AS island, pnl FROM nd) x WHERE pnl {sign} 0 GROUP BY series_id, island) y GROUP BY series_id)"
 
 
+#: Loss of a day that counts as a breach of the limit, and trades with a time that a report needs.
+DAY_LIMIT, TIMED = 100000, 5
 DAILY = "daily AS (SELECT series_id, CAST(ts AS DATE) AS day, sum(pnl) AS pnl, count(*) AS trades FROM $trades GROUP BY series_id, CAST(ts AS DATE))"
 #: Rank from 0 in ascending order and count, for order statistics by position.
 RANKED = "rk AS (SELECT series_id, pnl, row_number() OVER (PARTITION BY series_id ORDER BY pnl, trade_idx) - 1 AS r, count(*) OVER (PARTITION BY series_id) AS n FROM $trades)"
@@ -58,10 +61,21 @@ def position(share: str) -> str:
 
 
 LAGS = 10
-ACF = f"""m AS (SELECT series_id, avg(pnl) AS mu, count(*) AS n FROM $trades GROUP BY series_id),
-c AS (SELECT t.series_id, trade_idx, pnl - mu AS e, n FROM $trades t JOIN m ON t.series_id = m.series_id),
-lagged AS ({" UNION ALL ".join(f"SELECT series_id, CAST({k} AS BIGINT) AS k, n, e * lead(e, {k}) OVER (PARTITION BY series_id ORDER BY trade_idx) AS p, e * e AS q FROM c" for k in range(1, LAGS + 1))}),
-acf AS (SELECT series_id, k, n, CASE WHEN sum(q) > 0 THEN coalesce(sum(p), 0) / sum(q) ELSE 0 END AS rho FROM lagged GROUP BY series_id, k, n)"""
+
+
+def acf(source: str = "$trades", tag: str = "") -> str:
+    """CTE ``acf`` (with ``tag`` before it): the first LAGS autocorrelations of each series."""
+    return f"""{tag}m AS (SELECT series_id, avg(pnl) AS mu, count(*) AS n FROM {source} GROUP BY series_id),
+{tag}c AS (SELECT t.series_id, trade_idx, pnl - mu AS e, m.n FROM {source} t JOIN {tag}m m ON t.series_id = m.series_id),
+{tag}lagged AS ({" UNION ALL ".join(f"SELECT series_id, CAST({k} AS BIGINT) AS k, n, e * lead(e, {k}) OVER (PARTITION BY series_id ORDER BY trade_idx) AS p, e * e AS q FROM {tag}c" for k in range(1, LAGS + 1))}),
+{tag}acf AS (SELECT series_id, k, n, CASE WHEN sum(q) > 0 THEN coalesce(sum(p), 0) / sum(q) ELSE 0 END AS rho FROM {tag}lagged GROUP BY series_id, k, n)"""
+
+
+def ljung_box(source: str = "$trades", tag: str = "") -> str:
+    """CTE ``lb`` (with ``tag`` before it): the Ljung-Box statistic of each series."""
+    return f"{acf(source, tag)}, {tag}lb AS (SELECT series_id, max(n) AS n, max(n) * (max(n) + {D(2)}) * sum(rho * rho / greatest(1, n - k)) AS q FROM {tag}acf GROUP BY series_id)"
+
+
 
 BREACH_WINDOW = 100
 POSITION = f"floor({BREACH_WINDOW} * (1 - {D('0.95')}))"
@@ -94,6 +108,10 @@ pw AS (SELECT series_id, n, u, nu, avg(e) AS m, avg(e * (1 - (i - {D("0.35")}) /
 gp AS (SELECT *, 2 - m / (m - 2 * a1) AS xi, 2 * m * a1 / (m - 2 * a1) AS beta FROM pw WHERE n >= 50 AND nu >= 25 AND m <> 2 * a1)"""
 
 
+#: The Hill estimate over the largest tenth of the losses, 20 to 250 of them.
+HILL = f"ho AS (SELECT series_id, pnl, row_number() OVER (PARTITION BY series_id ORDER BY pnl DESC) AS r, count(*) OVER (PARTITION BY series_id) AS n FROM $trades WHERE pnl > 0), hk AS (SELECT *, greatest(20, least(250, CAST(floor(n / {D(10)}) AS BIGINT))) AS k FROM ho), hi AS (SELECT series_id, max(k) AS k, 1 / (avg(CASE WHEN r <= k THEN ln(pnl) END) - max(CASE WHEN r = k + 1 THEN ln(pnl) END)) AS alpha FROM hk WHERE n >= 20 GROUP BY series_id)"
+
+
 def evt_var(p: str) -> str:
     ratio = f"(CAST(n AS DOUBLE) / nu * (1 - {D(p)}))"
     return f"(CASE WHEN abs(xi) < {D('1e-6')} THEN u - beta * ln({ratio}) ELSE u + beta / xi * (power({ratio}, -xi) - 1) END)"
@@ -106,8 +124,13 @@ co AS (SELECT s.*, beta, my - beta * mx AS alpha, n * sxx - sx * sx AS det FROM
 re AS (SELECT co.series_id, sum((y - alpha - beta * x) * (y - alpha - beta * x)) AS rss, sum((y - my) * (y - my)) AS tss, sum((y - alpha - beta * x) * (y - alpha - beta * x) * x) AS s12, sum((y - alpha - beta * x) * (y - alpha - beta * x) * x * x) AS s22 FROM pr JOIN co ON pr.series_id = co.series_id GROUP BY co.series_id),
 vv AS (SELECT co.*, rss, tss, (sxx * sxx * rss - 2 * sxx * sx * s12 + sx * sx * s22) / (det * det) AS va, (sx * sx * rss - 2 * n * sx * s12 + CAST(n AS DOUBLE) * n * s22) / (det * det) AS vb FROM co JOIN re ON co.series_id = re.series_id)"""
 
-TWO_SAMPLES = """sa AS (SELECT series_id, pnl AS v, CASE WHEN regime < 'm' THEN 0 ELSE 1 END AS s, trade_idx FROM $trades),
-o AS (SELECT series_id, s, sum(1 - s) OVER w AS i, sum(s) OVER w AS j, row_number() OVER w AS k, sum(1 - s) OVER (PARTITION BY series_id) AS n, sum(s) OVER (PARTITION BY series_id) AS m FROM sa WINDOW w AS (PARTITION BY series_id ORDER BY v, s, trade_idx ROWS UNBOUNDED PRECEDING))"""
+
+def two_samples(source: str, last: str) -> str:
+    """CTE ``o``: how many of each sample ``s`` (0 or 1) stand up to each value ``v``."""
+    return f"""o AS (SELECT series_id, s, sum(1 - s) OVER w AS i, sum(s) OVER w AS j, row_number() OVER w AS k, sum(1 - s) OVER (PARTITION BY series_id) AS n, sum(s) OVER (PARTITION BY series_id) AS m FROM {source} WINDOW w AS (PARTITION BY series_id ORDER BY v, s, {last} ROWS UNBOUNDED PRECEDING))"""
+
+
+TWO_SAMPLES = f"sa AS (SELECT series_id, pnl AS v, CASE WHEN regime < 'm' THEN 0 ELSE 1 END AS s, trade_idx FROM $trades), {two_samples('sa', 'trade_idx')}"
 
 #: Lanczos coefficients for g = 7.
 LANCZOS = ("0.99999999999980993", "676.5203681218851", "-1259.1392167224028", "771.32342877765313", "-176.61502916214059", "12.507343278686905", "-0.13857109526572012", "9.9843695780195716e-6", "1.5056327351493116e-7")
@@ -120,6 +143,18 @@ def log_gamma(x: str) -> str:
     return f"({D('0.9189385332046727')} + ({z} + 0.5) * ln({z} + 7.5) - ({z} + 7.5) + ln({series}))"
 
 
+def log_gamma_any(x: str) -> str:
+    """ln(abs(gamma(x))), below 0.5 by reflection; null at its poles."""
+    low = f"(CASE WHEN sin(pi() * {x}) <> 0 THEN ln(pi() / abs(CASE WHEN sin(pi() * {x}) <> 0 THEN sin(pi() * {x}) ELSE 1 END)) - {log_gamma(f'greatest(1 - {x}, {D(0.5)})')} END)"
+    return f"(CASE WHEN {x} < 0.5 THEN {low} ELSE {log_gamma(f'greatest({x}, {D(0.5)})')} END)"
+
+
+def student_t_cdf(x: str, df: str) -> str:
+    """P(T <= x) as the normal distribution function of x drawn in for ``df``; 0.5 if
+    there are no degrees of freedom, and for two or fewer no drawing in is defined."""
+    return f"(CASE WHEN {df} <= 0 THEN {D(0.5)} WHEN {df} > 2 THEN {normal_cdf(f'({x} * sqrt((greatest({df}, {D(2)}) - 2) / greatest({df}, {D(2)})) * (1 + 1 / (4 * greatest({df}, {D(2)}))))')} END)"
+
+
 def t_log_pdf(x: str, mu: str, sigma: str, df: str) -> str:
     return f"({log_gamma(f'(({df} + 1) / 2)')} - {log_gamma(f'({df} / 2)')} - 0.5 * ln({df} * pi()) - ln({sigma}) - ({df} + 1) / 2 * ln(1 + power(({x} - {mu}) / {sigma}, 2) / {df}))"
 
@@ -135,18 +170,22 @@ AIC = lambda k: f"round(-2 * ll + 2 * {k}, 4) AS aic, round(-2 * ll + {k} * ln(n
 
 PLANS = {
     "daily_aggregate": Plan(f"WITH {DAILY} SELECT series_id, CAST(day AS STRING) AS day, round(pnl, 2) AS pnl, trades FROM daily", {"trades": "days"}),
-    "calendar_report": Plan(f"""WITH {DAILY}, nd AS (SELECT *, row_number() OVER (ORDER BY day) AS d FROM daily)
-SELECT count(*) AS trading_days, CAST(sum(trades) AS BIGINT) AS total_trades, CAST(sum(CASE WHEN pnl > 0 THEN 1 ELSE 0 END) AS BIGINT) AS win_days, CAST(sum(CASE WHEN pnl < 0 THEN 1 ELSE 0 END) AS BIGINT) AS loss_days,
-  round(max(pnl), 2) AS best, round(min(pnl), 2) AS worst, round(avg(pnl), 2) AS mean, round(coalesce(stddev_samp(pnl), 0), 2) AS std, round(CASE WHEN stddev_samp(pnl) > 0 THEN avg(pnl) / stddev_samp(pnl) * sqrt({D(252)}) ELSE 0 END, 6) AS sharpe,
-  {islands(">")} AS win_streak, {islands("<")} AS loss_streak, CAST(sum(CASE WHEN pnl <= -100000 THEN 1 ELSE 0 END) AS BIGINT) AS limit_breaches FROM nd""", {"trades": "days"}),
-    "day_of_week": Plan(lambda d: f"WITH {DAILY}, w AS (SELECT {'dayofweek(day) - 1' if d == 'spark' else 'CAST(dayofweek(day) AS INTEGER)'} AS dow, pnl FROM daily) SELECT dow, count(*) AS days, round(sum(pnl), 2) AS total_pnl, round(avg(pnl), 2) AS avg_pnl, round({D(100)} * sum(CASE WHEN pnl > 0 THEN 1 ELSE 0 END) / count(*), 6) AS win_rate FROM w GROUP BY dow", {"trades": "days"}),
+    "calendar_report": Plan(f"""WITH {DAILY}, nd AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY day) AS d FROM daily),
+ag AS (SELECT series_id, count(*) AS trading_days, CAST(sum(trades) AS BIGINT) AS total_trades, CAST(sum(CASE WHEN pnl > 0 THEN 1 ELSE 0 END) AS BIGINT) AS win_days, CAST(sum(CASE WHEN pnl < 0 THEN 1 ELSE 0 END) AS BIGINT) AS loss_days,
+  max(pnl) AS best, min(pnl) AS worst, avg(pnl) AS mean, coalesce(stddev_samp(pnl), 0) AS std, CAST(sum(CASE WHEN pnl <= -{DAY_LIMIT} THEN 1 ELSE 0 END) AS BIGINT) AS limit_breaches FROM nd GROUP BY series_id)
+SELECT ag.series_id, trading_days, total_trades, win_days, loss_days, round(best, 2) AS best, CAST(b.day AS STRING) AS best_day, round(worst, 2) AS worst, CAST(w.day AS STRING) AS worst_day, round(mean, 2) AS mean, round(std, 2) AS std,
+  round(CASE WHEN std > 0 THEN mean / std * sqrt({D(252)}) ELSE 0 END, 6) AS sharpe, coalesce(ws.n, 0) AS win_streak, coalesce(ls.n, 0) AS loss_streak, limit_breaches
+FROM ag JOIN (SELECT series_id, day, row_number() OVER (PARTITION BY series_id ORDER BY round(pnl, 6) DESC, day) AS k FROM nd) b ON b.series_id = ag.series_id AND b.k = 1
+JOIN (SELECT series_id, day, row_number() OVER (PARTITION BY series_id ORDER BY round(pnl, 6), day) AS k FROM nd) w ON w.series_id = ag.series_id AND w.k = 1
+LEFT JOIN {islands(">")} ws ON ws.series_id = ag.series_id LEFT JOIN {islands("<")} ls ON ls.series_id = ag.series_id WHERE total_trades >= {TIMED}""", {"trades": "days"}),
+    "day_of_week": Plan(lambda d: f"WITH {DAILY}, w AS (SELECT series_id, {'dayofweek(day) - 1' if d == 'spark' else 'CAST(dayofweek(day) AS INTEGER)'} AS dow, pnl FROM daily) SELECT series_id, dow, count(*) AS days, round(sum(pnl), 2) AS total_pnl, round(avg(pnl), 2) AS avg_pnl, round({D(100)} * sum(CASE WHEN pnl > 0 THEN 1 ELSE 0 END) / count(*), 6) AS win_rate FROM w GROUP BY series_id, dow", {"trades": "days"}),
     "value_at_risk": Plan(f"""WITH {RANKED} SELECT series_id, round(max(CASE WHEN r = {position("(1 - " + D("0.95") + ")")} THEN pnl END), 6) AS var95, round(max(CASE WHEN r = {position("(1 - " + D("0.99") + ")")} THEN pnl END), 6) AS var99,
   round(avg(CASE WHEN r < greatest(1, CAST(floor(n * (1 - {D("0.95")})) AS BIGINT)) THEN pnl END), 6) AS cvar95, round(avg(CASE WHEN r < greatest(1, CAST(floor(n * (1 - {D("0.99")})) AS BIGINT)) THEN pnl END), 6) AS cvar99, round(max(CASE WHEN r = {position(D("0.5"))} THEN pnl END), 6) AS median FROM rk GROUP BY series_id"""),
     "moments": Plan("WITH m AS (SELECT series_id, avg(pnl) AS mu FROM $trades GROUP BY series_id), c AS (SELECT t.series_id, count(*) AS n, avg(power(pnl - mu, 2)) AS m2, avg(power(pnl - mu, 3)) AS m3, avg(power(pnl - mu, 4)) AS m4 FROM $trades t JOIN m ON t.series_id = m.series_id GROUP BY t.series_id) SELECT series_id, round(CASE WHEN n >= 3 AND m2 > 0 THEN m3 / power(m2, 1.5) ELSE 0 END, 6) AS skewness, round(CASE WHEN n >= 4 AND m2 > 0 THEN m4 / (m2 * m2) - 3 ELSE 0 END, 6) AS excess_kurtosis FROM c"),
     "histogram": Plan("WITH b AS (SELECT series_id, min(pnl) AS lo, (max(pnl) - min(pnl)) / 30 AS w FROM $trades GROUP BY series_id), g AS (SELECT CAST(column0 AS BIGINT) AS bin FROM (VALUES " + ", ".join(f"({i})" for i in range(30)) + ") AS g(column0)), h AS (SELECT t.series_id, CASE WHEN w > 0 THEN least(CAST(floor((pnl - lo) / w) AS BIGINT), 29) ELSE 0 END AS bin, count(*) AS n FROM $trades t JOIN b ON t.series_id = b.series_id GROUP BY 1, 2) SELECT b.series_id, g.bin, round(lo + g.bin * w, 6) AS lower, coalesce(n, 0) AS n FROM b CROSS JOIN g LEFT JOIN h ON h.series_id = b.series_id AND h.bin = g.bin"),
-    "autocorrelation": Plan(f"WITH {ACF} SELECT series_id, k, round(rho, 8) AS rho FROM acf"),
-    "ljung_box": Plan(f"WITH {ACF}, q AS (SELECT series_id, max(n) * (max(n) + {D(2)}) * sum(rho * rho / (n - k)) AS q FROM acf GROUP BY series_id) SELECT series_id, round(q, 6) AS q, round({chi_square_upper('q', LAGS)}, 6) AS p FROM q"),
-    "block_length": Plan(f"WITH {ACF} SELECT series_id, round(rho, 8) AS rho, CAST(CASE WHEN abs(rho) < {D('0.05')} THEN 1 ELSE least(ceil(power(CAST(n AS DOUBLE), {D(1)} / 3)), greatest({D(1)}, floor(n / {D(4)}))) END AS BIGINT) AS block FROM acf WHERE k = 1"),
+    "autocorrelation": Plan(f"WITH {acf()} SELECT series_id, k, round(rho, 8) AS rho FROM acf"),
+    "ljung_box": Plan(f"WITH {ljung_box()} SELECT series_id, round(q, 6) AS q, round({chi_square_upper('q', LAGS)}, 6) AS p FROM lb"),
+    "block_length": Plan(f"WITH {acf()} SELECT series_id, round(rho, 8) AS rho, CAST(CASE WHEN abs(rho) < {D('0.05')} THEN 1 ELSE least(ceil(power(CAST(n AS DOUBLE), {D(1)} / 3)), greatest({D(1)}, floor(n / {D(4)}))) END AS BIGINT) AS block FROM acf WHERE k = 1"),
     "var_breaches": Plan(lambda d: f"WITH {breaches(d)} SELECT series_id, trade_idx, breach FROM br", {"trades": "single"}),
     "kupiec": Plan(lambda d: f"WITH {breaches(d)}, a AS (SELECT series_id, CAST(count(*) AS DOUBLE) AS n, CAST(sum(breach) AS DOUBLE) AS x FROM br GROUP BY series_id) SELECT series_id, n, x, round(-2 * (x * ln(1 - {D('0.95')}) + (n - x) * ln({D('0.95')}) - {LOG('x', '(x / n)')} - {LOG('(n - x)', '(1 - x / n)')}), 6) AS lr FROM a", {"trades": "single"}),
     "christoffersen": Plan(lambda d: f"""WITH {breaches(d)}, l AS (SELECT *, lag(breach) OVER (PARTITION BY series_id ORDER BY trade_idx) AS b FROM br),
@@ -156,21 +195,21 @@ SELECT series_id, n00, n01, n10, n11, round(CASE WHEN q = 0 OR q = 1 THEN 0 ELSE
     "pit_calibration": Plan(lambda d: f"WITH {breaches(d)}, {ecdf(d)} SELECT series_id, least(CAST(9 AS BIGINT), CAST(floor(u * 10) AS BIGINT)) AS bin, count(*) AS n FROM u GROUP BY 1, 2", {"trades": "single"}),
     "ks_two_sample": Plan(f"WITH {TWO_SAMPLES}, d AS (SELECT series_id, max(abs(CAST(i AS DOUBLE) / n - CAST(j AS DOUBLE) / m)) AS d, max(sqrt(CAST(n AS DOUBLE) * m / (n + m))) AS en FROM o GROUP BY series_id), l AS (SELECT *, (en + {D('0.12')} + {D('0.11')} / en) * d AS lam FROM d) SELECT series_id, round(d, 8) AS d, round({kolmogorov('lam')}, 6) AS p FROM l", {"trades": "single"}),
     "ad_two_sample": Plan(f"WITH {TWO_SAMPLES}, a AS (SELECT series_id, sum(power(CAST(i AS DOUBLE) * (n + m) - CAST(n AS DOUBLE) * k, 2) / (CAST(k AS DOUBLE) * (n + m - k))) / max(CAST(n AS DOUBLE) * m) AS a2 FROM o WHERE k < n + m GROUP BY series_id) SELECT series_id, round(a2, 6) AS a2, round({ad_p('a2')}, 6) AS p FROM a", {"trades": "single"}),
-    "hill_index": Plan(f"WITH so AS (SELECT series_id, pnl, row_number() OVER (PARTITION BY series_id ORDER BY pnl DESC) AS r, count(*) OVER (PARTITION BY series_id) AS n FROM $trades WHERE pnl > 0), k AS (SELECT *, greatest(20, least(250, CAST(floor(n / {D(10)}) AS BIGINT))) AS k FROM so) SELECT series_id, max(k) AS k, round(1 / (avg(CASE WHEN r <= k THEN ln(pnl) END) - max(CASE WHEN r = k + 1 THEN ln(pnl) END)), 6) AS alpha FROM k WHERE n >= 20 GROUP BY series_id", {"trades": "losses"}),
+    "hill_index": Plan(f"WITH {HILL} SELECT series_id, k, round(alpha, 6) AS alpha FROM hi", {"trades": "losses"}),
     "fit_gpd": Plan(f"WITH {GPD} SELECT series_id, n, nu, round(u, 6) AS threshold, round(xi, 6) AS xi, round(beta, 6) AS beta FROM gp", {"trades": "losses"}),
-    "evt_report": Plan(f"""WITH {GPD}, v AS (SELECT *, {evt_var("0.95")} AS v95, {evt_var("0.99")} AS v99 FROM gp),
+    "evt_report": Plan(f"""WITH {GPD}, {HILL}, v AS (SELECT *, {evt_var("0.95")} AS v95, {evt_var("0.99")} AS v99 FROM gp),
 em AS (SELECT series_id, max(CASE WHEN r = {position(D("0.95"))} THEN pnl END) AS e95, max(CASE WHEN r = {position(D("0.99"))} THEN pnl END) AS e99, avg(CASE WHEN r >= greatest(1, CAST(floor(n * {D("0.95")}) AS BIGINT)) THEN pnl END) AS c95, avg(CASE WHEN r >= greatest(1, CAST(floor(n * {D("0.99")}) AS BIGINT)) THEN pnl END) AS c99 FROM so GROUP BY series_id)
-SELECT v.series_id, round(v95, 5) AS var95, round(v99, 5) AS var99, round((v95 + beta - xi * u) / (1 - xi), 5) AS cvar95, round((v99 + beta - xi * u) / (1 - xi), 5) AS cvar99, round(e95, 5) AS empirical_var95, round(e99, 5) AS empirical_var99, round(c95, 5) AS empirical_cvar95, round(c99, 5) AS empirical_cvar99, CASE WHEN xi > {D("0.1")} THEN 1 ELSE 0 END AS heavy_tail FROM v JOIN em ON v.series_id = em.series_id""", {"trades": "losses"}),
+SELECT v.series_id, round(v95, 5) AS var95, round(v99, 5) AS var99, round(CASE WHEN xi < 1 THEN (v95 + beta - xi * u) / (1 - CASE WHEN xi < 1 THEN xi ELSE 0 END) END, 5) AS cvar95, round(CASE WHEN xi < 1 THEN (v99 + beta - xi * u) / (1 - CASE WHEN xi < 1 THEN xi ELSE 0 END) END, 5) AS cvar99, round(e95, 5) AS empirical_var95, round(e99, 5) AS empirical_var99, round(c95, 5) AS empirical_cvar95, round(c99, 5) AS empirical_cvar99, round(alpha, 6) AS alpha, CASE WHEN xi > {D("0.1")} OR coalesce(alpha, 99) < 4 THEN 1 ELSE 0 END AS heavy_tail FROM v JOIN em ON v.series_id = em.series_id LEFT JOIN hi ON hi.series_id = v.series_id WHERE v.n >= 30""", {"trades": "losses"}),
     "ols_robust": Plan(f"WITH {OLS} SELECT series_id, n, round(alpha, 6) AS alpha, round(beta, 5) AS beta, round(1 - rss / tss, 8) AS r_squared, round(sqrt(va), 6) AS alpha_se, round(sqrt(vb), 5) AS beta_se, round(alpha / sqrt(va), 6) AS alpha_t, round(beta / sqrt(vb), 6) AS beta_t, round({two_sided('(alpha / sqrt(va))')}, 6) AS alpha_p, round({two_sided('(beta / sqrt(vb))')}, 6) AS beta_p FROM vv WHERE n >= 3 AND det > 0 AND va > 0 AND vb > 0"),
     "attribution_report": Plan(f"""WITH {OLS}, ac AS (SELECT series_id, avg(y - x) AS ma, stddev_samp(y - x) * sqrt({D(252)}) AS te, avg(CASE WHEN x > 0 THEN y END) / avg(CASE WHEN x > 0 THEN x END) AS up, avg(CASE WHEN x < 0 THEN y END) / avg(CASE WHEN x < 0 THEN x END) AS down, CASE WHEN stddev_samp(x) > 0 AND stddev_samp(y) > 0 THEN covar_samp(x, y) / (stddev_samp(x) * stddev_samp(y)) ELSE 0 END AS rho FROM pr GROUP BY series_id)
-SELECT vv.series_id, n, round(alpha * 252, 4) AS alpha_annualized, round(beta, 5) AS beta, round(te, 5) AS tracking_error, round(CASE WHEN te > 0 THEN ma * 252 / te ELSE 0 END, 6) AS information_ratio, round(up, 5) AS up_capture, round(down, 5) AS down_capture, round(rho, 8) AS correlation FROM vv JOIN ac ON vv.series_id = ac.series_id"""),
+SELECT vv.series_id, n, round(alpha * 252, 4) AS alpha_annualized, round(beta, 5) AS beta, round(te, 5) AS tracking_error, round(CASE WHEN te > 0 THEN ma * 252 / te ELSE 0 END, 6) AS information_ratio, round(up, 5) AS up_capture, round(down, 5) AS down_capture, round(rho, 8) AS correlation FROM vv JOIN ac ON vv.series_id = ac.series_id WHERE n >= 10"""),
     "fit_normal": Plan(f"WITH {FITS} SELECT series_id, round(mu, 6) AS mu, round(sigma, 6) AS sigma, round(ll, 4) AS log_likelihood, {AIC(2)} FROM no"),
     "fit_student_t": Plan(f"WITH {FITS} SELECT series_id, df, round(mu, 6) AS mu, round(sigma, 6) AS sigma, round(ll, 4) AS log_likelihood, {AIC(3)} FROM tb"),
     "fit_best": Plan(f"WITH {FITS}, a AS (SELECT series_id, 'normal' AS kind, 0 AS o, -2 * ll + 2 * ln(n) AS bic FROM no UNION ALL SELECT series_id, 'student_t', 1, -2 * ll + 3 * ln(n) FROM tb) SELECT series_id, kind, round(bic, 4) AS bic FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY bic, o) AS k FROM a) x WHERE k = 1"),
-    "special_functions": Plan(f"WITH x AS (SELECT series_id, trade_idx, abs(pnl) / 10 + {D('0.5')} AS x FROM $trades) SELECT series_id, trade_idx, round({log_gamma('x')}, 8) AS log_gamma, round({normal_cdf('(x / 3)')}, 10) AS normal_cdf, round({kolmogorov('x')}, 8) AS kolmogorov_q, round({ad_p('x')}, 8) AS ad_p, round({chi_square_upper('x', 10)}, 8) AS chi_square_upper, round({two_sided('x')}, 8) AS two_sided, round({t_log_pdf('x', '1', '2', D(5))}, 8) AS t_log_pdf FROM x"),
+    "special_functions": Plan(f"WITH x AS (SELECT series_id, trade_idx, abs(pnl) / 10 + {D('0.5')} AS x FROM $trades) SELECT series_id, trade_idx, round({log_gamma('x')}, 8) AS log_gamma, round({log_gamma_any('(x / 7 - 3.01)')}, 6) AS log_gamma_reflected, round({student_t_cdf('(x - 3)', D(5))}, 9) AS student_t_cdf, round({normal_cdf('(x / 3)')}, 10) AS normal_cdf, round({kolmogorov('x')}, 8) AS kolmogorov_q, round({ad_p('x')}, 8) AS ad_p, round({chi_square_upper('x', 10)}, 8) AS chi_square_upper, round({two_sided('x')}, 8) AS two_sided, round({t_log_pdf('x', '1', '2', D(5))}, 8) AS t_log_pdf FROM x"),
     "regime_transitions": Plan("""WITH p AS (SELECT series_id, regime AS a, lead(regime) OVER (PARTITION BY series_id ORDER BY trade_idx) AS b FROM $trades),
 g AS (SELECT x.series_id, x.regime AS a, y.regime AS b FROM (SELECT DISTINCT series_id, regime FROM $trades) x JOIN (SELECT DISTINCT series_id, regime FROM $trades) y ON x.series_id = y.series_id),
 c AS (SELECT series_id, a, b, count(*) AS n FROM p WHERE b IS NOT NULL GROUP BY series_id, a, b),
 j AS (SELECT g.series_id, g.a, g.b, coalesce(n, 0) AS n, sum(coalesce(n, 0)) OVER (PARTITION BY g.series_id, g.a) AS t, count(*) OVER (PARTITION BY g.series_id, g.a) AS k FROM g LEFT JOIN c ON c.series_id = g.series_id AND c.a = g.a AND c.b = g.b)
-SELECT series_id, a AS from_regime, b AS to_regime, n, round(CASE WHEN t > 0 THEN CAST(n AS DOUBLE) / t ELSE CAST(1 AS DOUBLE) / k END, 8) AS p FROM j""", {"trades": "single"}),
+SELECT j.series_id, a AS from_regime, b AS to_regime, n, round(CASE WHEN t > 0 THEN CAST(n AS DOUBLE) / t ELSE CAST(1 AS DOUBLE) / k END, 8) AS p, round(i.p, 8) AS initial FROM j JOIN (SELECT series_id, regime, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY series_id) AS p FROM $trades GROUP BY series_id, regime) i ON i.series_id = j.series_id AND i.regime = j.a""", {"trades": "single"}),
 }

@@ -10,9 +10,10 @@ LEVEL = f"(CAST({CAPITAL} AS DOUBLE) * (1 - CAST({RUIN_PERCENT} AS DOUBLE) / 100
 
 
 def _worst(k: int) -> str:
+    """The worst ``k`` trades in a row; a series with fewer stays as it is, one row of nothing."""
     return f"""w{k} AS (SELECT series_id, trade_idx, row_number() OVER (PARTITION BY series_id ORDER BY round(s, 6), trade_idx) AS n FROM (
     SELECT series_id, trade_idx, sum(pnl) OVER (PARTITION BY series_id ORDER BY trade_idx ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW) AS s FROM base) x WHERE trade_idx >= {k - 1}),
-s{k} AS (SELECT b.series_id, 'worst_{k}' AS scenario, b.trade_idx, pnl FROM base b JOIN w{k} w ON b.series_id = w.series_id AND w.n = 1 AND b.trade_idx > w.trade_idx - {k} AND b.trade_idx <= w.trade_idx)"""
+s{k} AS (SELECT b.series_id, 'worst_{k}' AS scenario, b.trade_idx, CASE WHEN w.n = 1 THEN pnl ELSE 0 END AS pnl FROM base b LEFT JOIN w{k} w ON b.series_id = w.series_id AND w.n = 1 WHERE w.n IS NULL AND b.trade_idx = 0 OR b.trade_idx > w.trade_idx - {k} AND b.trade_idx <= w.trade_idx)"""
 
 
 def _flip(source: str, name: str, share: str) -> str:
@@ -41,8 +42,12 @@ eq AS (
 ), pk AS (SELECT *, greatest(CAST({CAPITAL} AS DOUBLE), max(equity) OVER (PARTITION BY series_id, scenario ORDER BY trade_idx ROWS UNBOUNDED PRECEDING)) AS peak FROM eq),
 res AS (SELECT series_id, scenario, max(CASE WHEN back = 1 THEN equity END) AS capital_after, max(CASE WHEN peak > 0 THEN (peak - equity) / peak ELSE 0 END) AS max_drawdown FROM pk GROUP BY series_id, scenario)"""
 
+#: The scenarios in their order: of equal drawdowns the first one counts.
+NAMES = ("worst_5", "worst_10", "worst_20", "volatility_1.5", "volatility_2", "win_rate_10", "win_rate_20", "losses_2", "black_swan", "combined")
+ORDER = "CASE scenario " + " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(NAMES)) + " END"
+
 PLANS = {
     "stress_scenarios": Plan(f"""WITH {SCENARIOS} SELECT series_id, scenario, round(capital_after, 4) AS capital_after, round(max_drawdown, 6) AS max_drawdown, CASE WHEN capital_after > {LEVEL} THEN 1 ELSE 0 END AS survives,
   CASE WHEN scenario LIKE 'worst%' THEN CASE WHEN max_drawdown > CAST('0.3' AS DOUBLE) THEN 'extreme' WHEN max_drawdown > CAST('0.15' AS DOUBLE) THEN 'high' ELSE 'medium' END WHEN scenario IN ('volatility_1.5', 'win_rate_20') THEN 'high' WHEN scenario = 'win_rate_10' THEN 'medium' ELSE 'extreme' END AS severity FROM res"""),
-    "worst_survivable": Plan(f"WITH {SCENARIOS} SELECT series_id, round(max(max_drawdown), 6) AS max_drawdown, count(*) AS surviving FROM res WHERE capital_after > {LEVEL} GROUP BY series_id"),
+    "worst_survivable": Plan(f"WITH {SCENARIOS}, su AS (SELECT series_id, scenario, max_drawdown, row_number() OVER (PARTITION BY series_id ORDER BY round(max_drawdown, 9) DESC, {ORDER}) AS k, count(*) OVER (PARTITION BY series_id) AS surviving FROM res WHERE capital_after > {LEVEL}) SELECT i.series_id, scenario, round(max_drawdown, 6) AS max_drawdown, coalesce(surviving, 0) AS surviving FROM (SELECT DISTINCT series_id FROM $trades) i LEFT JOIN su ON su.series_id = i.series_id AND su.k = 1"),
 }

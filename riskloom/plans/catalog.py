@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import ingest, models, performance, portfolio, simulate, stats, stress
+from ..operators import ingest, models, performance, portfolio, simulate, stats, stress, validation
+from ..sources import trades
+from ..sources.shared import shared_dir
 from .engine import Plan
 from .views import VIEWS, view
 
-PLANS: dict[str, Plan] = performance.PLANS | stats.PLANS | ingest.PLANS | stress.PLANS | portfolio.PLANS | simulate.PLANS
+PLANS: dict[str, Plan] = performance.PLANS | stats.PLANS | ingest.PLANS | stress.PLANS | portfolio.PLANS | simulate.PLANS | validation.PLANS
 
 
 def _query(plan: Plan) -> Callable[[SparkSession, str], DataFrame]:
@@ -21,13 +25,26 @@ def _model(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: models.simulate_history(view(spark, sf_dir, "trades"), name, simulate.Config())
 
 
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw table, written as CSV and read, typed and dealt to strategies again."""
+    path = f"{shared_dir(spark)}/riskloom-{uuid.uuid4().hex}"
+    raw = view(spark, sf_dir, "raw").select(F.col("event_id").alias("Trade number"), F.col("instrument").alias("Instrument"), F.col("profit").alias("Profit"), "in_regime")
+    trades.csv_export(raw.repartitionByRange("Trade number").sortWithinPartitions("Trade number"), path)
+    table = trades.csv_scan(spark, path)
+    return trades.trades_of(table, trades.grid_roles(table)).select("series_id", "trade_idx", "pnl")
+
+
+#: The same rows, without the way through a file.
+CSV_SQL = ingest.PLANS["row_filter"].oracle(VIEWS).replace("SELECT CAST(row_number()", "SELECT instrument AS series_id, CAST(row_number()").replace("AS trade_idx, instrument, event_id, pnl", "AS trade_idx, pnl")
+
 #: Queries without SQL: numpy kernels with a generator for each path, and fits.
 KERNELS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{f"kernel_{name}": _model(name) for name in ("bootstrap", "permutation", "blocks", "regimes", "parametric", "garch")},
-    "kernel_portfolio_copula": lambda spark, sf_dir: models.simulate_portfolio(view(spark, sf_dir, "trades"), simulate.Config(paths=2000)),
+    "kernel_portfolio_copula": lambda spark, sf_dir: models.simulate_portfolio(view(spark, sf_dir, "trades"), simulate.Config(paths=500)),
     "kernel_portfolio_student_copula": lambda spark, sf_dir: models.simulate_portfolio(view(spark, sf_dir, "trades"), simulate.Config(paths=500), 5.0),
+    "kernel_portfolio_dynamic_copula": lambda spark, sf_dir: models.simulate_portfolio(view(spark, sf_dir, "trades"), simulate.Config(paths=200), dynamic=True),
     "fit_garch": lambda spark, sf_dir: models.garch_models(view(spark, sf_dir, "trades")),
     "position_sizing": lambda spark, sf_dir: models.position_size(view(spark, sf_dir, "trades"), simulate.Config(paths=2500)),
 }
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(plan) for name, plan in PLANS.items()} | KERNELS
-ORACLE_SQL: dict[str, str] = {name: plan.oracle(VIEWS) for name, plan in PLANS.items()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(plan) for name, plan in PLANS.items()} | KERNELS | {"csv_scan": csv_round_trip}
+ORACLE_SQL: dict[str, str] = {name: plan.oracle(VIEWS) for name, plan in PLANS.items()} | {"csv_scan": CSV_SQL}

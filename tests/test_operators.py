@@ -5,9 +5,10 @@ import math
 import numpy as np
 import pytest
 
-from riskloom.operators import ingest, models, performance, portfolio, simulate, stats, stress
+from riskloom.operators import ingest, models, performance, portfolio, simulate, stats, stress, validation
 from riskloom.plans import catalog
 from riskloom.plans.engine import Plan
+from riskloom.sources import trades as sources
 
 
 def trades(spark, pnl, regime=None, series="A"):
@@ -61,7 +62,7 @@ def test_calendar(spark):
 def test_stress(spark):
     got = {r["scenario"]: r for r in stress.PLANS["stress_scenarios"].run(spark, trades=trades(spark, [10, -5, 20, -10, 15, -2, -3, -5, 10, -8])).collect()}
     assert got["black_swan"]["capital_after"] == 10000 + 22 - 150 and got["losses_2"]["capital_after"] == 10000 + 22 - 33
-    assert got["worst_5"]["capital_after"] == 10000 - 8 and "worst_20" not in got
+    assert got["worst_5"]["capital_after"] == 10000 - 8 and (got["worst_20"]["capital_after"], got["worst_20"]["max_drawdown"]) == (10000, 0)
 
 
 def test_parsing(spark):
@@ -72,10 +73,37 @@ def test_parsing(spark):
 
 
 def test_columns(spark):
-    df = spark.createDataFrame([(0, 1.0, None), (1, 2.0, 5.0)], "Idx int, ` Profit ` double, Instrument double")
-    assert ingest.find_column(df, "profit") == " Profit " and not ingest.is_platform_grid(df)
-    long = ingest.sleeves_from_columns(df, "Idx", [" Profit ", "Instrument"]).collect()
-    assert {tuple(r) for r in long} == {(" Profit ", 0, 1.0), (" Profit ", 1, 2.0), ("Instrument", 0, 5.0)}
+    df = spark.createDataFrame([(0, 0, "1", None, "x")], f"{sources.ORDER} long, Idx int, ` Profit ` string, Instrument string, ` In Regime` string")
+    assert sources.find_column(df, "profit") == " Profit " and not sources.is_platform_grid(df)
+    assert sources.find_in_regime_column(df) == " In Regime" and sources.find_in_regime_column(df.drop(" In Regime")) is None
+
+
+def test_wide_csv(spark, tmp_path):
+    """Sleeves from numeric columns, in the order of the file, blanks closing up."""
+    head = ["trade", "Qty", *(f"S{i}" for i in range(9)), "note"]
+    lines = [",".join(head)] + [",".join([str(i), "7", *("" if i == 1 and k == 0 else f'"$1,{i}0{k}.5"' if k == 1 else f"({i + k})" for k in range(9)), "n/a"]) for i in range(60)]
+    (tmp_path / "wide.csv").write_text("\n".join(lines) + "\n\n")
+    table = sources.csv_scan(spark, str(tmp_path / "wide.csv"))
+    assert table.count() == 60
+    roles = sources.roles_of(table)
+    assert [name for name, _, _ in roles.sleeves] == ["trade", *(f"S{i}" for i in range(9))] and sum(on for _, _, on in roles.sleeves) == 4
+    assert sum(w for _, w, _ in roles.sleeves) == pytest.approx(1)
+    got = sources.trades_of(table, roles).orderBy("series_id", "trade_idx").toPandas()
+    s0 = got[got["series_id"] == "S0"]
+    assert list(s0["trade_idx"]) == list(range(59)) and list(s0["pnl"][:3]) == [-0.0, -2.0, -3.0]
+    assert list(got[got["series_id"] == "S1"]["pnl"][:2]) == [1001.5, 1101.5]
+    assert sources.column_roles(table.select("note", sources.ORDER)).sleeves == () and sources.numeric_columns(table.limit(0)) == []
+
+
+def test_grid_csv(spark, tmp_path):
+    rows = ["Trade number,Instrument,Profit,Entry time,In_Regime,Bench", "1,ES,($11.90),1/15/2024 09:30:00,yes,1.5", "2,NQ,$909.24,2024-01-15T09:30:00Z,no,x", "3,ES,,1/16/2024,no,2", "4,ES,7,bad,no,", "5, ,7,0,no,1"]
+    (tmp_path / "grid.csv").write_text("\n".join(rows))
+    table = sources.csv_scan(spark, str(tmp_path / "grid.csv"))
+    roles = sources.roles_of(table)
+    assert sources.is_platform_grid(table) and roles.sleeves == (("ES", 0.5, True), ("NQ", 0.5, True)) and roles.data_format == "absolute" and roles.commission == 0
+    out = sources.trades_of(table, sources.replace(roles, benchmark="Bench", benchmark_percent=True)).orderBy("series_id", "trade_idx").collect()
+    assert [(r["series_id"], r["trade_idx"], r["pnl"], r["benchmark"]) for r in out] == [("ES", 0, -11.9, 0.015), ("ES", 1, 7.0, None), ("NQ", 0, 909.24, None)]
+    assert out[0]["ts"] == out[2]["ts"] and str(out[0]["ts"]) == "2024-01-15 09:30:00" and out[1]["ts"] is None
 
 
 def test_special_functions(spark):
@@ -137,8 +165,66 @@ def test_paths_are_as_long_as_the_history(spark):
         assert sorted((r["series_id"], r["sim_id"]) for r in rows) == [(s, i) for s in "AB" for i in range(40)]
         if model == "permutation":
             assert {(r["series_id"], r["final_balance"]) for r in rows} == {(s, 10000 + sum(x)) for s, x in pnl.items()}
-    sizes = models.position_size(df, simulate.Config(paths=50), (0.5, 1.0)).collect()
-    assert len(sizes) == 4 and all(abs(r["mean"] - r["scale"] * 280) < 60 for r in sizes if r["series_id"] == "B")
+    sizes = {r["series_id"]: r for r in models.position_size(df, simulate.Config(paths=50), halvings=2).collect()}
+    assert sizes["B"]["passes"] and sizes["B"]["scale"] == 1 and abs(sizes["B"]["mean"] - 280) < 60
+    assert sizes["A"]["scale"] < 1
+    bad = one(models.position_size(trades(spark, [100.0, -100.0] * 100), simulate.Config(paths=50), halvings=2))
+    assert not bad["passes"] and bad["scale"] == 0.05
+
+
+def test_size_is_found_by_halving(spark):
+    """Full size is too much risk of ruin, a part of it is not."""
+    x = np.random.default_rng(2).normal(120, 300, 250)
+    got = one(models.position_size(trades(spark, x), simulate.Config(paths=400, capital=1500), halvings=4))
+    assert got["passes"] and 0.05 < got["scale"] < 1 and got["ruin_percent"] < 2
+
+
+def test_fitted_degrees_of_freedom():
+    rng = np.random.default_rng(5)
+    assert models.fitted_df(50 + 15 * rng.standard_t(4, 500)) < 15 and models.fitted_df(rng.normal(0, 3, 2000)) is None and models.fitted_df(np.ones(9)) is None
+
+
+def test_portfolio_copulas(spark):
+    """Two legs that move together: their joint result spreads as both do, not less."""
+    base = np.random.default_rng(6).normal(0, 10, 120)
+    df = trades(spark, base).union(trades(spark, base * 2, series="B"))
+    for kind in ({}, {"df": 5.0}, {"dynamic": True}):
+        got = models.simulate_portfolio(df, simulate.Config(paths=60, steps=5), **kind).toPandas()
+        assert sorted(got["sim_id"]) == list(range(60)) and 45 < got["final_balance"].std() < 95
+    assert np.allclose(simulate.normal_cdf(np.array([-1.96, 0.0, 1.96])), [0.025, 0.5, 0.975], atol=1e-4)
+
+
+def test_series_that_are_short_or_fall_to_nothing(spark):
+    """No series is lost: 10 trades, one loss of everything, and only gains."""
+    df = trades(spark, [5.0] * 10, series="gains").union(trades(spark, [10.0, -100000.0, 10.0], series="lost")).union(trades(spark, list(range(-30, 30)), series="long"))
+    for name in ("auto_regime", "time_under_water", "worst_window", "worst_survivable", "equity_curve_multiplicative"):
+        plan = performance.PLANS.get(name) or stress.PLANS[name]
+        assert {r["series_id"] for r in plan.run(spark, trades=df).collect()} == {"gains", "lost", "long"}, name
+    assert {r["regime"] for r in performance.PLANS["auto_regime"].run(spark, trades=df).where("series_id <> 'long'").collect()} == {"Dispersed"}
+    equity = {(r["series_id"], r["t"]): r["equity"] for r in performance.PLANS["equity_curve_multiplicative"].run(spark, trades=df).collect()}
+    assert equity["lost", 1] == 10001 and equity["lost", 2] == 0 and equity["lost", 3] == 0
+    under = {r["series_id"]: r["max_duration"] for r in performance.PLANS["time_under_water"].run(spark, trades=df).collect()}
+    assert under["gains"] == 0 and under["lost"] == 1
+    worst = {r["series_id"]: r for r in stress.PLANS["worst_survivable"].run(spark, trades=df).collect()}
+    assert worst["lost"]["surviving"] < 10 and worst["gains"]["scenario"] is not None
+
+
+def test_tails_of_any_degrees_of_freedom(spark):
+    df = spark.createDataFrame([(i, x, k) for i, (x, k) in enumerate([(3.841459, 1), (16.918978, 9), (18.307038, 10), (0.0, 3), (-1.0, 1), (500.0, 2), (5.991465, 2)])], "id long, stat double, df long")
+    got = [r["p"] for r in Plan("WITH " + validation.upper_tail("spark", "t", "$src", "id, df", "stat", "df") + " SELECT id, p FROM t", {"src": "src"}).run(spark, src=df).orderBy("id").collect()]
+    assert got == pytest.approx([0.05, 0.05, 0.05, 1, 1, 0, 0.05], abs=1e-6)
+
+
+def test_validation_report(spark):
+    """A well-behaved history passes; one whose size of moves comes in waves fails its VaR."""
+    rng = np.random.default_rng(8)
+    calm, waves = rng.normal(0, 9, 600), rng.normal(0, 1, 600) * np.repeat([1, 40, 1, 40, 1, 40], 100)
+    df = trades(spark, calm).union(trades(spark, waves, series="waves")).union(trades(spark, [1.0, -1.0] * 10, series="short")).cache()
+    got = {r["series_id"]: r for r in validation.PLANS["validation_report"].run(spark, trades=df, pool=df).collect()}
+    assert got["A"]["overall"] != "fail" and got["waves"]["var_backtest"] == "fail" and got["waves"]["overall"] == "fail"
+    assert got["short"]["var_backtest"] == got["short"]["calibration"] == got["short"]["serial_dependence"] == "not run"
+    back = {r["series_id"]: r for r in validation.PLANS["var_backtest"].run(spark, trades=df).collect()}
+    assert back["A"]["kupiec_p"] > 0.05 and set(back) == {"A", "waves"}
 
 
 def test_bound_to_the_whole_table(spark):
