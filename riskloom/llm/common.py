@@ -1,16 +1,19 @@
-"""Helpers shared by the corpus operators: shared storage, batches, word hashes."""
+"""Helpers shared by the corpus operators: batches, word hashes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared as materialize
+
 #: Odd multiplier of the polynomial hash, its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
@@ -18,32 +21,51 @@ BASE_INVERSE = pow(BASE, -1, 1 << 64)
 SMALL = bytes(range(256)).lower()
 #: Text bytes that one vectorised step holds; about 40 bytes of scratch each.
 BLOCK_BYTES = 1 << 20
+#: Bytes that Spark puts into one Arrow batch for Python, and text bytes worked on at once.
+BATCH_BYTES, SLICE_BYTES = 8 << 20, 4 << 20
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only if the
-    session names none, as in local tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        context = spark.sparkContext
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="riskloom-"))
-        named = context.getCheckpointDir()
-    return named.rstrip("/")
+def small_batches(spark: SparkSession) -> None:
+    """Has Spark hand texts to Python in batches of BATCH_BYTES, not of ten thousand
+    rows of any length, unless the session has a limit of its own."""
+    if int(spark.conf.get(BATCH_KEY, "64m").rstrip("bBmMkKgG") or 0) in (64, 64 << 20, 65536):
+        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Hands freed memory back to the system."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
 
+def tidy(run: Callable) -> Callable:
+    """``run``, a function over Arrow batches, that gives memory back at its end: Python
+    workers outlive their tasks, and two share an executor's memory."""
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
 
-    Cuts lineage without keeping anything on an executor: a lost executor costs
-    a re-read, not a recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/riskloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return wrapped
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``limit`` bytes of ``column``."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = np.cumsum(size) // limit
+        for begin, end in zip(*runs(part), strict=True):
+            yield batch.slice(begin, end - begin)
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:

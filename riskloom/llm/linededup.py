@@ -1,30 +1,14 @@
-"""Line deduplication: an exact set-similarity join of all lines, by prefix,
-positional and length filters."""
+"""Line deduplication: an exact set-similarity join of all lines."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, blocks, is_space, lowered, materialize, mix, runs, spans, table, whole_runs, word_hashes
-
-#: Lines match from this Jaccard similarity of their word sets, as a fraction.
-NUMERATOR, DENOMINATOR = 4, 5
-#: Counters of word rarity: a fixed number, whatever the vocabulary.
-COUNTERS, CHUNKS = 1 << 18, 16
-#: Pairs compared in one step, and partners that a line names at first for each word.
-PAIRS_AT_ONCE, PARTNERS = 1 << 20, 4
-#: Lines that look further, and words they stand under, that are sent out; more are
-#: joined instead.
-OPEN_WORDS = 1_000_000
-POSTING = "word long, line_set long, doc_id long, line long, size int, at int, bits0 long, bits1 long"
-EVENT = "line_set long, doc_id long, line long, partner long, partner_doc long, partner_line long, more boolean"
+from .common import is_space, lowered, materialize, small_batches, spans, table, word_hashes
+from .setjoin import PARTNERS, Reader, alike, indexed, met, named, nearest, places, whole_sets
 
 
 def line_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -40,262 +24,33 @@ def line_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return word_hashes(buf, begin, end), line, np.searchsorted(newline, starts - 1, "left") + (starts > 0)
 
 
-def rarity(docs: DataFrame) -> np.ndarray:
-    """How often words of each counter occur in all lines of ``docs``. COUNTERS
-    counters are summed on Spark, CHUNKS at a time; they only order words, so words
-    that share one cost speed and nothing else."""
-    width = COUNTERS // CHUNKS
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            texts = as_bytes(batch.column(0))
-            for b, e in blocks(texts):
-                sums += np.bincount((line_words(texts[b:e])[0] & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-        parts = sums.astype("<u4" if sums.max(initial=0) < 1 << 32 else "<u8").reshape(CHUNKS, width)
-        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([x.tobytes() for x in parts])], ["chunk", "n"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for chunk, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(n, "<u4" if len(n) == 4 * width else "<u8")
-                sums[chunk] = sums.get(chunk, 0) + part.astype("<u8")
-        yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["chunk", "n"])
-
-    summed = docs.select("text").mapInArrow(count, "chunk int, n binary").repartition(CHUNKS, "chunk").mapInArrow(add, "chunk int, n binary")
-    out = np.zeros((CHUNKS, width), np.uint64)
-    for row in summed.collect():
-        out[row["chunk"]] = np.frombuffer(row["n"], "<u8")
-    return out.reshape(-1)
-
-
-def set_ids(words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit id of each set of words, whatever their order."""
-    return mix(np.add.reduceat(mix(words), begin) + (end - begin).astype(np.uint64)).view(np.int64)
-
-
-def word_sets(words: np.ndarray, lines: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Each line's distinct words, rarest first: words, begin and end of each line
-    that has any, its number, and an id of its set."""
-    order = np.lexsort((words, counts[words & np.uint64(COUNTERS - 1)], lines))
-    words, lines = words[order], lines[order]
-    new = np.ones(len(words), bool)
-    new[1:] = (words[1:] != words[:-1]) | (lines[1:] != lines[:-1])
-    words, lines = words[new], lines[new]
-    begin, end = runs(lines)
-    if not len(begin):
-        return words, begin, end, lines, np.zeros(0, np.int64)
-    return words, begin, end, lines[begin], set_ids(words, begin, end)
-
-
-def prefix(size: np.ndarray) -> np.ndarray:
-    """How many of its rarest words a line shares one of with any line it matches."""
-    return size - -(-NUMERATOR * size // DENOMINATOR) + 1
-
-
-def _within(known: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Which ``values`` are among the sorted ones ``known`` (one at least)."""
-    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
-
-
-def _postings(counts: Broadcast, only: Broadcast | None = None):
-    """Rows for the rarest words of each line set of a batch, at its first place; of
-    the words in ``only``, if it is given, so that lines without one are left out
-    before anything is sorted."""
-
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in POSTING.split(", ")]
-        if only is not None:
-            listed = np.zeros(COUNTERS, bool)
-            listed[only.value.view(np.uint64) & np.uint64(COUNTERS - 1)] = True
-        for batch in batches:
-            ids, texts = batch.column("doc_id").to_numpy(zero_copy_only=False), as_bytes(batch.column("text"))
-            for b, e in blocks(texts):
-                words, lines, starts = line_words(texts[b:e])
-                if only is not None:
-                    near = np.flatnonzero(listed[words & np.uint64(COUNTERS - 1)])
-                    use = np.zeros(starts[-1] + 1, bool)
-                    use[lines[near[_within(only.value, words[near].view(np.int64))]]] = True
-                    use = use[lines]
-                    words, lines = words[use], lines[use]
-                words, begin, end, number, sets = word_sets(words, lines, counts.value)
-                doc = np.searchsorted(starts, number, "right") - 1
-                line, doc_id = number - starts[doc], ids[b:e][doc].astype(np.int64)
-                order = np.lexsort((line, doc_id, sets))
-                first = order[np.concatenate(([True], sets[order][1:] != sets[order][:-1]))] if len(order) else order
-                size = (end - begin)[first]
-                many = prefix(size)
-                owner = np.repeat(np.arange(len(first)), many)
-                at = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
-                bits = np.zeros((len(begin), 2), np.uint64)
-                m = mix(words)
-                for k in range(2):
-                    mine = (m & np.uint64(1)) == k
-                    one = np.where(mine, np.uint64(1) << ((m >> np.uint64(8)) & np.uint64(63)), np.uint64(0))
-                    if len(begin):  # parities: sets differ by at least as many words as these by bits
-                        bits[:, k] = np.bitwise_xor.reduceat(one, begin)
-                pick = first[owner]
-                columns = [words[begin[pick] + at].view(np.int64), sets[pick], doc_id[pick], line[pick], size[owner].astype(np.int32), at.astype(np.int32), *(bits[pick, k].view(np.int64) for k in range(2))]
-                if only is not None and len(pick):
-                    use = _within(only.value, columns[0])
-                    columns, pick = [c[use] for c in columns], pick[use]
-                if len(pick):
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
-
-    return post
-
+LINES = Reader(line_words, lambda text: text.split(b"\n"))
 
-def _rarest_words(sets: DataFrame, counts: Broadcast) -> DataFrame:
-    """The words that the lines of ``sets(words)`` stand under in the index."""
 
-    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for words in batch.column(0):
-                words = words.values.to_numpy().view(np.uint64)
-                order = np.lexsort((words, counts.value[words & np.uint64(COUNTERS - 1)]))
-                yield pa.RecordBatch.from_arrays([pa.array(words[order[: prefix(np.array(len(words)))]].view(np.int64))], ["word"])
-
-    return sets.select("words").mapInArrow(rarest, "word long").distinct()
-
-
-def _closest(y: np.ndarray, x: np.ndarray, far: np.ndarray, more: np.ndarray, keep: int) -> tuple[np.ndarray, ...]:
-    """The ``keep`` nearest x of each y; ``more`` where there were others."""
-    order = np.lexsort((x, far, y))
-    y, x, far, more = y[order], x[order], far[order], more[order]
-    begin, end = runs(y)
-    rank = np.arange(len(y)) - np.repeat(begin, end - begin)
-    over = np.repeat((end - begin > keep) | (np.logical_or.reduceat(more, begin) if len(begin) else more), end - begin)
-    kept = rank < keep
-    return y[kept], x[kept], far[kept], over[kept]
-
-
-def _meet(keep: int, still: Broadcast | None = None):
-    """For the postings of each word: the places of line sets (at their rarest word),
-    and for each set the nearest earlier ones that the filters leave. With ``still``
-    only for the sets in it, without places."""
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in EVENT.split(", ")]
-        for part in whole_runs(batches, "word"):
-            word, sets, doc, line, size, at, b0, b1 = (part[c].to_numpy() for c in (x.split()[0] for x in POSTING.split(", ")))
-            order = np.lexsort((line, doc, sets, word))
-            order = order[np.concatenate(([True], (word[order][1:] != word[order][:-1]) | (sets[order][1:] != sets[order][:-1])))]
-            order = order[np.lexsort((sets[order], size[order], word[order]))]
-            word, sets, doc, line, size, at, b0, b1 = (c[order] for c in (word, sets, doc, line, size, at, b0, b1))
-            size, at = size.astype(np.int64), at.astype(np.int64)
-            b0, b1 = b0.view(np.uint64), b1.view(np.uint64)
-            begin, end = runs(word)
-            run = np.repeat(np.arange(len(begin)), end - begin)
-            place = np.empty(len(sets), np.int64)
-            place[np.lexsort((sets, line, doc))] = np.arange(len(sets))
-            key = (run << 32) + size
-            low = np.searchsorted(key, (run << 32) + -(-NUMERATOR * size // DENOMINATOR))
-            count = np.arange(len(sets)) - low
-            total = np.concatenate(([0], np.cumsum(count)))
-            best = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool)]
-            asks = np.ones(len(sets), bool) if still is None else _within(still.value, sets)
-            i = 0
-            while i < len(sets):
-                j = max(i + 1, int(np.searchsorted(total, total[i] + PAIRS_AT_ONCE, "right")) - 1)
-                found = [best]
-                for lo in range(0, int(count[i]) if j == i + 1 else 1, PAIRS_AT_ONCE):  # one set with very many partners: in parts
-                    if j == i + 1:
-                        q = np.arange(low[i] + lo, min(i, low[i] + lo + PAIRS_AT_ONCE))
-                        p = np.full(len(q), i)
-                    else:
-                        p = np.repeat(np.arange(i, j), count[i:j])
-                        q = low[p] + np.arange(len(p)) - (total[p] - total[i])
-                    needed = -(-NUMERATOR * (size[p] + size[q]) // (NUMERATOR + DENOMINATOR))
-                    possible = np.minimum(at[p], at[q]) + np.minimum(size[p] - at[p], size[q] - at[q])
-                    far = np.bitwise_count(b0[p] ^ b0[q]).astype(np.int64) + np.bitwise_count(b1[p] ^ b1[q])
-                    ok = (possible >= needed) & (far <= size[p] + size[q] - 2 * needed)
-                    p, q, far = p[ok], q[ok], far[ok]
-                    later = place[p] > place[q]
-                    y, x = np.where(later, p, q), np.where(later, q, p)
-                    use = asks[y]
-                    found.append([y[use], x[use], far[use], np.zeros(int(use.sum()), bool)])
-                best = list(_closest(*(np.concatenate(c) for c in zip(*found, strict=True)), keep))
-                i = j
-            y, x, _, more = best
-            first = np.flatnonzero(at == 0) if still is None else np.zeros(0, np.int64)
-            y, x, more = (np.concatenate(c) for c in ((first, y), (first, x), (np.zeros(len(first), bool), more)))
-            columns = [sets[y], doc[y], line[y], sets[x], doc[x], line[x], more]
-            if len(y):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
-
-    return meet
-
-
-def _sets_of(places: DataFrame, docs: DataFrame) -> DataFrame:
-    """``places(line_set, doc_id, line)`` to ``(line_set, words)``, read from the texts."""
-    wanted = places.groupBy("doc_id").agg(F.collect_set(F.struct("line", "line_set")).alias("wanted"))
-    nothing = np.zeros(COUNTERS, np.uint8)
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            asked, lines = [], []
-            for text, wanted in zip(as_bytes(batch.column("text")), batch.column("wanted").to_pylist(), strict=True):
-                own = text.split(b"\n")
-                for w in wanted:
-                    if w["line"] < len(own):
-                        asked.append(w["line_set"])
-                        lines.append(own[w["line"]])
-            for b, e in blocks(lines):
-                words, line, _ = line_words(lines[b:e])
-                words, begin, end, number, sets = word_sets(words, line, nothing)
-                right = np.array(asked[b:e], np.int64)[number] == sets
-                found = pa.LargeListArray.from_arrays(np.concatenate((begin, end[-1:])), words.view(np.int64)).cast(pa.list_(pa.int64())) if len(begin) else pa.array([], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(sets), found], ["line_set", "words"]).filter(pa.array(right))
-
-    return docs.join(wanted, "doc_id").select("text", "wanted").mapInArrow(read, "line_set long, words array<long>")
-
-
-def _judged(events: DataFrame, by_id: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of each line set that ``events`` name partners for: whether one is alike, and
-    whether it had more than were named. With the word sets that decided it."""
-    pairs = events.where("line_set <> partner").groupBy("line_set", "partner").agg(
-        F.min(F.struct("doc_id", "line")).alias("here"), F.min(F.struct("partner_doc", "partner_line")).alias("there"), F.max("more").alias("more")
-    )
-    sides = pairs.select("line_set", "here.doc_id", "here.line").union(pairs.select("partner", "there.partner_doc", "there.partner_line"))
-    sets = materialize(_sets_of(sides.distinct(), by_id).dropDuplicates(["line_set"]))
-    joined = pairs.join(sets, "line_set").join(sets.toDF("partner", "other"), "partner")
-    shared = F.size(F.array_intersect("words", "other"))
-    alike = DENOMINATOR * shared >= NUMERATOR * (F.size("words") + F.size("other") - shared)
-    return materialize(joined.groupBy("line_set").agg(F.max(alike).alias("alike"), F.max("more").alias("more"))), sets
-
-
-def kept_lines(docs: DataFrame) -> DataFrame:
+def kept_lines(docs: DataFrame, partners: int = PARTNERS) -> DataFrame:
     """``(doc_id, line)`` of the lines of ``docs`` that have words and match no
     earlier line (by doc_id, then position).
 
-    Each line set is held against its PARTNERS nearest candidates under each word
-    first. Sets that had more, none of the first alike, look further: only the index
-    entries of their own words are made again for them."""
-    counts = docs.sparkSession.sparkContext.broadcast(rarity(docs))
-    by_id, keep = docs.repartition("doc_id"), PARTNERS
-
-    def met(postings: DataFrame, still: Broadcast | None = None) -> DataFrame:
-        return postings.repartition("word").sortWithinPartitions("word").mapInArrow(_meet(keep, still), EVENT)
-
-    def sent(values: DataFrame) -> Broadcast:
-        return docs.sparkSession.sparkContext.broadcast(np.sort(np.array([row[0] for row in values.collect()], np.int64)))
-
-    events = materialize(met(docs.mapInArrow(_postings(counts), POSTING)))
-    places = events.where("line_set = partner").groupBy("line_set").agg(F.min(F.struct("doc_id", "line")).alias("first"))
-    judged, sets = _judged(events, by_id)
-    matched = judged.where("alike").select("line_set")
-    while n := (still := judged.where("not alike and more").select("line_set")).count():
-        keep *= 16
-        words = materialize(_rarest_words(sets.join(still, "line_set", "left_semi"), counts))
-        if max(n, words.count()) <= OPEN_WORDS:
-            events = met(docs.mapInArrow(_postings(counts, sent(words)), POSTING), sent(still))
-        else:
-            postings = docs.mapInArrow(_postings(counts), POSTING).join(words, "word", "left_semi")
-            events = met(postings).where("line_set <> partner").join(still, "line_set", "left_semi")
-        judged, sets = _judged(materialize(events), by_id)
-        matched = matched.union(judged.where("alike").select("line_set"))
-    return places.join(matched.distinct(), "line_set", "left_anti").select("first.doc_id", "first.line")
+    Each line set is held against its nearest candidate first, then against the others
+    of the ``partners`` nearest under each word. Sets that had more, none of the first
+    alike, look further, at 16 times as many each round, among the index rows that the
+    round before held back; so no link is lost, and no text is read again."""
+    events = met(indexed(docs, LINES), partners, with_places=True)
+    first = events.where("line_set = partner").select("line_set", "doc_id", "line")
+    sets = whole_sets(places(events), docs, LINES)
+    matched, now = None, events
+    while True:
+        pairs = materialize(named(now))
+        found = alike(nearest(pairs), sets).select("line_set").distinct()
+        again = alike(pairs.join(found, "line_set", "left_anti"), sets).select("line_set").distinct()
+        found = materialize(found.union(again))
+        matched = found if matched is None else matched.union(found)
+        held = now.where("partner is null").drop("partner", "partner_doc", "partner_line", "far")
+        held = held.join(matched.select("line_set", F.lit(0).alias("mark")), "line_set", "left").withColumn("mark", F.coalesce("mark", F.lit(1)))
+        if held.where("mark = 1").isEmpty():
+            return first.join(matched, "line_set", "left_anti").select("doc_id", "line")
+        partners *= 16
+        now = met(held, partners)
 
 
 def dedup_lines(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
@@ -303,12 +58,13 @@ def dedup_lines(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     text (what is left), n_lines, n_removed, and the columns to ``carry`` as a struct
     ``carried`` (so no name can clash); every row stays.
 
-    Two lines match if the Jaccard similarity of their word sets is at least
-    NUMERATOR / DENOMINATOR, judged on the input, whether or not the earlier line
+    Two lines match if the Jaccard similarity of their word sets is at least 4/5,
+    judged on the input, whether or not the earlier line
     stays itself. Words are told apart by 64-bit hashes. Lines without a word match
     nothing and stay. A null text stays null and has no lines. Rows that share a
     doc_id count as one place: the same line number in them is not a repeat.
-    Rows with a null doc_id are kept as they are and matched with nothing."""
+    Rows with a null doc_id are kept as they are and matched with nothing. No rows, no
+    result."""
     extra = [F.struct(*carry).alias("carried")] if carry else []
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *extra)
     known = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
@@ -324,11 +80,14 @@ def dedup_lines(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
             rows.append((None if text is None else "\n".join(left), len(lines), len(lines) - len(left)))
         return pd.DataFrame(rows, columns=["text", "n_lines", "n_removed"])
 
-    joined = docs.repartition("doc_id").join(kept, "doc_id", "left")
+    # rows without a doc_id are dealt out by their text: they must not gather in one task
+    spread = F.coalesce("doc_id", F.xxhash64("text"))
+    joined = docs.withColumn("_spread", spread).join(kept.withColumnRenamed("doc_id", "_spread"), "_spread", "left")
     out = joined.withColumn("cut", cut(F.isnull("doc_id"), "text", "kept"))
     return out.select("doc_id", "cut.*", *(["carried"] if carry else []))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     out = dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
