@@ -206,7 +206,7 @@ SELECT vv.series_id, n, round(alpha * 252, 4) AS alpha_annualized, round(beta, 5
     "fit_normal": Plan(f"WITH {FITS} SELECT series_id, round(mu, 6) AS mu, round(sigma, 6) AS sigma, round(ll, 4) AS log_likelihood, {AIC(2)} FROM no"),
     "fit_student_t": Plan(f"WITH {FITS} SELECT series_id, df, round(mu, 6) AS mu, round(sigma, 6) AS sigma, round(ll, 4) AS log_likelihood, {AIC(3)} FROM tb"),
     "fit_best": Plan(f"WITH {FITS}, a AS (SELECT series_id, 'normal' AS kind, 0 AS o, -2 * ll + 2 * ln(n) AS bic FROM no UNION ALL SELECT series_id, 'student_t', 1, -2 * ll + 3 * ln(n) FROM tb) SELECT series_id, kind, round(bic, 4) AS bic FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY bic, o) AS k FROM a) x WHERE k = 1"),
-    "special_functions": Plan(f"WITH x AS (SELECT series_id, trade_idx, abs(pnl) / 10 + {D('0.5')} AS x FROM $trades) SELECT series_id, trade_idx, round({log_gamma('x')}, 8) AS log_gamma, round({log_gamma_any('(x / 7 - 3.01)')}, 6) AS log_gamma_reflected, round({student_t_cdf('(x - 3)', D(5))}, 9) AS student_t_cdf, round({normal_cdf('(x / 3)')}, 10) AS normal_cdf, round({kolmogorov('x')}, 8) AS kolmogorov_q, round({ad_p('x')}, 8) AS ad_p, round({chi_square_upper('x', 10)}, 8) AS chi_square_upper, round({two_sided('x')}, 8) AS two_sided, round({t_log_pdf('x', '1', '2', D(5))}, 8) AS t_log_pdf FROM x"),
+    "special_functions": Plan(f"WITH x AS (SELECT series_id, trade_idx, abs(pnl) / 10 + {D('0.5')} AS x FROM $trades) SELECT series_id, trade_idx, round({log_gamma("x")}, 8) + {D(0)} AS log_gamma, round({log_gamma_any('(x / 7 - 3.01)')}, 6) AS log_gamma_reflected, round({student_t_cdf('(x - 3)', D(5))}, 9) AS student_t_cdf, round({normal_cdf('(x / 3)')}, 10) AS normal_cdf, round({kolmogorov('x')}, 8) AS kolmogorov_q, round({ad_p('x')}, 8) AS ad_p, round({chi_square_upper('x', 10)}, 8) AS chi_square_upper, round({two_sided('x')}, 8) AS two_sided, round({t_log_pdf('x', '1', '2', D(5))}, 8) AS t_log_pdf FROM x"),
     "regime_transitions": Plan("""WITH p AS (SELECT series_id, regime AS a, lead(regime) OVER (PARTITION BY series_id ORDER BY trade_idx) AS b FROM $trades),
 g AS (SELECT x.series_id, x.regime AS a, y.regime AS b FROM (SELECT DISTINCT series_id, regime FROM $trades) x JOIN (SELECT DISTINCT series_id, regime FROM $trades) y ON x.series_id = y.series_id),
 c AS (SELECT series_id, a, b, count(*) AS n FROM p WHERE b IS NOT NULL GROUP BY series_id, a, b),
