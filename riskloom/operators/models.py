@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..sources.shared import shared
 from . import portfolio
 from .portfolio import cholesky, repaired
-from .simulate import DRAWS_AT_ONCE, SUMMARY, Config, Kernel, block_bootstrap, bootstrap, copula, garch, parametric, paths_of, permutation, reduce_paths, regime_switching
+from .simulate import SUMMARY, Config, Kernel, block_bootstrap, block_count, bootstrap, copula, draws_of, garch, parametric, paths_of, permutation, reduce_paths, regime_switching
 
 #: Tasks that share the paths of one series.
 PARTS = 16
@@ -113,6 +113,8 @@ def simulate_history(trades: DataFrame, model: str, config: Config) -> DataFrame
     steps. Tasks hold one series and some path ids; nothing goes through the driver."""
     rows = garch_models(trades) if model == "garch" else trades.select("series_id", "trade_idx", "pnl", "regime")
     parts = min(PARTS, config.paths)
+    kinds = {"string": object, "long": np.int64, "double": float, "boolean": bool}
+    empty = pd.DataFrame({name: np.zeros(0, kinds[kind]) for name, kind in map(str.split, f"series_id string, {SUMMARY}".split(", "))})
 
     def run(key: tuple, past: pd.DataFrame) -> pd.DataFrame:
         series, part = key
@@ -122,8 +124,9 @@ def simulate_history(trades: DataFrame, model: str, config: Config) -> DataFrame
         else:
             past = past.sort_values("trade_idx")
             kernel, n = _kernel(past, model), len(past)
-        out = pd.concat(paths_of(np.arange(part, config.paths, parts), kernel, replace(config, steps=config.steps or n)))
-        return out.assign(series_id=series)
+        own = replace(config, steps=config.steps or n)
+        out = list(paths_of(np.arange(part, block_count(own), parts), kernel, own))
+        return pd.concat(out).assign(series_id=series) if out else empty
 
     each = trades.sparkSession.range(parts).withColumnRenamed("id", "part")
     return rows.crossJoin(F.broadcast(each)).groupBy("series_id", "part").applyInPandas(run, f"series_id string, {SUMMARY}")
@@ -199,12 +202,10 @@ def _probe(trades: DataFrame, scales: DataFrame, config: Config) -> DataFrame:
     def run(key: tuple, past: pd.DataFrame) -> pd.DataFrame:
         series, part = key
         pool, scale = past.sort_values("trade_idx")["pnl"].to_numpy(float), float(past["scale"].iloc[0])
-        kernel, steps = _parametric(scale * pool), config.steps or len(pool)
-        ids, out = np.arange(part, config.paths, parts), []
-        size = max(1, DRAWS_AT_ONCE // max(1, steps))
-        for at in range(0, len(ids), size):
-            draws = np.stack([kernel(np.random.Generator(np.random.Philox(key=[config.seed, int(i)])), steps) for i in ids[at : at + size]])
-            balance = config.capital + np.cumsum(draws, axis=1)
+        kernel, own = _parametric(scale * pool), replace(config, steps=config.steps or len(pool))
+        out = [pd.DataFrame({"pnl": [], "ruined": np.zeros(0, bool)})]
+        for block in range(part, block_count(own), parts):
+            balance = config.capital + np.cumsum(draws_of(block, kernel, own)[1], axis=1)
             out.append(pd.DataFrame({"pnl": balance[:, -1] - config.capital, "ruined": (balance <= floor).any(1)}))
         return pd.concat(out).assign(series_id=series)
 

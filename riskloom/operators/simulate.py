@@ -216,62 +216,78 @@ def reduce_paths(ids: np.ndarray, balance: np.ndarray, config: Config) -> pd.Dat
     return out.assign(outcome=outcome)
 
 
-DRAWS_AT_ONCE = 1 << 20
+DRAWS_AT_ONCE, PATHS_AT_ONCE = 1 << 20, 512
 SUMMARY = "sim_id long, final_balance double, max_drawdown double, ruined boolean, ev double, outcome string"
+#: ``kernel(rng, steps)`` gives the draws of one path, ``kernel.block(rng, paths, steps)`` of many.
 Kernel = Callable[[np.random.Generator, int], np.ndarray]
 
 
-def paths_of(ids: np.ndarray, kernel: Kernel, config: Config) -> Iterator[pd.DataFrame]:
-    """Reduced paths of ``ids``, at most DRAWS_AT_ONCE draws at a time. A kernel with an
-    attribute ``block`` gives the draws of many paths side by side."""
-    size = max(1, min(2048, DRAWS_AT_ONCE // max(1, config.steps)))
-    for at in range(0, len(ids), size):
-        rngs = [np.random.Generator(np.random.Philox(key=[config.seed, int(i)])) for i in ids[at : at + size]]
-        draws = kernel.block(rngs, config.steps) if hasattr(kernel, "block") else np.stack([kernel(rng, config.steps) for rng in rngs])
-        yield reduce_paths(ids[at : at + size], _balances(draws, config), config)
+def block_size(config: Config) -> int:
+    """Paths that are drawn side by side: it follows from the steps alone."""
+    return max(1, min(PATHS_AT_ONCE, DRAWS_AT_ONCE // max(1, config.steps)))
+
+
+def block_count(config: Config) -> int:
+    return -(-config.paths // block_size(config))
+
+
+def draws_of(block: int, kernel: Kernel, config: Config) -> tuple[np.ndarray, np.ndarray]:
+    """The path ids of a block and their draws. Each block has a generator of its own, so
+    results do not depend on how blocks are dealt to tasks."""
+    size = block_size(config)
+    ids = np.arange(block * size, min(config.paths, (block + 1) * size))
+    return ids, kernel.block(np.random.Generator(np.random.Philox(key=[config.seed, int(block)])), len(ids), config.steps)
+
+
+def paths_of(blocks: np.ndarray, kernel: Kernel, config: Config) -> Iterator[pd.DataFrame]:
+    """Reduced paths of ``blocks``."""
+    for block in blocks:
+        ids, draws = draws_of(block, kernel, config)
+        yield reduce_paths(ids, _balances(draws, config), config)
 
 
 def simulate(spark: SparkSession, kernel: Kernel, config: Config) -> DataFrame:
-    """``config.paths`` reduced paths. ``kernel(rng, steps)`` gives the draws of one
-    path; each path has a generator of its own, so results do not depend on how ids
-    are partitioned, and a lost task is done again alike."""
+    """``config.paths`` reduced paths; a lost task is done again alike."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield from paths_of(frame["id"].to_numpy(), kernel, config)
 
-    return spark.range(config.paths).mapInPandas(run, SUMMARY)
+    return spark.range(block_count(config)).mapInPandas(run, SUMMARY)
 
 
-def _single(block: Callable[[list[np.random.Generator], int], np.ndarray]) -> Kernel:
+def _single(block: Callable[[np.random.Generator, int, int], np.ndarray]) -> Kernel:
     """A kernel for one path from one for many, which it keeps as ``block``."""
 
     def kernel(rng: np.random.Generator, n: int) -> np.ndarray:
-        return block([rng], n)[0]
+        return block(rng, 1, n)[0]
 
     kernel.block = block
     return kernel
 
 
 def bootstrap(pool: np.ndarray) -> Kernel:
-    return lambda rng, n: pool[rng.integers(0, len(pool), n)]
+    return _single(lambda rng, m, n: pool[rng.integers(0, len(pool), (m, n))])
 
 
 def permutation(pool: np.ndarray) -> Kernel:
-    return lambda rng, n: np.resize(rng.permutation(pool), n)
+    def block(rng: np.random.Generator, m: int, n: int) -> np.ndarray:
+        return rng.permuted(np.tile(pool, (m, 1)), axis=1)[:, np.arange(n) % len(pool)]
+
+    return _single(block)
 
 
 def block_bootstrap(pool: np.ndarray, length: float) -> Kernel:
     """Stationary blocks of mean ``length`` on the circle of the history."""
 
-    def kernel(rng: np.random.Generator, n: int) -> np.ndarray:
-        new = rng.random(n) < 1 / max(1.0, length)
-        new[0] = True
-        begin = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        start = rng.integers(0, len(pool), n)
-        return pool[(start[begin] + np.arange(n) - begin) % len(pool)]
+    def block(rng: np.random.Generator, m: int, n: int) -> np.ndarray:
+        new = rng.random((m, n)) < 1 / max(1.0, length)
+        new[:, 0] = True
+        begin = np.maximum.accumulate(np.where(new, np.arange(n), 0), axis=1)
+        start = rng.integers(0, len(pool), (m, n))
+        return pool[(np.take_along_axis(start, begin, 1) + np.arange(n) - begin) % len(pool)]
 
-    return kernel
+    return _single(block)
 
 
 def regime_switching(pools: dict[str, np.ndarray], transitions: np.ndarray) -> Kernel:
@@ -279,30 +295,31 @@ def regime_switching(pools: dict[str, np.ndarray], transitions: np.ndarray) -> K
     sizes, upto = np.array([len(p) for p in pools.values()]), np.cumsum(transitions, axis=1)
     flat, first = np.concatenate(list(pools.values())), np.cumsum(sizes) - sizes
 
-    def block(rngs: list[np.random.Generator], n: int) -> np.ndarray:
-        state, u, v = (np.stack(x) for x in zip(*((rng.integers(len(sizes)), rng.random(n), rng.random(n)) for rng in rngs), strict=True))
-        states = np.empty(u.shape, np.int64)
+    def block(rng: np.random.Generator, m: int, n: int) -> np.ndarray:
+        state, u, v = rng.integers(len(sizes), size=m), rng.random((m, n)), rng.random((n, m))
+        states = np.empty((n, m), np.int64)
         for t in range(n):
-            states[:, t] = state
-            state = np.minimum((upto[state] <= v[:, t, None]).sum(1), len(sizes) - 1)
-        return flat[first[states] + (u * sizes[states]).astype(np.int64)]
+            states[t] = state
+            state = np.minimum((upto[state] <= v[t, :, None]).sum(1), len(sizes) - 1)
+        return flat[first[states.T] + (u * sizes[states.T]).astype(np.int64)]
 
     return _single(block)
 
 
 def parametric(mu: float, sigma: float, df: float | None) -> Kernel:
-    return lambda rng, n: mu + sigma * (rng.standard_normal(n) if df is None else rng.standard_t(df, n))
+    return _single(lambda rng, m, n: mu + sigma * (rng.standard_normal((m, n)) if df is None else rng.standard_t(df, (m, n))))
 
 
 def garch(omega: float, alpha: float, beta: float, mu: float, df: float | None = None) -> Kernel:
-    def block(rngs: list[np.random.Generator], n: int) -> np.ndarray:
-        heavy = df is not None and 2 < df < 30
-        z = np.stack([rng.standard_t(df, n) / np.sqrt(df / (df - 2)) if heavy else rng.standard_normal(n) for rng in rngs])
-        variance = np.full(len(rngs), omega / (1 - alpha - beta))
+    heavy = df is not None and 2 < df < 30
+
+    def block(rng: np.random.Generator, m: int, n: int) -> np.ndarray:
+        z = rng.standard_t(df, (n, m)) / np.sqrt(df / (df - 2)) if heavy else rng.standard_normal((n, m))
+        variance = np.full(m, omega / (1 - alpha - beta))
         for t in range(n):
-            z[:, t] = step = np.sqrt(variance) * z[:, t]
+            z[t] = step = np.sqrt(variance) * z[t]
             variance = omega + alpha * step * step + beta * variance
-        return mu + z
+        return mu + z.T
 
     return _single(block)
 
