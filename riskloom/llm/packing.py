@@ -15,12 +15,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import sliced, small_batches, table, tidy
 
 CAPACITY, END = 4096, 2
 TOKENIZER = "word_bpe_49k.json"
 #: Tails that wait for a partner before windows are filled, and distinct words remembered.
-WAITING, CACHE = 512, 500_000
+WAITING, CACHE = 512, 250_000
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -30,58 +30,79 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-#: Latin-1 letters with punctuation behind: two tokens' worth that never join.
-_ended = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~]+)")
+#: Small Latin-1 letters with punctuation behind: two tokens' worth that never join.
+_ended = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~]+)")
+
+
+def _small(text: str) -> str:
+    """``text`` in small letters, if that is sure to be what the tokenizer makes of it:
+    Latin-1 only, and none of its special tokens."""
+    if "<|" in text:
+        return text
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
 
 
 class Encoder:
     """Token ids of texts, as little-endian 32-bit bytes.
 
     The tokenizer drops white space, never joins across it, and ignores case, so
-    each distinct word is encoded once and remembered: CACHE of the newest, and
-    those before them for as long."""
+    words are encoded once and remembered: CACHE of the newest, and those before
+    them for as long. A word with punctuation behind is put together from its parts,
+    and remembered itself only if its letters were known before, that is, not rare."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark fills the cores
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.older = {}, {}
 
-    def _learn(self, missing: set[str]) -> None:
-        """Puts the ids of ``missing`` into ``known``: from before, or from parts
-        (a word and what punctuation follows it, in small letters), or encoded."""
+    def _learn(self, missing: set[str]) -> dict[str, bytes]:
+        """The ids of ``missing``: from before, or from parts, or encoded."""
         if len(self.known) > CACHE:
             self.known, self.older = {}, self.known
-        known, older, parts, new = self.known, self.older, {}, set()
+        known, older, parts, new, out = self.known, self.older, {}, set(), {}
         for word in missing:
             if (old := older.get(word)) is not None:
                 known[word] = old
-                continue
-            pieces = match.groups() if (match := _ended.fullmatch(word)) else (word,)
-            parts[word] = [x.lower() if x.isascii() and "<" not in x else x for x in pieces]
-            new.update(parts[word])
-        for word in (x for x in list(new) if x in older):
-            known.setdefault(word, older[word])
-        new = [x for x in new if x not in known]
-        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            elif match := _ended.fullmatch(word):
+                parts[word] = match.groups()
+                for x in match.groups():
+                    if x not in known:
+                        if (old := older.get(x)) is not None:
+                            known[x] = old
+                        else:
+                            new.add(x)
+            else:
+                new.add(word)
+        encoded = list(new)
+        for word, found in zip(encoded, self.tokenizer.encode_batch_fast(encoded, add_special_tokens=False), strict=True):
             known[word] = array("I", found.ids).tobytes()
-        for word, pieces in parts.items():
-            known[word] = b"".join([known[x] for x in pieces])
+        for word, (letters, signs) in parts.items():
+            (out if letters in new else known)[word] = known[letters] + known[signs]
+        return out
 
     def ids(self, text: str | None) -> list[bytes]:
         """The ids of each word of ``text``."""
-        words = (text or "").replace("\n", " ").split(" ")
+        words = _small(text or "").replace("\n", " ").split(" ")
         found = list(map(self.known.get, words))
         if None in found:
-            self._learn({w for w, x in zip(words, found, strict=True) if x is None})
-            known, older = self.known, self.older
-            found = [known.get(w) or older.get(w, b"") if x is None else x for w, x in zip(words, found, strict=True)]
+            once = self._learn({w for w, x in zip(words, found, strict=True) if x is None})
+            known = self.known
+            found = [(known.get(w) or once.get(w, b"")) if x is None else x for w, x in zip(words, found, strict=True)]
         return found
 
 
 @lru_cache(2)
 def encoder_of(path: str) -> Encoder:
-    """One for all tasks of a Python worker, so that words stay known."""
+    """One for all tasks of a Python worker; what it remembers goes with each task."""
     return Encoder(path)
 
 
@@ -198,6 +219,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
     Repeated rows and null doc_ids are packed like any other."""
     path = path or tokenizer_path()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, packer = encoder_of(path), Packer(capacity)
         first, last = TaskContext.get().partitionId() << 32, end.to_bytes(4, "little")
@@ -208,7 +230,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
             longs = [doc, start, [len(x) for x in ids], tokens, [first + s for s in sequence], offset]
             return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in longs), pa.array([x.tobytes() for x in ids], pa.binary())], names)
 
-        for batch in batches:
+        for batch in sliced(batches):
             out, held = [], 0
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 ids = np.frombuffer(b"".join([*encoder.ids(text.as_py()), last]), "<u4")
@@ -222,11 +244,13 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
                 yield batch_of(out)
         if out := list(packer.end()):
             yield batch_of(out)
+        encoder.forget()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     packed = pack(table(spark, sf_dir, "documents"))
     return packed.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
