@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import give_back, materialize, sliced, small_batches, table, tidy
 
 #: What a sign may stand for when it is read as a letter.
 LEET = {
@@ -27,21 +27,21 @@ LETTERS = [chr(c) for c in (*range(97, 123), *range(0xDF, 0x100))]
 CODE = {c: i + 1 for i, c in enumerate(LETTERS)}
 OTHER, EDGE, SIZE = len(LETTERS) + 1, 0, len(LETTERS) + 2
 #: Costs of the channel, in nats.
-READ_LEET, DROP_SIGN, DROP_REPEAT, DROP_LEET = 1.0, 0.5, 0.7, 3.0
-#: A token longer than this is decoded in pieces of this size.
-PIECE = 64
-CACHE = 300_000
+READ_LEET, DROP_SIGN, DROP_REPEAT, DROP_LEET, DROP_SPACE = 1.0, 0.5, 0.7, 3.0, 0.2
+#: Bytes (about) of the tokens remembered, and of those before them.
+CACHE_BYTES = 16 << 20
 #: Restored words whose evidence is added up.
 TOP_WORDS = 3
 INPUTS = ("top", "total", "size")
 #: Labelled rows that the classifier is fitted on (those least by a hash of their id;
-#: all, if there are fewer), and features that it keeps.
-TRAINING_ROWS, MODEL_FEATURES = 20_000, 65_536
-CAUTION = 3.0
+#: all, if there are fewer).
+TRAINING_ROWS = 20_000
+#: Standard errors that a feature's weight is lowered by, and toxic texts it must stand in.
+CAUTION, LEAST_TEXTS = 3.0, 3
 
 _trim = re.compile(r"^[^\w@$!|+€£]+|(?:([^\w\s])\1{2,}|[^\w\s@$|+€£])+$|^(?:([^\w\s])\2{2,})+")
 _tripled = re.compile(r"([^\W\d_])\1\1")
-_spaced = re.compile(r"(?<!\S)[^\W_](?: [^\W_]){2,}(?!\S)")
+_spaced = re.compile(r"(?<!\S)\S{1,2}(?:[^\S\n]\S{1,2}){2,}(?!\S)")
 
 
 def suspicious(token: str) -> bool:
@@ -54,14 +54,25 @@ def core(token: str) -> str:
     return token if token.isalpha() else _trim.sub("", token)
 
 
+def spelt_out(text: str) -> list[str]:
+    """The parts of ``text`` that may be words spelt out with spaces: three tokens or
+    more of one or two signs, at least half of them of one."""
+    found = [run.split() for run in _spaced.findall(text)]
+    return [" ".join(tokens) for tokens in found if 2 * sum(len(t) == 1 for t in tokens) >= len(tokens)]
+
+
 def restore(token: str, lm: list) -> str:
     """The likeliest letters behind ``token``: Viterbi over the lattice of readings
     of each sign (itself, a letter it resembles, nothing), scored by ``lm``, which
-    holds -log P(letter | the two before)."""
-    if len(token) > PIECE:
-        return "".join(restore(token[i : i + PIECE], lm) for i in range(0, len(token), PIECE))
+    holds -log P(letter | the two before). A space is read as nothing or as the end of
+    a word. Any length: time and memory are linear in it."""
     paths = {(EDGE, EDGE): (0.0, None)}
     for ch in token:
+        if ch == " ":
+            ahead = {key: (cost + DROP_SPACE, chain) for key, (cost, chain) in paths.items() if key != (EDGE, EDGE)}
+            ahead[EDGE, EDGE] = min(((cost + (lm[a][b][EDGE] if b else 0.0), i, chain if not b else (" ", chain)) for i, ((a, b), (cost, chain)) in enumerate(paths.items())))[::2]
+            paths = ahead
+            continue
         code = CODE.get(ch, OTHER if ch.isalpha() else -1)
         options = [(code, ch, 0.0)] if code >= 0 else [(CODE[x], x, READ_LEET) for x in LEET.get(ch, "")]
         drop = None if code >= 0 else DROP_LEET if options else DROP_SIGN
@@ -91,14 +102,15 @@ def letter_model(docs: DataFrame) -> list:
     Words are counted on Spark over the whole corpus; only the trigram table, whose
     size the fixed alphabet bounds, reaches the driver."""
 
+    @tidy
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             count: Counter = Counter()
             for text in batch.column(0).to_pylist():
                 count.update((text or "").lower().split())
             plain: Counter = Counter()
             for token, n in count.items():
-                if (word := core(token)).isalpha() and len(word) <= PIECE:
+                if (word := core(token)).isalpha():
                     plain[word] += n
             yield pa.RecordBatch.from_arrays([pa.array(plain.keys(), pa.string()), pa.array(plain.values(), pa.int64())], ["word", "n"])
 
@@ -132,14 +144,15 @@ def features(word: str) -> list[str]:
 
 class Tokens:
     """What is known of each token of the texts, found once by ``about(word)`` from
-    its restored word; keeps CACHE of the newest, and those before them as long."""
+    its restored word; keeps CACHE_BYTES of the newest, and those before them as long."""
 
     def __init__(self, lm: list, about) -> None:
-        self.lm, self.about, self.known, self.older = lm, about, {}, {}
+        self.lm, self.about, self.known, self.older, self.held = lm, about, {}, {}, 0
 
     def _learn(self, token: str):
-        if len(self.known) > CACHE:
-            self.known, self.older = {}, self.known
+        if self.held > CACHE_BYTES:
+            self.known, self.older, self.held = {}, self.known, 0
+        self.held += 250 + len(token)
         found = self.older.get(token)
         if found is None:
             word = core(token)
@@ -148,48 +161,46 @@ class Tokens:
         return found
 
     def of(self, text: str | None) -> list:
-        """One entry for each distinct token, and for each word spelt out letter by
-        letter with spaces between."""
+        """One entry for each distinct token, and for each word that was spelt out with
+        spaces between."""
         lower = (text or "").lower()
         tokens = list(set(lower.split()))
         found = list(map(self.known.get, tokens))
         if None in found:
             found = [self._learn(t) if x is None else x for t, x in zip(tokens, found, strict=True)]
         if sum(len(t) == 1 for t in tokens) > 1:
-            found += [self.about(restore(run.replace(" ", ""), self.lm)) for run in _spaced.findall(lower)]
+            found += [self.about(word) for run in spelt_out(lower) for word in restore(run, self.lm).split()]
         return found
 
 
-def evidence_model(docs: DataFrame, lm: list, marks: dict[int, int]) -> dict[str, float]:
-    """Weights of the features that speak for toxicity, from the ``docs(doc_id,
-    text)`` that ``marks`` labels.
+def evidence_model(marked: DataFrame, lm: list) -> dict[str, float]:
+    """Weights of the features that speak for toxicity, from ``marked(text, toxic)``.
 
     A weight is the log ratio of the shares of toxic and other texts that have the
-    feature, less CAUTION standard errors; positive ones only, the MODEL_FEATURES
-    largest of them."""
-    model = docs.sparkSession.sparkContext.broadcast((lm, marks))
+    feature, less CAUTION standard errors; features of LEAST_TEXTS toxic texts or more,
+    positive weights only. The bound on labelled rows bounds their number."""
+    model = marked.sparkSession.sparkContext.broadcast(lm)
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lm, marks = model.value
-        tokens = Tokens(lm, features)
-        for batch in batches:
+        tokens = Tokens(model.value, features)
+        for batch in sliced(batches):
             sums: dict[str, list[int]] = {"": [0, 0]}
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if (toxic := marks.get(doc_id)) is not None:
-                    for f in {"", *(f for some in tokens.of(text.as_py()) for f in some)}:
-                        sums.setdefault(f, [0, 0])[toxic] += 1
+            for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text"), strict=True):
+                for f in {"", *(f for some in tokens.of(text.as_py()) for f in some)}:
+                    sums.setdefault(f, [0, 0])[toxic] += 1
             n = np.array(list(sums.values()))
             yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.string()), pa.array(n[:, 0]), pa.array(n[:, 1])], ["f", "n0", "n1"])
 
-    counted = docs.mapInArrow(count, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    counted = materialize(counted.where("n1 >= 3 or f = ''"))
+    counted = marked.mapInArrow(count, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counted = materialize(counted.where(f"n1 >= {LEAST_TEXTS} or f = ''"))
     total = counted.where("f = ''").first()
     if total is None or not total["n0"] or not total["n1"]:
         return {}
     weight = F.expr(
         f"ln((n1 + 0.5D) / {total['n1'] + 1.0}D) - ln((n0 + 0.5D) / {total['n0'] + 1.0}D) - {CAUTION}D * sqrt(1D / (n1 + 0.5D) + 1D / (n0 + 0.5D))"
     )
-    best = counted.where("f not in ('', '$')").select("f", weight.alias("w")).where("w > 0").orderBy(F.desc("w"), "f").limit(MODEL_FEATURES)
+    best = counted.where("f not in ('', '$')").select("f", weight.alias("w")).where("w > 0")
     return {row["f"]: row["w"] for row in best.collect()}
 
 
@@ -228,8 +239,8 @@ def held_out() -> F.Column:
 
 @dataclass
 class Model:
-    """A fitted classifier: fixed-size letter statistics, at most MODEL_FEATURES
-    weights, and the coefficients of INPUTS with their offset."""
+    """A fitted classifier: fixed-size letter statistics, the weights of features of at
+    most TRAINING_ROWS ids, and the coefficients of INPUTS with their offset."""
 
     lm: list
     weights: dict[str, float]
@@ -242,24 +253,24 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     left out; the rows of a repeated doc_id count as one in the calibration. The letter statistics cover all of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     marks = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
-    sample = marks.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAINING_ROWS).collect()
-    marks = {row["doc_id"]: row["toxic"] for row in sample}
+    sample = marks.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAINING_ROWS)
+    # the labelled rows are read from the corpus once; every later step has these alone
+    marked = materialize(docs.join(F.broadcast(sample), "doc_id"))
     lm = letter_model(docs)
-    weights = evidence_model(docs, lm, marks)
-    model = docs.sparkSession.sparkContext.broadcast((lm, weights, marks))
+    weights = evidence_model(marked, lm)
+    model = docs.sparkSession.sparkContext.broadcast((lm, weights))
 
+    @tidy
     def inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lm, weights, marks = model.value
-        scorer = Scorer(lm, weights)
-        for batch in batches:
-            texts = zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True)
-            rows = [(i, *scorer.of(text.as_py())) for i, text in texts if i in marks]
-            columns = zip(*rows, strict=True) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), *[pa.float64()] * 3), strict=True)], ["doc_id", *INPUTS])
+        scorer = Scorer(*model.value)
+        for batch in sliced(batches):
+            rows = [scorer.of(text.as_py()) for text in batch.column("text")]
+            columns = [pa.array(c, pa.float64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.float64())] * 3
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic").cast(pa.int64()), *columns], ["doc_id", "toxic", *INPUTS])
 
     # one row for each id, the mean of its rows: repeated rows weigh no more, and none is left out
-    each = docs.mapInArrow(inputs, "doc_id long, top double, total double, size double").groupBy("doc_id").agg(*(F.avg(c).alias(c) for c in INPUTS)).collect()
-    rows = np.array(sorted((*row[1:], marks[row[0]]) for row in each), float).reshape(-1, len(INPUTS) + 1)
+    each = marked.mapInArrow(inputs, "doc_id long, toxic long, top double, total double, size double").groupBy("doc_id").agg(*(F.avg(c).alias(c) for c in INPUTS), F.max("toxic").alias("toxic")).collect()
+    rows = np.array(sorted(tuple(row[1:]) for row in each), float).reshape(-1, len(INPUTS) + 1)
     return Model(lm, weights, calibrate(rows[:, :-1], rows[:, -1]).tolist())
 
 
@@ -275,6 +286,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for texts in batches:
             x = np.array([scorer.of(t) for t in texts], float).reshape(-1, len(INPUTS))
             yield pd.Series(1 / (1 + np.exp(-np.clip(x @ np.array(slopes) + offset, -700, 700))))
+        give_back()
 
     return docs.withColumn("toxicity", toxicity(F.col("text").cast("string")))
 
@@ -293,4 +305,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
