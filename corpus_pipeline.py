@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import materialize, table
+from riskloom.llm.common import materialize, small_batches, table
 from riskloom.llm.decontaminate import without_leaks
 from riskloom.llm.linededup import dedup_lines
 from riskloom.llm.packing import pack
@@ -22,6 +22,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the classifier calls toxic."""
+    small_batches(spark)
     docs = docs.select(COLUMNS)
     return score(docs, fit(docs, table(spark, sf_dir, "labels"))).where("toxicity < 0.5").select(COLUMNS)
 
@@ -29,6 +30,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out lines that match an earlier one; every document stays, and a text
     that had nothing else is empty."""
+    small_batches(spark)
     out = dedup_lines(docs, carry=["lang", "source"])
     return out.select("doc_id", "text", "carried.*", F.length("text").cast("long").alias("n_chars")).select(COLUMNS)
 
@@ -36,6 +38,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least doc_id of each group; rows without a doc_id
     stay."""
+    small_batches(spark)
     groups = verified_duplicates(docs.select("doc_id", "text"))
     gone = groups.where("doc_id <> component_id").select("doc_id")
     return docs.select(COLUMNS).join(gone, "doc_id", "left_anti").select(COLUMNS)
@@ -43,11 +46,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that overlap with a benchmark item."""
+    small_batches(spark)
     return without_leaks(docs.select(COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the token ids of all documents into sequences."""
+    small_batches(spark)
     return pack(docs.select("doc_id", "text"))
 
 

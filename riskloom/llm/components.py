@@ -27,12 +27,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``edges(a, b)`` of longs to ``(node, component)``, component being the least
+    """``edges``, two columns of longs, to ``(node, component)``, component being the least
     node reachable. Nodes without an edge (and rows with a null end) are absent.
 
     Alternates large-star and small-star steps until nothing changes; every round
     is written to the shared folder, and only two sums reach the driver."""
-    now = materialize(edges.select("a", "b").where("a <> b").distinct())
+    now = materialize(edges.toDF("a", "b").where("a <> b").distinct())
     seen = None
     while True:
         now = materialize(_star(_star(now, True), False))

@@ -24,6 +24,8 @@ NUMERATOR, DENOMINATOR = 4, 5
 COUNTERS, CHUNKS = 1 << 18, 16
 #: Pairs compared in one step, and partners that a set names at first for each word.
 PAIRS_AT_ONCE, PARTNERS = 1 << 20, 4
+#: Bits of the filter by document: a fixed number.
+MARKS = 1 << 20
 #: One block of texts in so many is looked at to guess how often a word stands in the
 #: index, and index rows of a word that stay together: more are dealt to block pairs.
 #: Both only balance tasks.
@@ -50,15 +52,25 @@ def slot(words: np.ndarray) -> np.ndarray:
 
 
 def _summed(docs: DataFrame, count: Callable[[list[bytes]], np.ndarray]) -> np.ndarray:
-    """The sum of ``count(texts)``, COUNTERS numbers, over all texts; added up on Spark,
-    CHUNKS at a time."""
-    width = COUNTERS // CHUNKS
+    """The sum of ``count(texts)``, COUNTERS numbers, over all texts."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in sliced(batches):
+            yield count(as_bytes(batch.column("text")))
+
+    return _added(docs.select("text"), of, COUNTERS)
+
+
+def _added(rows: DataFrame, of: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], size: int) -> np.ndarray:
+    """The sum of ``size`` numbers, as ``of`` gives them for the batches of a task; added up
+    on Spark, CHUNKS at a time."""
+    width = size // CHUNKS
 
     @tidy
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(COUNTERS, np.int64)
-        for batch in sliced(batches):
-            sums += count(as_bytes(batch.column("text")))
+        sums = np.zeros(size, np.int64)
+        for found in of(batches):
+            sums += found
         parts = sums.astype("<u4" if sums.max(initial=0) < 1 << 32 else "<u8").reshape(CHUNKS, width)
         yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([x.tobytes() for x in parts])], ["chunk", "n"])
 
@@ -70,7 +82,7 @@ def _summed(docs: DataFrame, count: Callable[[list[bytes]], np.ndarray]) -> np.n
                 sums[chunk] = sums.get(chunk, 0) + part.astype("<u8")
         yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["chunk", "n"])
 
-    summed = docs.select("text").mapInArrow(local, "chunk int, n binary").repartition(CHUNKS, "chunk").mapInArrow(add, "chunk int, n binary")
+    summed = rows.mapInArrow(local, "chunk int, n binary").repartition(CHUNKS, "chunk").mapInArrow(add, "chunk int, n binary")
     out = np.zeros((CHUNKS, width), np.uint64)
     for row in summed.collect():
         out[row["chunk"]] = np.frombuffer(row["n"], "<u8")
@@ -318,7 +330,24 @@ def places(events: DataFrame) -> DataFrame:
 def whole_sets(places: DataFrame, docs: DataFrame, reader: Reader) -> DataFrame:
     """``places(line_set, doc_id, line)`` to ``(line_set, size, sketch, words)``, read from
     the texts; ``sketch``: counts of the words of a big set, a byte each (255: or more)."""
-    wanted = places.groupBy("doc_id").agg(F.collect_list(F.struct("line", "line_set")).alias("wanted"))
+    wanted = materialize(places.groupBy("doc_id").agg(F.collect_list(F.struct("line", "line_set")).alias("wanted")))
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in batches:
+            yield np.bincount(mark_of(batch.column("doc_id").to_numpy()), minlength=MARKS)
+
+    def mark_of(ids: np.ndarray) -> np.ndarray:
+        return (mix(ids.astype(np.int64).view(np.uint64)) & np.uint64(MARKS - 1)).astype(np.int64)
+
+    # a filter of fixed size lets most documents without a wanted set stay where they are
+    sieve = docs.sparkSession.sparkContext.broadcast(np.packbits(_added(wanted.select("doc_id"), marks, MARKS) > 0))
+
+    @F.pandas_udf("boolean")
+    def maybe(ids: pd.Series) -> pd.Series:
+        at = mark_of(ids.to_numpy())
+        return pd.Series((sieve.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))
+
+    docs = docs.where(maybe("doc_id"))
 
     @tidy
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,8 +11,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialize, runs, table, whole_runs
+from .common import as_bytes, blocks, is_space, lowered, materialize, mix, runs, sliced, small_batches, spans, table, tidy, whole_runs, word_hashes
 from .components import components
+from .setjoin import COUNTERS, PARTNERS, Reader, alike, indexed, met, named, nearest, places, whole_sets, word_sets
 
 SEED = 42
 HASHES_AT_ONCE = 1 << 18
@@ -47,8 +48,9 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """``docs(doc_id, text)`` to ``(doc_id, fp long)``, a row for each row. A null
     text counts as empty; a null doc_id is kept."""
 
+    @tidy
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             fp = np.array([fingerprint(x, width) for x in as_bytes(batch.column("text"))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
@@ -92,8 +94,10 @@ def links(distinct: DataFrame, distance: int = 3) -> DataFrame:
             rest = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
             # a lone segment leaves no room beside it for the wildcard's place: those keys are hashed
             keys.append(F.xxhash64(F.lit(i), rest) if count == 1 else rest + F.lit((s * 64 + i) << 51))
-    variants = distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes become many rows: a number keeps Spark from joining tasks
+    variants = distinct.repartition(tasks, "fp").select("fp", F.explode(F.array(*keys)).alias("key"))
 
+    @tidy
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in whole_runs(batches, "key"):
             key, fp = part["key"].to_numpy(), part["fp"].to_numpy().view(np.uint64)
@@ -128,64 +132,107 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3) -> DataF
     )
 
 
-def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """``docs(doc_id, text)`` to ``(doc_id, shingles)``: the sorted distinct 32-bit hashes
-    of the ``width``-word shingles of each text (of all its words, if it has fewer)."""
-
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = []
-            for text in as_bytes(batch.column("text")):
-                words = text.lower().split()
-                some = zip(*(words[i:] for i in range(min(width, len(words)))), strict=False) if words else ()
-                sets.append(np.unique(np.fromiter(map(xxhash.xxh32_intdigest, map(b" ".join, some)), "<u4")).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(collect, "doc_id long, shingles binary")
-
-
-def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The ``pairs(a, b)`` of doc_ids whose sets have at least that Jaccard similarity."""
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)):
-                x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                good[i] = shared >= similarity * (len(x) + len(y) - shared)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in ("a", "b")], ["a", "b"])
-
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(judge, "a long, b long")
-
-
-def verified_duplicates(docs: DataFrame, distance: int = 7, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``(doc_id, component_id)`` for every row with a doc_id: the groups that links of
-    verified similarity make, named by their least doc_id.
-
-    Candidates are texts whose SimHash differs by at most ``distance`` bits; a link
-    joins two whose sets of ``width``-word shingles have at least ``similarity``. The
-    candidate graph is verified along the spanning forests of the index, one for each
-    key, not pair by pair. Equal texts are one node; rows that share a doc_id share
-    its fate, and a null text is empty."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
-    marked = docs.select("doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.reverse("text")).alias("h2"))
-    hashes = marked.select("doc_id", "h1", "h2")
-    node = materialize(hashes.groupBy("h1", "h2").agg(F.min("doc_id").alias("node")))
-    each = materialize(hashes.join(node, ["h1", "h2"]).select("doc_id", "node"))
-    own = each.where("doc_id = node").select("doc_id").distinct()
-    fp = materialize(fingerprints(docs.join(own, "doc_id", "left_semi")).dropDuplicates(["doc_id"]))
-    least = fp.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    same = fp.join(least, "fp").where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
-    far = links(least.select("fp"), distance)
-    ends = far.join(least.toDF("a", "x"), "a").join(least.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    pairs = materialize(same.union(ends).distinct())
-    asked = pairs.select("a").union(pairs.select("b")).distinct().toDF("doc_id")
-    sets = materialize(shingle_sets(docs.join(asked, "doc_id", "left_semi"), width).dropDuplicates(["doc_id"]))
-    found = components(similar(pairs, sets, similarity)).toDF("node", "root")
-    return each.distinct().join(found, "node", "left").select("doc_id", F.coalesce("root", "node").alias("component_id"))
+def shingle_words(texts: list[bytes], width: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all texts in a row: hashes of their ``width``-word shingles (of all words, if a
+    text has fewer), the text of each, and a number for each text. Words are what white
+    space parts, in ASCII small letters."""
+    buf = lowered(np.frombuffer(b"\n".join(texts), np.uint8))
+    begin, end = spans(~is_space(buf))
+    words = word_hashes(buf, begin, end)
+    bounds = np.searchsorted(begin, np.cumsum([0, *(len(x) + 1 for x in texts)]))
+    n = np.diff(bounds)
+    text = np.repeat(np.arange(len(texts)), n)
+    take = np.minimum(width, n[text])
+    whole = np.flatnonzero(np.arange(len(words)) - bounds[text] + take <= n[text])
+    take, total = take[whole], np.zeros(len(whole), np.uint64)
+    for k in range(width):
+        part = mix(words[np.minimum(whole + k, len(words) - 1)] + np.uint64(k + 1))
+        total += np.where(k < take, part * np.uint64(2 * k + 1), np.uint64(0))
+    return mix(total + take.astype(np.uint64)), text[whole], np.arange(len(texts) + 1)
+
+
+SHINGLES = Reader(shingle_words, lambda text: [text])
+
+
+@tidy
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text: the id of its set of shingles (0: none) and its SimHash over them."""
+    nothing = np.zeros(COUNTERS, np.uint8)
+    for batch in sliced(batches):
+        texts = as_bytes(batch.column("text"))
+        sets, fps = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.uint64)
+        for b, e in blocks(texts):
+            words, text, _ = shingle_words(texts[b:e])
+            for at in range(0, len(words), HASHES_AT_ONCE):  # whole texts of a block, or parts of a long one
+                bits = np.unpackbits(words[at : at + HASHES_AT_ONCE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                begin, _ = runs(text[at : at + HASHES_AT_ONCE])
+                part = np.add.reduceat(bits, begin, axis=0, dtype=np.int32), text[at + begin]
+                ones = np.zeros((e - b, 64), np.int64) if not at else ones
+                ones[part[1]] += part[0]
+            if len(words):
+                n = np.bincount(text, minlength=e - b)
+                fps[b:e] = np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+            _, _, _, number, ids = word_sets(words, text, nothing)
+            sets[b + number] = ids
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets), pa.array(fps.view(np.int64))], ["doc_id", "line_set", "fp"])
+
+
+def sketch_pairs(classes: DataFrame, distance: int) -> DataFrame:
+    """Candidates among ``classes(line_set, fp)`` by SimHash: (line_set, partner, far)."""
+    least = classes.groupBy("fp").agg(F.min("line_set").alias("node"))
+    same = classes.join(least, "fp").where("line_set <> node").select("line_set", F.col("node").alias("partner"), F.lit(0).alias("far"))
+    ends = links(least.select("fp"), distance).join(least.toDF("a", "x"), "a").join(least.toDF("b", "y"), "b")
+    return same.union(ends.select("x", "y", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("far")))
+
+
+def verified_duplicates(docs: DataFrame, distance: int = 7, partners: int = PARTNERS) -> DataFrame:
+    """``(doc_id, component_id)`` for every doc_id: the groups that links of verified
+    similarity make, named by their least doc_id.
+
+    A link joins two texts whose sets of five-word shingles have a Jaccard similarity of
+    4/5 or more. SimHash variants find the candidates within ``distance`` bits; as a
+    SimHash does not bound the similarity, the prefix filter of the exact set join then
+    finds whatever pair between two groups is still unlinked, in rounds, until none is
+    left. So no link is lost, up to 64-bit hash collisions.
+
+    Equal sets are one class, so copies cost nothing. Rows that share a doc_id share its
+    fate; texts without a word (null ones too) are one class; rows without a doc_id are
+    left out."""
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
+    members = materialize(docs.mapInArrow(_described, "doc_id long, line_set long, fp long"))
+    classes = materialize(members.where("line_set <> 0").groupBy("line_set").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp")))
+    sketched = materialize(sketch_pairs(classes.select("line_set", "fp"), distance))
+    now = met(indexed(docs.where("text is not null"), SHINGLES), partners, grouped=True)
+    asked = sketched.select("line_set").union(sketched.select("partner")).distinct().join(classes, "line_set").select("line_set", "doc_id", F.lit(0).cast("long").alias("line"))
+    sets = whole_sets(materialize(asked.union(places(now)).dropDuplicates(["line_set"])), docs, SHINGLES)
+    own = members.groupBy("doc_id").agg(F.min("line_set").alias("a"), F.max("line_set").alias("b")).where("a <> b").select("doc_id", "a")
+    copies = materialize(members.join(own, "doc_id").select("a", F.col("line_set").alias("b")).distinct())
+    groups = components(copies.union(alike(nearest(sketched), sets)))
+    pairs = sketched.union(named(now))
+    while True:
+        groups = components(groups.union(alike(_between(pairs, groups), sets)))
+        held = _marked(now.where("partner is null").drop("partner", "partner_doc", "partner_line", "far"), groups)
+        if held.isEmpty():
+            break
+        partners *= 16
+        now = met(held, partners, grouped=True)
+        pairs = named(now)
+    root = members.join(groups.toDF("line_set", "root"), "line_set", "left").select("doc_id", F.coalesce("root", "line_set").alias("root"))
+    root = materialize(root.groupBy("doc_id").agg(F.min("root").alias("root")))
+    return root.join(root.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
+
+
+def _marked(rows: DataFrame, groups: DataFrame, key: str = "line_set", name: str = "mark") -> DataFrame:
+    """``rows`` with the group of ``key`` as ``name``: its own, if it has none."""
+    return rows.join(groups.toDF(key, name), key, "left").withColumn(name, F.coalesce(name, key))
+
+
+def _between(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The ``pairs`` whose ends are in different groups."""
+    both = _marked(_marked(pairs.select("line_set", "partner"), groups), groups, "partner", "other")
+    return both.where("mark <> other").select("line_set", "partner")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return near_duplicates(table(spark, sf_dir, "documents"))
