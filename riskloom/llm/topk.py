@@ -1,84 +1,130 @@
 """Exact top-k inner-product search by the three-phase uniform threshold method.
 
 The dimensions are cut into FRAGMENTS lists. Phase one gathers each list's best for a
-query and looks up their whole scores; the k-th best of these is a score that the
-answer reaches. A vector reaches it only if it has a FRAGMENTS-th of it in some list:
-phase two sends that cutoff out and collects the entries at or above it. Phase three
-resolves the whole score of those whose known and possible parts can still reach it.
+query, with their whole scores; the k-th best of these is a score that the answer
+reaches. A vector reaches it only if it has a FRAGMENTS-th of it in some list: phase two
+sends that cutoff out and collects the entries at or above it. Phase three resolves the
+whole score of those whose known and possible parts can still reach it. Vectors and
+queries meet in blocks of bounded size, where both are whole; each phase runs inside the
+blocks, and a block returns a few rows for each query.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, small_batches, table
 
 FRAGMENTS = 4
-#: Distinct vectors and queries that meet in one block of scores.
-VECTORS_IN_BLOCK, QUERIES_IN_BLOCK = 16384, 1024
+#: Components of the vectors and of the queries that meet in one block, and scores that
+#: are held at once.
+BLOCK_OF_VECTORS, BLOCK_OF_QUERIES, AT_ONCE = 1 << 20, 1 << 17, 1 << 20
 SCALE = 1024
+#: Scores are ranked as whole numbers of 38 digits at most.
+MOST, LONG = 10**38 - 1, (1 << 63) - 1
+#: Below every inner product of doubles.
+NOTHING = -(10**700)
+ROWS = "query long, rep long, score decimal(38,0)"
 
 
 def quantized(embeddings: DataFrame) -> DataFrame:
-    """``(vec_id, v array<long>)``: floor(SCALE * x) of each component as double.
-    Vectors that are null, or hold null or non-finite components, and rows without
-    an id are left out."""
+    """``(vec_id, v array<double>)``: floor(SCALE * x) of each component as double, which
+    holds it exactly at any size. Vectors that are null, or hold null or non-finite
+    components, and rows without an id are left out."""
     v = F.transform("embedding", lambda x: x.cast("double"))
-    good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(2.0**52 / SCALE)))
+    good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     kept = embeddings.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(good)
-    return kept.select(F.col("vec_id").cast("long"), F.transform(v, lambda x: F.floor(x * SCALE).cast("long")).alias("v"))
+    scaled = lambda x: x * F.lit(float(SCALE))
+    whole = lambda x: F.when(F.abs(scaled(x)) < F.lit(2.0**52), F.floor(scaled(x)).cast("double")).otherwise(scaled(x))
+    return kept.select(F.col("vec_id").cast("long"), F.transform(v, whole).alias("v"))
+
+
+def _cuts(dims: int) -> list[slice]:
+    return [slice(-(-dims * f // FRAGMENTS), -(-dims * (f + 1) // FRAGMENTS)) for f in range(FRAGMENTS)]
 
 
-def _dot(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0).cast("long"), lambda s, x: s + x)
+def _parts(a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+    """Inner products of each list, a row for each query of ``a``: worked out as doubles
+    where those hold every sum exactly, else as whole numbers of any size."""
+    most = lambda x: float(abs(x).max(initial=1.0))
+    kind = np.dtype(np.int64)
+    if most(a) * most(b) * max(1, a.shape[1]) >= 2.0**53:
+        kind = np.dtype(object)
+        a, b = (np.vectorize(int, otypes=[object])(x) if x.size else x.astype(object) for x in (a, b))
+    return [(a[:, c] @ b[:, c].T if c.stop > c.start else np.zeros((len(a), len(b)))).astype(kind) for c in _cuts(a.shape[1])]
 
 
-def _blocks(classes: DataFrame, queries: DataFrame, n: int, m: int, per_query: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Both sides dealt to the cells of a grid: each vector block meets each query
-    block once in each fragment, in groups of bounded size."""
-    part = F.explode(F.transform(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1)), lambda f: f)).alias("fragment")
+def _pieces(left: pd.DataFrame, right: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, pd.DataFrame, list[np.ndarray], np.ndarray]]:
+    """Vectors and queries of one length, AT_ONCE scores at a time, with the parts of
+    their scores and the whole ones."""
+    for size, queries in right.groupby(right["v"].map(len)):
+        vectors = left[left["v"].map(len) == size]
+        step = max(1, AT_ONCE // len(queries))
+        a = np.array(queries["v"].tolist(), float).reshape(len(queries), size)
+        for i in range(0, len(vectors), step):
+            some = vectors.iloc[i : i + step]
+            parts = _parts(a, np.array(some["v"].tolist(), float).reshape(len(some), size))
+            yield some, queries, parts, sum(parts)
 
-    def cut(df: DataFrame) -> DataFrame:
-        width = F.size("v") / FRAGMENTS
-        begin = F.ceil(F.col("fragment") * width).cast("int")
-        return df.withColumn("v", F.slice("v", begin + 1, F.ceil((F.col("fragment") + 1) * width).cast("int") - begin))
 
-    left = classes.select("rep", "v", F.pmod(F.xxhash64("rep"), F.lit(n)).alias("vb"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("qb"))
-    right = queries.select("rep", "v", *per_query, F.pmod(F.xxhash64("rep"), F.lit(m)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("vb"))
-    keys = ["fragment", "vb", "qb"]
-    return cut(left.select("rep", "v", "vb", "qb", part)).select("rep", "v", *keys), cut(right.select("rep", "v", *per_query, "vb", "qb", part)).select("rep", "v", *per_query, *keys)
+def _rows(found: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], keep: int) -> pd.DataFrame:
+    """The ``keep`` best (query, rep, score) of each query; of equal scores those with the
+    least id first."""
+    from decimal import Decimal
 
+    query, rep, score, least = (np.concatenate(c) if found else np.zeros(0, np.int64) for c in (zip(*found, strict=True) if found else [()] * 4))
+    frame = pd.DataFrame({"query": query, "rep": rep, "score": score, "least": least}).sort_values(["query", "score", "least"], ascending=[True, False, True])
+    frame = frame[frame.groupby("query").cumcount() < keep]
+    frame["score"] = [Decimal(max(-MOST, min(MOST, int(x)))) for x in frame["score"]]
+    return frame[["query", "rep", "score"]]
 
-def _scores(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
-    """Inner products, a row for each query. Doubles hold them exactly: a part of a
-    vector stays far below 2**26 a component."""
-    if not len(left) or not len(right):
-        return np.zeros((len(right), len(left)), np.int64)
-    a, b = (np.array(x["v"].tolist(), np.int64) for x in (right, left))
-    if max(abs(a).max(initial=0), 1) * max(abs(b).max(initial=0), 1) * max(1, a.shape[1]) < 1 << 53:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
 
+def _local_best(keep: int):
+    """Phase one in a block: the best of each list, with their whole scores."""
 
-def _local_best(k: int):
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        scores = _scores(left, right)
-        keep = min(k, scores.shape[1])
-        at = np.argpartition(-scores, keep - 1, axis=1)[:, :keep] if keep else np.zeros((len(scores), 0), int)
-        q = np.repeat(np.arange(len(scores)), keep)
-        at = at.reshape(-1)
-        return pd.DataFrame({"query": right["rep"].to_numpy()[q], "rep": left["rep"].to_numpy()[at], "part": scores[q, at]})
+        found = []
+        for vectors, queries, parts, whole in _pieces(left, right):
+            n = min(keep, len(vectors))
+            gathered = np.zeros(whole.shape, bool)
+            for part in parts:
+                at = np.argpartition(-part, n - 1, axis=1)[:, :n] if part.dtype != object else np.argsort(-part, axis=1)[:, :n]
+                np.put_along_axis(gathered, at, True, axis=1)
+            q, at = np.nonzero(gathered)
+            found.append((queries["rep"].to_numpy()[q], vectors["rep"].to_numpy()[at], whole[q, at], vectors["least"].to_numpy()[at]))
+        return _rows(found, keep)
 
     return best
 
 
-def _above(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    scores = _scores(left, right)
-    q, at = np.nonzero(FRAGMENTS * scores >= right["cutoff"].to_numpy()[:, None])
-    return pd.DataFrame({"query": right["rep"].to_numpy()[q], "rep": left["rep"].to_numpy()[at], "part": scores[q, at]})
+def _resolved(keep: int):
+    """Phases two and three in a block: entries that reach their share of the cutoff in
+    some list; of those that can still reach it, the whole score."""
+
+    def resolve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for vectors, queries, parts, whole in _pieces(left, right):
+            # a null cutoff: fewer vectors than wanted, nothing may be cut
+            cutoff = np.array([NOTHING if x is None or x != x or x <= -MOST else int(x) for x in queries["cutoff"]], object)
+            if whole.dtype != object:  # beyond every score of this kind
+                cutoff = cutoff.clip(-(1 << 56), 1 << 56).astype(np.int64)
+            cutoff = cutoff[:, None]
+            known, lists = np.zeros(whole.shape, whole.dtype), np.zeros(whole.shape, np.int64)
+            for part in parts:
+                entry = (FRAGMENTS * part >= cutoff).astype(bool)
+                known, lists = known + np.where(entry, part, 0), lists + entry
+            q, at = np.nonzero((lists > 0) & (FRAGMENTS * known + (FRAGMENTS - lists) * cutoff >= FRAGMENTS * cutoff).astype(bool))
+            enough = (whole[q, at] >= cutoff[q, 0]).astype(bool)
+            q, at = q[enough], at[enough]
+            found.append((queries["rep"].to_numpy()[q], vectors["rep"].to_numpy()[at], whole[q, at], vectors["least"].to_numpy()[at]))
+        return _rows(found, keep)
+
+    return resolve
 
 
 def _top(df: DataFrame, by: list[str], order: list[Column], k: int, name: str) -> DataFrame:
@@ -90,50 +136,41 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     v)``, its own vec_id excepted: query_id, rank (from 1), vec_id, score; ties go to
     the smaller vec_id; all, if there are fewer than ``k``.
 
-    ``v`` are arrays of longs of one length (others never score; pad before). Equal
-    vectors are one class, so copies are scored once; an id that occurs on several
-    rows is that many candidates. Empty inputs give no rows."""
-    spark = vectors.sparkSession
-    wanted = k + 1  # one class may be the query itself
+    ``v`` are arrays of whole numbers, as doubles; a query meets vectors of its own length
+    only. Equal vectors are one class, so copies are scored once; an id that occurs on
+    several rows is that many candidates, and as many queries. Scores are whole numbers; one beyond a long
+    is ranked by its value (up to 38 digits) and given as the nearest long. Empty inputs
+    give no rows."""
+    vectors, queries = (df.select(F.col("vec_id").cast("long"), F.transform("v", lambda x: x.cast("double") + F.lit(0.0)).alias("v")) for df in (vectors, queries))
     ids = vectors.select("vec_id", "v", F.xxhash64("v").alias("h"))
-    # the ids that a class can contribute: its least k + 1
-    classes = materialize(
-        _top(ids, ["h", "v"], [F.col("vec_id")], wanted, "n").groupBy("h", "v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select("v", "ids", F.monotonically_increasing_id().alias("rep"))
-    )
-    asked = materialize(queries.select(F.col("vec_id").alias("query_id"), "v").join(classes.select("v", "rep"), "v"))
+    # the ids that a class can give to one query: k rows of an id at most, then, as one id may be the query's own, its least 2 * k rows
+    ids = _top(_top(ids, ["h", "v", "vec_id"], [F.lit(0)], k, "n"), ["h", "v"], [F.col("vec_id")], 2 * k, "n")
+    classes = materialize(ids.groupBy("h", "v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select("v", "ids", F.col("ids")[0].alias("least"), F.monotonically_increasing_id().alias("rep")))
+    asked = materialize(queries.select(F.col("vec_id").alias("query_id"), "v", F.xxhash64("v").alias("h")).join(classes.select("v", "rep", F.xxhash64("v").alias("h")), ["h", "v"]).select("query_id", "v", "rep"))
     distinct = asked.groupBy("rep").agg(F.first("v").alias("v"))
-    n = max(1, -(-classes.count() // VECTORS_IN_BLOCK))
-    m = max(1, -(-distinct.count() // QUERIES_IN_BLOCK))
-    keys, schema = ["fragment", "vb", "qb"], "query long, rep long, part long"
-
-    # one: each list's best, then their whole scores; the k-th is safe
-    left, right = _blocks(classes, distinct, n, m, [])
-    local = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_local_best(wanted), schema)
-    seen = local.select("query", "rep").distinct()
-    vectors_of = classes.select("rep", "v")
-    whole = seen.join(vectors_of, "rep").join(distinct.toDF("query", "q"), "query").select("query", "rep", _dot("v", "q").alias("score"))
-    cutoff = materialize(_top(whole, ["query"], [F.desc("score"), F.col("rep")], wanted, "n").groupBy("query").agg(F.min("score").alias("cutoff"), F.count("*").alias("n")))
-    # with fewer classes than wanted nothing may be cut
-    cutoff = cutoff.select(F.col("query").alias("rep"), F.when(F.col("n") >= wanted, F.col("cutoff")).otherwise(F.lit(-(1 << 60))).alias("cutoff"))
-
-    # two: entries that reach their share of the cutoff
-    left, right = _blocks(classes, distinct.join(cutoff, "rep"), n, m, ["cutoff"])
-    entries = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_above, schema)
-    known = entries.groupBy("query", "rep").agg(F.sum("part").alias("known"), F.count("*").alias("lists"))
-    bound = known.join(cutoff.toDF("query", "cutoff"), "query").where((F.col("known") + (FRAGMENTS - F.col("lists")) * F.ceil(F.col("cutoff") / FRAGMENTS) >= F.col("cutoff")))
-
-    # three: what the lists leave open is resolved exactly
-    done = bound.where(F.col("lists") == FRAGMENTS).select("query", "rep", F.col("known").alias("score"))
-    rest = bound.where(F.col("lists") < FRAGMENTS).select("query", "rep").join(vectors_of, "rep").join(distinct.toDF("query", "q"), "query")
-    scored = done.union(rest.select("query", "rep", _dot("v", "q").alias("score")))
-    scored = scored.join(classes.select("rep", "ids"), "rep")
-    best = _top(scored, ["query"], [F.desc("score"), F.col("ids")[0]], wanted, "n").select(F.col("query").alias("rep"), "score", "ids")
-    rows = asked.select("query_id", "rep").join(best, "rep").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
-    out = _top(rows, ["query_id"], [F.desc("score"), F.col("vec_id")], k, "rank")
-    return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    blocks = lambda df, most: max(1, -(-(df.agg(F.sum(F.size("v"))).first()[0] or 0) // most))
+    n, m = blocks(classes, BLOCK_OF_VECTORS), blocks(distinct, BLOCK_OF_QUERIES)
+    wanted = k + 1  # classes; one may be the query's own row alone
+
+    def met(run, *more: str, right: DataFrame) -> DataFrame:
+        """Both sides dealt to the cells of a grid: each block of vectors meets each block of queries."""
+        left = classes.select("rep", "v", "least", F.pmod(F.xxhash64("rep"), F.lit(n)).alias("vb"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("qb"))
+        right = right.select("rep", "v", *more, F.pmod(F.xxhash64("rep"), F.lit(m)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("vb"))
+        found = left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInPandas(run, ROWS)
+        return _top(found.join(classes.select("rep", "least"), "rep"), ["query"], [F.desc("score"), F.col("least")], wanted, "n")
+
+    seen = met(_local_best(wanted), right=distinct).groupBy("query").agg(F.min("score").alias("cutoff"), F.count("*").alias("n"))
+    cutoff = materialize(seen.select(F.col("query").alias("rep"), F.when(F.col("n") >= wanted, F.col("cutoff")).alias("cutoff")))
+    best = met(_resolved(wanted), "cutoff", right=distinct.join(cutoff, "rep", "left")).join(classes.select("rep", "ids"), "rep")
+    best = best.select(F.col("query").alias("rep"), "score", "ids")
+    rows = asked.select("query_id", "rep", F.monotonically_increasing_id().alias("asked")).join(best, "rep").select("asked", "query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
+    out = _top(rows, ["asked"], [F.desc("score"), F.col("vec_id")], k, "rank")
+    score = F.when(F.col("score") > F.lit(LONG), F.lit(LONG)).when(F.col("score") < F.lit(-LONG), F.lit(-LONG)).otherwise(F.when(F.abs("score") <= F.lit(LONG), F.col("score")).cast("long"))
+    return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", score.alias("score"))
 
 
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     vectors = quantized(table(spark, sf_dir, "embeddings"))
     return top_k(vectors, vectors.where("vec_id % 100 = 0"))
 
