@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table, tidy
 
 #: The strings around the text of a turn, and those of any other role.
 MARKS = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>")}
 OTHER = ("[ROLE]", "[/ROLE]", "[END]")
 TARGET = "assistant"
+#: Characters of examples that are sent on at once.
+FLUSH = 1 << 21
 EXAMPLE = "conv_id long, n_turns long, target boolean, formatted string, loss_begin long, loss_end long"
 
 _rest = r"((?:/?s>|<SYS>>|</SYS>>|/?INST\]|/?ROLE\]|END\]))"
@@ -64,27 +66,34 @@ def prefix_targets(conversations: DataFrame) -> DataFrame:
     Rows stand by turn, ties by role and text; a null turn comes first, null roles
     and texts are empty, rows with a null conv_id are one conversation, repeated rows
     are repeated turns. The rows of a conversation stream past in order; a task holds
-    the text of one, which its last example is anyway."""
+    the text of one, which its last example is anyway, and FLUSH characters of examples."""
 
+    @tidy
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in EXAMPLE.split(", ")]
         now, prefix, n, pending, started = None, "", 0, False, False
+        out, held = [], 0
         for batch in batches:
-            out = []
-            for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
+            for conv, role, text in zip(*(batch.column(c) for c in ("conv_id", "role", "text")), strict=True):
+                conv, role, text = conv.as_py(), role.as_py(), text.as_py()
                 if not started or conv != now:
                     if pending:
                         out.append((now, n, False, prefix, len(prefix), len(prefix)))
+                        held += len(prefix)
                     now, prefix, n, started = conv, "", 0, True
                 turn, begin, end = render(role or "", text or "")
                 at, prefix, n = len(prefix), prefix + turn, n + 1
                 pending = role != TARGET
                 if not pending:
                     out.append((conv, n, True, prefix, at + begin, at + end))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names)
+                    held += len(prefix)
+                if held > FLUSH:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names)
+                    out, held = [], 0
         if pending:
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (now, n, False, prefix, len(prefix), len(prefix))], names)
+            out.append((now, n, False, prefix, len(prefix), len(prefix)))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names)
 
     rows = conversations.select(F.col("conv_id").cast("long"), "turn", F.col("role").cast("string"), F.col("text").cast("string"))
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
@@ -94,13 +103,18 @@ def prefix_targets(conversations: DataFrame) -> DataFrame:
 def digests(examples: DataFrame) -> DataFrame:
     """What the examples of each conversation hold, read back from them."""
 
+    @tidy
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            turns, loss = [], []
-            for text, begin, end in zip(*(batch.column(c).to_pylist() for c in ("formatted", "loss_begin", "loss_end")), strict=True):
-                turns.append("".join(f"{role}\n{said}\n" for role, said in read_back(text)))
+            turns, loss, size = [], [], []
+            ids = batch.column("conv_id").to_pylist()
+            for i, (text, begin, end) in enumerate(zip(*(batch.column(c) for c in ("formatted", "loss_begin", "loss_end")), strict=True)):
+                text, begin, end = text.as_py(), begin.as_py(), end.as_py()
+                # an example that the next one extends says nothing that the next does not
+                last = i + 1 == len(ids) or ids[i + 1] != ids[i]
+                turns.append("".join(f"{role}\n{said}\n" for role, said in read_back(text)) if last else None)
                 loss.append(unescape(text[begin:end]))
-            size = [len(x) for x in batch.column("formatted").to_pylist()]
+                size.append(len(text))
             columns = [batch.column("conv_id"), batch.column("n_turns"), pa.array(turns, pa.string()), pa.array(loss, pa.string()), pa.array(size, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["conv_id", "n_turns", "turns", "loss", "size"])
 
@@ -115,6 +129,7 @@ def digests(examples: DataFrame) -> DataFrame:
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")

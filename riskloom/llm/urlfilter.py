@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
 #: The rules of the query, a verdict for each host with path.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -94,7 +94,7 @@ def filter_urls(pages: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
     odds ``score`` of block are above 0. Its tokens are the words of the host, but for
     its last label, and of the path, where digits count as one token. A null url, or
     one without ``://``, has no host, path or tokens; its score is the log odds of the
-    classes. Counts are taken over distinct hosts and path forms, so a host with a
+    classes. Repeated rows are judged each; no rows give no result. Counts are taken over distinct hosts and path forms, so a host with a
     third of all rows is one row of them. Rules are few: they are a CASE expression."""
     rows = pages.select("page_id", "url").select("page_id", host_of().alias("host"), path_of().alias("path"))
     rows = rows.withColumn("rule", rule_of(rules)).withColumn("form", F.regexp_replace(F.lower("path"), "[0-9]+", "0"))
@@ -103,11 +103,11 @@ def filter_urls(pages: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
         ruled = F.when(F.col("rule") == rule, verdict).otherwise(ruled)
     rows = rows.withColumn("ruled", ruled)
 
-    hosts = rows.groupBy("host").agg(*(F.count_if(F.col("ruled") == v).alias(v) for v in ("block", "allow")))
-    forms = rows.groupBy("form").agg(*(F.count_if(F.col("ruled") == v).alias(v) for v in ("block", "allow")))
+    hosts = materialize(rows.groupBy("host").agg(*(F.count_if(F.col("ruled") == v).alias(v) for v in ("block", "allow"))))
+    forms = materialize(rows.groupBy("form").agg(*(F.count_if(F.col("ruled") == v).alias(v) for v in ("block", "allow"))))
     names = hosts.select("host", F.explode(F.regexp_extract_all(F.regexp_replace(F.lower("host"), r"\.?[^.]*$", ""), F.lit("([a-z]+)"), F.lit(1))).alias("name"))
-    cut = segmented(names.select("name"), lexicon(pages))
-    host_words = names.join(cut, "name").select("host", F.explode("words").alias("token"))
+    cut = segmented(names.select("name"), materialize(lexicon(pages)))
+    host_words = materialize(names.join(cut, "name").select("host", F.explode("words").alias("token")))
     form_words = forms.select("form", F.explode(F.filter(F.split("form", "[^\\p{L}0-9]+"), lambda x: x != "")).alias("token"))
 
     seen = host_words.join(hosts, "host").select("token", "block", "allow").union(form_words.join(forms, "form").select("token", "block", "allow"))
@@ -121,7 +121,8 @@ def filter_urls(pages: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
 
     def scored(words: DataFrame, key: str, name: str) -> DataFrame:
         weighed = words.join(weights, "token", "left")
-        return weighed.groupBy(key).agg(F.sum(F.coalesce("weight", F.lit(unseen))).alias(name), F.sort_array(F.collect_set("token")).alias(f"{name}_words"))
+        # written, so that Spark knows its size: it sends a small table to the rows where they are, and splits the rows of a hot key at a large one
+        return materialize(weighed.groupBy(key).agg(F.sum(F.coalesce("weight", F.lit(unseen))).alias(name), F.sort_array(F.collect_set("token")).alias(f"{name}_words")))
 
     out = rows.join(scored(host_words, "host", "of_host"), "host", "left").join(scored(form_words, "form", "of_form"), "form", "left")
     score = F.lit(prior) + F.coalesce("of_host", F.lit(0.0)) + F.coalesce("of_form", F.lit(0.0))

@@ -43,16 +43,17 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     missing there; 'missing' without an earlier response. Resolved revisits get the
     response's digest and headers, where PERMITTED fields of the revisit replace the
     stored ones; the others get null. Header names are in small letters. Rows of other
-    kinds, or with a null url or time, are left out; repeated rows stay repeated.
+    kinds, or with a null url or time, are left out; repeated rows stay repeated; no rows
+    give no result.
 
     The as-of join looks back within a slice of time of a URL, and takes the last
     response of earlier slices from a summary, so that a URL with very many captures
     is spread over SLICES groups."""
     rows = records.where("kind in ('response', 'revisit') and url is not null and ts is not null")
     rows = rows.select("record_id", "kind", canonical().alias("target"), F.col("ts").cast("long"), "headers", "digest")
-    low, high = rows.agg(F.min("ts"), F.max("ts")).first()
-    width = max(1, ((high or 0) - (low or 0)) // SLICES + 1)
-    rows = rows.withColumn("slice", F.expr(f"(ts - {low or 0}) div {width}"))
+    # bounds at equal numbers of captures: a stray time moves none of them, a hot URL's own times most
+    bounds = sorted(set(rows.agg(F.percentile_approx("ts", [i / SLICES for i in range(1, SLICES)])).first()[0] or []))
+    rows = rows.withColumn("slice", F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("ts"))) if bounds else F.lit(0))
     full = F.struct("ts", "record_id", "headers", "digest")
 
     last = rows.where("kind = 'response'").groupBy("target", "slice").agg(F.max_by(full, F.struct("ts", "record_id")).alias("stored"))
