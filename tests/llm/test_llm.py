@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from riskloom.llm import chat, decontaminate, linededup, packing, simhash, substrings, topk, toxicity, urlfilter, warc
+from riskloom.llm import chat, decontaminate, linededup, packing, setjoin, simhash, substrings, topk, toxicity, urlfilter, warc
 from riskloom.llm.components import components
 
 rng = random.Random(7)
@@ -49,6 +49,21 @@ def test_topk_equals_brute_force(spark):
     assert got == sorted(want)
 
 
+def test_topk_of_any_numbers(spark):
+    """Repeated ids, also of queries, vectors of other lengths, and components past every long."""
+    rows = [(100, [1.0, 2.0])] * 12 + [(101, [1.0, 2.0]), (102, [1.0, 2.0]), (5, [0.5, 0.5]), (6, [1.0, 2.0, 3.0]), (7, []), (8, None), (9, [-0.0, 0.0]), (200, [1e13, 1.0]), (201, [1e13, -1e300]), (300, [3.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    quantized = topk.quantized(df)
+    got = {}
+    for q, _, v, score in sorted(map(tuple, topk.top_k(quantized, quantized.where("vec_id % 100 = 0").dropDuplicates(["vec_id"]), 10).collect())):
+        got.setdefault(q, []).append((v, score))
+    ints = [(i, [int(x * 1024 // 1) if abs(x) < 1e15 else int(x * 1024) for x in v]) for i, v in rows if v is not None]
+    for q in (100, 200, 300):
+        own = next(v for i, v in ints if i == q)
+        scores = sorted((-sum(a * b for a, b in zip(own, v, strict=True)), i) for i, v in ints if i != q and len(v) == len(own))[:10]
+        assert got[q] == [(i, max(-(2**63 - 1), min(2**63 - 1, -s))) for s, i in scores]
+
+
 def test_topk_few_and_none(spark):
     two = spark.createDataFrame([(0, [1, 2]), (7, [3, 4])], "vec_id long, v array<long>")
     assert [tuple(r) for r in topk.top_k(two, two.where("vec_id = 0"), 10).collect()] == [(0, 1, 7, 11)]
@@ -193,6 +208,12 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(documents(spark, CORPUS).limit(0)).count() == 0
 
 
+def shingles(text, width=5):
+    words = (text or "").lower().encode().split()
+    width = min(width, len(words))
+    return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} if words else set()
+
+
 def test_verified_duplicates(spark):
     base = prose(400)
     near = base.split()
@@ -202,6 +223,31 @@ def test_verified_duplicates(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5, 6: 5, 7: 7}
 
 
+@pytest.mark.parametrize("partners", [1, 4])
+def test_verified_duplicates_lose_no_link(spark, partners):
+    """Against all pairs, with similarities all around the least one, hubs that fail, and few partners named at first."""
+    texts = []
+    for size in (12, 40, 60, 150, 300):
+        base = prose(size).split()
+        for changes in (0, 0, 1, 1, 2, 3, 4, 6, 9):
+            words = list(base)
+            for _ in range(changes):
+                words[rng.randrange(size)] = rng.choice(("other", "words", "here"))
+            texts.append(" ".join(words).title() if changes == 1 else " ".join(words))
+    texts += ["", None, "a b", "A  b", "a b c"]
+    sets = [shingles(t) for t in texts]
+    near = [(i + 1, j + 1) for i, j in itertools.combinations(range(len(texts)), 2) if not sets[i] and not sets[j] or (sets[i] and sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.verified_duplicates(documents(spark, texts), partners=partners).collect()}
+    assert got == groups(range(1, len(texts) + 1), near)
+
+
+def test_verified_duplicates_of_repeated_ids(spark):
+    rows = [(1, "a b c d e f"), (1, "p q r s t u"), (2, "p q r s t u"), (3, "A b c d e f"), (None, "a b c d e f"), (4, "alone")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in simhash.verified_duplicates(frame).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4)}
+    assert simhash.verified_duplicates(frame.limit(0)).count() == 0
+
+
 # --- substrings
 
 
@@ -336,16 +382,26 @@ def test_lines_equal_brute_force(spark):
 
 def test_lines_that_look_further(spark, monkeypatch):
     """More partners than are named at first, the nearest of them not alike."""
-    monkeypatch.setattr(linededup, "_closest", lambda y, x, far, more, keep, f=linededup._closest: f(y, x, -far if keep == 1 else far, more, keep))
-    monkeypatch.setattr(linededup, "PARTNERS", 1)
+    monkeypatch.setattr(setjoin, "_closest", lambda y, x, far, keep, f=setjoin._closest: f(y, x, -far if keep == 1 else far, keep))
     base = prose(20)
     texts = [base + " " + " ".join(f"z{i}{k}" for k in range(5)) for i in range(6)] + [base + " z00 z01 z02 z03 q"]
-    kept = {tuple(r) for r in linededup.kept_lines(documents(spark, texts).select("doc_id", "text")).collect()}
+    kept = {tuple(r) for r in linededup.kept_lines(documents(spark, texts).select("doc_id", "text"), 1).collect()}
     sets = [set(t.split()) for t in texts]
     want = {(i + 1, 0) for i, s in enumerate(sets) if not any(5 * len(s & e) >= 4 * len(s | e) for e in sets[:i])}
     assert kept == want
 
 
+@pytest.mark.parametrize("together", [1, 7])
+def test_word_of_all_lines(spark, monkeypatch, together):
+    """Every line stands under one frequent word, whose index rows are dealt to block pairs."""
+    monkeypatch.setattr(setjoin, "TOGETHER", together)
+    monkeypatch.setattr(setjoin, "GUESS_FROM", 1)
+    texts = [f"always the same six words here {rng.randrange(40)}" + (f" x{i}" if i % 3 else "") for i in range(80)]
+    kept = {tuple(r) for r in linededup.kept_lines(documents(spark, texts).select("doc_id", "text")).collect()}
+    sets = [set(t.split()) for t in texts]
+    assert kept == {(i + 1, 0) for i, s in enumerate(sets) if not any(5 * len(s & e) >= 4 * len(s | e) for e in sets[:i])}
+
+
 def test_no_lines(spark):
     assert linededup.dedup_lines(documents(spark, CORPUS).limit(0)).count() == 0
 
