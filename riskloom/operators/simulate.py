@@ -216,7 +216,7 @@ def reduce_paths(ids: np.ndarray, balance: np.ndarray, config: Config) -> pd.Dat
     return out.assign(outcome=outcome)
 
 
-DRAWS_AT_ONCE, PATHS_AT_ONCE = 1 << 20, 512
+DRAWS_AT_ONCE, PATHS_AT_ONCE = 1 << 22, 512
 SUMMARY = "sim_id long, final_balance double, max_drawdown double, ruined boolean, ev double, outcome string"
 #: ``kernel(rng, steps)`` gives the draws of one path, ``kernel.block(rng, paths, steps)`` of many.
 Kernel = Callable[[np.random.Generator, int], np.ndarray]
