@@ -95,7 +95,8 @@ def links(distinct: DataFrame, distance: int = 3) -> DataFrame:
             # a lone segment leaves no room beside it for the wildcard's place: those keys are hashed
             keys.append(F.xxhash64(F.lit(i), rest) if count == 1 else rest + F.lit((s * 64 + i) << 51))
     tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes become many rows: a number keeps Spark from joining tasks
-    variants = distinct.repartition(tasks, "fp").select("fp", F.explode(F.array(*keys)).alias("key"))
+    # by a hash of fp: a repartition by fp itself would fall away behind a grouping by fp
+    variants = distinct.repartition(tasks, F.xxhash64("fp")).select("fp", F.explode(F.array(*keys)).alias("key"))
 
     @tidy
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
