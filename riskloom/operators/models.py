@@ -9,13 +9,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.engine import Plan
 from ..sources.shared import shared
 from . import portfolio
 from .portfolio import cholesky, repaired
-from .simulate import SUMMARY, Config, Kernel, block_bootstrap, block_count, bootstrap, copula, draws_of, garch, parametric, paths_of, permutation, reduce_paths, regime_switching
+from .kernels import SUMMARY, Config, Kernel, block_bootstrap, block_size, blocks_of, bootstrap, garch, parametric, paths_of, permutation, regime_switching
+from .simulate import copula, reduce_paths
+from .stats import FITS, D
 
-#: Tasks that share the paths of one series.
-PARTS = 16
+#: Tasks for each core that the paths of a series are dealt to.
+TASKS_A_CORE = 2
 GRID_ALPHA = np.round(np.arange(0.02, 0.20, 0.02), 4)
 GRID_BETA = np.round(np.arange(0.70, 0.98, 0.03), 4)
 
@@ -31,8 +34,7 @@ def garch_likelihood(e2: np.ndarray, omega: np.ndarray, alpha: np.ndarray, beta:
 
 
 def fit_garch(frame: pd.DataFrame) -> pd.DataFrame:
-    """GARCH(1,1) with variance targeting: the best of a grid, then steps of 0.005 to
-    the best neighbour while that improves. Short series keep a plain fallback."""
+    """The fit of ``garch_models`` for one series in memory, row by row."""
     x = frame.sort_values("trade_idx")["pnl"].to_numpy(float)
     mu, v = x.mean() if len(x) else 0.0, x.var(ddof=1) if len(x) > 1 else 0.0
     row = {"series_id": frame["series_id"].iloc[0], "n": len(x), "df": fitted_df(x), "mu": mu, "omega": 0.1 * v, "alpha": 0.1, "beta": 0.8, "log_likelihood": np.nan}
@@ -56,10 +58,154 @@ def fit_garch(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([row])
 
 
+#: Rows of a block of the variance recursion, and steps to each side of the lattice around the
+#: best candidate that one pass looks at.
+ROWS, REACH, STEP, MOST_STEPS = 4096, 10, 0.005, 50
+LAWS = Plan(f"""WITH {FITS} SELECT m.series_id, m.n, m.mu, m.sd, CASE WHEN m.n >= 3 AND m.sd > {D("1e-10")} AND -2 * tb.ll + 3 * ln(m.n) < -2 * no.ll + 2 * ln(m.n) THEN df END AS df
+FROM m JOIN no ON no.series_id = m.series_id JOIN tb ON tb.series_id = m.series_id""")
+
+
+def laws(trades: DataFrame) -> DataFrame:
+    """(series_id, n, mu, sd, df) of each series: its normal fit, and the degrees of freedom of
+    the Student one if that is better by BIC."""
+    return LAWS.run(trades.sparkSession, trades=trades.select("series_id", "trade_idx", "pnl"))
+
+
+def _grid() -> tuple[np.ndarray, np.ndarray]:
+    a, b = (g.ravel() for g in np.meshgrid(GRID_ALPHA, GRID_BETA))
+    return a[a + b < 0.999], b[a + b < 0.999]
+
+
+def _lattice(alpha: float, beta: float) -> tuple[np.ndarray, np.ndarray]:
+    steps = np.arange(-REACH, REACH + 1) * STEP
+    return tuple(g.ravel() for g in np.meshgrid(alpha + steps, beta + steps, indexing="ij"))
+
+
+def _candidates(row) -> tuple[np.ndarray, np.ndarray]:
+    """The candidates that a series is at: all of the grid, or those around its best one."""
+    return _grid() if np.isnan(row["alpha"]) else _lattice(row["alpha"], row["beta"])
+
+
+def _usable(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a > 0) & (b > 0) & (a + b < 0.999)
+
+
+def _block_rows(frame: pd.DataFrame, run) -> pd.DataFrame:
+    out = [run(row, *_candidates(row)) for _, row in frame.iterrows()]
+    return pd.DataFrame({"series_id": frame["series_id"].to_numpy(), "block": frame["block"].to_numpy(), "values": out})
+
+
+def _ends(row, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Where the variance of each candidate ends if it begins at nothing: the rest of it is its
+    beginning times beta to the number of rows."""
+    h, w = np.zeros(len(a)), 1 - a - b
+    for x in row["e2"]:
+        h = w + a * x + b * h
+    return h
+
+
+def _fit_of_block(row, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The log likelihood of a block for each candidate, from its beginnings ``h``."""
+    h, w, total = row["h"].copy(), 1 - a - b, np.zeros(len(a))
+    with np.errstate(all="ignore"):  # of candidates that are not used
+        for x in row["e2"]:
+            total -= np.log(h) + x / h
+            h = w + a * x + b * h
+    return 0.5 * total
+
+
+def _carry(frame: pd.DataFrame) -> pd.DataFrame:
+    """The beginnings of the blocks of a series: a row a block, whatever its rows are."""
+    frame = frame.sort_values("block")
+    a, b = _candidates(frame.iloc[0])
+    h, out = np.full(len(a), frame["start"].iloc[0]), []
+    for values, rows in zip(frame["values"], frame["rows"], strict=True):
+        out.append(h)
+        h = values + np.power(b, rows) * h
+    return frame[["series_id", "block"]].assign(h=out)
+
+
+def _climb(frame: pd.DataFrame) -> pd.DataFrame:
+    """The next place of a series: the best of the grid; in a lattice, steps to the best
+    neighbour while that improves, up to the lattice's edge."""
+    row = frame.iloc[0].copy()
+    a, b = _candidates(row)
+    score = np.where(_usable(a, b), frame["values"].sum(), -np.inf) - 0.5 * row["n"] * np.log(2 * np.pi * row["v"])
+    if np.isnan(row["alpha"]):
+        best = score.argmax()
+        row["alpha"], row["beta"], row["best"] = a[best], b[best], score[best]
+    else:
+        side = 2 * REACH + 1
+        score, a, b = (x.reshape(side, side) for x in (score, a, b))
+        i = j = REACH
+        row["best"] = score[i, j]
+        while 0 < i < side - 1 and 0 < j < side - 1 and row["steps"] < MOST_STEPS and not row["done"]:
+            near = score[i - 1 : i + 2, j - 1 : j + 2].T.ravel()  # alpha runs first
+            row["steps"] += 1
+            if near.max() <= row["best"] + 1e-9:
+                row["done"] = True
+            else:
+                at = near.argmax()
+                i, j, row["best"] = i + at % 3 - 1, j + at // 3 - 1, near[at]
+        row["done"] = bool(row["done"] or row["steps"] >= MOST_STEPS)
+        row["alpha"], row["beta"] = a[i, j], b[i, j]
+    return pd.DataFrame([row[STATE_NAMES]])
+
+
+STATE = "series_id string, n long, mu double, v double, start double, alpha double, beta double, best double, steps long, done boolean"
+STATE_NAMES = [x.split()[0] for x in STATE.split(", ")]
+
+
 def garch_models(trades: DataFrame) -> DataFrame:
-    """A GARCH fit for each series; one group a series, so many fit at once."""
-    schema = "series_id string, n long, df double, mu double, omega double, alpha double, beta double, log_likelihood double"
-    return trades.select("series_id", "trade_idx", "pnl").groupBy("series_id").applyInPandas(fit_garch, schema)
+    """A GARCH(1,1) fit for each series, with variance targeting: the best of a grid, then
+    steps of STEP to the best neighbour while that improves. Short series, and such as do not
+    vary, keep a plain fallback.
+
+    A series is cut into blocks of ROWS rows. The variance at a block's end is affine in that
+    at its beginning, so blocks are passed side by side: once for their ends, which are put
+    together over the blocks, and once for the likelihoods, which are added up; for all
+    candidates together. No task holds a series."""
+    trades = trades.select("series_id", F.col("trade_idx").cast("long").alias("trade_idx"), F.col("pnl").cast("double").alias("pnl"))
+    law = shared(laws(trades))
+    spread = trades.groupBy("series_id").agg(F.coalesce(F.var_samp("pnl"), F.lit(0.0)).alias("v"))
+    known = shared(law.join(spread, "series_id").select("series_id", "n", "df", "mu", "v", "sd"))
+    fits = known.where("n >= 20 and v > 0")
+    block = F.floor(F.col("trade_idx") / ROWS).alias("block")
+    ordered = F.sort_array(F.collect_list(F.struct("trade_idx", "pnl")))
+    scaled = trades.join(fits.select("series_id", "mu", "v"), "series_id").select("series_id", block, "trade_idx", ((F.col("pnl") - F.col("mu")) * (F.col("pnl") - F.col("mu")) / F.col("v")).alias("pnl"))
+    blocks = shared(scaled.groupBy("series_id", "block").agg(F.transform(ordered, lambda x: x["pnl"]).alias("e2")).withColumn("rows", F.size("e2")))
+    nothing = F.lit(float("nan"))
+    start = F.greatest(F.col("sd") * F.col("sd") / F.col("v"), F.lit(1e-12))
+    state = shared(fits.select("series_id", "n", "mu", "v", start.alias("start"), nothing.alias("alpha"), nothing.alias("beta"), nothing.alias("best"), F.lit(0).cast("long").alias("steps"), F.lit(False).alias("done")))
+    values = "series_id string, block long, values array<double>"
+
+    def ends(frames):
+        for frame in frames:
+            yield _block_rows(frame, _ends)
+
+    def likelihoods(frames):
+        for frame in frames:
+            yield _block_rows(frame, _fit_of_block)
+
+    tasks = TASKS_A_CORE * trades.sparkSession.sparkContext.defaultParallelism
+    finished = None
+    while True:
+        now = state.select("series_id", "start", "alpha", "beta")
+        at = blocks.join(now, "series_id").repartition(tasks, "series_id", "block")
+        ended = at.mapInPandas(ends, values).join(blocks.select("series_id", "block", "rows"), ["series_id", "block"]).join(now, "series_id")
+        begun = shared(ended.groupBy("series_id").applyInPandas(_carry, "series_id string, block long, h array<double>"))
+        found = at.join(begun, ["series_id", "block"]).mapInPandas(likelihoods, values).join(state, "series_id")
+        state = shared(found.groupBy("series_id").applyInPandas(_climb, STATE))
+        done = state.where("done")
+        finished = done if finished is None else finished.unionByName(done)
+        state = state.where("not done")
+        if state.isEmpty():
+            break
+    best = finished.select("series_id", "alpha", "beta", "best")
+    fallback = known.join(best, "series_id", "left")
+    alpha, beta = F.coalesce("alpha", F.lit(0.1)), F.coalesce("beta", F.lit(0.8))
+    omega = F.when(F.col("best").isNull(), 0.1 * F.col("v")).otherwise(F.col("v") * (1 - F.col("alpha") - F.col("beta")))
+    return fallback.select("series_id", "n", "df", "mu", omega.alias("omega"), alpha.alias("alpha"), beta.alias("beta"), F.coalesce("best", nothing).alias("log_likelihood"))
 
 
 GRID_DF = np.arange(1.0, 30.5, 0.5)
@@ -83,12 +229,6 @@ def fitted_df(x: np.ndarray) -> float | None:
     return best[1] if -2 * best[0] + 3 * log(n) < -2 * normal + 2 * log(n) else None
 
 
-def _parametric(pool: np.ndarray) -> Kernel:
-    df = fitted_df(pool)
-    scale = np.sqrt((df - 2) / df) if df is not None and df > 2 else 1.0
-    return parametric(pool.mean(), pool.std() * scale, df)
-
-
 def transition_matrix(labels: list[str], order: list[str]) -> np.ndarray:
     at = {r: i for i, r in enumerate(order)}
     counts = np.zeros((len(order), len(order)))
@@ -98,38 +238,70 @@ def transition_matrix(labels: list[str], order: list[str]) -> np.ndarray:
     return np.where(sums > 0, counts / np.maximum(sums, 1), 1 / len(order))
 
 
-def _kernel(past: pd.DataFrame, model: str) -> Kernel:
-    pool = past["pnl"].to_numpy(float)
+#: What a kernel needs of a series: numbers of its law, or its results (of each regime in turn,
+#: with their counts) and how regimes follow each other.
+SPEC = "series_id string, n long, law array<double>, pool binary, sizes array<long>, chain array<double>"
+
+
+def _spec(model: str):
+    """A row of SPEC from the history of a series."""
+
+    def spec(past: pd.DataFrame) -> pd.DataFrame:
+        past = past.sort_values("trade_idx")
+        pool, labels = past["pnl"].to_numpy(float), past["regime"].where(past["regime"].notna(), "default")
+        row = {"series_id": past["series_id"].iloc[0], "n": len(pool), "law": [], "pool": b"", "sizes": [], "chain": []}
+        if model == "regimes":
+            order = list(dict.fromkeys(labels))
+            row["pool"] = np.concatenate([pool[(labels == r).to_numpy()] for r in order]).tobytes()
+            row["sizes"], row["chain"] = [int((labels == r).sum()) for r in order], transition_matrix(labels.tolist(), order).ravel().tolist()
+        else:
+            row["pool"] = pool.tobytes()
+        return pd.DataFrame([row])
+
+    return spec
+
+
+def _kernel_of(row: pd.Series, model: str) -> Kernel:
+    law, pool = [None if np.isnan(x) else float(x) for x in row["law"]], np.frombuffer(row["pool"])
     if model == "regimes":
-        order = list(dict.fromkeys(past["regime"]))
-        pools = {r: pool[(past["regime"] == r).to_numpy()] for r in order}
-        return regime_switching(pools, transition_matrix(past["regime"].tolist(), order))
-    return {"bootstrap": lambda: bootstrap(pool), "permutation": lambda: permutation(pool), "blocks": lambda: block_bootstrap(pool, 5), "parametric": lambda: _parametric(pool)}[model]()
+        ends = np.cumsum(row["sizes"])
+        return regime_switching(dict(enumerate(np.split(pool, ends[:-1]))), np.reshape(row["chain"], (len(ends), -1)))
+    return {"bootstrap": lambda: bootstrap(pool), "permutation": lambda: permutation(pool), "blocks": lambda: block_bootstrap(pool, 5), "parametric": lambda: parametric(*law), "garch": lambda: garch(*law)}[model]()
 
 
 def simulate_history(trades: DataFrame, model: str, config: Config) -> DataFrame:
     """Reduced paths of each series under ``model``: bootstrap, permutation, blocks,
-    regimes, parametric or garch; as long as the series, unless ``config`` names the
-    steps. Tasks hold one series and some path ids; nothing goes through the driver."""
-    rows = garch_models(trades) if model == "garch" else trades.select("series_id", "trade_idx", "pnl", "regime")
-    parts = min(PARTS, config.paths)
-    kinds = {"string": object, "long": np.int64, "double": float, "boolean": bool}
-    empty = pd.DataFrame({name: np.zeros(0, kinds[kind]) for name, kind in map(str.split, f"series_id string, {SUMMARY}".split(", "))})
-
-    def run(key: tuple, past: pd.DataFrame) -> pd.DataFrame:
-        series, part = key
+    regimes, parametric or garch; as long as the series, unless ``config`` names the steps.
+    A null regime is the regime 'default'.
+
+    Each series is first made one row, its results as plain bytes; then blocks of its paths
+    are dealt out evenly, to tasks named by number, so all cores work whatever the size of
+    the rows is. A task holds one series at a time; nothing goes through the driver."""
+    spark = trades.sparkSession
+    none = F.coalesce("df", F.lit(float("nan")))
+    if model in ("garch", "parametric"):
         if model == "garch":
-            fit = past.iloc[0]
-            kernel, n = garch(fit.omega, fit.alpha, fit.beta, fit.mu, None if pd.isna(fit.df) else float(fit.df)), int(fit.n)
-        else:
-            past = past.sort_values("trade_idx")
-            kernel, n = _kernel(past, model), len(past)
-        own = replace(config, steps=config.steps or n)
-        out = list(paths_of(np.arange(part, block_count(own), parts), kernel, own))
-        return pd.concat(out).assign(series_id=series) if out else empty
+            fits, law = garch_models(trades), F.array("omega", "alpha", "beta", "mu", none)
+        else:  # the spread of a Student law is more than its scale
+            scale = F.when(F.col("df") > 2, F.sqrt((F.col("df") - 2) / F.greatest("df", F.lit(1.0)))).otherwise(1.0)
+            fits, law = laws(trades), F.array("mu", F.col("sd") * scale, none)
+        specs = fits.select("series_id", "n", law.alias("law"), F.lit(b"").alias("pool"), F.array().cast("array<long>").alias("sizes"), F.array().cast("array<double>").alias("chain"))
+    else:
+        specs = trades.select("series_id", "trade_idx", "pnl", "regime").groupBy("series_id").applyInPandas(_spec(model), SPEC)
+    specs = shared(specs)
+    tasks = TASKS_A_CORE * spark.sparkContext.defaultParallelism
+    part = F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))
+    deals = specs.select("*", part.alias("part")).withColumn("task", F.pmod(F.xxhash64("series_id") % tasks + F.col("part"), F.lit(tasks)).cast("int"))
+
+    def run(frames):
+        for frame in frames:
+            for _, row in frame.iterrows():
+                kernel, own = _kernel_of(row, model), replace(config, steps=config.steps or int(row["n"]))
+                count = blocks_of(own.paths, block_size(kernel, own.steps))
+                for out in paths_of(range(int(row["part"]), count, tasks), kernel, own):
+                    yield out.assign(series_id=row["series_id"])
 
-    each = trades.sparkSession.range(parts).withColumnRenamed("id", "part")
-    return rows.crossJoin(F.broadcast(each)).groupBy("series_id", "part").applyInPandas(run, f"series_id string, {SUMMARY}")
+    return deals.repartitionById(tasks, "task").drop("task").mapInPandas(run, f"{SUMMARY}, series_id string")
 
 
 #: Strategies of a portfolio whose correlations, one number a pair, are held on the driver.
@@ -195,22 +367,9 @@ LEAST_SCALE, HALVINGS = 0.05, 12
 
 
 def _probe(trades: DataFrame, scales: DataFrame, config: Config) -> DataFrame:
-    """Risk of each series at its scale, over parametric paths dealt to PARTS tasks."""
-    floor = config.capital * (1 - config.ruin_percent / 100)
-    parts = min(PARTS, config.paths)
-
-    def run(key: tuple, past: pd.DataFrame) -> pd.DataFrame:
-        series, part = key
-        pool, scale = past.sort_values("trade_idx")["pnl"].to_numpy(float), float(past["scale"].iloc[0])
-        kernel, own = _parametric(scale * pool), replace(config, steps=config.steps or len(pool))
-        out = [pd.DataFrame({"pnl": [], "ruined": np.zeros(0, bool)})]
-        for block in range(part, block_count(own), parts):
-            balance = config.capital + np.cumsum(draws_of(block, kernel, own)[1], axis=1)
-            out.append(pd.DataFrame({"pnl": balance[:, -1] - config.capital, "ruined": (balance <= floor).any(1)}))
-        return pd.concat(out).assign(series_id=series)
-
-    each = trades.sparkSession.range(parts).withColumnRenamed("id", "part")
-    ends = trades.join(scales.select("series_id", "scale"), "series_id").crossJoin(F.broadcast(each)).groupBy("series_id", "part").applyInPandas(run, "series_id string, pnl double, ruined boolean")
+    """Risk of each series at its scale, over its parametric paths."""
+    scaled = trades.join(scales.select("series_id", "scale"), "series_id").select("series_id", "trade_idx", (F.col("pnl") * F.col("scale")).alias("pnl"), F.lit("").alias("regime"))
+    ends = simulate_history(scaled, "parametric", replace(config, rules=None)).select("series_id", (F.col("final_balance") - config.capital).alias("pnl"), "ruined")
     ranked = ends.withColumn("r", F.row_number().over(Window.partitionBy("series_id").orderBy("pnl")))
     tail = max(1, int(config.paths * (1 - 0.95)))
     risk = ranked.groupBy("series_id").agg((100 * F.avg(F.col("ruined").cast("double"))).alias("ruin_percent"), F.avg(F.when(F.col("r") <= tail, F.col("pnl"))).alias("cvar95"), F.avg("pnl").alias("mean"), F.coalesce(F.stddev_samp("pnl"), F.lit(0.0)).alias("std"))

@@ -4,13 +4,13 @@ partitions of path ids for scale. Both reduce each path to one row."""
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.engine import SPARK, Plan, numbers, xor
+from .kernels import SUMMARY, Config, Kernel, Session, Walk, block_bootstrap, block_size, blocks_of, bootstrap, garch, parametric, paths_of, permutation, regime_switching
 from .performance import CAPITAL, PERIODS
 
 SEED, PATHS, RUIN_PERCENT = 42, 200, 50
@@ -148,102 +148,17 @@ PLANS = {
 }
 
 
-@dataclass(frozen=True)
-class Session:
-    """Trading stops for a session after so many losses or so large a loss."""
-
-    trades: int = 10
-    max_losses: int = 3
-    max_loss: float = 500.0
-
-
-@dataclass(frozen=True)
-class Config:
-    paths: int = 10_000
-    steps: int | None = None  # None: as many as the history has rows
-    capital: float = CAPITAL
-    ruin_percent: float = RUIN_PERCENT
-    seed: int = SEED
-    multiplicative: bool = False
-    session: Session | None = None
-    rules: tuple[float, float, float] | None = RULES
-
-
 def _balances(draws: np.ndarray, config: Config) -> np.ndarray:
-    """Balances (path, step) from the draws, with the session rule and, for
-    multiplicative results, a floor at nothing."""
-    out = np.empty((len(draws), draws.shape[1] + 1))
-    out[:, 0] = config.capital
-    rule = config.session
-    if not rule and not config.multiplicative:
-        out[:, 1:] = draws
-        return np.cumsum(out, axis=1)
-    losses, lost = np.zeros(len(draws)), np.zeros(len(draws))
-    for t in range(draws.shape[1]):
-        if rule and t % max(1, rule.trades) == 0:
-            losses[:], lost[:] = 0, 0
-        last = out[:, t]
-        new = np.maximum(last * (1 + draws[:, t]), 0) if config.multiplicative else last + draws[:, t]
-        if rule:
-            new = np.where((losses >= rule.max_losses) | (lost <= -rule.max_loss), last, new)
-            losses += new < last
-            lost += new - last
-        out[:, t + 1] = new
-    return out
+    """Balances (path, step), the capital first, from the draws (path, step)."""
+    return np.concatenate((np.full((len(draws), 1), float(config.capital)), Walk(len(draws), config).balances(draws.T.astype(float)).T), axis=1)
 
 
 def reduce_paths(ids: np.ndarray, balance: np.ndarray, config: Config) -> pd.DataFrame:
-    """One row for each path: final balance, largest drawdown (at most 1), ruin, the
-    mean step, and what becomes of an evaluation account."""
-    peak = np.maximum.accumulate(balance, axis=1)
-    final, n = balance[:, -1], max(1, balance.shape[1] - 1)
-    ev = np.where(final > 0, np.maximum(final, 1e-300) / config.capital, 0) ** (1 / n) - 1 if config.multiplicative else (final - config.capital) / n
-    out = pd.DataFrame({
-        "sim_id": ids, "final_balance": final, "max_drawdown": np.minimum(1, (peak - balance) / np.maximum(peak, 1e-8)).max(1),
-        "ruined": (balance <= config.capital * (1 - config.ruin_percent / 100)).any(1), "ev": ev,
-    })
-    outcome = np.full(len(ids), "time", object)
-    if config.rules:
-        drawdown, target, share = config.rules
-        gain, profit = balance - config.capital, np.maximum.accumulate(np.diff(balance, axis=1), axis=1)
-        fell, won = (peak - balance >= drawdown)[:, 1:], (gain >= target)[:, 1:]
-        first = lambda hit: np.where(hit.any(1), hit.argmax(1), n)
-        down, up = first(fell), first(won)
-        at = np.minimum(up, n - 1)
-        rows = np.arange(len(ids))
-        steady = profit[rows, at] <= gain[rows, at + 1] * share / 100
-        outcome = np.where((down <= up) & (down < n), "drawdown", np.where(up < n, np.where(steady, "passed", "consistency"), "time"))
-    return out.assign(outcome=outcome)
-
-
-DRAWS_AT_ONCE, PATHS_AT_ONCE = 1 << 22, 512
-SUMMARY = "sim_id long, final_balance double, max_drawdown double, ruined boolean, ev double, outcome string"
-#: ``kernel(rng, steps)`` gives the draws of one path, ``kernel.block(rng, paths, steps)`` of many.
-Kernel = Callable[[np.random.Generator, int], np.ndarray]
-
-
-def block_size(config: Config) -> int:
-    """Paths that are drawn side by side: it follows from the steps alone."""
-    return max(1, min(PATHS_AT_ONCE, DRAWS_AT_ONCE // max(1, config.steps)))
-
-
-def block_count(config: Config) -> int:
-    return -(-config.paths // block_size(config))
-
-
-def draws_of(block: int, kernel: Kernel, config: Config) -> tuple[np.ndarray, np.ndarray]:
-    """The path ids of a block and their draws. Each block has a generator of its own, so
-    results do not depend on how blocks are dealt to tasks."""
-    size = block_size(config)
-    ids = np.arange(block * size, min(config.paths, (block + 1) * size))
-    return ids, kernel.block(np.random.Generator(np.random.Philox(key=[config.seed, int(block)])), len(ids), config.steps)
-
-
-def paths_of(blocks: np.ndarray, kernel: Kernel, config: Config) -> Iterator[pd.DataFrame]:
-    """Reduced paths of ``blocks``."""
-    for block in blocks:
-        ids, draws = draws_of(block, kernel, config)
-        yield reduce_paths(ids, _balances(draws, config), config)
+    """One row for each path of balances (path, step), the capital first."""
+    out = Walk(len(ids), config)
+    if balance.shape[1] > 1:
+        out.see(balance[:, 1:].T)
+    return out.frame(ids)
 
 
 def simulate(spark: SparkSession, kernel: Kernel, config: Config) -> DataFrame:
@@ -251,80 +166,12 @@ def simulate(spark: SparkSession, kernel: Kernel, config: Config) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield from paths_of(frame["id"].to_numpy(), kernel, config)
-
-    return spark.range(block_count(config)).mapInPandas(run, SUMMARY)
-
-
-def _single(block: Callable[[np.random.Generator, int, int], np.ndarray]) -> Kernel:
-    """A kernel for one path from one for many, which it keeps as ``block``."""
-
-    def kernel(rng: np.random.Generator, n: int) -> np.ndarray:
-        return block(rng, 1, n)[0]
-
-    kernel.block = block
-    return kernel
-
-
-def bootstrap(pool: np.ndarray) -> Kernel:
-    return _single(lambda rng, m, n: pool[rng.integers(0, len(pool), (m, n))])
-
-
-def permutation(pool: np.ndarray) -> Kernel:
-    def block(rng: np.random.Generator, m: int, n: int) -> np.ndarray:
-        return rng.permuted(np.tile(pool, (m, 1)), axis=1)[:, np.arange(n) % len(pool)]
+            yield from paths_of(frame["id"], kernel, config)
 
-    return _single(block)
+    return spark.range(blocks_of(config.paths, block_size(kernel, config.steps))).mapInPandas(run, SUMMARY)
 
 
-def block_bootstrap(pool: np.ndarray, length: float) -> Kernel:
-    """Stationary blocks of mean ``length`` on the circle of the history."""
-
-    def block(rng: np.random.Generator, m: int, n: int) -> np.ndarray:
-        new = rng.random((m, n)) < 1 / max(1.0, length)
-        new[:, 0] = True
-        begin = np.maximum.accumulate(np.where(new, np.arange(n), 0), axis=1)
-        start = rng.integers(0, len(pool), (m, n))
-        return pool[(np.take_along_axis(start, begin, 1) + np.arange(n) - begin) % len(pool)]
-
-    return _single(block)
-
-
-def regime_switching(pools: dict[str, np.ndarray], transitions: np.ndarray) -> Kernel:
-    """Markov regimes in the order of ``pools``; draws come from the regime's pool."""
-    sizes, upto = np.array([len(p) for p in pools.values()]), np.cumsum(transitions, axis=1)
-    flat, first = np.concatenate(list(pools.values())), np.cumsum(sizes) - sizes
-
-    def block(rng: np.random.Generator, m: int, n: int) -> np.ndarray:
-        state, u, v = rng.integers(len(sizes), size=m), rng.random((m, n)), rng.random((n, m))
-        states = np.empty((n, m), np.int64)
-        for t in range(n):
-            states[t] = state
-            state = np.minimum((upto[state] <= v[t, :, None]).sum(1), len(sizes) - 1)
-        return flat[first[states.T] + (u * sizes[states.T]).astype(np.int64)]
-
-    return _single(block)
-
-
-def parametric(mu: float, sigma: float, df: float | None) -> Kernel:
-    return _single(lambda rng, m, n: mu + sigma * (rng.standard_normal((m, n)) if df is None else rng.standard_t(df, (m, n))))
-
-
-def garch(omega: float, alpha: float, beta: float, mu: float, df: float | None = None) -> Kernel:
-    heavy = df is not None and 2 < df < 30
-
-    def block(rng: np.random.Generator, m: int, n: int) -> np.ndarray:
-        z = rng.standard_t(df, (n, m)) / np.sqrt(df / (df - 2)) if heavy else rng.standard_normal((n, m))
-        variance = np.full(m, omega / (1 - alpha - beta))
-        for t in range(n):
-            z[t] = step = np.sqrt(variance) * z[t]
-            variance = omega + alpha * step * step + beta * variance
-        return mu + z.T
-
-    return _single(block)
-
-
-def copula(low: dict[str, np.ndarray], df: float | None = None, initial: np.ndarray | None = None, transitions: np.ndarray | None = None) -> Kernel:
+def copula(low: dict[str, np.ndarray], df: float | None = None, initial: np.ndarray | None = None, transitions: np.ndarray | None = None) -> Callable[[np.random.Generator, int], np.ndarray]:
     """Ranks from 0 to 1 of all strategies at every step, ``(steps, strategies)``, tied by
     a Gaussian copula or, with ``df``, a Student one with a shared chi-square.
 
@@ -356,3 +203,6 @@ def normal_cdf(x: np.ndarray) -> np.ndarray:
     t = 1 / (1 + 0.2316419 * np.abs(x))
     upper = np.exp(-0.5 * x * x) / np.sqrt(2 * np.pi) * t * np.polyval([float(c) for c in reversed(NORMAL)], t)
     return np.where(x >= 0, 1 - upper, upper)
+
+
+__all__ = ["SUMMARY", "Config", "Kernel", "Session", "block_bootstrap", "bootstrap", "garch", "parametric", "permutation", "reduce_paths", "regime_switching", "simulate"]
