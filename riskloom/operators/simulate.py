@@ -71,24 +71,9 @@ def at(share: str) -> str:
     return f"least(n - 1, greatest(0, CAST(floor(n * {share}) AS BIGINT)))"
 
 
-LOW95, LOW99 = "(1 - CAST('0.95' AS DOUBLE))", "(1 - CAST('0.99' AS DOUBLE))"
-ORDER = f"""o AS (SELECT *, final_balance - {CAPITAL} AS pnl, row_number() OVER (PARTITION BY series_id ORDER BY final_balance, sim_id) - 1 AS r, row_number() OVER (PARTITION BY series_id ORDER BY max_drawdown, sim_id) - 1 AS rd, count(*) OVER (PARTITION BY series_id) AS n FROM ps)"""
+LOW95 = "(1 - CAST('0.95' AS DOUBLE))"
 #: Trailing drawdown, target and consistency of an evaluation account.
 RULES = (600, 400, 40)
-CHECKPOINTS = (100, 150, 200, 500, 1000, 2000, 5000, 10_000, 20_000, 50_000)
-
-
-def _metrics(d: str) -> str:
-    return f"""WITH {paths(d, "bootstrap")}, {ORDER}, mo AS (SELECT series_id, avg(pnl) AS mu FROM o GROUP BY series_id), m AS (SELECT o.series_id, avg(power(pnl - mu, 2)) AS m2, avg(power(pnl - mu, 3)) AS m3, avg(power(pnl - mu, 4)) AS m4 FROM o JOIN mo ON mo.series_id = o.series_id GROUP BY o.series_id),
-i AS (SELECT o.series_id, max(CASE WHEN r = {at(LOW95)} THEN pnl END) AS var95, max(CASE WHEN r = {at(LOW99)} THEN pnl END) AS var99, avg(CASE WHEN r < greatest(1, CAST(floor(n * {LOW95}) AS BIGINT)) THEN pnl END) AS cvar95, avg(CASE WHEN r < greatest(1, CAST(floor(n * {LOW99}) AS BIGINT)) THEN pnl END) AS cvar99,
-  max(CASE WHEN r = {at("CAST('0.5' AS DOUBLE)")} THEN final_balance END) AS median_balance, max(CASE WHEN rd = {at("CAST('0.5' AS DOUBLE)")} THEN max_drawdown END) AS median_drawdown, max(CASE WHEN rd = {at("CAST('0.95' AS DOUBLE)")} THEN max_drawdown END) AS p95_drawdown,
-  max(m3) AS m3, max(m2) AS m2, max(m4) AS m4, CAST(100 AS DOUBLE) * sum(CASE WHEN pnl < 0 THEN 1 ELSE 0 END) / count(*) AS probability_of_loss, CAST(100 AS DOUBLE) * sum(ruined) / count(*) AS ruin_percent, avg(final_balance) AS mean_balance,
-  max(CASE WHEN r = {at("CAST('0.05' AS DOUBLE)")} THEN final_balance END) AS p5_balance, max(CASE WHEN r = {at("CAST('0.95' AS DOUBLE)")} THEN final_balance END) AS p95_balance, CAST(max(steps) AS DOUBLE) AS steps FROM o JOIN m ON m.series_id = o.series_id GROUP BY o.series_id),
-y AS (SELECT *, greatest(steps / {PERIODS}, CAST(1 AS DOUBLE) / {PERIODS}) AS years, greatest(median_balance / {CAPITAL}, 0) AS growth FROM i)
-SELECT series_id, round(var95, 6) AS var95, round(var99, 6) AS var99, round(cvar95, 6) AS cvar95, round(cvar99, 6) AS cvar99, round(median_balance, 6) AS median_balance, round(median_drawdown, 8) AS median_drawdown, round(p95_drawdown, 8) AS p95_drawdown,
-  round(m3 / power(m2, 1.5), 6) AS skewness, round(m4 / (m2 * m2) - 3, 6) AS excess_kurtosis, round(probability_of_loss, 6) AS probability_of_loss, round(ruin_percent, 6) AS ruin_percent, round(mean_balance, 6) AS mean_balance, round(p5_balance, 6) AS p5_balance, round(p95_balance, 6) AS p95_balance,
-  round(years, 8) AS years, round(CASE WHEN median_drawdown > 0 THEN (power(growth, 1 / years) - 1) / median_drawdown ELSE 0 END, 6) AS calmar,
-  round((mean_balance - {CAPITAL}) / steps, 8) AS mean_ev, round((p5_balance - {CAPITAL}) / steps, 8) AS low_ev, round((p95_balance - {CAPITAL}) / steps, 8) AS high_ev FROM y"""
 
 
 def _durations(d: str) -> str:
@@ -101,29 +86,6 @@ uo AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY longest, sim
 SELECT series_id, max(CASE WHEN r = {at("CAST('0.5' AS DOUBLE)")} THEN longest END) AS median_max_duration, max(CASE WHEN r = {at("CAST('0.95' AS DOUBLE)")} THEN longest END) AS p95_max_duration, round(avg(share), 8) AS mean_share_under FROM uo GROUP BY series_id"""
 
 
-def _prop(d: str) -> str:
-    dd, target, share = RULES
-    return f"""WITH {paths(d, "bootstrap")}, ev AS (SELECT series_id, sim_id, t, CASE WHEN peak - balance >= {dd} THEN 'drawdown' WHEN balance - {CAPITAL} >= {target} THEN CASE WHEN max(pnl) OVER (PARTITION BY series_id, sim_id ORDER BY t ROWS UNBOUNDED PRECEDING) > (balance - {CAPITAL}) * {share} / CAST(100 AS DOUBLE) THEN 'consistency' ELSE 'passed' END END AS event FROM pk),
-f AS (SELECT series_id, sim_id, event, t, row_number() OVER (PARTITION BY series_id, sim_id ORDER BY t) AS k FROM ev WHERE event IS NOT NULL), r AS (SELECT ps.series_id, ps.sim_id, coalesce(event, 'time') AS outcome, f.t AS trades FROM ps LEFT JOIN f ON f.series_id = ps.series_id AND f.sim_id = ps.sim_id AND k = 1)
-SELECT series_id, outcome, count(*) AS paths, round(CAST(100 AS DOUBLE) * count(*) / {PATHS}, 6) AS percent, CAST(max(CASE WHEN k = least(n - 1, CAST(floor(n * CAST('0.5' AS DOUBLE)) AS BIGINT)) THEN trades END) AS DOUBLE) AS median_trades FROM (SELECT *, row_number() OVER (PARTITION BY series_id, outcome ORDER BY trades, sim_id) - 1 AS k, count(*) OVER (PARTITION BY series_id, outcome) AS n FROM r) x GROUP BY series_id, outcome"""
-
-
-def _checkpoints(d: str) -> str:
-    rows = ", ".join(f"({n})" for n in sorted({*(n for n in CHECKPOINTS if n <= PATHS), PATHS}))
-    return f"""{paths(d, "bootstrap")}, c AS (SELECT CAST(column0 AS BIGINT) AS n FROM (VALUES {rows}) AS v(column0)), o AS (SELECT series_id, c.n, final_balance, final_balance - {CAPITAL} AS pnl, row_number() OVER (PARTITION BY series_id, c.n ORDER BY final_balance, sim_id) - 1 AS r FROM c JOIN ps ON ps.sim_id < c.n),
-cv AS (SELECT series_id, n, max(CASE WHEN r = {at(LOW95)} THEN pnl END) AS var95, avg(CASE WHEN r < greatest(1, CAST(floor(n * {LOW95}) AS BIGINT)) THEN pnl END) AS cvar95, CAST(100 AS DOUBLE) * sum(CASE WHEN final_balance <= {LEVEL} THEN 1 ELSE 0 END) / n AS ruin_percent, avg(final_balance) AS mean_balance, stddev_samp(final_balance) / sqrt(CAST(n AS DOUBLE)) AS se_mean FROM o GROUP BY series_id, n)"""
-
-
-def _status(d: str) -> str:
-    """Whether the last three checkpoints agree: VaR within 2 %, ruin within half a
-    point, the mean within 1 %; two of the three are marginal."""
-    last = lambda c: f"max(CASE WHEN k = 1 THEN {c} END)"
-    stable = lambda c, share: f"(CASE WHEN max({c}) - min({c}) < {share} * CASE WHEN {last(c)} = 0 THEN 1 ELSE abs({last(c)}) END THEN 1 ELSE 0 END)"
-    return f"""WITH {_checkpoints(d)}, la AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY n DESC) AS k FROM cv),
-sc AS (SELECT series_id, count(*) AS points, {stable("var95", "CAST('0.02' AS DOUBLE)")} + (CASE WHEN max(ruin_percent) - min(ruin_percent) < CAST('0.5' AS DOUBLE) THEN 1 ELSE 0 END) + {stable("mean_balance", "CAST('0.01' AS DOUBLE)")} AS agree FROM la WHERE k <= 3 GROUP BY series_id)
-SELECT series_id, agree, CASE WHEN points < 3 OR agree < 2 THEN 'not_converged' WHEN agree = 3 THEN 'converged' ELSE 'marginal' END AS status FROM sc"""
-
-
 def _metadata(d: str) -> str:
     """The first section of an export: a field a row."""
     fields = {"model": "'bootstrap'", "seed": f"'{SEED}'", "n_simulations": f"'{PATHS}'", "trades": "CAST(steps AS STRING)", "terminal_pnl_metrics_valid": "CASE WHEN spread < CAST('1e-4' AS DOUBLE) THEN 'false' ELSE 'true' END"}
@@ -136,10 +98,6 @@ PLANS = {
     "bootstrap_paths": _summary("bootstrap"),
     "permutation_paths": _summary("permutation"),
     "block_bootstrap_paths": _summary("blocks"),
-    "risk_metrics": Plan(_metrics, {"pool": "trades"}),
-    "prop_evaluation": Plan(_prop, {"pool": "trades"}),
-    "convergence": Plan(lambda d: f"WITH {_checkpoints(d)} SELECT series_id, n, round(var95, 6) AS var95, round(cvar95, 6) AS cvar95, round(ruin_percent, 6) AS ruin_percent, round(mean_balance, 6) AS mean_balance, round(se_mean, 6) AS se_mean FROM cv", {"pool": "trades"}),
-    "convergence_status": Plan(_status, {"pool": "trades"}),
     "simulated_durations": Plan(_durations, {"pool": "trades"}),
     "csv_export_metadata": Plan(_metadata, {"pool": "trades"}),
     "spaghetti_sample": Plan(lambda d: f"WITH {paths(d, 'bootstrap')} SELECT series_id, sim_id, t, round(balance, 4) AS balance FROM pa WHERE sim_id % {PATHS // 50} = 0", {"pool": "trades"}),

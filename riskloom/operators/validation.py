@@ -83,7 +83,6 @@ PLANS = {
     "gamma_p": Plan(lambda d: f"WITH x AS (SELECT series_id, trade_idx, abs(pnl) AS x, trade_idx % 9 + 1 AS df FROM $trades), {upper_tail(d, 't', 'x', 'series_id, trade_idx, x, df', 'x', 'df')} SELECT series_id, trade_idx, df, round(x, 6) AS x, round(1 - p, 8) AS gamma_p, round(p, 8) AS upper FROM t"),
     "var_backtest": Plan(lambda d: f"WITH {backtest(d)} SELECT series_id, n AS observations, x AS breaches, round(n * (1 - {D('0.95')}), 6) AS expected, round(kupiec_lr, 6) AS kupiec_lr, round(kupiec_p, 6) AS kupiec_p, round(independence_lr, 6) AS independence_lr, round(independence_p, 6) AS independence_p, verdict FROM bt", {"trades": "single"}),
     "pit_report": Plan(lambda d: f"WITH {breaches(d)}, {calibration(d)} SELECT series_id, round(chi2, 6) AS chi2, round(p, 6) AS p, verdict FROM pc", {"trades": "single"}),
-    "goodness_of_fit": Plan(lambda d: f"WITH {fit_of_paths(d)} SELECT series_id, round(d, 8) AS ks, round(ks_p, 6) AS ks_p, round(a2, 6) AS ad, round(ad_p, 6) AS ad_p, verdict FROM gf", {"pool": "single"}),
     "serial_dependence": Plan(lambda d: f"WITH {dependence(d)} SELECT series_id, round(hq, 6) AS empirical_q, round(hp, 6) AS empirical_p, round(sq, 6) AS simulated_q, round(sp, 6) AS simulated_p, verdict FROM sd", {"pool": "single"}),
     "validation_report": Plan(_report, BOTH),
 }

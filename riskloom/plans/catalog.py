@@ -4,21 +4,48 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ingest, models, performance, portfolio, simulate, stats, stress, validation
+from ..operators import ingest, models, performance, portfolio, reports, simulate, stats, stress, validation
 from ..sources import trades
-from ..sources.shared import shared_dir
+from ..sources.shared import shared, shared_dir
 from .engine import Plan
 from .views import VIEWS, view
 
-PLANS: dict[str, Plan] = performance.PLANS | stats.PLANS | ingest.PLANS | stress.PLANS | portfolio.PLANS | simulate.PLANS | validation.PLANS
+PLANS: dict[str, Plan] = performance.PLANS | stats.PLANS | ingest.PLANS | stress.PLANS | portfolio.PLANS | simulate.PLANS | validation.PLANS | reports.PLANS
 
+#: Inputs of plans that are no view: simulated paths, with the draws of the SQL forms. The
+#: oracle works them out in SQL, Spark with the kernels.
+DRAWN = simulate.Config(paths=simulate.PATHS, counter=True)
+PLAIN = replace(DRAWN, seed=simulate.SEED + reports.OTHER_SEED, rules=None)
+ORACLE_VIEWS = VIEWS | {"paths": reports.paths_sql(VIEWS["trades"]), "single_paths": reports.paths_sql(VIEWS["single"]), "single_plain": reports.plain_sql(VIEWS["single"])}
 
-def _query(plan: Plan) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: plan.run(spark, **{k: view(spark, sf_dir, v) for k, v in plan.inputs.items()})
+
+def _plain(trades: DataFrame, config: simulate.Config) -> DataFrame:
+    return models.simulate_history(trades, "bootstrap", config).select("series_id", "sim_id", (F.col("final_balance") - config.capital).alias("v"))
+
+
+def _input(spark: SparkSession, sf_dir: str, name: str, drawn: simulate.Config = DRAWN, plain: simulate.Config = PLAIN) -> DataFrame:
+    """A view; or paths over one, written once, as several parts of a report read them."""
+    if name not in ("paths", "single_paths", "single_plain"):
+        return view(spark, sf_dir, name)
+    trades = view(spark, sf_dir, "trades" if name == "paths" else "single")
+    return shared(_plain(trades, plain) if name == "single_plain" else models.simulate_history(trades, "bootstrap", drawn))
+
+
+def _query(plan: Plan, *configs: simulate.Config) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: plan.run(spark, **{k: _input(spark, sf_dir, v, *configs) for k, v in plan.inputs.items()})
+
+
+#: A report over a full run of the kernels.
+FULL = simulate.Config()
+
+
+def _full(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return _query(reports.PLANS[name], FULL, replace(PLAIN, paths=min(reports.SAMPLES, FULL.paths), counter=False))
 
 
 def _model(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -40,6 +67,7 @@ CSV_SQL = ingest.PLANS["row_filter"].oracle(VIEWS).replace("SELECT CAST(row_numb
 #: Queries without SQL: numpy kernels with a generator for each path, and fits.
 KERNELS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{f"kernel_{name}": _model(name) for name in ("bootstrap", "permutation", "blocks", "regimes", "parametric", "garch")},
+    **{f"kernel_{name}": _full(name) for name in reports.PLANS},
     "kernel_portfolio_copula": lambda spark, sf_dir: models.simulate_portfolio(view(spark, sf_dir, "trades"), simulate.Config(paths=500)),
     "kernel_portfolio_student_copula": lambda spark, sf_dir: models.simulate_portfolio(view(spark, sf_dir, "trades"), simulate.Config(paths=500), 5.0),
     "kernel_portfolio_dynamic_copula": lambda spark, sf_dir: models.simulate_portfolio(view(spark, sf_dir, "trades"), simulate.Config(paths=200), dynamic=True),
@@ -47,4 +75,4 @@ KERNELS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "position_sizing": lambda spark, sf_dir: models.position_size(view(spark, sf_dir, "trades"), simulate.Config(paths=2500)),
 }
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(plan) for name, plan in PLANS.items()} | KERNELS | {"csv_scan": csv_round_trip}
-ORACLE_SQL: dict[str, str] = {name: plan.oracle(VIEWS) for name, plan in PLANS.items()} | {"csv_scan": CSV_SQL}
+ORACLE_SQL: dict[str, str] = {name: plan.oracle(ORACLE_VIEWS) for name, plan in PLANS.items()} | {"csv_scan": CSV_SQL}
