@@ -9,7 +9,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ingest, models, performance, portfolio, reports, simulate, stats, stress, validation
+from ..operators import drawn, ingest, models, performance, portfolio, reports, simulate, stats, stress, validation
 from ..sources import trades
 from ..sources.shared import shared, shared_dir
 from .engine import Plan
@@ -61,6 +61,16 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trades.trades_of(table, trades.grid_roles(table)).select("series_id", "trade_idx", "pnl")
 
 
+def _drawn(model: str, name: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Paths of a kernel that draws as the oracle does."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = models.simulate_history(view(spark, sf_dir, name), model, DRAWN)
+        return out.select("series_id", "sim_id", F.round("final_balance", 4).alias("final_balance"), F.round("max_drawdown", 8).alias("max_drawdown"), F.col("ruined").cast("int").alias("ruined"), F.round("ev", 6).alias("ev"))
+
+    return query
+
+
 #: The same rows, without the way through a file.
 CSV_SQL = ingest.PLANS["row_filter"].oracle(VIEWS).replace("SELECT CAST(row_number()", "SELECT instrument AS series_id, CAST(row_number()").replace("AS trade_idx, instrument, event_id, pnl", "AS trade_idx, pnl")
 
@@ -74,5 +84,5 @@ KERNELS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fit_garch": lambda spark, sf_dir: models.garch_models(view(spark, sf_dir, "trades")),
     "position_sizing": lambda spark, sf_dir: models.position_size(view(spark, sf_dir, "trades"), simulate.Config(paths=2500)),
 }
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(plan) for name, plan in PLANS.items()} | KERNELS | {"csv_scan": csv_round_trip}
-ORACLE_SQL: dict[str, str] = {name: plan.oracle(ORACLE_VIEWS) for name, plan in PLANS.items()} | {"csv_scan": CSV_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(plan) for name, plan in PLANS.items()} | KERNELS | {"csv_scan": csv_round_trip, "regime_paths": _drawn("regimes", "single"), "parametric_paths": _drawn("parametric", "trades")}
+ORACLE_SQL: dict[str, str] = {name: plan.oracle(ORACLE_VIEWS) for name, plan in PLANS.items()} | {"csv_scan": CSV_SQL, "regime_paths": drawn.regimes_sql(VIEWS["single"]), "parametric_paths": drawn.parametric_sql(VIEWS["trades"])}
