@@ -53,10 +53,12 @@ def _model(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The raw table, written as CSV and read, typed and dealt to strategies again."""
+    """The raw table, written as CSV files of very different sizes and read, typed and dealt
+    to strategies again."""
     path = f"{shared_dir(spark)}/riskloom-{uuid.uuid4().hex}"
     raw = view(spark, sf_dir, "raw").select(F.col("event_id").alias("Trade number"), F.col("instrument").alias("Instrument"), F.col("profit").alias("Profit"), "in_regime")
-    trades.csv_export(raw.repartitionByRange("Trade number").sortWithinPartitions("Trade number"), path)
+    files = F.floor(F.sqrt(F.col("Trade number") % 4096)).cast("int")  # of a few rows to hundreds
+    trades.csv_export(raw.repartitionByRange(12, F.floor(F.col("Trade number") / 4096), files).sortWithinPartitions("Trade number"), path)
     table = trades.csv_scan(spark, path)
     return trades.trades_of(table, trades.grid_roles(table)).select("series_id", "trade_idx", "pnl")
 

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.scan import numbered
+from .shared import shared
+
 #: Column that holds the order of the rows of a file.
 ORDER = "_order"
 #: Rows looked at for numeric columns, and the share of them that must be numbers.
@@ -22,8 +25,24 @@ NOT_SLEEVES = frozenset({
 
 def csv_scan(spark: SparkSession, path: str) -> DataFrame:
     """The rows of CSV files with a header, every cell as text, empty lines skipped, with a
-    column ORDER that grows in the order of the files' rows (not without gaps)."""
-    return spark.read.csv(path, header=True, inferSchema=False, multiLine=False, escape='"').withColumn(ORDER, F.monotonically_increasing_id())
+    column ORDER that numbers them from 0: files by name, then rows as they stand.
+
+    Spark reads the splits of files by size, in any order, so the number comes from the file,
+    the split's begin and the place in the split. Files in which a quoted cell may go over a
+    line's end (a line with an odd number of quotes) are read whole, a task each, all others
+    in splits."""
+    lines = spark.read.text(path)
+    odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
+    broken = [r[0] for r in lines.where(odd).select("_metadata.file_path").distinct().collect()]
+    file, begin = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+
+    def rows(whole: bool) -> DataFrame:
+        found = spark.read.csv(path, header=True, inferSchema=False, multiLine=whole, escape='"')
+        found = found.where(file.isin(broken) if whole else ~file.isin(broken)) if broken else found
+        return found.select("*", file.alias("_file"), begin.alias("_begin"), F.monotonically_increasing_id().alias("_at"))
+
+    found = shared(rows(False).unionByName(rows(True)) if broken else rows(False))
+    return numbered(found, [], ["_file", "_begin", "_at"], ORDER).drop("_file", "_begin", "_at")
 
 
 def csv_export(df: DataFrame, path: str) -> None:
@@ -115,11 +134,6 @@ def roles_of(df: DataFrame) -> Roles:
     return replace(found, time=find_column(df, "entry time", "timestamp", "time", "date"))
 
 
-def _dense(df: DataFrame) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("series_id").orderBy(ORDER)) - 1
-    return df.withColumn("trade_idx", rank.cast("long")).drop(ORDER)
-
-
 def trades_of(df: DataFrame, roles: Roles) -> DataFrame:
     """The table in the form of every other operator: series_id, trade_idx (without gaps
     from 0), pnl, regime, ts, benchmark. Rows without a number as result are dropped; a
@@ -136,4 +150,4 @@ def trades_of(df: DataFrame, roles: Roles) -> DataFrame:
     else:
         each = F.explode(F.array(*(F.struct(F.lit(c).alias("series_id"), number(F.col("`" + c.replace("`", "``") + "`").cast("string")).alias("pnl")) for c in on))).alias("one")
         rows = df.select(each, *more).select("one.*", "regime", "ts", "benchmark", ORDER)
-    return _dense(rows.where("pnl is not null")).select("series_id", "trade_idx", "pnl", "regime", "ts", "benchmark")
+    return numbered(rows.where("pnl is not null"), ["series_id"], [ORDER], "trade_idx").select("series_id", "trade_idx", "pnl", "regime", "ts", "benchmark")

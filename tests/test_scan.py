@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.operators.scan import carried, numbered
+from riskloom.sources import trades
 
 
 def expected(rows):
@@ -42,3 +43,24 @@ def test_carried_counts():
     # tasks 0 to 4: a a | a | a b | (none) | b c
     assert carried([(0, "a", 2, "a", 2), (1, "a", 1, "a", 1), (2, "a", 1, "b", 1), (4, "b", 1, "c", 1)]) == [(1, 2), (2, 3), (4, 1)]
     assert carried([]) == []
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_csv_rows_in_file_order(spark, tmp_path, adaptive):
+    """Fifty files of mixed sizes, one of many splits, and cells with line breaks."""
+    rng, expected = random.Random(3), []
+    for f in range(50):
+        rows = [f"{f}-{i}" for i in range(20_000 if f == 17 else rng.choice([0, 1, 7, 300]))]
+        said = [f'{x},"a ""b""\nc"' if f % 9 == 4 and i % 5 == 0 else f'{x},"q ""{i}"""' for i, x in enumerate(rows)]
+        (tmp_path / f"part-{f:03}.csv").write_text("\n".join(["id,note", *said, ""]))
+        expected += rows
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "40k")
+        got = sorted((r["_order"], r["id"], r["note"]) for r in trades.csv_scan(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r[1] for r in got] == expected and [r[0] for r in got] == list(range(len(expected)))
+    assert sum(r[2] == 'a "b"\nc' for r in got) == sum(int(x.split("-")[0]) % 9 == 4 and int(x.split("-")[1]) % 5 == 0 for x in expected)
