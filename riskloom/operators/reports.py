@@ -27,7 +27,7 @@ def _metrics(d: str) -> str:
 mu AS (SELECT series_id, avg(final_balance) AS mean_balance, max(abs(final_balance)) AS most, {D(100)} * sum(CASE WHEN final_balance < {CAPITAL} THEN 1 ELSE 0 END) / count(*) AS probability_of_loss, {D(100)} * sum(CASE WHEN ruined THEN 1 ELSE 0 END) / count(*) AS ruin_percent, CAST(max(steps) AS DOUBLE) AS steps FROM $paths GROUP BY series_id),
 m AS (SELECT p.series_id, avg(power(final_balance - mean_balance, 2)) AS m2, avg(power(final_balance - mean_balance, 3)) AS m3, avg(power(final_balance - mean_balance, 4)) AS m4 FROM $paths p JOIN mu ON mu.series_id = p.series_id GROUP BY p.series_id),
 y AS (SELECT mu.*, m2, m3, m4, ob.n, var95, var99, cvar95, cvar99, median_balance, p5_balance, p95_balance, median_drawdown, p95_drawdown, m2 > {D("1e-18")} * greatest({D(1)}, most * most) AS varies,
-  greatest(steps / {PERIODS}, {D(1)} / {PERIODS}) AS years, greatest(median_balance / {CAPITAL}, 0) AS growth
+  steps / least({D(PERIODS)}, greatest({D(1)}, steps)) AS years, greatest(median_balance / {CAPITAL}, 0) AS growth
   FROM mu JOIN m ON m.series_id = mu.series_id JOIN ob ON ob.series_id = mu.series_id JOIN od ON od.series_id = mu.series_id)
 SELECT series_id, round(var95 - {CAPITAL}, 6) AS var95, round(var99 - {CAPITAL}, 6) AS var99, round(cvar95 - {CAPITAL}, 6) AS cvar95, round(cvar99 - {CAPITAL}, 6) AS cvar99, round(median_balance, 6) AS median_balance, round(median_drawdown, 8) AS median_drawdown, round(p95_drawdown, 8) AS p95_drawdown,
   round(CASE WHEN n >= 3 AND varies THEN m3 / power(CASE WHEN varies THEN m2 ELSE 1 END, 1.5) ELSE 0 END, 6) AS skewness, round(CASE WHEN n >= 4 AND varies THEN m4 / power(CASE WHEN varies THEN m2 ELSE 1 END, 2) - 3 ELSE 0 END, 6) AS excess_kurtosis, round(probability_of_loss, 6) AS probability_of_loss, round(ruin_percent, 6) AS ruin_percent, round(mean_balance, 6) AS mean_balance, round(p5_balance, 6) AS p5_balance, round(p95_balance, 6) AS p95_balance,

@@ -108,8 +108,12 @@ pw AS (SELECT series_id, n, u, nu, avg(e) AS m, avg(e * (1 - (i - {D("0.35")}) /
 gp AS (SELECT *, 2 - m / (m - 2 * a1) AS xi, 2 * m * a1 / (m - 2 * a1) AS beta FROM pw WHERE n >= 50 AND nu >= 25 AND m <> 2 * a1)"""
 
 
-#: The Hill estimate over the largest tenth of the losses, 20 to 250 of them.
-HILL = f"ho AS (SELECT series_id, pnl, row_number() OVER (PARTITION BY series_id ORDER BY pnl DESC) AS r, count(*) OVER (PARTITION BY series_id) AS n FROM $trades WHERE pnl > 0), hk AS (SELECT *, greatest(20, least(250, CAST(floor(n / {D(10)}) AS BIGINT))) AS k FROM ho), hi AS (SELECT series_id, max(k) AS k, 1 / (avg(CASE WHEN r <= k THEN ln(pnl) END) - max(CASE WHEN r = k + 1 THEN ln(pnl) END)) AS alpha FROM hk WHERE n >= 20 GROUP BY series_id)"
+#: The Hill estimate over the largest tenth of the losses, 20 to 250 of them: null for fewer
+#: than 20 losses, or no more than those, and if they are equal, but for rounding.
+HILL = f"""ho AS (SELECT series_id, pnl, row_number() OVER (PARTITION BY series_id ORDER BY pnl DESC) AS r, count(*) OVER (PARTITION BY series_id) AS n FROM $trades WHERE pnl > 0),
+hk AS (SELECT *, CASE WHEN n < 20 THEN 0 ELSE greatest(20, least(250, CAST(floor(n / {D(10)}) AS BIGINT))) END AS k FROM ho),
+hm AS (SELECT series_id, max(n) AS n, max(k) AS k, avg(CASE WHEN r <= k THEN ln(pnl) END) AS top, max(CASE WHEN r = k + 1 THEN ln(pnl) END) AS edge FROM hk GROUP BY series_id),
+hi AS (SELECT i.series_id, coalesce(k, 0) AS k, CASE WHEN k > 0 AND k < n AND top - edge > {D("1e-12")} * greatest({D(1)}, abs(edge)) THEN 1 / (top - edge) END AS alpha FROM (SELECT DISTINCT series_id FROM $trades) i LEFT JOIN hm ON hm.series_id = i.series_id)"""
 
 
 def evt_var(p: str) -> str:
@@ -118,11 +122,15 @@ def evt_var(p: str) -> str:
 
 
 PAIRED = "pr AS (SELECT series_id, pnl AS y, benchmark AS x FROM $trades WHERE benchmark IS NOT NULL)"
-OLS = f"""{PAIRED}, s AS (SELECT series_id, count(*) AS n, avg(x) AS mx, avg(y) AS my, sum(x) AS sx, sum(x * x) AS sxx FROM pr GROUP BY series_id),
-b AS (SELECT pr.series_id, CASE WHEN sum((x - mx) * (x - mx)) > 0 THEN sum((x - mx) * (y - my)) / sum((x - mx) * (x - mx)) ELSE 0 END AS beta FROM pr JOIN s ON pr.series_id = s.series_id GROUP BY pr.series_id),
-co AS (SELECT s.*, beta, my - beta * mx AS alpha, n * sxx - sx * sx AS det FROM s JOIN b ON s.series_id = b.series_id),
-re AS (SELECT co.series_id, sum((y - alpha - beta * x) * (y - alpha - beta * x)) AS rss, sum((y - my) * (y - my)) AS tss, sum((y - alpha - beta * x) * (y - alpha - beta * x) * x) AS s12, sum((y - alpha - beta * x) * (y - alpha - beta * x) * x * x) AS s22 FROM pr JOIN co ON pr.series_id = co.series_id GROUP BY co.series_id),
-vv AS (SELECT co.*, rss, tss, (sxx * sxx * rss - 2 * sxx * sx * s12 + sx * sx * s22) / (det * det) AS va, (sx * sx * rss - 2 * n * sx * s12 + CAST(n AS DOUBLE) * n * s22) / (det * det) AS vb FROM co JOIN re ON co.series_id = re.series_id)"""
+#: Sums of squares below this share of those about 0 are rounding: the column does not vary.
+ROUNDING = D("1e-20")
+OLS = f"""{PAIRED}, s AS (SELECT series_id, count(*) AS n, avg(x) AS mx, avg(y) AS my, sum(x) AS sx, sum(x * x) AS sxx, sum(y * y) AS syy FROM pr GROUP BY series_id),
+b0 AS (SELECT pr.series_id, sum((x - mx) * (x - mx)) AS cxx, sum((x - mx) * (y - my)) AS cxy, sum((y - my) * (y - my)) AS cyy FROM pr JOIN s ON pr.series_id = s.series_id GROUP BY pr.series_id),
+b AS (SELECT b0.series_id, cxx, cyy, cxx > {ROUNDING} * sxx AS moves, cyy > {ROUNDING} * syy AS varies, CASE WHEN cxx > {ROUNDING} * sxx THEN cxy / cxx ELSE 0 END AS beta FROM b0 JOIN s ON s.series_id = b0.series_id),
+co AS (SELECT s.*, beta, my - beta * mx AS alpha, moves, varies, cyy, CASE WHEN moves THEN n * cxx END AS det FROM s JOIN b ON s.series_id = b.series_id),
+re AS (SELECT co.series_id, sum((y - alpha - beta * x) * (y - alpha - beta * x)) AS rss, sum((y - alpha - beta * x) * (y - alpha - beta * x) * x) AS s12, sum((y - alpha - beta * x) * (y - alpha - beta * x) * x * x) AS s22 FROM pr JOIN co ON pr.series_id = co.series_id GROUP BY co.series_id),
+vw AS (SELECT co.*, rss, CASE WHEN varies THEN 1 - rss / CASE WHEN varies THEN cyy ELSE 1 END ELSE 0 END AS r2, CASE WHEN rss > {ROUNDING} * syy THEN (sxx * sxx * rss - 2 * sxx * sx * s12 + sx * sx * s22) / (det * det) END AS va, CASE WHEN rss > {ROUNDING} * syy THEN (sx * sx * rss - 2 * n * sx * s12 + CAST(n AS DOUBLE) * n * s22) / (det * det) END AS vb FROM co JOIN re ON co.series_id = re.series_id),
+vv AS (SELECT *, CASE WHEN va > 0 THEN sqrt(CASE WHEN va > 0 THEN va ELSE 1 END) END AS sa, CASE WHEN vb > 0 THEN sqrt(CASE WHEN vb > 0 THEN vb ELSE 1 END) END AS sb FROM vw)"""
 
 
 def two_samples(source: str, last: str) -> str:
@@ -193,16 +201,17 @@ c AS (SELECT series_id, CAST(sum(CASE WHEN b = 0 AND breach = 0 THEN 1 ELSE 0 EN
 p AS (SELECT *, (n01 + n11) / (n00 + n01 + n10 + n11) AS q, CASE WHEN n00 + n01 > 0 THEN n01 / (n00 + n01) ELSE 0 END AS q01, CASE WHEN n10 + n11 > 0 THEN n11 / (n10 + n11) ELSE 0 END AS q11 FROM c)
 SELECT series_id, n00, n01, n10, n11, round(CASE WHEN q = 0 OR q = 1 THEN 0 ELSE -2 * ({LOG("(n00 + n10)", "(1 - q)")} + {LOG("(n01 + n11)", "q")} - {LOG("n00", "(1 - q01)")} - {LOG("n01", "q01")} - {LOG("n10", "(1 - q11)")} - {LOG("n11", "q11")}) END, 6) AS lr FROM p""", {"trades": "single"}),
     "pit_calibration": Plan(lambda d: f"WITH {breaches(d)}, {ecdf(d)} SELECT series_id, least(CAST(9 AS BIGINT), CAST(floor(u * 10) AS BIGINT)) AS bin, count(*) AS n FROM u GROUP BY 1, 2", {"trades": "single"}),
-    "ks_two_sample": Plan(f"WITH {TWO_SAMPLES}, d AS (SELECT series_id, max(abs(CAST(i AS DOUBLE) / n - CAST(j AS DOUBLE) / m)) AS d, max(sqrt(CAST(n AS DOUBLE) * m / (n + m))) AS en FROM o GROUP BY series_id), l AS (SELECT *, (en + {D('0.12')} + {D('0.11')} / en) * d AS lam FROM d) SELECT series_id, round(d, 8) AS d, round({kolmogorov('lam')}, 6) AS p FROM l", {"trades": "single"}),
-    "ad_two_sample": Plan(f"WITH {TWO_SAMPLES}, a AS (SELECT series_id, sum(power(CAST(i AS DOUBLE) * (n + m) - CAST(n AS DOUBLE) * k, 2) / (CAST(k AS DOUBLE) * (n + m - k))) / max(CAST(n AS DOUBLE) * m) AS a2 FROM o WHERE k < n + m GROUP BY series_id) SELECT series_id, round(a2, 6) AS a2, round({ad_p('a2')}, 6) AS p FROM a", {"trades": "single"}),
+    # an empty sample: the greatest distance; with fewer than two values no AD statistic, and nothing to reject
+    "ks_two_sample": Plan(f"WITH {TWO_SAMPLES}, d AS (SELECT series_id, coalesce(max(abs(CAST(i AS DOUBLE) / nullif(n, 0) - CAST(j AS DOUBLE) / nullif(m, 0))), {D(1)}) AS d, max(CASE WHEN n > 0 AND m > 0 THEN sqrt(CAST(n AS DOUBLE) * m / (n + m)) END) AS en FROM o GROUP BY series_id), l AS (SELECT *, (en + {D('0.12')} + {D('0.11')} / en) * d AS lam FROM d) SELECT series_id, round(d, 8) AS d, CASE WHEN lam IS NULL THEN 0 ELSE round({kolmogorov('lam')}, 6) END AS p FROM l", {"trades": "single"}),
+    "ad_two_sample": Plan(f"WITH {TWO_SAMPLES}, a AS (SELECT series_id, CASE WHEN max(n) >= 2 AND max(m) >= 2 THEN sum(CASE WHEN k < n + m THEN power(CAST(i AS DOUBLE) * (n + m) - CAST(n AS DOUBLE) * k, 2) / (CAST(k AS DOUBLE) * greatest(1, n + m - k)) ELSE 0 END) / nullif(max(CAST(n AS DOUBLE) * m), 0) END AS a2 FROM o GROUP BY series_id) SELECT series_id, round(a2, 6) AS a2, CASE WHEN a2 IS NULL THEN 1 ELSE round({ad_p('a2')}, 6) END AS p FROM a", {"trades": "single"}),
     "hill_index": Plan(f"WITH {HILL} SELECT series_id, k, round(alpha, 6) AS alpha FROM hi", {"trades": "losses"}),
     "fit_gpd": Plan(f"WITH {GPD} SELECT series_id, n, nu, round(u, 6) AS threshold, round(xi, 6) AS xi, round(beta, 6) AS beta FROM gp", {"trades": "losses"}),
     "evt_report": Plan(f"""WITH {GPD}, {HILL}, v AS (SELECT *, {evt_var("0.95")} AS v95, {evt_var("0.99")} AS v99 FROM gp),
-em AS (SELECT series_id, max(CASE WHEN r = {position(D("0.95"))} THEN pnl END) AS e95, max(CASE WHEN r = {position(D("0.99"))} THEN pnl END) AS e99, avg(CASE WHEN r >= greatest(1, CAST(floor(n * {D("0.95")}) AS BIGINT)) THEN pnl END) AS c95, avg(CASE WHEN r >= greatest(1, CAST(floor(n * {D("0.99")}) AS BIGINT)) THEN pnl END) AS c99 FROM so GROUP BY series_id)
-SELECT v.series_id, round(v95, 5) AS var95, round(v99, 5) AS var99, round(CASE WHEN xi < 1 THEN (v95 + beta - xi * u) / (1 - CASE WHEN xi < 1 THEN xi ELSE 0 END) END, 5) AS cvar95, round(CASE WHEN xi < 1 THEN (v99 + beta - xi * u) / (1 - CASE WHEN xi < 1 THEN xi ELSE 0 END) END, 5) AS cvar99, round(e95, 5) AS empirical_var95, round(e99, 5) AS empirical_var99, round(c95, 5) AS empirical_cvar95, round(c99, 5) AS empirical_cvar99, round(alpha, 6) AS alpha, CASE WHEN xi > {D("0.1")} OR coalesce(alpha, 99) < 4 THEN 1 ELSE 0 END AS heavy_tail FROM v JOIN em ON v.series_id = em.series_id LEFT JOIN hi ON hi.series_id = v.series_id WHERE v.n >= 30""", {"trades": "losses"}),
-    "ols_robust": Plan(f"WITH {OLS} SELECT series_id, n, round(alpha, 6) AS alpha, round(beta, 5) AS beta, round(1 - rss / tss, 8) AS r_squared, round(sqrt(va), 6) AS alpha_se, round(sqrt(vb), 5) AS beta_se, round(alpha / sqrt(va), 6) AS alpha_t, round(beta / sqrt(vb), 6) AS beta_t, round({two_sided('(alpha / sqrt(va))')}, 6) AS alpha_p, round({two_sided('(beta / sqrt(vb))')}, 6) AS beta_p FROM vv WHERE n >= 3 AND det > 0 AND va > 0 AND vb > 0"),
-    "attribution_report": Plan(f"""WITH {OLS}, ac AS (SELECT series_id, avg(y - x) AS ma, stddev_samp(y - x) * sqrt({D(252)}) AS te, avg(CASE WHEN x > 0 THEN y END) / avg(CASE WHEN x > 0 THEN x END) AS up, avg(CASE WHEN x < 0 THEN y END) / avg(CASE WHEN x < 0 THEN x END) AS down, CASE WHEN stddev_samp(x) > 0 AND stddev_samp(y) > 0 THEN covar_samp(x, y) / (stddev_samp(x) * stddev_samp(y)) ELSE 0 END AS rho FROM pr GROUP BY series_id)
-SELECT vv.series_id, n, round(alpha * 252, 4) AS alpha_annualized, round(beta, 5) AS beta, round(te, 5) AS tracking_error, round(CASE WHEN te > 0 THEN ma * 252 / te ELSE 0 END, 6) AS information_ratio, round(up, 5) AS up_capture, round(down, 5) AS down_capture, round(rho, 8) AS correlation FROM vv JOIN ac ON vv.series_id = ac.series_id WHERE n >= 10"""),
+em AS (SELECT series_id, max(n) AS n, max(CASE WHEN r = {position(D("0.95"))} THEN pnl END) AS e95, max(CASE WHEN r = {position(D("0.99"))} THEN pnl END) AS e99, avg(CASE WHEN r >= greatest(1, CAST(floor(n * {D("0.95")}) AS BIGINT)) THEN pnl END) AS c95, avg(CASE WHEN r >= greatest(1, CAST(floor(n * {D("0.99")}) AS BIGINT)) THEN pnl END) AS c99 FROM so GROUP BY series_id)
+SELECT em.series_id, round(v95, 5) AS var95, round(v99, 5) AS var99, round(CASE WHEN xi < 1 THEN (v95 + beta - xi * u) / (1 - CASE WHEN xi < 1 THEN xi ELSE 0 END) END, 5) AS cvar95, round(CASE WHEN xi < 1 THEN (v99 + beta - xi * u) / (1 - CASE WHEN xi < 1 THEN xi ELSE 0 END) END, 5) AS cvar99, round(e95, 5) AS empirical_var95, round(e99, 5) AS empirical_var99, round(c95, 5) AS empirical_cvar95, round(c99, 5) AS empirical_cvar99, round(alpha, 6) AS alpha, CASE WHEN coalesce(xi, 0) > {D("0.1")} OR coalesce(alpha, 99) < 4 THEN 1 ELSE 0 END AS heavy_tail, CASE WHEN xi IS NULL THEN 'too few losses for a fit: empirical values only' WHEN xi > {D("0.1")} OR coalesce(alpha, 99) < 4 THEN 'heavy tail' ELSE 'well-behaved tail' END AS note FROM em LEFT JOIN v ON v.series_id = em.series_id LEFT JOIN hi ON hi.series_id = em.series_id WHERE em.n >= 30""", {"trades": "losses"}),
+    "ols_robust": Plan(f"WITH {OLS} SELECT series_id, n, round(alpha, 6) AS alpha, round(beta, 5) AS beta, round(r2, 8) AS r_squared, round(sa, 6) AS alpha_se, round(sb, 5) AS beta_se, round(alpha / sa, 6) AS alpha_t, round(beta / sb, 6) AS beta_t, CASE WHEN sa IS NOT NULL THEN round({two_sided('(alpha / sa)')}, 6) END AS alpha_p, CASE WHEN sb IS NOT NULL THEN round({two_sided('(beta / sb)')}, 6) END AS beta_p FROM vv WHERE n >= 3"),
+    "attribution_report": Plan(f"""WITH {OLS}, ac AS (SELECT series_id, avg(y - x) AS ma, stddev_samp(y - x) * sqrt(least({D(252)}, CAST(count(*) AS DOUBLE))) AS te, coalesce(avg(CASE WHEN x > 0 THEN y END) / avg(CASE WHEN x > 0 THEN x END), 0) AS up, coalesce(avg(CASE WHEN x < 0 THEN y END) / avg(CASE WHEN x < 0 THEN x END), 0) AS down, covar_samp(x, y) AS cov, stddev_samp(x) AS dx, stddev_samp(y) AS dy FROM pr GROUP BY series_id)
+SELECT vv.series_id, n, round(alpha * least(252, n), 4) AS alpha_annualized, round(beta, 5) AS beta, round(te, 5) AS tracking_error, round(CASE WHEN te > 0 THEN ma * least(252, n) / te ELSE 0 END, 6) AS information_ratio, round(up, 5) AS up_capture, round(down, 5) AS down_capture, round(CASE WHEN moves AND varies THEN cov / CASE WHEN moves AND varies THEN dx * dy ELSE 1 END ELSE 0 END, 8) AS correlation FROM vv JOIN ac ON vv.series_id = ac.series_id WHERE n >= 10"""),
     "fit_normal": Plan(f"WITH {FITS} SELECT series_id, round(mu, 6) AS mu, round(sigma, 6) AS sigma, round(ll, 4) AS log_likelihood, {AIC(2)} FROM no"),
     "fit_student_t": Plan(f"WITH {FITS} SELECT series_id, df, round(mu, 6) AS mu, round(sigma, 6) AS sigma, round(ll, 4) AS log_likelihood, {AIC(3)} FROM tb"),
     "fit_best": Plan(f"WITH {FITS}, a AS (SELECT series_id, 'normal' AS kind, 0 AS o, -2 * ll + 2 * ln(n) AS bic FROM no UNION ALL SELECT series_id, 'student_t', 1, -2 * ll + 3 * ln(n) FROM tb) SELECT series_id, kind, round(bic, 4) AS bic FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY bic, o) AS k FROM a) x WHERE k = 1"),

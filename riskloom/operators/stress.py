@@ -40,7 +40,8 @@ shocked AS (
 eq AS (
   SELECT series_id, scenario, trade_idx, CAST({CAPITAL} AS DOUBLE) + sum(pnl) OVER (PARTITION BY series_id, scenario ORDER BY trade_idx ROWS UNBOUNDED PRECEDING) AS equity, row_number() OVER (PARTITION BY series_id, scenario ORDER BY trade_idx DESC) AS back FROM shocked
 ), pk AS (SELECT *, greatest(CAST({CAPITAL} AS DOUBLE), max(equity) OVER (PARTITION BY series_id, scenario ORDER BY trade_idx ROWS UNBOUNDED PRECEDING)) AS peak FROM eq),
-res AS (SELECT series_id, scenario, max(CASE WHEN back = 1 THEN equity END) AS capital_after, max(CASE WHEN peak > 0 THEN (peak - equity) / peak ELSE 0 END) AS max_drawdown FROM pk GROUP BY series_id, scenario)"""
+rs AS (SELECT series_id, scenario, max(CASE WHEN back = 1 THEN equity END) AS capital_after, max(CASE WHEN peak > 0 THEN (peak - equity) / peak ELSE 0 END) AS max_drawdown FROM pk GROUP BY series_id, scenario),
+res AS (SELECT rs.*, n < CASE scenario WHEN 'worst_5' THEN 5 WHEN 'worst_10' THEN 10 WHEN 'worst_20' THEN 20 ELSE 0 END AS short FROM rs JOIN (SELECT series_id, count(*) AS n FROM $trades GROUP BY series_id) m ON m.series_id = rs.series_id)"""
 
 #: The scenarios in their order: of equal drawdowns the first one counts.
 NAMES = ("worst_5", "worst_10", "worst_20", "volatility_1.5", "volatility_2", "win_rate_10", "win_rate_20", "losses_2", "black_swan", "combined")
@@ -48,6 +49,6 @@ ORDER = "CASE scenario " + " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate
 
 PLANS = {
     "stress_scenarios": Plan(f"""WITH {SCENARIOS} SELECT series_id, scenario, round(capital_after, 4) AS capital_after, round(max_drawdown, 6) AS max_drawdown, CASE WHEN capital_after > {LEVEL} THEN 1 ELSE 0 END AS survives,
-  CASE WHEN scenario LIKE 'worst%' THEN CASE WHEN max_drawdown > CAST('0.3' AS DOUBLE) THEN 'extreme' WHEN max_drawdown > CAST('0.15' AS DOUBLE) THEN 'high' ELSE 'medium' END WHEN scenario IN ('volatility_1.5', 'win_rate_20') THEN 'high' WHEN scenario = 'win_rate_10' THEN 'medium' ELSE 'extreme' END AS severity FROM res"""),
+  CASE WHEN short THEN 'low' WHEN scenario LIKE 'worst%' THEN CASE WHEN max_drawdown > CAST('0.3' AS DOUBLE) THEN 'extreme' WHEN max_drawdown > CAST('0.15' AS DOUBLE) THEN 'high' ELSE 'medium' END WHEN scenario IN ('volatility_1.5', 'win_rate_20') THEN 'high' WHEN scenario = 'win_rate_10' THEN 'medium' ELSE 'extreme' END AS severity FROM res"""),
     "worst_survivable": Plan(f"WITH {SCENARIOS}, su AS (SELECT series_id, scenario, max_drawdown, row_number() OVER (PARTITION BY series_id ORDER BY round(max_drawdown, 9) DESC, {ORDER}) AS k, count(*) OVER (PARTITION BY series_id) AS surviving FROM res WHERE capital_after > {LEVEL}) SELECT i.series_id, scenario, round(max_drawdown, 6) AS max_drawdown, coalesce(surviving, 0) AS surviving FROM (SELECT DISTINCT series_id FROM $trades) i LEFT JOIN su ON su.series_id = i.series_id AND su.k = 1"),
 }

@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 from string import Template
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SPARK, DUCKDB = "spark", "duckdb"
 
@@ -23,10 +24,24 @@ def numbers(dialect: str, n: int) -> str:
     return f"(SELECT id AS i FROM range({n}))" if dialect == SPARK else f"(SELECT CAST(range AS BIGINT) AS i FROM range({n}))"
 
 
+#: Columns that plans read of a table of trades; all others are left out, so none can clash.
+TRADES = ("series_id", "trade_idx", "ts", "pnl", "regime", "benchmark")
+#: Columns by which plans group and join, and what stands for a null there.
+KEYS, NAMELESS = ("series_id", "regime"), "default"
+
+
+def _tidied(df: DataFrame) -> DataFrame:
+    if {"series_id", "trade_idx"} <= set(df.columns):
+        df = df.select(*(c for c in TRADES if c in df.columns))
+    return df.withColumns({k: F.coalesce(F.col(k).cast("string"), F.lit(NAMELESS)) for k in KEYS if k in df.columns})
+
+
 @dataclass(frozen=True)
 class Plan:
     """``sql``: text, or a function of the dialect. ``inputs``: name of each input to
-    the view that the test queries bind to it."""
+    the view that the test queries bind to it.
+
+    Of trades a plan reads TRADES alone; a null series_id or regime is the one NAMELESS."""
 
     sql: str | Callable[[str], str]
     inputs: dict[str, str] = field(default_factory=lambda: {"trades": "trades"})
@@ -36,7 +51,7 @@ class Plan:
 
     def run(self, spark: SparkSession, **inputs: DataFrame) -> DataFrame:
         body = Template(self.text(SPARK)).substitute({k: "{" + k + "}" for k in self.inputs})
-        return spark.sql(body, **inputs)
+        return spark.sql(body, **{k: _tidied(df) for k, df in inputs.items()})
 
     def oracle(self, views: dict[str, str]) -> str:
         body = Template(self.text(DUCKDB)).substitute({k: k for k in self.inputs})
