@@ -332,22 +332,14 @@ def whole_sets(places: DataFrame, docs: DataFrame, reader: Reader) -> DataFrame:
     the texts; ``sketch``: counts of the words of a big set, a byte each (255: or more)."""
     wanted = materialize(places.groupBy("doc_id").agg(F.collect_list(F.struct("line", "line_set")).alias("wanted")))
 
-    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for batch in batches:
-            yield np.bincount(mark_of(batch.column("doc_id").to_numpy()), minlength=MARKS)
-
-    def mark_of(ids: np.ndarray) -> np.ndarray:
-        return (mix(ids.astype(np.int64).view(np.uint64)) & np.uint64(MARKS - 1)).astype(np.int64)
-
-    # a filter of fixed size lets most documents without a wanted set stay where they are
-    sieve = docs.sparkSession.sparkContext.broadcast(np.packbits(_added(wanted.select("doc_id"), marks, MARKS) > 0))
-
-    @F.pandas_udf("boolean")
-    def maybe(ids: pd.Series) -> pd.Series:
-        at = mark_of(ids.to_numpy())
-        return pd.Series((sieve.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))
-
-    docs = docs.where(maybe("doc_id"))
+    # a filter of fixed size lets most documents without a wanted set stay where they are; it is
+    # native, so that no second Python worker stands beside the reader's
+    mark = F.xxhash64(F.col("doc_id").cast("long")).bitwiseAND(F.lit(MARKS - 1))
+    bit = F.expr("shiftleft(1L, cast(mark & 63 as int))")
+    sieve = [0] * (MARKS >> 6)
+    for at, bits in wanted.select(mark.alias("mark")).groupBy(F.shiftright("mark", 6).cast("int").alias("at")).agg(F.bit_or(bit)).collect():
+        sieve[at] = bits
+    docs = docs.where(F.element_at(F.lit(np.array(sieve, np.int64)), (F.shiftright(mark, 6) + 1).cast("int")).bitwiseAND(F.expr("shiftleft(1L, cast(xxhash64(cast(doc_id as bigint)) & 63 as int))")) != 0)
 
     @tidy
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
