@@ -24,6 +24,8 @@ MIN_WORDS, MIN_SHARE = 13, 0.8
 MISS = round(MIN_SHARE / (1 - MIN_SHARE))
 #: Benchmark words in one broadcast (17 bytes each with their index); more go in further blocks.
 BLOCK_WORDS = 1_000_000
+#: Pairs of places of a seed, and shifts, that are held at once.
+HITS_AT_ONCE = 1 << 20
 SCHEMA = "doc_id long, item_id long, doc_word long, item_word long, words long, matched long"
 
 
@@ -64,22 +66,57 @@ class Index:
         for mask, at in found.items():
             where = np.concatenate(at)
             hashes = seeds(self.words, mask)[where]
-            order = np.argsort(hashes, kind="stable")
+            order = np.lexsort((where, hashes))
+            first, length = _runs_of(hashes[order], where[order], self.bounds)
             sieve = np.zeros(1 << 20, bool)
             sieve[hashes & np.uint64((1 << 20) - 1)] = True
-            self.tables.append((mask, hashes[order], where[order], sieve))
+            self.tables.append((mask, hashes[order][first], where[order][first], length, sieve))
 
-    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in ``words`` and in the block where a seed agrees."""
-        here, there = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for mask, hashes, where, sieve in self.tables:
+    def hits(self, words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Stretches on which one seed recurs, in ``words`` and in the block, where they agree:
+        begin and length of each, HITS_AT_ONCE pairs at a time."""
+        for mask, hashes, where, length, sieve in self.tables:
             own = seeds(words, mask)
             at = np.flatnonzero(sieve[own & np.uint64((1 << 20) - 1)])
-            low, high = (np.searchsorted(hashes, own[at], side) for side in ("left", "right"))
-            count = high - low
-            here.append(np.repeat(at, count))
-            there.append(where[np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())])
-        return np.concatenate(here), np.concatenate(there)
+            first, size = _runs_of(own[at], at, bounds)
+            low, high = (np.searchsorted(hashes, own[at[first]], side) for side in ("left", "right"))
+            upto = np.concatenate(([0], np.cumsum(high - low)))
+            for begin in range(0, int(upto[-1]), HITS_AT_ONCE):
+                number = np.arange(begin, min(begin + HITS_AT_ONCE, int(upto[-1])))
+                run = np.searchsorted(upto, number, "right") - 1
+                other = low[run] + number - upto[run]
+                yield at[first[run]], size[run], where[other], length[other]
+
+    def diagonals(self, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Rows (text, item, shift), in order and each once, that some seed lies on. Of two
+        stretches of one seed these are all shifts by which they meet, so a text of one word
+        costs its length, not the product."""
+        shifts = len(words) + len(self.words) + 1
+        found, parts, held = np.zeros(0, np.int64), [], 0
+        for here, size, there, length in self.hits(words, bounds):
+            text, item = np.searchsorted(bounds, here, "right") - 1, np.searchsorted(self.bounds, there, "right") - 1
+            base = (text * len(self.ids) + item) * shifts + (here - there - length + 1) + len(self.words)
+            upto = np.cumsum(size + length - 1)
+            begin = 0
+            while begin < len(base):
+                end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + HITS_AT_ONCE, "right")))
+                many = (size + length - 1)[begin:end]
+                parts.append(np.unique(np.repeat(base[begin:end] - np.cumsum(many) + many, many) + np.arange(many.sum())))
+                held, begin = held + len(parts[-1]), end
+                if held > HITS_AT_ONCE:
+                    found, parts, held = np.unique(np.concatenate([found, *parts])), [], 0
+        found = np.unique(np.concatenate([found, *parts]))
+        pair, shift = found // shifts, found % shifts - len(self.words)
+        return np.stack((pair // max(1, len(self.ids)), pair % max(1, len(self.ids)), shift), 1)
+
+
+def _runs_of(hashes: np.ndarray, at: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of one hash at neighbouring places of one text begin, and their lengths."""
+    if not len(at):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    text = np.searchsorted(bounds, at, "right")
+    first = np.flatnonzero(np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (at[1:] != at[:-1] + 1) | (text[1:] != text[:-1]))))
+    return first, np.diff([*first, len(at)])
 
 
 def best_stretch(equal: np.ndarray, least: int = 0) -> tuple[int, int, int]:
@@ -112,12 +149,7 @@ def best_stretch(equal: np.ndarray, least: int = 0) -> tuple[int, int, int]:
 def overlaps(texts: list[bytes], index: Index) -> Iterator[tuple[int, int, int, int, int, int]]:
     """(text, item, first word in each, words, equal words) of every verified overlap."""
     words, bounds = words_of(texts)
-    here, there = index.hits(words)
-    if not len(here):
-        return
-    text = np.searchsorted(bounds, here, "right") - 1
-    item = np.searchsorted(index.bounds, there, "right") - 1
-    for t, i, shift in sorted(set(zip(text.tolist(), item.tolist(), (here - there).tolist(), strict=True))):
+    for t, i, shift in index.diagonals(words, bounds).tolist():
         low = max(index.bounds[i], bounds[t] - shift)
         high = min(index.bounds[i + 1], bounds[t + 1] - shift)
         if high <= low:
