@@ -40,7 +40,7 @@ def test_topk_equals_brute_force(spark):
     rows = [(i, [float(x) for x in v]) for i, v in vectors.items()] + [(1001, None), (1002, [float("nan")] * 6), (1003, [None] * 6), (None, [0.0] * 6)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     quantized = topk.quantized(df)
-    got = sorted(map(tuple, topk.top_k(quantized, quantized.where("vec_id % 100 = 0"), 10).collect()))
+    got = sorted(map(tuple, topk.top_k(quantized, quantized.where("vec_id % 100 = 0"), 10, topk.SCALE).collect()))
     ints = {i: np.floor(1024 * np.float32(v).astype(float)).astype(int) for i, v in vectors.items()}
     want = []
     for q in (i for i in ints if i % 100 == 0):
@@ -55,7 +55,7 @@ def test_topk_of_any_numbers(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     quantized = topk.quantized(df)
     got = {}
-    for q, _, v, score in sorted(map(tuple, topk.top_k(quantized, quantized.where("vec_id % 100 = 0").dropDuplicates(["vec_id"]), 10).collect())):
+    for q, _, v, score in sorted(map(tuple, topk.top_k(quantized, quantized.where("vec_id % 100 = 0").dropDuplicates(["vec_id"]), 10, topk.SCALE).collect())):
         got.setdefault(q, []).append((v, score))
     ints = [(i, [int(x * 1024 // 1) if abs(x) < 1e15 else int(x * 1024) for x in v]) for i, v in rows if v is not None]
     for q in (100, 200, 300):
@@ -64,6 +64,39 @@ def test_topk_of_any_numbers(spark):
         assert got[q] == [(i, max(-(2**63 - 1), min(2**63 - 1, -s))) for s, i in scores]
 
 
+def test_topk_of_huge_components(spark):
+    """Components whose scaled value no double holds, and scores of hundreds of digits."""
+    rows = [(100, [1e306, 1e20]), (200, [1.0, -1e20]), (1, [1e306, 3e20]), (2, [-1e306, 1e20]), (3, [1e306, 1e20]), (4, [5e-324, 3e20]), (5, [0.5, 1e20]), (6, [1e20, -1e300])]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, score int")
+    quantized = topk.quantized(df)
+    got = {}
+    for q, _, v, score in sorted(map(tuple, topk.top_k(quantized, quantized.where("vec_id % 100 = 0"), 10, topk.SCALE).collect())):
+        got.setdefault(q, []).append((v, score))
+    from fractions import Fraction
+
+    ints = {i: [int(Fraction(x) * 1024 // 1) for x in v] for i, v in rows}
+    for q in (100, 200):
+        scores = sorted((-sum(a * b for a, b in zip(ints[q], v, strict=True)), i) for i, v in ints.items() if i != q)
+        assert got[q] == [(i, max(-(2**63 - 1), min(2**63 - 1, -s))) for s, i in scores]
+
+
+def test_topk_keys_sort_as_numbers():
+    numbers = [0, 1, -1, 255, 256, -255, -256, 2**63, -(2**63), 10**600, -(10**600), 10**600 + 1]
+    assert sorted(numbers) == sorted(numbers, key=topk.sort_key) and [topk.from_key(topk.sort_key(x)) for x in numbers] == numbers
+
+
+def test_topk_resolves_few_pairs():
+    """The cutoff leaves less than a tenth of random pairs to resolve, and none of the best out."""
+    gen = np.random.default_rng(4)
+    a, b = np.floor(1024 * gen.normal(size=(40, 64))) / 1024, np.floor(1024 * gen.normal(size=(20_000, 64))) / 1024
+    parts = topk._parts(a, b, topk.SCALE)
+    whole = np.sort(sum(parts), axis=1)
+    q, at = topk.survivors(parts, whole[:, -10:-9])
+    assert len(q) < a.shape[0] * b.shape[0] / 10
+    best = {(i, j) for i in range(len(a)) for j in np.argsort(-sum(parts)[i])[:10]}
+    assert best <= set(zip(q.tolist(), at.tolist(), strict=True))
+
+
 def test_topk_few_and_none(spark):
     two = spark.createDataFrame([(0, [1, 2]), (7, [3, 4])], "vec_id long, v array<long>")
     assert [tuple(r) for r in topk.top_k(two, two.where("vec_id = 0"), 10).collect()] == [(0, 1, 7, 11)]
