@@ -10,11 +10,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.engine import SPARK, Plan, numbers, xor
-from .kernels import SUMMARY, Config, Kernel, Session, Walk, block_bootstrap, block_size, blocks_of, bootstrap, garch, parametric, paths_of, permutation, regime_switching
+from .kernels import STREAM, SUMMARY, Config, Kernel, Session, Walk, block_bootstrap, block_size, blocks_of, bootstrap, garch, parametric, paths_of, permutation, regime_switching
 from .performance import CAPITAL, PERIODS
 
 SEED, PATHS, RUIN_PERCENT = 42, 200, 50
 MASK = 4294967295
+#: What stands for a uniform of 0 in logarithms.
+TINY = "CAST('1.1641532182693481e-10' AS DOUBLE)"
 LEVEL = f"(CAST({CAPITAL} AS DOUBLE) * (1 - CAST({RUIN_PERCENT} AS DOUBLE) / 100))"
 
 
@@ -86,22 +88,29 @@ uo AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY longest, sim
 SELECT series_id, max(CASE WHEN r = {at("CAST('0.5' AS DOUBLE)")} THEN longest END) AS median_max_duration, max(CASE WHEN r = {at("CAST('0.95' AS DOUBLE)")} THEN longest END) AS p95_max_duration, round(avg(share), 8) AS mean_share_under FROM uo GROUP BY series_id"""
 
 
-def _metadata(d: str) -> str:
-    """The first section of an export: a field a row."""
-    fields = {"model": "'bootstrap'", "seed": f"'{SEED}'", "n_simulations": f"'{PATHS}'", "trades": "CAST(steps AS STRING)", "terminal_pnl_metrics_valid": "CASE WHEN spread < CAST('1e-4' AS DOUBLE) THEN 'false' ELSE 'true' END"}
-    one = " UNION ALL ".join(f"SELECT series_id, '{k}' AS field, {v} AS value FROM f" for k, v in fields.items())
-    return f"WITH {paths(d, 'bootstrap')}, f AS (SELECT series_id, max(steps) AS steps, max(final_balance) - min(final_balance) AS spread FROM ps GROUP BY series_id) {one}"
+#: Paths that a sample shows at most.
+SHOWN = 50
+
+
+def _wide(d: str) -> str:
+    """A row for each step from 0: the curve of the history, and a column for each of some
+    evenly spread paths."""
+    stride = max(1, PATHS // min(PATHS, SHOWN))
+    columns = "".join(f", round(coalesce(max(CASE WHEN sim_id = {i * stride} THEN balance END), {CAPITAL}), 4) AS path_{i}" for i in range(min(SHOWN, -(-PATHS // stride))))
+    return f"""WITH {paths(d, "bootstrap")}, sa AS (SELECT series_id, t, sim_id, balance FROM pa WHERE sim_id % {stride} = 0 UNION ALL SELECT DISTINCT series_id, 0, CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE) FROM $pool),
+og AS (SELECT series_id, trade_idx + 1 AS t, CAST({CAPITAL} AS DOUBLE) + sum(pnl) OVER (PARTITION BY series_id ORDER BY trade_idx ROWS UNBOUNDED PRECEDING) AS original FROM $pool)
+SELECT sa.series_id, sa.t AS trade, round(coalesce(max(original), {CAPITAL}), 4) AS original{columns} FROM sa LEFT JOIN og ON og.series_id = sa.series_id AND og.t = sa.t GROUP BY sa.series_id, sa.t"""
 
 
 PLANS = {
-    "random_draws": Plan(lambda d: f"WITH k AS (SELECT i FROM {numbers(d, 2000)} x), {uniform(d, 'k', 'i + 1', 'i')}, p AS (SELECT i, u, lead(u) OVER (ORDER BY i) AS v FROM r5) SELECT i, round(u, 10) AS u, round(sqrt(-2 * ln(u)) * cos(2 * pi() * v), 8) AS normal, CAST(ceil(ln(u) / ln(1 - CAST('0.2' AS DOUBLE))) AS BIGINT) AS geometric FROM p, (SELECT count(*) AS c FROM $pool) z WHERE u > 0 AND v IS NOT NULL", {"pool": "trades"}),
+    # a uniform, a normal and a geometric number for each row, from its own counter
+    "random_draws": Plan(lambda d: f"WITH {uniform(d, '$raw', 'event_id + 1', 'event_id')}, {uniform(d, '$raw', 'event_id + 1', 'event_id', SEED + STREAM, 'v')} SELECT a.event_id AS i, round(a.u, 10) AS u, round(sqrt(-2 * ln(greatest(a.u, {TINY}))) * cos(2 * pi() * b.u), 8) AS normal, CAST(greatest(1, ceil(ln(greatest(a.u, {TINY})) / ln(1 - CAST('0.2' AS DOUBLE)))) AS BIGINT) AS geometric FROM r5 a JOIN vr5 b ON a.event_id = b.event_id", {"raw": "raw"}),
     "bootstrap_paths": _summary("bootstrap"),
     "permutation_paths": _summary("permutation"),
     "block_bootstrap_paths": _summary("blocks"),
     "simulated_durations": Plan(_durations, {"pool": "trades"}),
-    "csv_export_metadata": Plan(_metadata, {"pool": "trades"}),
     "spaghetti_sample": Plan(lambda d: f"WITH {paths(d, 'bootstrap')} SELECT series_id, sim_id, t, round(balance, 4) AS balance FROM pa WHERE sim_id % {PATHS // 50} = 0", {"pool": "trades"}),
-    "csv_export_paths": Plan(lambda d: f"WITH {paths(d, 'bootstrap')} SELECT series_id, sim_id + 1 AS simulation_path, round(final_balance, 2) AS final_balance, round(max_drawdown * 100, 4) AS max_drawdown, round(final_balance - {CAPITAL}, 2) AS terminal_pnl FROM ps", {"pool": "trades"}),
+    "spaghetti_wide": Plan(_wide, {"pool": "trades"}),
     "metrics_validity": Plan(lambda d: f"WITH {paths(d, 'permutation')}, f AS (SELECT series_id, max(CASE WHEN sim_id = 0 THEN final_balance END) AS first FROM ps GROUP BY series_id) SELECT ps.series_id, CASE WHEN max(abs(final_balance - first)) < CAST('1e-4' AS DOUBLE) THEN 1 ELSE 0 END AS degenerate, count(*) AS paths FROM ps JOIN f ON f.series_id = ps.series_id GROUP BY ps.series_id", {"pool": "trades"}),
 }
 

@@ -21,7 +21,7 @@ PLANS: dict[str, Plan] = performance.PLANS | stats.PLANS | ingest.PLANS | stress
 #: oracle works them out in SQL, Spark with the kernels.
 DRAWN = simulate.Config(paths=simulate.PATHS, counter=True)
 PLAIN = replace(DRAWN, seed=simulate.SEED + reports.OTHER_SEED, rules=None)
-ORACLE_VIEWS = VIEWS | {"paths": reports.paths_sql(VIEWS["trades"]), "single_paths": reports.paths_sql(VIEWS["single"]), "single_plain": reports.plain_sql(VIEWS["single"])}
+ORACLE_VIEWS = VIEWS | {"paths": reports.paths_sql(VIEWS["trades"]), "permuted_paths": reports.paths_sql(VIEWS["trades"], "permutation"), "single_paths": reports.paths_sql(VIEWS["single"]), "single_plain": reports.plain_sql(VIEWS["single"])}
 
 
 def _plain(trades: DataFrame, config: simulate.Config) -> DataFrame:
@@ -30,10 +30,11 @@ def _plain(trades: DataFrame, config: simulate.Config) -> DataFrame:
 
 def _input(spark: SparkSession, sf_dir: str, name: str, drawn: simulate.Config = DRAWN, plain: simulate.Config = PLAIN) -> DataFrame:
     """A view; or paths over one, written once, as several parts of a report read them."""
-    if name not in ("paths", "single_paths", "single_plain"):
+    if name not in ("paths", "permuted_paths", "single_paths", "single_plain"):
         return view(spark, sf_dir, name)
-    trades = view(spark, sf_dir, "trades" if name == "paths" else "single")
-    return shared(_plain(trades, plain) if name == "single_plain" else models.simulate_history(trades, "bootstrap", drawn))
+    trades = view(spark, sf_dir, "single" if name.startswith("single") else "trades")
+    model = "permutation" if name == "permuted_paths" else "bootstrap"
+    return shared(_plain(trades, plain) if name == "single_plain" else models.simulate_history(trades, model, drawn))
 
 
 def _query(plan: Plan, *configs: simulate.Config) -> Callable[[SparkSession, str], DataFrame]:
@@ -79,7 +80,7 @@ CSV_SQL = ingest.PLANS["row_filter"].oracle(VIEWS).replace("SELECT CAST(row_numb
 #: Queries without SQL: numpy kernels with a generator for each path, and fits.
 KERNELS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{f"kernel_{name}": _model(name) for name in ("bootstrap", "permutation", "blocks", "regimes", "parametric", "garch")},
-    **{f"kernel_{name}": _full(name) for name in reports.PLANS},
+    **{f"kernel_{name}": _full(name) for name in ("risk_metrics", "prop_evaluation", "convergence", "convergence_status", "goodness_of_fit")},
     "kernel_portfolio_copula": lambda spark, sf_dir: models.simulate_portfolio(view(spark, sf_dir, "trades"), simulate.Config(paths=500)),
     "kernel_portfolio_student_copula": lambda spark, sf_dir: models.simulate_portfolio(view(spark, sf_dir, "trades"), simulate.Config(paths=500), 5.0),
     "kernel_portfolio_dynamic_copula": lambda spark, sf_dir: models.simulate_portfolio(view(spark, sf_dir, "trades"), simulate.Config(paths=200), dynamic=True),
