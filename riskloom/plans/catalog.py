@@ -9,7 +9,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import drawn, ingest, models, performance, portfolio, reports, simulate, stats, stress, validation
+from ..operators import drawn, ingest, models, performance, portfolio, reorder, reports, run, simulate, stats, stress, validation
 from ..sources import trades
 from ..sources.shared import shared, shared_dir
 from .engine import Plan
@@ -74,6 +74,23 @@ def _drawn(model: str, name: str) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
+def run_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over the trades, exported, and its first section read back."""
+    path = f"{shared_dir(spark)}/riskloom-{uuid.uuid4().hex}"
+    run.run(view(spark, sf_dir, "trades"), "bootstrap", DRAWN).export(path)
+    return spark.read.csv(f"{path}/metadata", header=True, escape='"').select("series_id", "field", "value")
+
+
+#: The scores of a step, in the two dialects.
+SCORES, REORDERED = (Plan(f) for f in (lambda d: f"WITH {reorder.scores_sql(d)} SELECT series_id, trade_idx, score FROM sc", reorder.reorder_sql))
+
+
+def rank_reordering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trades = view(spark, sf_dir, "trades")
+    out = reorder.reorder(trades, shared(SCORES.run(spark, trades=trades)))
+    return out.select("series_id", "trade_idx", F.round("pnl", 6).alias("pnl"))
+
+
 #: The same rows, without the way through a file.
 CSV_SQL = ingest.PLANS["row_filter"].oracle(VIEWS).replace("SELECT CAST(row_number()", "SELECT instrument AS series_id, CAST(row_number()").replace("AS trade_idx, instrument, event_id, pnl", "AS trade_idx, pnl")
 
@@ -87,5 +104,5 @@ KERNELS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fit_garch": lambda spark, sf_dir: models.garch_models(view(spark, sf_dir, "trades")),
     "position_sizing": lambda spark, sf_dir: models.position_size(view(spark, sf_dir, "trades"), simulate.Config(paths=2500)),
 }
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(plan) for name, plan in PLANS.items()} | KERNELS | {"csv_scan": csv_round_trip, "regime_paths": _drawn("regimes", "single"), "parametric_paths": _drawn("parametric", "trades")}
-ORACLE_SQL: dict[str, str] = {name: plan.oracle(ORACLE_VIEWS) for name, plan in PLANS.items()} | {"csv_scan": CSV_SQL, "regime_paths": drawn.regimes_sql(VIEWS["single"]), "parametric_paths": drawn.parametric_sql(VIEWS["trades"])}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(plan) for name, plan in PLANS.items()} | KERNELS | {"csv_scan": csv_round_trip, "run_export": run_export, "rank_reordering": rank_reordering, "regime_paths": _drawn("regimes", "single"), "parametric_paths": _drawn("parametric", "trades")}
+ORACLE_SQL: dict[str, str] = {name: plan.oracle(ORACLE_VIEWS) for name, plan in PLANS.items()} | {"csv_scan": CSV_SQL, "run_export": reports.PLANS["csv_export_metadata"].oracle(ORACLE_VIEWS), "rank_reordering": REORDERED.oracle(VIEWS), "regime_paths": drawn.regimes_sql(VIEWS["single"]), "parametric_paths": drawn.parametric_sql(VIEWS["trades"])}
