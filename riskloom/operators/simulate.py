@@ -158,11 +158,30 @@ def copula(low: dict[str, np.ndarray], df: float | None = None, initial: np.ndar
                 regime[t] = now
                 now = min(int((upto[now] < u[t + 1]).sum()), len(upto) - 1)
         x = np.einsum("tij,tj->ti", factors[regime], z) / scale
-        return normal_cdf(x if df is None else x * np.sqrt((df - 2) / df) * (1 + 1 / (4 * df)))
+        return normal_cdf(x) if df is None else student_cdf(x, df)
 
     return kernel
 
 
+def student_cdf(x: np.ndarray, df: float) -> np.ndarray:
+    """P(T <= x) for any ``df`` above 0, by the same fraction as the SQL form."""
+    from math import lgamma
+
+    from .stats import FRACTION
+
+    a, z = df / 2, df / (df + np.square(x))
+    swap = z > (a + 1) / (a + 2.5)
+    p, q = np.where(swap, 0.5, a), np.where(swap, a, 0.5)
+    y, left = np.maximum(1e-300, np.where(swap, 1 - z, z)), np.maximum(1e-300, np.where(swap, z, 1 - z))
+    f = np.ones(np.shape(x))
+    for m in range(FRACTION - 1, -1, -1):
+        even = (m + 1) * (q - m - 1) * y / ((p + 2 * m + 1) * (p + 2 * m + 2))
+        f = 1 - (p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1)) / (1 + even / f)
+    beta = np.exp(lgamma(a + 0.5) - lgamma(a) - lgamma(0.5) + p * np.log(y) + q * np.log(left)) / p / f
+    tail = np.where(swap, 1 - beta, beta) / 2
+    return np.where(np.asarray(x) >= 0, 1 - tail, tail)
+
+
 def normal_cdf(x: np.ndarray) -> np.ndarray:
     """P(Z <= x), by the same formula as the SQL form."""
     from .stats import NORMAL

@@ -163,6 +163,27 @@ def student_t_cdf(x: str, df: str) -> str:
     return f"(CASE WHEN {df} <= 0 THEN {D(0.5)} WHEN {df} > 2 THEN {normal_cdf(f'({x} * sqrt((greatest({df}, {D(2)}) - 2) / greatest({df}, {D(2)})) * (1 + 1 / (4 * greatest({df}, {D(2)}))))')} END)"
 
 
+#: Steps of the continued fraction of the incomplete beta function.
+FRACTION = 24
+
+
+def student_t_exact(d: str, x: str, df: str) -> str:
+    """P(T <= x) for any ``df`` above 0, by the incomplete beta function: a continued fraction
+    of fixed length, from its end, on the side where it converges."""
+    a, z = f"({df} / 2)", f"({df} / ({df} + {x} * {x}))"
+    swap = f"({z} > ({a} + 1) / ({a} + {D('2.5')}))"
+    p, q = f"(CASE WHEN {swap} THEN {D('0.5')} ELSE {a} END)", f"(CASE WHEN {swap} THEN {a} ELSE {D('0.5')} END)"
+    y, left = f"greatest({D('1e-300')}, CASE WHEN {swap} THEN 1 - {z} ELSE {z} END)", f"greatest({D('1e-300')}, CASE WHEN {swap} THEN {z} ELSE 1 - {z} END)"
+    odd = f"(-({p} + m) * ({p} + {q} + m) * {y} / (({p} + 2 * m) * ({p} + 2 * m + 1)))"
+    even = f"((m + 1) * ({q} - m - 1) * {y} / (({p} + 2 * m + 1) * ({p} + 2 * m + 2)))"
+    step = f"1 + {odd} / (1 + {even} / f)"
+    fraction = f"aggregate(sequence({FRACTION - 1}, 0, -1), {D(1)}, (f, m) -> {step})" if d == SPARK else f"list_reduce(range({FRACTION - 1}, -1, -1), lambda f, m: {step}, {D(1)})"
+    gammas = f"({log_gamma(f'({a} + {D(0.5)})')} - {log_gamma(f'({a} + 1)')} + ln({a}) - {D('0.5723649429247001')})"
+    beta = f"(exp({gammas} + {p} * ln({y}) + {q} * ln({left})) / {p} / {fraction})"
+    tail = f"(CASE WHEN {swap} THEN 1 - {beta} ELSE {beta} END / 2)"
+    return f"(CASE WHEN {x} >= 0 THEN 1 - {tail} ELSE {tail} END)"
+
+
 def t_log_pdf(x: str, mu: str, sigma: str, df: str) -> str:
     return f"({log_gamma(f'(({df} + 1) / 2)')} - {log_gamma(f'({df} / 2)')} - 0.5 * ln({df} * pi()) - ln({sigma}) - ({df} + 1) / 2 * ln(1 + power(({x} - {mu}) / {sigma}, 2) / {df}))"
 
@@ -215,7 +236,7 @@ SELECT vv.series_id, n, round(alpha * least(252, n), 4) AS alpha_annualized, rou
     "fit_normal": Plan(f"WITH {FITS} SELECT series_id, round(mu, 6) AS mu, round(sigma, 6) AS sigma, round(ll, 4) AS log_likelihood, {AIC(2)} FROM no"),
     "fit_student_t": Plan(f"WITH {FITS} SELECT series_id, df, round(mu, 6) AS mu, round(sigma, 6) AS sigma, round(ll, 4) AS log_likelihood, {AIC(3)} FROM tb"),
     "fit_best": Plan(f"WITH {FITS}, a AS (SELECT series_id, 'normal' AS kind, 0 AS o, -2 * ll + 2 * ln(n) AS bic FROM no UNION ALL SELECT series_id, 'student_t', 1, -2 * ll + 3 * ln(n) FROM tb) SELECT series_id, kind, round(bic, 4) AS bic FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY bic, o) AS k FROM a) x WHERE k = 1"),
-    "special_functions": Plan(f"WITH x AS (SELECT series_id, trade_idx, abs(pnl) / 10 + {D('0.5')} AS x FROM $trades) SELECT series_id, trade_idx, round({log_gamma("x")}, 8) + {D(0)} AS log_gamma, round({log_gamma_any('(x / 7 - 3.01)')}, 6) AS log_gamma_reflected, round({student_t_cdf('(x - 3)', D(5))}, 9) AS student_t_cdf, round({normal_cdf('(x / 3)')}, 10) AS normal_cdf, round({kolmogorov('x')}, 8) AS kolmogorov_q, round({ad_p('x')}, 8) AS ad_p, round({chi_square_upper('x', 10)}, 8) AS chi_square_upper, round({two_sided('x')}, 8) AS two_sided, round({t_log_pdf('x', '1', '2', D(5))}, 8) AS t_log_pdf FROM x"),
+    "special_functions": Plan(lambda d: f"WITH x AS (SELECT series_id, trade_idx, abs(pnl) / 10 + {D('0.5')} AS x FROM $trades) SELECT series_id, trade_idx, round({log_gamma("x")}, 8) + {D(0)} AS log_gamma, round({log_gamma_any('(x / 7 - 3.01)')}, 6) AS log_gamma_reflected, round({student_t_cdf('(x - 3)', D(5))}, 9) AS student_t_cdf_crude, round({student_t_exact(d, '(x - 3)', D(5))}, 9) AS student_t_cdf, round({student_t_exact(d, '(x / 4 - 1)', '(x * 3)')}, 8) AS student_t_any, round({normal_cdf('(x / 3)')}, 10) AS normal_cdf, round({kolmogorov('x')}, 8) AS kolmogorov_q, round({ad_p('x')}, 8) AS ad_p, round({chi_square_upper('x', 10)}, 8) AS chi_square_upper, round({two_sided('x')}, 8) AS two_sided, round({t_log_pdf('x', '1', '2', D(5))}, 8) AS t_log_pdf FROM x"),
     "regime_transitions": Plan("""WITH p AS (SELECT series_id, regime AS a, lead(regime) OVER (PARTITION BY series_id ORDER BY trade_idx) AS b FROM $trades),
 g AS (SELECT x.series_id, x.regime AS a, y.regime AS b FROM (SELECT DISTINCT series_id, regime FROM $trades) x JOIN (SELECT DISTINCT series_id, regime FROM $trades) y ON x.series_id = y.series_id),
 c AS (SELECT series_id, a, b, count(*) AS n FROM p WHERE b IS NOT NULL GROUP BY series_id, a, b),

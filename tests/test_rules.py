@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from riskloom.operators import performance, reports, stats, stress
+from riskloom.operators import performance, reports, simulate, stats, stress
 from riskloom.plans.engine import Plan
 from riskloom.operators.orderstats import first, order_stats, position
 
@@ -199,3 +199,21 @@ def test_prop_evaluation_of_outcomes(spark):
     df = paths(spark, range(60), outcome="passed", event_step=5).union(paths(spark, range(60, 100))).union(paths(spark, range(100, 140), outcome="drawdown", event_step=9))
     got = {r["outcome"]: (r["paths"], r["median_trades"]) for r in reports.PLANS["prop_evaluation"].run(spark, paths=df).collect()}
     assert got == {"passed": (60, 5), "time": (40, None), "drawdown": (40, 9)}
+
+
+def test_student_distribution_to_nine_places(spark):
+    """Closed forms, and the density added up for other degrees of freedom."""
+    x = np.array([-30.0, -4.0, -1.5, -0.2, 0.0, 0.3, 1.0, 2.5, 12.0])
+    closed = {1.0: 0.5 + np.arctan(x) / np.pi, 2.0: 0.5 + x / (2 * np.sqrt(2 + x * x)), 4.0: 0.5 + 0.375 * (x / np.sqrt(1 + x * x / 4)) * (1 - x * x / (1 + x * x / 4) / 12)}
+    for df, want in closed.items():
+        assert np.abs(simulate.student_cdf(x, df) - want).max() < 1e-12
+    for df in (0.5, 3.3, 5.0, 30.0, 200.0):
+        for end in (0.7, 2.5):
+            t, w = np.polynomial.legendre.leggauss(200)
+            u = (t + 1) * end / 2
+            density = np.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2) - 0.5 * math.log(df * math.pi) - (df + 1) / 2 * np.log1p(u * u / df))
+            assert simulate.student_cdf(np.array(end), df) == pytest.approx(0.5 + (w * density).sum() * end / 2, abs=1e-11)
+    rows = [(i, float(v), df) for i, (v, df) in enumerate((v, df) for v in x for df in (0.5, 1.0, 2.0, 4.0, 17.0, 200.0))]
+    df = spark.createDataFrame(rows, "id long, x double, df double")
+    got = [r["p"] for r in Plan(f"WITH a AS (SELECT * FROM $t) SELECT id, {stats.student_t_exact('spark', 'x', 'df')} AS p FROM a", {"t": "t"}).run(spark, t=df).orderBy("id").collect()]
+    assert np.abs(np.array(got) - [float(simulate.student_cdf(np.array(v), d)) for _, v, d in rows]).max() < 1e-10
