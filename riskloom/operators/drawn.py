@@ -17,7 +17,7 @@ KEEP = "series_id, n, sim_id, t"
 SUMMED = f"""pa AS (SELECT series_id, sim_id, t + 1 AS t, CAST({CAPITAL} AS DOUBLE) + sum(pnl) OVER (PARTITION BY series_id, sim_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS balance FROM st),
 pk AS (SELECT *, greatest(CAST({CAPITAL} AS DOUBLE), max(balance) OVER (PARTITION BY series_id, sim_id ORDER BY t ROWS UNBOUNDED PRECEDING)) AS peak, max(t) OVER (PARTITION BY series_id, sim_id) AS last_t FROM pa)
 SELECT series_id, sim_id, round(max(CASE WHEN t = last_t THEN balance END), 4) AS final_balance, round(greatest(CAST(0 AS DOUBLE), max(least(CAST(1 AS DOUBLE), (peak - balance) / greatest(peak, {D("1e-8")})))), 8) AS max_drawdown,
-  max(CASE WHEN balance <= {LEVEL} THEN 1 ELSE 0 END) AS ruined, round((max(CASE WHEN t = last_t THEN balance END) - {CAPITAL}) / max(last_t), 6) AS ev FROM pk GROUP BY series_id, sim_id"""
+  max(CASE WHEN balance <= {LEVEL} THEN 1 ELSE 0 END) AS ruined, round((max(CASE WHEN t = last_t THEN balance END) - {CAPITAL}) / max(last_t), 10) AS ev FROM pk GROUP BY series_id, sim_id"""
 
 
 def parametric_sql(pool: str) -> str:

@@ -69,7 +69,7 @@ def _drawn(model: str, name: str) -> Callable[[SparkSession, str], DataFrame]:
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = models.simulate_history(view(spark, sf_dir, name), model, DRAWN)
-        return out.select("series_id", "sim_id", F.round("final_balance", 4).alias("final_balance"), F.round("max_drawdown", 8).alias("max_drawdown"), F.col("ruined").cast("int").alias("ruined"), F.round("ev", 6).alias("ev"))
+        return out.select("series_id", "sim_id", F.round("final_balance", 4).alias("final_balance"), F.round("max_drawdown", 8).alias("max_drawdown"), F.col("ruined").cast("int").alias("ruined"), F.round("ev", 10).alias("ev"))
 
     return query
 
