@@ -45,6 +45,13 @@ def quantized(embeddings: DataFrame) -> DataFrame:
     return kept.select(F.col("vec_id").cast("long"), F.transform(v, whole).alias("v"))
 
 
+def of_one_length(vectors: DataFrame) -> DataFrame:
+    """``vectors(vec_id, v)`` with zeros behind the shorter ones, so that each meets all others:
+    products of their shared components are unchanged."""
+    longest = vectors.agg(F.max(F.size("v"))).first()[0] or 0
+    return vectors.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(longest) - F.size("v"))))
+
+
 def sort_key(score: int) -> bytes:
     """Bytes in the order of whole numbers of any size."""
     size = (abs(score).bit_length() + 7) // 8
@@ -189,9 +196,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1) -
     wanted = k + 1  # classes; one may be the query's own row alone
 
     def met(run, *more: str, right: DataFrame) -> DataFrame:
-        """Both sides dealt to the cells of a grid: each block of vectors meets each block of queries."""
-        left = classes.select("rep", "v", "least", F.pmod(F.xxhash64("rep"), F.lit(n)).alias("vb"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("qb"))
-        right = right.select("rep", "v", *more, F.pmod(F.xxhash64("rep"), F.lit(m)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("vb"))
+        """Both sides dealt to the cells of a grid: each block of vectors meets each block of queries.
+        The sides' keys are of one type, as those of equal value but other types hash apart."""
+        own = lambda blocks: F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int")
+        each = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+        left = classes.select("rep", "v", "least", own(n).alias("vb"), each(m).alias("qb"))
+        right = right.select("rep", "v", *more, own(m).alias("qb"), each(n).alias("vb"))
         found = left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInPandas(run, ROWS)
         return _top(found.join(classes.select("rep", "least"), "rep"), ["query"], [F.desc("key"), F.col("least")], wanted, "n")
 
@@ -206,7 +216,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1) -
 
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    vectors = quantized(table(spark, sf_dir, "embeddings"))
+    vectors = of_one_length(quantized(table(spark, sf_dir, "embeddings")))
     return top_k(vectors, vectors.where("vec_id % 100 = 0"), scale=SCALE)
 
 

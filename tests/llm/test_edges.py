@@ -8,7 +8,7 @@ import random
 import numpy as np
 import pytest
 
-from riskloom.llm import chat, decontaminate, packing, simhash, substrings, toxicity, urlfilter, warc
+from riskloom.llm import chat, decontaminate, packing, simhash, substrings, topk, toxicity, urlfilter, warc
 
 rng = random.Random(21)
 WORDS = [a + b for a in ("ba", "ko", "ti", "ne", "sul", "mor") for b in ("ra", "lon", "ta", "vi", "dex")]
@@ -184,3 +184,28 @@ def test_very_long_text_is_packed(spark):
         want = [*encode(text or "", add_special_tokens=False).ids, packing.END]
         assert ids[i, len(want)] == want
     assert total == sum(map(len, ids.values()))
+
+
+# --- top-k
+
+
+def test_topk_query_in_many_partitions_and_of_mixed_lengths(spark, tmp_path):
+    """Shuffled to partitions that stay apart; shorter vectors count as zeros behind their end."""
+    gen = np.random.default_rng(31)
+    vectors = {10 * i: np.floor(1024 * gen.normal(size=(3, 6, 0)[i % 7 % 3])) / 1024 for i in range(60)}
+    spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "37"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = sorted(map(tuple, topk.op1_topk(spark, str(tmp_path)).collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    score = lambda a, b: int(sum(1024 * x * 1024 * y for x, y in zip(a, b, strict=False)))
+    want = []
+    for q in (i for i in vectors if i % 100 == 0):
+        best = sorted((-score(vectors[q], v), i) for i, v in vectors.items() if i != q)[:10]
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
+    assert got == sorted(want)
