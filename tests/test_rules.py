@@ -5,7 +5,8 @@ import math
 import numpy as np
 import pytest
 
-from riskloom.operators import performance, reports, simulate, stats, stress
+from riskloom.operators import ingest, performance, reports, simulate, stats, stress
+from riskloom.plans import catalog
 from riskloom.plans.engine import Plan
 from riskloom.operators.orderstats import first, order_stats, position
 
@@ -217,3 +218,17 @@ def test_student_distribution_to_nine_places(spark):
     df = spark.createDataFrame(rows, "id long, x double, df double")
     got = [r["p"] for r in Plan(f"WITH a AS (SELECT * FROM $t) SELECT id, {stats.student_t_exact('spark', 'x', 'df')} AS p FROM a", {"t": "t"}).run(spark, t=df).orderBy("id").collect()]
     assert np.abs(np.array(got) - [float(simulate.student_cdf(np.array(v), d)) for _, v, d in rows]).max() < 1e-10
+
+
+def test_times_past_the_year_9999_and_past_every_timestamp(spark):
+    """Five digits without a sign, as in the oracle's SQL; what no timestamp holds is null."""
+    rows = [(0, "518400006000000"), (1, "253402300799999"), (2, "9300000000000000"), (3, "-9223372036854775808"), (4, "0")]
+    got = ingest.PLANS["parse_timestamp"].run(spark, times=spark.createDataFrame(rows, "event_id long, raw string")).orderBy("event_id").collect()
+    assert [r["ts"] for r in got] == ["18397-06-11 01:40:00", "9999-12-31 23:59:59", None, None, "1970-01-01 00:00:00"]
+
+
+def test_convergence_queries_look_at_150_paths(spark):
+    """200 paths have three points, so that the status can say more than 'not_converged'."""
+    got = catalog.QUERIES["convergence"](spark, "/root/testdata/sf0.001").collect()
+    assert {r["n"] for r in got} == {100, 150, 200}
+    assert "array(100, 150, 200" in catalog.PLANS["convergence_status"].text("spark") and "[100, 150, 200" in catalog.ORACLE_SQL["convergence_status"]
