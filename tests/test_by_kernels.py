@@ -78,3 +78,13 @@ def test_permutations_of_short_blocks(spark, history):
     u = counter_uniform(42, np.arange(3)[:, None] * ROWS + np.arange(ROWS) + 1)
     source = Counters(42, np.arange(3), ROWS)
     assert (source.order(ROWS) == np.argsort(u, axis=1, kind="stable")).all()
+
+
+def test_copula_paths_are_no_groups_of_rows(spark, history):
+    """A path's steps were joined with the trades and gathered in one pandas frame."""
+    df = table(spark, {"a": history[:300], "b": -history[:200]})
+    for kind in ({}, {"df": 5.0}, {"dynamic": True}):
+        got = models.simulate_portfolio(df, Config(paths=70), **kind)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "FlatMapGroups" not in plan and "Join" not in plan
+        assert sorted(r["sim_id"] for r in got.select("sim_id", "steps").where("steps = 300").collect()) == list(range(70))
