@@ -88,3 +88,42 @@ def test_copula_paths_are_no_groups_of_rows(spark, history):
         plan = got._jdf.queryExecution().optimizedPlan().toString()
         assert "FlatMapGroups" not in plan and "Join" not in plan
         assert sorted(r["sim_id"] for r in got.select("sim_id", "steps").where("steps = 300").collect()) == list(range(70))
+
+
+def test_paths_are_looked_at_step_by_step_only_where_it_counts(monkeypatch):
+    """Every step of every path was compared with its peak, also of paths whose fall could get no deeper."""
+    from riskloom.operators import kernels
+
+    looked, rng = [], np.random.default_rng(3)
+    look = kernels.Walk._look
+    monkeypatch.setattr(kernels.Walk, "_look", lambda self, balance, paths: (looked.append(balance.size), look(self, balance, paths))[1])
+    for drift, capped in ((-2, True), (2, True), (0, True), (0, False)):
+        draws, config = np.round(rng.normal(drift, 50, (20_000, 70)), 2), Config(capped=capped, rules=(600, 400, 40))
+        out, looked[:] = kernels.Walk(70, config), []
+        for t in range(0, len(draws), 128):
+            out.go(draws[t : t + 128].copy())
+        balance = 10_000 + np.cumsum(draws, axis=0)
+        peak = np.maximum(10_000, np.maximum.accumulate(balance, axis=0))
+        fall = ((peak - balance) / peak).max(0)
+        got = out.frame(np.arange(70))
+        assert np.allclose(got["final_balance"], balance[-1]) and np.allclose(got["max_drawdown"], np.minimum(fall, 1) if capped else fall)
+        assert (got["ruined"] == (balance.min(0) <= 5000)).all()
+        event = ((peak - balance >= 600) | (balance >= 10_400)).argmax(0) + 1
+        assert (got["event_step"] == event).all() and sum(looked) < draws.size / 2
+
+
+def test_values_of_long_histories_by_their_frequency():
+    """A long history was read at random places: drawing its values keeps how often each stands there."""
+    from riskloom.operators.kernels import Generators, bootstrap, regime_switching
+
+    pool = np.repeat(np.arange(1000.0), np.arange(1000))
+    n = len(pool)
+    for kernel in (bootstrap(pool), regime_switching({"a": pool[: n // 3], "b": pool[n // 3 :]}, np.array([[2 / 3, 1 / 3], [1 / 6, 5 / 6]]))):
+        source = Generators(lambda s: np.random.default_rng(s), 512)
+        state = kernel.begin(source, 4000)
+        drawn = kernel.draw(source, state, 0, 4000)
+        assert np.isin(drawn, pool).all()
+        counts = np.bincount(drawn.ravel().astype(int), minlength=1000)
+        assert counts[0] == 0
+        expected = drawn.size * np.arange(1000) / n
+        assert abs(((counts - expected)[1:] ** 2 / expected[1:]).mean() - 1) < 3
