@@ -127,3 +127,17 @@ def test_values_of_long_histories_by_their_frequency():
         assert counts[0] == 0
         expected = drawn.size * np.arange(1000) / n
         assert abs(((counts - expected)[1:] ** 2 / expected[1:]).mean() - 1) < 3
+
+
+def test_curves_in_pieces_of_time(spark, history):
+    """A series' curves were one task: now each task has a piece of time, whose paths go on from the pieces before."""
+    config = Config(paths=PATHS, counter=True, rules=None)
+    wide = models.wide_curves(table(spark, {"a": history, "b": history[:5]}), config, list(range(PATHS)), digits=2)
+    tasks = wide.selectExpr("spark_partition_id() as task", "series_id", "trade").where("series_id = 'a'").groupBy("task").count().collect()
+    assert len(tasks) == models.TASKS_A_CORE * spark.sparkContext.defaultParallelism and max(r["count"] for r in tasks) < ROWS / 4
+    got = wide.where("series_id = 'a'").toPandas().sort_values("trade")
+    assert (got[[f"path_{i}" for i in range(PATHS)]].to_numpy()[1:].T == np.round(curves(history), 2)).all()
+    assert sorted(r["trade"] for r in wide.where("series_id = 'b'").collect()) == list(range(6))
+    assert models._rounded(np.array([0.5, -0.5, 2.5, 1.25]), 0).tolist() == [1, -1, 3, 1]
+    long = models.path_curves(table(spark, {"a": history[:50]}), Config(paths=4, counter=True, rules=None, multiplicative=True, capital=1), 1)
+    assert long.count() == 200
