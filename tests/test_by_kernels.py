@@ -141,3 +141,17 @@ def test_curves_in_pieces_of_time(spark, history):
     assert models._rounded(np.array([0.5, -0.5, 2.5, 1.25]), 0).tolist() == [1, -1, 3, 1]
     long = models.path_curves(table(spark, {"a": history[:50]}), Config(paths=4, counter=True, rules=None, multiplicative=True, capital=1), 1)
     assert long.count() == 200
+
+
+def test_sizing_draws_its_paths_once(spark, history, monkeypatch):
+    """Each of up to 14 scales fitted the scaled history and drew all paths anew."""
+    passes, one = [], models._each_history
+    monkeypatch.setattr(models, "_each_history", lambda *a, **b: (passes.append(1), one(*a, **b))[1])
+    df = table(spark, {"a": history[:400] + 3, "b": history[:50] / 100 + 5, "c": -history[:300] - 9})
+    config = Config(paths=600)
+    rows = {r["series_id"]: r for r in models.position_size(df, config, 3).collect()}
+    assert len(passes) == 1 and rows["b"]["scale"] == 1 and 0.05 < rows["c"]["scale"] < 1
+    for k, row in rows.items():  # what the paths of the scaled history come to
+        own = df.where(f"series_id = '{k}'").selectExpr("series_id", "trade_idx", f"pnl * {row['scale']} as pnl")
+        paths = models.simulate_history(own, "parametric", Config(paths=600, rules=None)).toPandas()
+        assert np.allclose([row["mean"], row["std"], row["ruin_percent"]], [paths["final_balance"].mean() - 10_000, paths["final_balance"].std(), 100 * paths["ruined"].mean()])
