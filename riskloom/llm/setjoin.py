@@ -24,7 +24,7 @@ NUMERATOR, DENOMINATOR = 4, 5
 COUNTERS, CHUNKS = 1 << 18, 16
 #: Pairs compared in one step, and partners that a set names at first for each word.
 PAIRS_AT_ONCE, PARTNERS = 1 << 20, 4
-#: Bits of the filter by document: a fixed number.
+#: Bits of the filters by document and by set: a fixed number.
 MARKS = 1 << 20
 #: One block of texts in so many is looked at to guess how often a word stands in the
 #: index, and index rows of a word that stay together: more are dealt to block pairs.
@@ -327,19 +327,24 @@ def places(events: DataFrame) -> DataFrame:
     return sides.union(events.where("line_set <> partner").select("partner", "partner_doc", "partner_line")).groupBy("line_set").agg(F.min(F.struct("doc_id", "line")).alias("p")).select("line_set", "p.*")
 
 
+def _sieved(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is not in ``wanted``: a filter of fixed size
+    lets them stay where they are."""
+    bit = lambda: F.expr(f"shiftleft(1L, cast(xxhash64(cast({key} as bigint)) & 63 as int))")
+    at = F.shiftright(F.xxhash64(F.col(key).cast("long")).bitwiseAND(F.lit(MARKS - 1)), 6).cast("int")
+    sieve = [0] * (MARKS >> 6)
+    for place, bits in wanted.groupBy(at.alias("at")).agg(F.bit_or(bit())).collect():
+        sieve[place] = bits
+    return rows.where(F.element_at(F.lit(np.array(sieve, np.int64)), at + 1).bitwiseAND(bit()) != 0)
+
+
 def whole_sets(places: DataFrame, docs: DataFrame, reader: Reader) -> DataFrame:
     """``places(line_set, doc_id, line)`` to ``(line_set, size, sketch, words)``, read from
     the texts; ``sketch``: counts of the words of a big set, a byte each (255: or more)."""
     wanted = materialize(places.groupBy("doc_id").agg(F.collect_list(F.struct("line", "line_set")).alias("wanted")))
 
-    # a filter of fixed size lets most documents without a wanted set stay where they are; it is
     # native, so that no second Python worker stands beside the reader's
-    mark = F.xxhash64(F.col("doc_id").cast("long")).bitwiseAND(F.lit(MARKS - 1))
-    bit = F.expr("shiftleft(1L, cast(mark & 63 as int))")
-    sieve = [0] * (MARKS >> 6)
-    for at, bits in wanted.select(mark.alias("mark")).groupBy(F.shiftright("mark", 6).cast("int").alias("at")).agg(F.bit_or(bit)).collect():
-        sieve[at] = bits
-    docs = docs.where(F.element_at(F.lit(np.array(sieve, np.int64)), (F.shiftright(mark, 6) + 1).cast("int")).bitwiseAND(F.expr("shiftleft(1L, cast(xxhash64(cast(doc_id as bigint)) & 63 as int))")) != 0)
+    docs = _sieved(docs, "doc_id", wanted)
 
     @tidy
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,8 +390,8 @@ def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     sketches = sets.select("line_set", "size", "sketch")
     near = pairs.select("line_set", "partner").join(sketches, "line_set").join(sketches.toDF("partner", "n", "other"), "partner")
-    near = near.where(may_be("size", "n", "sketch", "other")).select("line_set", "partner")
-    whole = sets.select("line_set", "words")
+    near = materialize(near.where(may_be("size", "n", "sketch", "other")).select("line_set", "partner"))
+    whole = _sieved(sets.select("line_set", "words"), "line_set", near.select(F.explode(F.array("line_set", "partner")).alias("line_set")))
     joined = near.join(whole, "line_set").join(whole.toDF("partner", "other"), "partner")
     shared = F.size(F.array_intersect("words", "other"))
     return materialize(joined.where(DENOMINATOR * shared >= NUMERATOR * (F.size("words") + F.size("other") - shared)).select("line_set", "partner"))

@@ -216,3 +216,16 @@ def test_trie_of_equal_few_and_none(spark):
 def test_op13_over_the_table(spark):
     rows = [tuple(r) for r in table(spark, SF, "conversations").select("conv_id", "turn", "role", "text").collect()]
     assert nodes(trie.op13_trie(spark, SF)) == brute_trie(rows)
+
+
+def test_only_sets_of_pairs_are_shuffled_whole(spark, monkeypatch):
+    """Each comparison sent all whole sets through shuffles, whatever pairs were left."""
+    from riskloom.llm import setjoin
+
+    kept, sieve = [], setjoin._sieved
+    monkeypatch.setattr(setjoin, "_sieved", lambda *a: (kept.append(out := sieve(*a)), out)[1])
+    sets = spark.range(3000).selectExpr("id as line_set", "5 as size", "cast(null as binary) as sketch", "sequence(id div 2 * 10, id div 2 * 10 + 4) as words")
+    pairs = spark.createDataFrame([(7, 6), (8, 7), (2999, 2998)], "line_set long, partner long")
+    assert {tuple(r) for r in setjoin.alike(pairs, sets).collect()} == {(7, 6), (2999, 2998)}
+    ids = {r["line_set"] for r in kept[0].collect()}
+    assert {6, 7, 8, 2998, 2999} <= ids and len(ids) < 100
