@@ -21,7 +21,8 @@ from .common import as_bytes, blocks, materialize, mix, runs, sliced, tidy, whol
 #: Sets match from this Jaccard similarity, as a fraction.
 NUMERATOR, DENOMINATOR = 4, 5
 #: Counters of word rarity: a fixed number, whatever the vocabulary.
-COUNTERS, CHUNKS = 1 << 18, 16
+RANK, CHUNKS = 18, 16
+COUNTERS = 1 << RANK
 #: Pairs compared in one step, and partners that a set names at first for each word.
 PAIRS_AT_ONCE, PARTNERS = 1 << 20, 4
 #: Bits of the filters by document and by set: a fixed number.
@@ -30,12 +31,16 @@ MARKS = 1 << 20
 #: index, and index rows of a word that stay together: more are dealt to block pairs.
 #: Both only balance tasks.
 GUESS_FROM, TOGETHER = 16, 20_000
+#: Index rows that a task packs at once, and that a bucket holds, about.
+PACK, BUCKET = 400_000, 50_000
 #: Words of a set from which two halves of parities are kept, and from which counts of
-#: words are: in COUNTS buckets in the index, in SKETCH buckets beside the whole set.
+#: words are too: in COUNTS buckets in the index, in SKETCH buckets beside the whole set.
 WIDE, BIG, COUNTS, SKETCH = 64, 128, 32, 256
-POSTING = "word long, line_set long, doc_id long, line long, size int, at int, bits0 long, bits1 long, bits2 long, side int"
+POSTING = "word long, line_set long, doc_id long, line long, size int, at int, bits0 long, bits1 long, bits2 long, bits3 long, side int"
 EVENT = "line_set long, doc_id long, line long, partner long, partner_doc long, partner_line long, far int, " + POSTING.replace("line_set long, doc_id long, line long, ", "")
-NAMES = [x.split()[0] for x in POSTING.split(", ")]
+KINDS = {n: np.dtype({"long": np.int64, "int": np.int32}[kind]) for n, kind in (x.split() for x in POSTING.split(", "))}
+#: Index rows by the bucket of their word: each column's values together.
+PACKED = "bucket int, " + ", ".join(f"{n} binary" for n in KINDS)
 
 
 @dataclass(frozen=True)
@@ -106,14 +111,15 @@ def index_load(docs: DataFrame, reader: Reader, counts: Broadcast) -> np.ndarray
     """About how many index rows each counter's words have."""
 
     def count(texts: list[bytes]) -> np.ndarray:
-        words, items, _ = reader.words(texts[::GUESS_FROM])
-        words, begin, end, _, _ = word_sets(words, items, counts.value)
-        if not len(begin):
-            return np.zeros(COUNTERS, np.int64)
-        near = np.arange(len(words)) - np.repeat(begin, end - begin) < np.repeat(prefix(end - begin), end - begin)
-        return GUESS_FROM * np.bincount(slot(words[near]), minlength=COUNTERS)
+        sums = np.zeros(COUNTERS, np.int64)
+        for b, e in blocks(texts):
+            words, items, _ = reader.words(texts[b:e])
+            words, begin, end, _, _ = word_sets(words, items, counts.value)
+            near = np.arange(len(words)) - np.repeat(begin, end - begin) < np.repeat(prefix(end - begin), end - begin)
+            sums += GUESS_FROM * np.bincount(slot(words[near]), minlength=COUNTERS)
+        return sums
 
-    return _summed(docs, count)
+    return _summed(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(GUESS_FROM)) == 0), count)
 
 
 def set_ids(words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -122,9 +128,16 @@ def set_ids(words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray
 
 
 def word_sets(words: np.ndarray, items: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Each item's distinct words, rarest first: words, begin and end of each item that
-    has any, its number, and an id of its set."""
-    order = np.lexsort((words, counts[slot(words)], items))
+    """Each item's distinct words, rarest first (by ``counts``, their counters' ranks): words,
+    begin and end of each item that has any, its number, and an id of its set."""
+    # in one key the item, the rank and as much of the word as fits; words that this does not tell apart go the long way
+    rank, top = counts[slot(words)].astype(np.uint64), int(items.max(initial=1)).bit_length()
+    left = np.uint64(64 - RANK - top)
+    key = items.astype(np.uint64) << np.uint64(64 - top) | rank << left | words >> (np.uint64(64) - left)
+    order = np.argsort(key)
+    key, sort = key[order], words[order]
+    if ((key[1:] == key[:-1]) & (sort[1:] != sort[:-1])).any():
+        order = np.lexsort((words, rank, items))
     words, items = words[order], items[order]
     new = np.ones(len(words), bool)
     new[1:] = (words[1:] != words[:-1]) | (items[1:] != items[:-1])
@@ -160,13 +173,12 @@ def _between_counts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def _postings(reader: Reader, counts: Broadcast, load: Broadcast):
-    """Rows for the rarest words of each set of a batch, at its first place. A word with
+def _postings(reader: Reader, counts: Broadcast, load: Broadcast, buckets: int):
+    """PACKED rows for the rarest words of each set of a batch, at its first place. A word with
     more than TOGETHER rows gets a row for each pair of blocks that the set's block is in;
     ``side`` then says which of the two it is, as only sets of two sides meet."""
 
-    @tidy
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
         for batch in sliced(batches):
             ids, texts = batch.column("doc_id").to_numpy(zero_copy_only=False), as_bytes(batch.column("text"))
             for b, e in blocks(texts):
@@ -184,14 +196,14 @@ def _postings(reader: Reader, counts: Broadcast, load: Broadcast):
                 at = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
                 m = mix(words)
                 one = np.uint64(1) << ((m >> np.uint64(8)) & np.uint64(63))
-                bits = np.zeros((3, len(begin)), np.uint64)
+                bits = np.zeros((4, len(begin)), np.uint64)
                 for k in range(2):  # parities: sets differ by at least as many words as these by bits
                     bits[k] = np.bitwise_xor.reduceat(np.where((m & np.uint64(1)) == k, one, np.uint64(0)), begin)
-                bits[1, end - begin < WIDE] = 0
+                bits[1, end - begin < WIDE] = 0  # a big set keeps both: it is held against ones of no counts
                 big = np.flatnonzero(end - begin >= BIG)
                 if len(big):  # counts of words, four bits each
                     part = ((counted(m, begin, end, big, COUNTS) & 15).astype(np.uint64).reshape(len(big), 2, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(2, dtype=np.uint64)
-                    bits[1, big], bits[2, big] = part.T
+                    bits[2, big], bits[3, big] = part.T
                 bits = bits.view(np.int64)
                 pick = first[owner]
                 word = words[begin[pick] + at]
@@ -206,10 +218,63 @@ def _postings(reader: Reader, counts: Broadcast, load: Broadcast):
                     pair = mix((np.minimum(own, other) << 32 | np.maximum(own, other)).astype(np.uint64))
                     word = np.where(n > 1, mix(word[copy] + pair), word[copy])
                     pick, at, owner = pick[copy], at[copy], owner[copy]
-                columns = [word.view(np.int64), sets[pick], doc_id[pick], line[pick], size[owner].astype(np.int32), at.astype(np.int32), *(x[pick] for x in bits), side]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], NAMES)
+                columns = [word.view(np.int64), sets[pick], doc_id[pick], line[pick], size[owner], at, *(x[pick] for x in bits), side]
+                yield {n: c.astype(kind, copy=False) for (n, kind), c in zip(KINDS.items(), columns, strict=True)}
 
-    return post
+    @tidy
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for columns in post(batches):
+            held.append(columns)
+            n += len(columns["word"])
+            if n >= PACK:
+                yield _packed(held, buckets)
+                held, n = [], 0
+        if n:
+            yield _packed(held, buckets)
+
+    return pack
+
+
+def _packed(held: list[dict[str, np.ndarray]], buckets: int) -> pa.RecordBatch:
+    """Index rows as one row for each bucket: a shuffle of few rows, in which what the rows of a
+    bucket have in common lies together however many tasks there are."""
+    bucket = np.concatenate([(c["word"].view(np.uint64) >> np.uint64(32)) % np.uint64(buckets) for c in held]).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    begin, end = runs(bucket[order])
+    columns = [pa.array(bucket[order][begin])]
+    for n, kind in KINDS.items():
+        values = np.concatenate([c[n] for c in held])[order]
+        offsets = (np.concatenate((begin, end[-1:])) * kind.itemsize).astype(np.int32)
+        columns.append(pa.BinaryArray.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(values)]))
+    return pa.RecordBatch.from_arrays(columns, ["bucket", *KINDS])
+
+
+def _parts(batches: Iterator[pa.RecordBatch], packed: bool) -> Iterator[dict[str, np.ndarray]]:
+    """The columns of all index rows of some words, from a sorted stream."""
+    for part in whole_runs(batches, "bucket" if packed else "word"):
+        if packed:
+            buckets = part["bucket"].to_numpy()
+            for b, e in zip(*runs(buckets), strict=True):
+                yield {n: np.frombuffer(b"".join(part[n].slice(b, e - b).to_pylist()), kind) for n, kind in KINDS.items()}
+        else:
+            yield {n: part[n].to_numpy() for n in part.column_names}
+
+
+def _one_each(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The index rows by word, size and set: of each word and set the one at the first place."""
+    order = np.lexsort((c["line_set"], c["size"], c["word"]))
+    new = np.ones(len(order), bool)
+    word, sets = c["word"][order], c["line_set"][order]
+    new[1:] = (word[1:] != word[:-1]) | (sets[1:] != sets[:-1])
+    group = np.cumsum(new) - 1
+    more = np.flatnonzero(~new | np.append(~new[1:], False))
+    own = order[more]
+    more = more[np.lexsort((c["line"][own], c["doc_id"][own], c["side"][own], group[more]))]
+    first = more[runs(group[more])[0]]
+    each = order[new]
+    each[group[first]] = order[first]
+    return {n: v[each] for n, v in c.items()}
 
 
 def _closest(y: np.ndarray, x: np.ndarray, far: np.ndarray, keep: int) -> tuple[np.ndarray, ...]:
@@ -221,7 +286,7 @@ def _closest(y: np.ndarray, x: np.ndarray, far: np.ndarray, keep: int) -> tuple[
     return y[kept], x[kept], far[kept], y[~kept], x[~kept]
 
 
-def _meet(keep: int, with_places: bool, grouped: bool):
+def _meet(keep: int, with_places: bool, grouped: bool, packed: bool):
     """For the postings of each word, three kinds of rows: if asked, the place of each set
     (at its rarest word; ``partner`` is the set itself); for each set the ``keep`` nearest
     earlier ones that the filters leave; and, without ``partner``, the postings of sets
@@ -232,23 +297,13 @@ def _meet(keep: int, with_places: bool, grouped: bool):
 
     @tidy
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in whole_runs(batches, "word"):
-            c = {n: part[n].to_numpy() for n in part.column_names}
-            order = np.lexsort((c["line"], c["doc_id"], c["side"], c["line_set"], c["word"]))
-            new = np.ones(len(order), bool)
-            for n in ("word", "line_set"):
-                v = c[n][order]
-                new[1:] = v[1:] != v[:-1] if n == "word" else new[1:] | (v[1:] != v[:-1])
-            order = order[new]
-            order = order[np.lexsort((c["line_set"][order], c["size"][order], c["word"][order]))]
-            c = {n: v[order] for n, v in c.items()}
-            sets, side, mark = c["line_set"], c["side"], c.get("mark")
+        for c in _parts(batches, packed):
+            c = _one_each(c)
+            sets, side, mark, doc_id, line = c["line_set"], c["side"], c.get("mark"), c["doc_id"], c["line"]
             size, at = c["size"].astype(np.int64), c["at"].astype(np.int64)
-            b0, b1, b2 = (c[f"bits{k}"].view(np.uint64) for k in range(3))
+            b0, b1, b2, b3 = (c[f"bits{k}"].view(np.uint64) for k in range(4))
             begin, end = runs(c["word"])
             run = np.repeat(np.arange(len(begin)), end - begin)
-            place = np.empty(len(sets), np.int64)
-            place[np.lexsort((sets, c["line"], c["doc_id"]))] = np.arange(len(sets))
             key = (run << 32) + size
             low = np.searchsorted(key, (run << 32) + -(-NUMERATOR * size // DENOMINATOR))
             count = np.arange(len(sets)) - low
@@ -271,16 +326,17 @@ def _meet(keep: int, with_places: bool, grouped: bool):
                         ok &= mark[p] != mark[q]
                     p, q, needed = p[ok], q[ok], needed[ok]
                     most = size[p] + size[q] - 2 * needed
-                    wide = (size[q] >= WIDE) & (size[p] < BIG)  # p is never the smaller one
+                    wide = size[q] >= WIDE  # p is never the smaller one
                     far = np.bitwise_count(b0[p] ^ b0[q]).astype(np.int64) + np.where(wide, np.bitwise_count(b1[p] ^ b1[q]), 0)
                     ok = far <= most
                     p, q, far, most = p[ok], q[ok], far[ok], most[ok]
                     if len(big := np.flatnonzero(size[q] >= BIG)):
                         x, y = p[big], q[big]
-                        far[big] = np.maximum(far[big], _between_counts(b1[x], b1[y]) + _between_counts(b2[x], b2[y]))
+                        far[big] = np.maximum(far[big], _between_counts(b2[x], b2[y]) + _between_counts(b3[x], b3[y]))
                         ok = far <= most
                         p, q, far = p[ok], q[ok], far[ok]
-                    later = place[p] > place[q]
+                    same, line_same = doc_id[p] == doc_id[q], line[p] == line[q]
+                    later = np.where(same, np.where(line_same, sets[p] > sets[q], line[p] > line[q]), doc_id[p] > doc_id[q])
                     y, x = np.where(later, p, q), np.where(later, q, p)
                     if not grouped and mark is not None:
                         use = mark[y] == 1
@@ -299,21 +355,26 @@ def _meet(keep: int, with_places: bool, grouped: bool):
                 named = np.arange(n + none) >= n
                 blank = lambda v, kind: pa.array(np.concatenate((v, np.zeros(none, v.dtype))), kind, mask=named)
                 columns = [pa.array(sets[both]), pa.array(c["doc_id"][both]), pa.array(c["line"][both]), *(blank(c[k][x], pa.int64()) for k in ("line_set", "doc_id", "line")), blank(far, pa.int32())]
-                columns += [pa.array(c[k][both], mask=~named) for k in ("word", "size", "at", "bits0", "bits1", "bits2", "side")]
+                columns += [pa.array(c[k][both], mask=~named) for k in ("word", "size", "at", "bits0", "bits1", "bits2", "bits3", "side")]
                 yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in EVENT.split(", ")])
 
     return meet
 
 
 def met(postings: DataFrame, keep: int, with_places: bool = False, grouped: bool = False) -> DataFrame:
-    return materialize(postings.repartition("word").sortWithinPartitions("word").mapInArrow(_meet(keep, with_places, grouped), EVENT))
+    packed = "bucket" in postings.columns
+    key = "bucket" if packed else "word"
+    return materialize(postings.repartition(key).sortWithinPartitions(key).mapInArrow(_meet(keep, with_places, grouped, packed), EVENT))
 
 
 def indexed(docs: DataFrame, reader: Reader) -> DataFrame:
-    """The index of ``docs(doc_id, text)``: POSTING rows."""
+    """The index of ``docs(doc_id, text)``: PACKED rows."""
     send = docs.sparkSession.sparkContext.broadcast
-    counts = send(rarity(docs, reader))
-    return docs.mapInArrow(_postings(reader, counts, send(index_load(docs, reader, counts))), POSTING)
+    ranks = np.empty(COUNTERS, np.uint32)
+    ranks[np.argsort(rarity(docs, reader), kind="stable")] = np.arange(COUNTERS)
+    counts = send(ranks)
+    load = index_load(docs, reader, counts)
+    return docs.mapInArrow(_postings(reader, counts, send(load), 1 + int(load.sum()) // BUCKET), PACKED)
 
 
 def named(events: DataFrame) -> DataFrame:
