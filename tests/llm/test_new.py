@@ -229,3 +229,18 @@ def test_only_sets_of_pairs_are_shuffled_whole(spark, monkeypatch):
     assert {tuple(r) for r in setjoin.alike(pairs, sets).collect()} == {(7, 6), (2999, 2998)}
     ids = {r["line_set"] for r in kept[0].collect()}
     assert {6, 7, 8, 2998, 2999} <= ids and len(ids) < 100
+
+
+def test_sets_at_the_bound_of_counts(spark):
+    """Sets of 120 and 140 words were held against each other by one half of their words only."""
+    import random
+
+    from riskloom.llm import linededup, setjoin
+
+    draw = random.Random(5)
+    pool = [f"w{k}" for k in range(400)]
+    texts = [" ".join([f"shared{i // 2}", *draw.sample(pool, 119 + 20 * (i % 2))]) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    index = setjoin.indexed(docs, linededup.LINES)
+    assert setjoin.named(setjoin.met(index, 4)).count() == 0
+    assert index.columns[0] == "bucket"
