@@ -1,5 +1,7 @@
 """Reports over every step of every path, by kernels that keep a row a path."""
 
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -155,3 +157,60 @@ def test_sizing_draws_its_paths_once(spark, history, monkeypatch):
         own = df.where(f"series_id = '{k}'").selectExpr("series_id", "trade_idx", f"pnl * {row['scale']} as pnl")
         paths = models.simulate_history(own, "parametric", Config(paths=600, rules=None)).toPandas()
         assert np.allclose([row["mean"], row["std"], row["ruin_percent"]], [paths["final_balance"].mean() - 10_000, paths["final_balance"].std(), 100 * paths["ruined"].mean()])
+
+
+class InRows:
+    """A generator that leaves what it is to mix as it stands, and counts it."""
+
+    def __init__(self, seed: int) -> None:
+        self.integers, self.mixed = np.random.default_rng(seed).integers, 0
+
+    def permutation(self, x: np.ndarray) -> np.ndarray:
+        self.mixed += len(x)
+        return x
+
+
+@pytest.mark.parametrize("config", [Config(), Config(rules=None), Config(capped=False), Config(ruin_percent=100, rules=(5000, 8000, 20)), Config(capital=300, ruin_percent=0)])
+def test_long_permutations_are_put_in_order_only_where_it_counts(config):
+    """Every path mixed its whole history; now only parts of it whose order can change a result."""
+    from riskloom.operators import kernels
+
+    rng, mixed = np.random.default_rng(8), {}
+    for drift in (-3, -0.3, 0, 0.3, 3):
+        n = kernels.MANY + 1001
+        pool = np.round(rng.exponential(50, n) - 50 + drift, 2)
+        config = replace(config, steps=n)
+        sides = kernels.permutation(pool).once.sides
+        for seed in range(8):
+            part = np.concatenate([kernels._random_bits(source, len(x), (n // kernels.PART).bit_length() - 1) for source in [InRows(seed)] for x in sides])
+            path = np.concatenate(sides)[np.argsort(part, kind="stable")]
+            whole = kernels.Walk(1, config)
+            whole.go(path[:, None].copy())
+            source = InRows(seed)
+            fall, ruined, outcome, event = kernels._arranged(source, sides, config)
+            mixed[drift, seed] = source.mixed / n
+            assert (ruined, outcome, event) == (whole.ruined[0], whole.outcome[0], whole.event[0]) and np.isclose(fall, whole.fall[0], rtol=1e-9)
+    if config == Config(steps=n):
+        assert max(x for (drift, _), x in mixed.items() if abs(drift) == 3) < 1 / 2
+
+
+def test_long_permutations_have_the_law_of_whole_ones(monkeypatch):
+    from riskloom.operators import kernels
+
+    pool = np.round(np.random.default_rng(9).exponential(50, 20_000) - 49.8, 2)
+    config, kernel = Config(paths=1000, steps=len(pool)), kernels.permutation(pool)
+    blocks = range(kernels.blocks_of(config.paths, kernels.block_size(kernel, config.steps)))
+    whole = pd.concat(kernels.paths_of(blocks, kernel, config))
+    monkeypatch.setattr(kernels, "MANY", 1000)
+    cells = pd.concat(kernels.paths_of(blocks, kernel, config))
+    assert cells["sim_id"].tolist() == whole["sim_id"].tolist() and np.allclose(cells["final_balance"], 10_000 + pool.sum()) and np.allclose(cells["ev"], pool.mean())
+    for column in ("max_drawdown", "event_step"):
+        a, b = (np.sort(x[column].dropna().astype(float)) for x in (whole, cells))
+        at = np.concatenate((a, b))
+        apart = np.abs(np.searchsorted(a, at, side="right") / len(a) - np.searchsorted(b, at, side="right") / len(b)).max()
+        assert apart < 1.95 * np.sqrt(1 / len(a) + 1 / len(b))
+    for kind in ("passed", "drawdown", "consistency"):
+        assert abs((cells["outcome"] == kind).mean() - (whole["outcome"] == kind).mean()) < 0.06
+    strange = pool.copy()
+    strange[7] = np.nan
+    assert not kernels._in_cells(kernels.permutation(strange), config) and not kernels._in_cells(kernel, Config(steps=3000)) and kernels._in_cells(kernel, config)
