@@ -214,3 +214,71 @@ def test_long_permutations_have_the_law_of_whole_ones(monkeypatch):
     strange = pool.copy()
     strange[7] = np.nan
     assert not kernels._in_cells(kernels.permutation(strange), config) and not kernels._in_cells(kernel, Config(steps=3000)) and kernels._in_cells(kernel, config)
+
+
+@pytest.mark.parametrize("df", [1.0, 2.5, 4.5, 12.0, 200.0])
+def test_student_draws_by_layers(df):
+    """Each draw was a normal one over the root of a gamma one. The law is that of the distribution function, far out as well."""
+    from riskloom.operators.kernels import CHUNK, Generators, student_law
+    from riskloom.operators.simulate import student_cdf
+
+    def source():
+        return Generators(lambda s: np.random.Generator(np.random.SFC64([7, s])), 50)
+
+    one, other = source(), source()
+    x = one.student(0, 0, 30_000, df)
+    assert (x == np.concatenate([other.student(0, t, 600, df) for t in range(0, 30_000, 600)])).all()
+    edges = np.concatenate((-np.geomspace(1e4, 1e-3, 100), np.geomspace(1e-3, 1e4, 100)))
+    expected = np.diff(np.concatenate(([0.0], student_cdf(edges, df), [1.0]))) * x.size
+    counts = np.histogram(x, np.concatenate(([-np.inf], edges, [np.inf])))[0]
+    use = expected > 20
+    assert abs(((counts - expected)[use] ** 2 / expected[use]).sum() - use.sum()) < 5 * np.sqrt(2 * use.sum())
+    law = student_law(df)
+    beyond = 2 * student_cdf(np.array(-law.begin), df) * x.size
+    assert student_law(df) is law and abs((np.abs(x) > law.begin).sum() - beyond) < 5 * np.sqrt(beyond) + 1
+    assert CHUNK * 8 <= 1 << 18  # larger arrays are new memory at every call
+
+
+@pytest.mark.parametrize("alpha", [0.1, 1e-9, 8.673617379884035e-19])
+@pytest.mark.parametrize("df", [None, 4.5])
+def test_garch_draws_are_those_of_the_recursion(alpha, df):
+    """Also where draws cannot move the variance, for which no recursion is run."""
+    from riskloom.operators.kernels import Generators, garch
+
+    omega, beta, mu, n = 300.0, 0.85, 0.3, 900
+    kernel = garch(omega, alpha, beta, mu, df)
+    source, again = (Generators(lambda s: np.random.Generator(np.random.SFC64([3, s])), 80) for _ in range(2))
+    state = kernel.begin(source, n)
+    got = np.concatenate([kernel.draw(source, state, t, 100) for t in range(0, n, 100)])
+    z = again.normal(0, 0, n) if df is None else again.student(0, 0, n, df) / np.sqrt(df / (df - 2))
+    h = np.full(80, omega / (1 - alpha - beta))
+    for x, row in zip(z, got):
+        assert np.allclose(row, mu + x * np.sqrt(h), rtol=1e-10, atol=1e-10)
+        h = omega + alpha * h * x * x + beta * h
+
+
+def test_fits_pass_blocks_side_by_side():
+    """A call for each row of each block, for all candidates, was most of a fit."""
+    rng, calls = np.random.default_rng(4), []
+    frame = pd.DataFrame({"series_id": ["a"] * 20 + ["b"] * 5, "block": [*range(20), *range(5)], "rows": [64] * 19 + [30] + [64] * 5})
+    frame["e2"] = [rng.gamma(0.5, 2, n) for n in frame["rows"]]
+    frame["alpha"], frame["beta"] = np.where(frame["series_id"] == "a", 0.02, np.nan), np.where(frame["series_id"] == "a", 0.8, np.nan)
+    a, b = zip(*(models._candidates(row) for _, row in frame.iterrows()))
+    frame["h"] = [1 + rng.random(len(x)) for x in a]
+
+    def run(e2, *args):
+        calls.append(e2.shape)
+        return models._fit_of_block(e2, *args)
+
+    fits = models._block_rows(frame, run)["values"]
+    ends = models._block_rows(frame.drop(columns="h"), models._ends)["values"]
+    assert sorted(calls) == [(30, 1, 1), (64, 3, 1), (64, 5, 1), (64, 16, 1)]
+    for i, row in frame.iterrows():
+        use = models._usable(a[i], b[i])
+        w, h, total, end = 1 - a[i] - b[i], row["h"], 0.0, 0.0
+        with np.errstate(all="ignore"):
+            for x in row["e2"]:
+                total = total - 0.5 * (np.log(h) + x / h)
+                h, end = w + a[i] * x + b[i] * h, w + a[i] * x + b[i] * end
+        assert np.allclose(fits[i][use], total[use], rtol=1e-12, atol=1e-9) and np.allclose(ends[i][use], end[use], rtol=1e-12)
+        assert (fits[i][~use] == 0).all()
